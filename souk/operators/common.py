@@ -23,3 +23,44 @@ def with_columns_or_null(df: DataFrame, schema: dict[str, str]) -> DataFrame:
 
 def has_cols(df: DataFrame | None, *names: str) -> bool:
     return df is not None and all(n in df.columns for n in names)
+
+
+# Pages up to this many rows (offset + limit) use TakeOrderedAndProject: each
+# task keeps only that many rows.  Larger pages get a distributed position.
+SMALL_PAGE_ROWS = 10_000
+
+
+def page(df: DataFrame, order: list, page_no: int, limit: int) -> DataFrame:
+    """Rows ``[(page_no-1)*limit, page_no*limit)`` of ``df`` sorted by ``order``.
+
+    ``order`` must end in a unique key.  Small pages: ``orderBy.offset.limit``.
+    Large pages: a range-partitioned sort, then a global position from the
+    per-partition row counts (a frame of one row per partition), so that no
+    task ever holds more than its own partition.  The sorted frame is
+    checkpointed into the shared checkpoint folder first, so both uses see
+    the same partitioning even after a lost executor.
+    """
+    offset = (page_no - 1) * limit
+    if offset + limit <= SMALL_PAGE_ROWS:
+        out = df.orderBy(*order)
+        if offset:
+            out = out.offset(offset)
+        return out.limit(limit)
+    from pyspark.sql import Window as W
+
+    from ..session import cut_lineage
+    srt = (df.orderBy(*order)
+           .withColumn("_pid", F.spark_partition_id())
+           .withColumn("_mid", F.monotonically_increasing_id()))
+    srt = cut_lineage(srt)
+    srt = srt.withColumn("_idx", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
+    counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(
+        "_pid", (F.sum("_n").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)))
+        .alias("_start"))
+    # one row per partition: a bounded broadcast
+    pos = (srt.join(F.broadcast(starts), "_pid")
+           .withColumn("_pos", F.coalesce("_start", F.lit(0)) + F.col("_idx")))
+    out = pos.where((F.col("_pos") >= offset) & (F.col("_pos") < offset + limit))
+    return out.drop("_pid", "_mid", "_idx", "_start").withColumnRenamed("_pos", "_page_pos") \
+              .orderBy("_page_pos").drop("_page_pos")
