@@ -90,8 +90,8 @@ def person_label(first, last, fallback="Client") -> Column:
 
 
 def address_label(*parts) -> Column:
-    """Non-blank parts, trimmed, joined by ', '."""
-    return F.concat_ws(", ", *[blank_to_null(p) for p in parts])
+    """[parts].filter(Boolean).join(', '): NULL and '' dropped, nothing trimmed."""
+    return F.concat_ws(", ", *[F.nullif(col(p), F.lit("")) for p in parts])
 
 
 def reference_number(prefix, year, n) -> Column:

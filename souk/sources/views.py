@@ -151,6 +151,17 @@ FROM {events} WHERE event_type = 'view'""",
 SELECT user_id AS request_id, event_id % 50 AS offer_id, event_id AS line_no,
   CAST(regexp_extract(props, '[0-9]+', 0) AS INT) % 110 AS quantity
 FROM {events} WHERE event_type = 'click' AND event_id % 50 > 1 AND user_id % 2 = 0 AND event_id % 7 < 2""",
+    # --- additions of this repository (not in FIXTURES.md): inputs derived
+    # from the same tables for the keyed lookups ---
+    "v_orders_ref": """
+SELECT o.*, 'AMW-' || CAST(year(o.created_at) AS STRING) || '-' ||
+  CASE WHEN length(CAST(o.id AS STRING)) >= 6 THEN CAST(o.id AS STRING)
+       ELSE lpad(CAST(o.id AS STRING), 6, '0') END AS reference
+FROM {v_orders} o""",
+    "v_guest_requests": """
+SELECT s.event_id AS request_id, ' ' || o.reference || ' ' AS reference,
+  CASE WHEN s.event_id % 3 = 0 THEN o.phone || '9' ELSE o.phone END AS phone
+FROM {v_status_changes} s JOIN {v_orders_ref} o ON o.id = s.order_id""",
 }
 
 SOURCE_TABLES = ("region nation customer supplier part orders lineitem events documents "
