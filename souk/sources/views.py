@@ -162,6 +162,13 @@ FROM {v_orders} o""",
 SELECT s.event_id AS request_id, ' ' || o.reference || ' ' AS reference,
   CASE WHEN s.event_id % 3 = 0 THEN o.phone || '9' ELSE o.phone END AS phone
 FROM {v_status_changes} s JOIN {v_orders_ref} o ON o.id = s.order_id""",
+    "v_contact_requests": """
+SELECT id, first_name, last_name, email, 'Sujet ' || last_name AS subject, message, created_at
+FROM {v_contact_messages}""",
+    "v_negotiation_requests": """
+SELECT id, user_id, offer_id, quantity, message, first_name, last_name,
+  'n' || CAST(id AS STRING) || '@example.com' AS email, created_at
+FROM {v_negotiations}""",
 }
 
 SOURCE_TABLES = ("region nation customer supplier part orders lineitem events documents "
