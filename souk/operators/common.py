@@ -30,22 +30,15 @@ def has_cols(df: DataFrame | None, *names: str) -> bool:
 SMALL_PAGE_ROWS = 10_000
 
 
-def page(df: DataFrame, order: list, page_no: int, limit: int) -> DataFrame:
-    """Rows ``[(page_no-1)*limit, page_no*limit)`` of ``df`` sorted by ``order``.
+def global_position(df: DataFrame, order: list, name: str = "_pos") -> DataFrame:
+    """Add ``name``: 0-based position of each row in the total order ``order``.
 
-    ``order`` must end in a unique key.  Small pages: ``orderBy.offset.limit``.
-    Large pages: a range-partitioned sort, then a global position from the
-    per-partition row counts (a frame of one row per partition), so that no
-    task ever holds more than its own partition.  The sorted frame is
-    checkpointed into the shared checkpoint folder first, so both uses see
-    the same partitioning even after a lost executor.
+    Distributed: a range-partitioned sort, per-partition row counts (one row
+    per partition, a bounded broadcast) and their running sum; no task ever
+    sees more than its own partition.  The sorted frame is checkpointed into
+    the shared checkpoint folder so that both uses read the same partitions,
+    also after a lost executor.  ``order`` must end in a unique key.
     """
-    offset = (page_no - 1) * limit
-    if offset + limit <= SMALL_PAGE_ROWS:
-        out = df.orderBy(*order)
-        if offset:
-            out = out.offset(offset)
-        return out.limit(limit)
     from pyspark.sql import Window as W
 
     from ..session import cut_lineage
@@ -56,11 +49,26 @@ def page(df: DataFrame, order: list, page_no: int, limit: int) -> DataFrame:
     srt = srt.withColumn("_idx", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33))
     counts = srt.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select(
-        "_pid", (F.sum("_n").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)))
-        .alias("_start"))
-    # one row per partition: a bounded broadcast
-    pos = (srt.join(F.broadcast(starts), "_pid")
-           .withColumn("_pos", F.coalesce("_start", F.lit(0)) + F.col("_idx")))
-    out = pos.where((F.col("_pos") >= offset) & (F.col("_pos") < offset + limit))
-    return out.drop("_pid", "_mid", "_idx", "_start").withColumnRenamed("_pos", "_page_pos") \
-              .orderBy("_page_pos").drop("_page_pos")
+        "_pid", F.coalesce(F.sum("_n").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)),
+                           F.lit(0)).alias("_start"))
+    return (srt.join(F.broadcast(starts), "_pid")
+            .withColumn(name, F.col("_start") + F.col("_idx"))
+            .drop("_pid", "_mid", "_idx", "_start"))
+
+
+def page(df: DataFrame, order: list, page_no: int, limit: int) -> DataFrame:
+    """Rows ``[(page_no-1)*limit, page_no*limit)`` of ``df`` sorted by ``order``.
+
+    ``order`` must end in a unique key.  Small pages: ``orderBy.offset.limit``
+    (TakeOrderedAndProject keeps offset+limit rows per task).  Large pages:
+    :func:`global_position`, then a filter on the position.
+    """
+    offset = (page_no - 1) * limit
+    if offset + limit <= SMALL_PAGE_ROWS:
+        out = df.orderBy(*order)
+        if offset:
+            out = out.offset(offset)
+        return out.limit(limit)
+    pos = global_position(df, order, "_page_pos")
+    return (pos.where((F.col("_page_pos") >= offset) & (F.col("_page_pos") < offset + limit))
+            .orderBy("_page_pos").drop("_page_pos"))

@@ -169,6 +169,38 @@ FROM {v_contact_messages}""",
 SELECT id, user_id, offer_id, quantity, message, first_name, last_name,
   'n' || CAST(id AS STRING) || '@example.com' AS email, created_at
 FROM {v_negotiations}""",
+    "v_offer_creates": """
+SELECT event_id AS id, event_id, offer_id, ts, product_name, 'C' || CAST(offer_id % 7 AS STRING) AS category,
+  product_name AS description, new_price, quantity, status
+FROM {v_offer_updates}""",
+    "v_ad_updates": """
+SELECT id, id AS event_id, created_at AS ts,
+  CASE WHEN id % 3 = 0 THEN ' ' ELSE 'New ' || title END AS title,
+  CASE WHEN id % 4 = 0 THEN '' ELSE 'https://ads.example.com/' || CAST(id AS STRING) END AS link_url,
+  CAST(0 AS INT) AS width, CAST(id % 3 AS INT) AS height,
+  CASE WHEN id % 4 = 0 THEN CAST(0 AS INT) ELSE display_order + 1 END AS display_order,
+  CASE WHEN id % 2 = 0 THEN 'false' ELSE 'yes' END AS is_active, starts_at, CAST(NULL AS {TS}) AS ends_at
+FROM {v_site_ads}""",
+    "v_registration_requests": """
+SELECT event_id, ts, CASE WHEN event_id % 13 = 0 THEN '   ' ELSE ' Name ' || CAST(event_id AS STRING) END AS full_name,
+  identifier
+FROM {v_registrations}""",
+    "v_alert_requests": """
+SELECT page_id,
+  CASE CAST(page_id % 4 AS INT)
+    WHEN 0 THEN 'https://res.cloudinary.com/demo/amw/image-search/' || CAST(page_id AS STRING) || '.jpg'
+    WHEN 1 THEN 'http://res.cloudinary.com/amw/image-search/' || CAST(page_id AS STRING) || '.jpg'
+    WHEN 2 THEN 'https://RES.cloudinary.com/amw/image-search/x' || CAST(page_id AS STRING)
+    ELSE url END AS image_url,
+  substr(html, 1, 3000) AS product_description,
+  CASE CAST(page_id % 3 AS INT) WHEN 0 THEN '  u' || CAST(page_id AS STRING) || '@example.com '
+    WHEN 1 THEN '77' || CAST(page_id AS STRING) ELSE ' 12 ' END AS contact
+FROM {pages}""",
+    "v_grounding_sources": """
+SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS response_id, page_id AS pos,
+  CASE WHEN page_id % 9 = 0 THEN NULL ELSE regexp_replace(url, '[?#].*$', '') END AS uri,
+  CASE WHEN page_id % 4 = 0 THEN NULL ELSE 'T' || CAST(page_id AS STRING) END AS title
+FROM {pages}""",
 }
 
 SOURCE_TABLES = ("region nation customer supplier part orders lineitem events documents "
