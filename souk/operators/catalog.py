@@ -40,6 +40,17 @@ def search_condition(pattern: Column, columns=SEARCH_COLUMNS) -> Column:
     return cond
 
 
+def _term_matches(pattern: Column, plain: Column, columns=SEARCH_COLUMNS) -> Column:
+    """ILIKE '%term%' on any column; a term without wildcard or escape
+    characters is the same test as a lower-cased substring search, which
+    needs no per-row pattern compilation."""
+    fast = None
+    for c in columns:
+        m = F.coalesce(F.contains(F.lower(F.col(c)), plain), F.lit(False))
+        fast = m if fast is None else (fast | m)
+    return F.when(plain.isNotNull(), fast).otherwise(search_condition(pattern, columns))
+
+
 def offers_filter(offers: DataFrame, category: str | None = None,
                   search: str | None = None) -> DataFrame:
     """P7 + P8 + P9: sellable offers, optional category and text search."""
@@ -224,12 +235,19 @@ def term_search(terms: DataFrame, offers: DataFrame, top: int = 20, salt: int =
                                  lambda i: F.concat(F.try_element_at("_lt", i), F.try_element_at("_lt", i + F.lit(1)))),
                      lambda x: x.isNotNull())
     singles = F.filter("_lt", lambda x: x.isNotNull())
-    t = t.withColumn("_key", F.coalesce(
-        F.when(F.size(pairs) > 0, F.concat(F.lit("2:"), F.try_element_at(pairs, F.lit(1)))),
-        F.when(F.size(singles) > 0, F.concat(F.lit("1:"), F.try_element_at(singles, F.lit(1)))),
-        F.concat(F.lit("0:"), F.least(F.size(F.filter(
-            F.regexp_extract_all(F.col("pat"), F.lit(r"(\\[\s\S]|[\s\S])"), 1),
-            lambda x: x == F.lit("_"))), F.lit(_NGRAM_CAP)).cast("string"))))
+    alts = F.coalesce(
+        F.when(F.size(pairs) > 0, F.transform(pairs, lambda g: F.concat(F.lit("2:"), g))),
+        F.when(F.size(singles) > 0, F.transform(singles, lambda g: F.concat(F.lit("1:"), g))))
+    # wildcard-only terms: a text matches only if it is at least k characters
+    # long (k = number of '_'); such a term emits the keys k..CAP and each
+    # offer the one key least(longest text, CAP), so this rare path stays an
+    # equi-join too.
+    n_under = F.least(F.size(F.filter(
+        F.regexp_extract_all(F.col("pat"), F.lit(r"(\\[\s\S]|[\s\S])"), 1),
+        lambda x: x == F.lit("_"))), F.lit(_NGRAM_CAP))
+    length_keys = F.transform(F.sequence(n_under, F.lit(_NGRAM_CAP)),
+                              lambda k: F.concat(F.lit("0:"), k.cast("string")))
+    t = t.withColumn("_alts", alts)
 
     cand = sellable(offers).select("id", "created_at", *SEARCH_COLUMNS)
     low = [F.coalesce(F.lower(F.col(c)), F.lit("")) for c in SEARCH_COLUMNS]
@@ -239,14 +257,27 @@ def term_search(terms: DataFrame, offers: DataFrame, top: int = 20, salt: int =
     keys = F.concat(
         F.transform(bi, lambda g: F.concat(F.lit("2:"), g)),
         F.transform(uni, lambda g: F.concat(F.lit("1:"), g)),
-        F.transform(F.sequence(F.lit(0), F.least(longest, F.lit(_NGRAM_CAP))),
-                    lambda k: F.concat(F.lit("0:"), k.cast("string"))))
+        F.array(F.concat(F.lit("0:"), F.least(longest, F.lit(_NGRAM_CAP)).cast("string"))))
     offer_keys = cand.select(F.col("id").alias("offer_id"), F.explode(keys).alias("_key"))
 
-    hits = (t.select("query_id", "pat", "_key")
+    # Each term probes with its rarest literal bigram (else character): the
+    # key frequencies are one aggregate over the offer keys (partial agg, at
+    # most one row per distinct key), so candidate sets stay small.
+    freq = offer_keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_df"))
+    t = t.withColumn("_plain", F.when(~F.col("term").rlike(r"[%_\\]"), F.lower(F.col("term"))))
+    probe = (t.where(F.col("_alts").isNotNull())
+             .select("query_id", "pat", "_plain", F.explode(F.array_distinct("_alts")).alias("_key"))
+             .join(freq, "_key", "left")
+             .withColumn("_r", F.row_number().over(W.partitionBy("query_id", "pat").orderBy(
+                 F.coalesce("_df", F.lit(0)), "_key")))
+             .where(F.col("_r") == 1).select("query_id", "pat", "_plain", "_key"))
+    probe = probe.unionByName(t.where(F.col("_alts").isNull())
+                              .select("query_id", "pat", "_plain", F.explode(length_keys).alias("_key")))
+
+    hits = (probe
             .join(offer_keys, "_key")
             .join(cand.withColumnRenamed("id", "offer_id"), "offer_id")
-            .where(search_condition(F.col("pat")))
+            .where(_term_matches(F.col("pat"), F.col("_plain")))
             .select("query_id", "offer_id", "created_at")
             .dropDuplicates(["query_id", "offer_id"]))
     order = [F.col("created_at").desc_nulls_first(), F.col("offer_id").desc()]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import js_trim
-from ..functions.quality import (clamp01, contact_type, json_span, normalize_phone, url_allowed,
+from ..functions.quality import (clamp01, contact_type, normalize_phone, strip_fences, url_allowed,
                                  url_parts, word_count)
 from .changes import parse_identifier
 
@@ -53,17 +53,29 @@ def alert_intake(requests: DataFrame, host: str | None = None, path_part: str |
 
 def llm_json_extract(df: DataFrame, col: str = "raw") -> DataFrame:
     """The JSON object inside a model answer, parsed (NULL fields and
-    ``ok = false`` when there is no object or it does not parse)."""
-    span = json_span(F.col(col))
-    parsed = F.from_json(span, PRODUCT_JSON_SCHEMA, {"mode": "PERMISSIVE",
-                                                     "allowSingleQuotes": "false"})
-    valid = span.isNotNull() & (span != "") & F.coalesce(F.get_json_object(span, "$").isNotNull(), F.lit(False))
-    return df.select("*", valid.alias("ok"),
-                     F.when(valid, parsed["productName"]).alias("product_name"),
-                     F.when(valid, parsed["category"]).alias("category"),
-                     F.when(valid, parsed["description"]).alias("description"),
-                     F.when(valid, parsed["confidence"]).alias("confidence_raw"),
-                     F.when(valid, parsed["identifiedFeatures"]).alias("identified_features"))
+    ``ok = false`` when there is no object or it does not parse).
+
+    Staged projections, so that the fence stripping and the JSON parse run
+    once per row (each stage's result is referenced, not re-inlined).
+    """
+    s = df.withColumn("_s", strip_fences(F.col(col)))
+    s = s.withColumn("_a", F.instr("_s", "{")).withColumn("_z", F.instr(F.reverse("_s"), "}"))
+    s = s.withColumn("_e", F.length("_s") - F.col("_z") + 1)
+    s = s.withColumn("_span", F.when((F.col("_a") > 0) & (F.col("_z") > 0),
+                                     F.when(F.col("_e") >= F.col("_a"),
+                                            F.substring("_s", F.col("_a"), F.col("_e") - F.col("_a") + 1))
+                                     .otherwise(F.lit(""))))
+    s = s.withColumn("_p", F.from_json("_span", PRODUCT_JSON_SCHEMA + ", _corrupt string",
+                                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
+                                        "allowSingleQuotes": "false"}))
+    s = s.withColumn("ok", F.coalesce((F.col("_span") != "") & F.col("_p").isNotNull()
+                                      & F.col("_p._corrupt").isNull(), F.lit(False)))
+    return s.select(*df.columns, "ok",
+                    F.when(F.col("ok"), F.col("_p.productName")).alias("product_name"),
+                    F.when(F.col("ok"), F.col("_p.category")).alias("category"),
+                    F.when(F.col("ok"), F.col("_p.description")).alias("description"),
+                    F.when(F.col("ok"), F.col("_p.confidence")).alias("confidence_raw"),
+                    F.when(F.col("ok"), F.col("_p.identifiedFeatures")).alias("identified_features"))
 
 
 def llm_json_gate(extracted: DataFrame) -> DataFrame:

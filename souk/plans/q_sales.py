@@ -180,9 +180,3 @@ FROM v_users ORDER BY created_at DESC NULLS FIRST, id DESC""")
 def users_list(t):
     return sales.users_list(t.v_users)
 
-
-@query("date_spine", [], f"{SPINE}")
-def date_spine(t):
-    """G1: the period's calendar days (one row per day, as_of included)."""
-    from ..functions.calendar import date_spine as spine
-    return spine(t.spark, AS_OF, DAYS)
