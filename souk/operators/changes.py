@@ -113,8 +113,9 @@ def cart_upsert(cart: DataFrame, adds: DataFrame, offers: DataFrame) -> DataFram
     merged = (keyed.join(add, ["cart_id", "offer_id"], "full")
               .select("cart_id", "offer_id",
                       (F.coalesce("quantity", F.lit(0)) + F.coalesce("_add", F.lit(0))).cast("int").alias("quantity"),
-                      F.coalesce("created_at", "_first").alias("created_at"),
-                      F.coalesce("_last", "updated_at").alias("updated_at")))
+                      # least/greatest: batches applied out of time order give the same row
+                      F.least("created_at", "_first").alias("created_at"),
+                      F.greatest("_last", "updated_at").alias("updated_at")))
     return merged.unionByName(cart.where(F.col("offer_id").isNull())
                               .select("cart_id", "offer_id", "quantity", "created_at", "updated_at"))
 

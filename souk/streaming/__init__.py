@@ -1 +1,5 @@
 """Incremental (Structured Streaming) variants of batch operators."""
+
+from .incremental import cart_upsert_stream, daily_orders_stream, snapshot_path
+
+__all__ = ["cart_upsert_stream", "daily_orders_stream", "snapshot_path"]
