@@ -164,3 +164,29 @@ def stock_alert_resolution(invoices: DataFrame, offers: DataFrame, now) -> DataF
     if "stock_alert_resolved_at" not in invoices.columns:
         cols.append(F.when(done, as_of_ts(now)).alias("stock_alert_resolved_at"))
     return res.select(*cols)
+
+
+def stock_after_events(offers: DataFrame, demand: DataFrame, sets: DataFrame) -> DataFrame:
+    """M10 + M14: stock after clamped decrements mixed with absolute sets.
+
+    ``demand``: offer_id, ts, requested (decrements); ``sets``: offer_id, ts,
+    event_id, quantity (absolute ``SET quantity``).  An absolute set starts a
+    new segment and, with only decrements inside a segment, repeated clamping
+    is one clamp of the sum: the final stock is
+    ``greatest(last set (else q0) - decrements after it, 0)``, with NULL
+    stock read as 0 once decremented.  Aggregates only (partial aggregation,
+    no window over an offer), so a hot offer is no single task.  A set and a
+    decrement at the same instant: the set is applied first.
+    """
+    last = (sets.groupBy("offer_id")
+            .agg(F.max_by(F.struct("quantity"), F.struct("ts", "event_id")).alias("_s"),
+                 F.max("ts").alias("_set_ts")))
+    d = demand.join(last.select("offer_id", "_set_ts"), "offer_id", "left") \
+        .where(F.col("_set_ts").isNull() | (F.col("ts") >= F.col("_set_ts")))
+    dec = d.groupBy("offer_id").agg(F.sum("requested").alias("_dec"))
+    o = offers.join(last, offers["id"] == last["offer_id"], "left").drop("offer_id") \
+        .join(dec, offers["id"] == dec["offer_id"], "left").drop("offer_id")
+    start = F.when(F.col("_set_ts").isNotNull(), F.col("_s.quantity")).otherwise(F.col("quantity"))
+    new_q = F.when(F.col("_dec").isNotNull(), F.greatest(start - F.col("_dec"), F.lit(0))).otherwise(start)
+    return o.select(*[new_q.cast(offers.schema["quantity"].dataType).alias("quantity") if c == "quantity"
+                      else F.col(c) for c in offers.columns])

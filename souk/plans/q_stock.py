@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import stock
 from .registry import AS_OF, query, ts
+from .sqlbits import jt
 
 LINE_ORDER = ["line_no", "offer_id", "tie1", "quantity", "line_total"]
 AVAIL = "GREATEST(COALESCE(o.quantity, 0) - p.prior, 0)"
@@ -108,3 +109,31 @@ def stock_alert_resolution(t):
     h = h.select("id", "stock_alerts", "stock_alert_resolved")
     r = stock.stock_alert_resolution(h, t.v_offers, AS_OF)
     return r.select("id", "stock_alert_resolved", "stock_alert_resolved_at")
+
+
+@query("stock_after_events", ["v_invoice_items", "v_offers", "v_offer_creates"], f"""
+WITH {CHECKED},
+sets AS (SELECT offer_id, ts, event_id, COALESCE(NULLIF(quantity, 0), 0) AS quantity FROM v_offer_creates
+  WHERE {jt('product_name')} <> '' AND {jt('category')} <> '' AND new_price IS NOT NULL AND new_price > 0),
+last AS (SELECT offer_id, quantity, ts FROM (SELECT *, row_number() OVER (PARTITION BY offer_id
+    ORDER BY ts DESC, event_id DESC) AS rn FROM sets) x WHERE rn = 1),
+dec AS (SELECT li.offer_id, SUM(li.requested) AS d FROM li LEFT JOIN last ON last.offer_id = li.offer_id
+  WHERE last.ts IS NULL OR li.created_at >= last.ts GROUP BY li.offer_id)
+SELECT o.id, o.product_name, o.category, o.category_id, o.description, o.new_price, o.price, o.discount,
+  CAST(CASE WHEN dec.d IS NOT NULL
+    THEN GREATEST(CASE WHEN last.ts IS NOT NULL THEN last.quantity ELSE o.quantity END - dec.d, 0)
+    ELSE CASE WHEN last.ts IS NOT NULL THEN last.quantity ELSE o.quantity END END AS INTEGER) AS quantity,
+  o.status, o.created_at
+FROM v_offers o LEFT JOIN last ON last.offer_id = o.id LEFT JOIN dec ON dec.offer_id = o.id""")
+def stock_after_events(t):
+    """Stock after the invoice decrements and the offer updates' quantity sets, in time order."""
+    from ..functions.exprs import blank_to_null
+    lines = stock.valid_invoice_lines(t.v_invoice_items, t.v_offers)
+    demand = lines.select("offer_id", F.col("created_at").alias("ts"),
+                          stock.requested_qty("quantity").alias("requested"))
+    u = t.v_offer_creates
+    ok = (blank_to_null("product_name").isNotNull() & blank_to_null("category").isNotNull()
+          & F.col("new_price").isNotNull() & (F.col("new_price") > 0))
+    sets = u.where(ok).select("offer_id", "ts", "event_id",
+                              F.coalesce(F.nullif("quantity", F.lit(0)), F.lit(0)).alias("quantity"))
+    return stock.stock_after_events(t.v_offers, demand, sets)

@@ -268,3 +268,14 @@ def test_dedupe_sources(spark):
                                "response_id string, pos int, uri string, title string")
     got = {(r.uri, r.first_pos, r.title) for r in qa.dedupe_sources(df).collect()}
     assert got == {("u1", 1, ""), ("u2", 2, "")}
+
+
+def test_stock_after_events_segments(spark):
+    offers = spark.createDataFrame([(1, 3), (2, None), (3, 5)], "id bigint, quantity int")
+    demand = spark.createDataFrame([(1, D(2024, 1, 1), 5), (1, D(2024, 1, 3), 1), (2, D(2024, 1, 1), 2),
+                                    (3, D(2024, 1, 2), 1)], "offer_id bigint, ts timestamp_ntz, requested int")
+    sets = spark.createDataFrame([(1, D(2024, 1, 2), 1, 4), (3, D(2024, 1, 2), 2, 9)],
+                                 "offer_id bigint, ts timestamp_ntz, event_id bigint, quantity int")
+    got = {r.id: r.quantity for r in stock.stock_after_events(offers, demand, sets).collect()}
+    # 3 -5 -> 0, set 4, -1 -> 3;  NULL -2 -> 0;  set 9 then -1 at the same instant -> 8
+    assert got == {1: 3, 2: 0, 3: 8}
