@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold_az, words
+from .common import cut, fold_az, n_words, words
 
 OUT = ("n_shingles", "component_id", "kept")
 
@@ -104,17 +104,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     assert num_perm % rows_per_band == 0
     bands = num_perm // rows_per_band
     base = docs.drop(*[c for c in OUT if c in docs.columns])
-    sets = cut(with_shingles(base, text_col, n)
-               .withColumn("_id", F.col(f"`{id_col}`").cast("long"))
-               .withColumn("_n", F.size("_hs").cast("long"))
-               .withColumn("_key", F.xxhash64("_hs")))
-    live = sets.where((F.col("_n") > 0) & F.col("_id").isNotNull())
-    groups = live.groupBy("_key", "_n").agg(F.min("_id").alias("_rep"))
-    reps = (live.join(groups, ["_key", "_n"]).where(F.col("_id") == F.col("_rep"))
-            .select("_id", "_hs", "_n").dropDuplicates(["_id"]))
-    reps = cut(reps)
-
-    ex = reps.select("_id", F.explode("_hs").alias("h"))
+    # Shingle sets are recomputed from the text where they are needed rather than
+    # stored: the hash arrays are larger than the texts they come from.
+    sets = (with_shingles(base.withColumn("_id", F.col(f"`{id_col}`").cast("long")), text_col, n)
+            .withColumn("_n", F.size("_hs").cast("long"))
+            .withColumn("_key", F.xxhash64("_hs")).drop("_hs"))
+    # "has words" is tested on the text: a filter on the derived set size would be
+    # pushed below the projections and make the optimizer inline the set expression.
+    live = sets.where((n_words(F.col(f"`{text_col}`")) > 0) & F.col("_id").isNotNull()).select("_id", "_n", "_key")
+    groups = cut(live.groupBy("_key", "_n").agg(F.min("_id").alias("_rep")))
+    rep_ids = groups.select(F.col("_rep").alias("_id")).distinct()
+    texts = base.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_t"))
+    reps = (with_shingles(texts.join(rep_ids, "_id", "left_semi"), "_t", n)
+            .select("_id", "_hs", F.size("_hs").cast("long").alias("_n")))
+
+    # explode_outer: an inner explode makes Catalyst infer size(_hs) > 0 and push it
+    # (with the whole set expression inlined) below the projections.
+    ex = reps.select("_id", F.explode_outer("_hs").alias("h")).where(F.col("h").isNotNull())
     sig = ex.groupBy("_id").agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(num_perm)])
     sig = sig.select("_id", F.array(*[f"m{i}" for i in range(num_perm)]).alias("sig"))
     sig = sig.withColumn("pos", sketch_positions(F.col("sig"), sketch_words))
@@ -132,9 +138,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ska, skb = sig.select(F.col("_id").alias("a"), F.col("sk").alias("ska")), sig.select(F.col("_id").alias("b"), F.col("sk").alias("skb"))
     cand = cand.join(ska, "a").join(skb, "b")
     xor_bits = sum((F.bit_count(F.col("ska")[w].bitwiseXOR(F.col("skb")[w])) for w in range(sketch_words)), F.lit(0))
-    cand = cand.where(odd_sketch_similarity(xor_bits, num_perm, sketch_words) >= sketch_floor).select("a", "b")
-    ha = reps.select(F.col("_id").alias("a"), F.col("_hs").alias("ha"), F.col("_n").alias("na"))
-    hb = reps.select(F.col("_id").alias("b"), F.col("_hs").alias("hb"), F.col("_n").alias("nb"))
+    cand = cut(cand.where(odd_sketch_similarity(xor_bits, num_perm, sketch_words) >= sketch_floor).select("a", "b"))
+    ends = cand.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    ends = with_shingles(texts.join(ends, "_id", "left_semi"), "_t", n).select("_id", "_hs", F.size("_hs").cast("long").alias("_n"))
+    ha = ends.select(F.col("_id").alias("a"), F.col("_hs").alias("ha"), F.col("_n").alias("na"))
+    hb = ends.select(F.col("_id").alias("b"), F.col("_hs").alias("hb"), F.col("_n").alias("nb"))
     inter = F.size(F.array_intersect("ha", "hb")).cast("long")
     t100 = int(round(threshold * 100))
     edges = (cand.join(ha, "a").join(hb, "b")
