@@ -26,3 +26,10 @@ def op7_minhash_dedup(spark, sf_dir):
     from .dedup import near_duplicates
     r = near_duplicates(table(spark, sf_dir, "documents"))
     return r.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op6_quality_knn")
+def op6_quality_knn(spark, sf_dir):
+    from .quality import quality_scores
+    r = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return r.select("doc_id", "held_out", "score", "predicted")
