@@ -33,3 +33,10 @@ def op6_quality_knn(spark, sf_dir):
     from .quality import quality_scores
     r = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return r.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op2_decontaminate")
+def op2_decontaminate(spark, sf_dir):
+    from .decontam import decontaminate
+    r = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return r.select("doc_id", "contaminated", "item_ids", "similarity")
