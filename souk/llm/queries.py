@@ -40,3 +40,10 @@ def op2_decontaminate(spark, sf_dir):
     from .decontam import decontaminate
     r = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return r.select("doc_id", "contaminated", "item_ids", "similarity")
+
+
+@query("op10_mix_sources")
+def op10_mix_sources(spark, sf_dir):
+    from .mixing import mix
+    r = mix(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "size", "source_size", "target", "taken")
