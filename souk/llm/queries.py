@@ -47,3 +47,9 @@ def op10_mix_sources(spark, sf_dir):
     from .mixing import mix
     r = mix(table(spark, sf_dir, "documents"))
     return r.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op5_token_shards")
+def op5_token_shards(spark, sf_dir):
+    from .tokens import token_shards
+    return token_shards(table(spark, sf_dir, "documents"))
