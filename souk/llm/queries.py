@@ -53,3 +53,9 @@ def op10_mix_sources(spark, sf_dir):
 def op5_token_shards(spark, sf_dir):
     from .tokens import token_shards
     return token_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark, sf_dir):
+    from .token_counts import token_counts
+    return token_counts(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
