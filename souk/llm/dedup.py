@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold_az, n_words, words
+from .common import cut, fold_az, words
 
 OUT = ("n_shingles", "component_id", "kept")
 
@@ -98,7 +98,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
-                    threshold: float = 0.75, num_perm: int = 96, rows_per_band: int = 3,
+                    threshold: float = 0.75, num_perm: int = 64, rows_per_band: int = 2,
                     sketch_words: int = 8, sketch_floor: float = 0.45) -> DataFrame:
     """Input rows plus n_shingles, component_id (smallest id reachable) and kept."""
     assert num_perm % rows_per_band == 0
@@ -106,12 +106,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.drop(*[c for c in OUT if c in docs.columns])
     # Shingle sets are recomputed from the text where they are needed rather than
     # stored: the hash arrays are larger than the texts they come from.
-    sets = (with_shingles(base.withColumn("_id", F.col(f"`{id_col}`").cast("long")), text_col, n)
-            .withColumn("_n", F.size("_hs").cast("long"))
-            .withColumn("_key", F.xxhash64("_hs")).drop("_hs"))
-    # "has words" is tested on the text: a filter on the derived set size would be
-    # pushed below the projections and make the optimizer inline the set expression.
-    live = sets.where((n_words(F.col(f"`{text_col}`")) > 0) & F.col("_id").isNotNull()).select("_id", "_n", "_key")
+    # One pass shingles every text into a narrow stored table (id, text hash, set
+    # size, set hash); the output joins it back by (id, text hash).
+    th = F.xxhash64(F.col(f"`{text_col}`"))
+    narrow = cut(with_shingles(base.select(F.col(f"`{id_col}`").cast("long").alias("_id"), th.alias("_th"),
+                                           F.col(f"`{text_col}`").alias("_t")), "_t", n)
+                 .select("_id", "_th", F.size("_hs").cast("long").alias("_n"), F.xxhash64("_hs").alias("_key"))
+                 .dropDuplicates(["_id", "_th"]))
+    live = narrow.where((F.col("_n") > 0) & F.col("_id").isNotNull())
     groups = cut(live.groupBy("_key", "_n").agg(F.min("_id").alias("_rep")))
     rep_ids = groups.select(F.col("_rep").alias("_id")).distinct()
     texts = base.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_t"))
@@ -149,9 +151,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .where(100 * inter >= t100 * (F.col("na") + F.col("nb") - inter)).select("a", "b"))
     lab = components(cut(edges))
 
+    sets = base.withColumn("_id", F.col(f"`{id_col}`").cast("long")).withColumn("_th", th)
+    sets = sets.join(narrow, [sets["_id"].eqNullSafe(narrow["_id"]), sets["_th"].eqNullSafe(narrow["_th"])], "left").drop(narrow["_id"]).drop(narrow["_th"])
     out = (sets.join(groups, ["_key", "_n"], "left")
            .join(lab.withColumnRenamed("node", "_rep"), "_rep", "left")
            .withColumn("component_id", F.when(F.col("_id").isNotNull(), F.coalesce("lab", "_rep", "_id")))
            .withColumn("n_shingles", F.col("_n"))
            .withColumn("kept", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(False))))
-    return out.drop("_hs", "_id", "_n", "_key", "_rep", "lab")
+    return out.drop("_hs", "_id", "_th", "_n", "_key", "_rep", "lab")
