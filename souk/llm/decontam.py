@@ -105,34 +105,37 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ib = ifp.select("item", "off", "ifp", F.explode(_blocks(F.col("ifp"), radius)).alias("b")).select("item", "off", "ifp", "b.blk", "b.val")
 
     # document windows: hash-partitioned by id once, the aggregate reuses it
-    dw = (base.select(F.col(f"`{id_col}`").cast("long").alias("_id"), words(fold_az(F.col(f"`{text_col}`"))).alias("w"))
-          .where(F.col("_id").isNotNull()))
+    # a document is (id, text hash): rows that repeat an id with another text stay apart
+    dw = (base.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_th"),
+                      words(fold_az(F.col(f"`{text_col}`"))).alias("w"))
+          .where(F.col("_id").isNotNull()).dropDuplicates(["_id", "_th"]))
     dw = dw.repartition(partitions, "_id") if partitions else dw.repartition("_id")
-    dpos = dw.select("_id", F.size("w").alias("nw"), F.posexplode("w").alias("pos", "x"))
+    dpos = dw.select("_id", "_th", F.size("w").alias("nw"), F.posexplode("w").alias("pos", "x"))
     lo = F.greatest(F.lit(0), F.ceil((F.col("pos") - win + 1) / stride).cast("long"))
     hi = F.least(F.floor(F.col("pos") / stride), F.floor((F.col("nw") - win) / stride)).cast("long")
-    dpos = dpos.where(F.col("nw") >= win).select("_id", F.xxhash64("x").alias("h"), F.explode(F.sequence(lo, hi)).alias("wi"))
-    dsum = dpos.withColumns({f"p{g}": c for g, c in enumerate(_packed(F.col("h")))}).groupBy("_id", "wi").agg(
+    dpos = dpos.where(F.col("nw") >= win).select("_id", "_th", F.xxhash64("x").alias("h"), F.explode(F.sequence(lo, hi)).alias("wi"))
+    dsum = dpos.withColumns({f"p{g}": c for g, c in enumerate(_packed(F.col("h")))}).groupBy("_id", "_th", "wi").agg(
         *[F.sum(f"p{g}").alias(f"s{g}") for g in range(GROUPS)])
-    dfp = dsum.select("_id", "wi", _fingerprint([F.col(f"s{g}") for g in range(GROUPS)], F.lit(win)).alias("dfp"))
-    db = dfp.select("_id", "wi", "dfp", F.explode(_blocks(F.col("dfp"), radius)).alias("b")).select("_id", "wi", "dfp", "b.blk", "b.val")
+    dfp = dsum.select("_id", "_th", "wi", _fingerprint([F.col(f"s{g}") for g in range(GROUPS)], F.lit(win)).alias("dfp"))
+    db = dfp.select("_id", "_th", "wi", "dfp", F.explode(_blocks(F.col("dfp"), radius)).alias("b")).select("_id", "_th", "wi", "dfp", "b.blk", "b.val")
 
     cand = (db.join(ib, ["blk", "val"]).where(F.bit_count(F.col("dfp").bitwiseXOR(F.col("ifp"))) <= radius)
-            .select("_id", "item", (F.col("wi") * stride - F.col("off")).alias("start")).distinct())
+            .select("_id", "_th", "item", (F.col("wi") * stride - F.col("off")).alias("start")).distinct())
 
     # exact check on the aligned item-sized span
-    texts = dw.select("_id", "w").join(cand.select("_id").distinct(), "_id", "left_semi")
+    texts = dw.select("_id", "_th", "w").join(cand.select("_id", "_th").distinct(), ["_id", "_th"], "left_semi")
     ilen = it.select("item", F.size("iw").alias("il"), _shingle_set(F.col("iw")).alias("ish"))
     span = F.slice(F.col("w"), F.greatest(F.col("start"), F.lit(0)) + 1, F.col("il"))
-    ver = (cand.join(ilen, "item").join(texts, "_id")
+    ver = (cand.join(ilen, "item").join(texts, ["_id", "_th"])
            .withColumn("dsh", _shingle_set(span))
            .withColumn("inter", F.size(F.array_intersect("dsh", "ish")))
            .withColumn("sim", F.col("inter") / (F.size("dsh") + F.size("ish") - F.col("inter")))
            .where(F.col("sim") >= threshold))
-    hits = ver.groupBy("_id").agg(F.array_sort(F.collect_set("item")).alias("_items"), F.max("sim").alias("_sim"))
+    hits = ver.groupBy("_id", "_th").agg(F.array_sort(F.collect_set("item")).alias("_items"), F.max("sim").alias("_sim"))
 
-    out = base.withColumn("_id", F.col(f"`{id_col}`").cast("long")).join(hits, "_id", "left")
+    out = (base.withColumn("_id", F.col(f"`{id_col}`").cast("long")).withColumn("_th", F.xxhash64(F.col(f"`{text_col}`")))
+           .join(hits, ["_id", "_th"], "left"))
     return (out.withColumn("contaminated", F.col("_items").isNotNull())
             .withColumn("item_ids", F.coalesce("_items", F.array().cast("array<bigint>")))
             .withColumn("similarity", F.coalesce("_sim", F.lit(0.0)))
-            .drop("_id", "_items", "_sim"))
+            .drop("_id", "_th", "_items", "_sim"))
