@@ -45,17 +45,25 @@ def configure(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """Return the shared checkpoint folder.
 
-    On a cluster the setting points at shared storage and is used as is.  Only
-    when it is unset (local tests) a scratch folder is created for it.
+    A folder already given to the context, or named by ``spark.checkpoint.dir``,
+    is used as it is; the conf is never written (Spark refuses to change it at
+    run time).  Only a local-mode session without either gets a scratch folder;
+    on a cluster a missing setting is an error, since a driver-local folder is
+    invisible to the executors.
     """
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir()
+    if d:
+        return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: name a folder all executors share")
         d = tempfile.mkdtemp(prefix="souk-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    sc.setCheckpointDir(d)
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
