@@ -112,7 +112,7 @@ SELECT event_id, ts,
 FROM {events} WHERE event_type = 'signup'""",
     "v_llm_outputs": """
 SELECT doc_id, 'Result: ```json {{"productName":"P' || CAST(doc_id AS STRING) || '","category":"' || lang
-  || '","description":"' || replace(replace(replace(replace(replace(substr(text, 1, 900), chr(92), ' '), chr(34), ' '), chr(10), ' '), chr(13), ' '), chr(9), ' ')
+  || '","description":"' || replace(replace(replace(replace(replace(text, chr(92), ' '), chr(34), ' '), chr(10), ' '), chr(13), ' '), chr(9), ' ')
   || '","confidence":' || CAST(doc_id % 4 AS STRING) || '.5}}``` done' AS raw
 FROM {documents}""",
     "v_cart_sets": """
@@ -192,7 +192,7 @@ SELECT page_id,
     WHEN 1 THEN 'http://res.cloudinary.com/amw/image-search/' || CAST(page_id AS STRING) || '.jpg'
     WHEN 2 THEN 'https://RES.cloudinary.com/amw/image-search/x' || CAST(page_id AS STRING)
     ELSE url END AS image_url,
-  substr(html, 1, 3000) AS product_description,
+  html AS product_description,
   CASE CAST(page_id % 3 AS INT) WHEN 0 THEN '  u' || CAST(page_id AS STRING) || '@example.com '
     WHEN 1 THEN '77' || CAST(page_id AS STRING) ELSE ' 12 ' END AS contact
 FROM {pages}""",
