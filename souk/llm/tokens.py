@@ -122,7 +122,7 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def write_token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-                       vocab: str = "byte_bpe_50k.json", end_id: int = 0, docs_per_shard: int = 2000,
+                       vocab: str = "byte_bpe_50k.json", end_id: int = 0, docs_per_shard: int = 500,
                        min_count: int = 4) -> None:
     """Encode, shard by id range, compress and write one blob per shard to ``path``."""
     n = docs.count()
@@ -137,11 +137,15 @@ def write_token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         for pdf in batches:
             enc = tok.encode_batch([t or "" for t in pdf["text"].tolist()], add_special_tokens=False)
             ids_l.extend(pdf["doc_id"].tolist())
-            parts.extend(np.append(np.asarray(e.ids, dtype=np.int64), end_id) for e in enc)
+            parts.extend(np.append(np.asarray(e.ids, dtype=np.int32), np.int32(end_id)) for e in enc)
+            del enc
         if not parts:
             return
         ntok = np.array([len(p) for p in parts], dtype=np.int64)
-        seq, rules, explen = repair(np.concatenate(parts), base, end_id, min_count)
+        whole = np.concatenate(parts).astype(np.int64)
+        parts.clear()
+        seq, rules, explen = repair(whole, base, end_id, min_count)
+        del whole
         # document starts in the compressed sequence: after each symbol that ends a document
         ends = np.zeros(base + len(rules), dtype=bool)
         ends[end_id] = True
