@@ -10,9 +10,8 @@ nothing).  Shingles are kept as 64-bit hashes.
 2. Each representative gets ``num_perm`` MinHash values: the shingle rows are
    exploded once and reduced by one hash aggregate (map-side partial
    aggregation, all JVM code).
-3. The samples are cut into bands of ``rows_per_band``; members of a band
-   bucket are paired with the bucket's smallest and largest id (at most two
-   candidates per member and band, never all pairs of a bucket).
+3. The samples are cut into bands of ``rows_per_band``.  First pass: members of
+   a band bucket are paired with the bucket's smallest and largest id.
 4. Odd sketches: each signature is folded into a ``64 * sketch_words``-bit
    parity bitmap; the popcount of the XOR of two bitmaps estimates the
    similarity of the MinHash samples, which drops hopeless candidates cheaply.
@@ -20,14 +19,19 @@ nothing).  Shingles are kept as 64-bit hashes.
    ``100 * |A n B| >= 100 * threshold * |A u B|``.
 6. Components: minimum-label propagation with pointer jumping over the
    confirmed links, cut by a reliable checkpoint every round.
+7. Second pass, for the bucket pairs without the smallest or largest id: the
+   members of buckets that still hold several components are joined by an
+   exact prefix filter (two sets with similarity >= threshold share one of
+   their ``n - ceil(threshold * n) + 1`` rarest shingles).  Pairs across
+   components are filtered, confirmed and joined to components as above.
 
 Defined results for odd input: null or empty text -> empty set, own
 component, kept; null id -> not linked (component_id null, kept false);
 repeated rows -> each row reported, identical ids share the component;
 input columns called ``n_shingles``, ``component_id`` or ``kept`` are
 replaced.  Candidates come from buckets, so a link whose two ends never
-share a bucket with a common centre and have no other path is missed with
-small probability (see README, op7).
+share a bucket is missed: (1 - 0.75^2)^32 = 3e-12 at similarity 0.75 (see
+README, op7).
 """
 
 from __future__ import annotations
@@ -97,6 +101,43 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not converge in {max_rounds} rounds")
 
 
+def _confirmed(cand: DataFrame, sig: DataFrame, texts: DataFrame, n: int, t100: int, num_perm: int,
+               sketch_words: int, sketch_floor: float) -> DataFrame:
+    """The candidate pairs (a, b, ...) confirmed on their full sets, the odd sketches as a filter before."""
+    ska, skb = sig.select(F.col("_id").alias("a"), F.col("sk").alias("ska")), sig.select(F.col("_id").alias("b"), F.col("sk").alias("skb"))
+    xor_bits = sum((F.bit_count(F.col("ska")[w].bitwiseXOR(F.col("skb")[w])) for w in range(sketch_words)), F.lit(0))
+    near = cut(cand.join(ska, "a").join(skb, "b")
+               .where(odd_sketch_similarity(xor_bits, num_perm, sketch_words) >= sketch_floor).select(*cand.columns))
+    ends = near.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    ends = with_shingles(texts.join(ends, "_id", "left_semi"), "_t", n).select("_id", "_hs", F.size("_hs").cast("long").alias("_n"))
+    ha = ends.select(F.col("_id").alias("a"), F.col("_hs").alias("ha"), F.col("_n").alias("na"))
+    hb = ends.select(F.col("_id").alias("b"), F.col("_hs").alias("hb"), F.col("_n").alias("nb"))
+    inter = F.size(F.array_intersect("ha", "hb")).cast("long")
+    return (near.join(ha, "a").join(hb, "b")
+            .where(100 * inter >= t100 * (F.col("na") + F.col("nb") - inter)).select(*cand.columns))
+
+
+def _prefix_pairs(left: DataFrame, texts: DataFrame, n: int, t100: int) -> DataFrame:
+    """(a, b, la, lb): pairs of ``left`` (_id, l) from different components l that share one of
+    their rarest shingles and fit in size; every pair at or above the threshold is among them."""
+    sets = with_shingles(texts.join(left, "_id").dropDuplicates(["_id", "_t"]), "_t", n).select("_id", "l", "_hs", F.size("_hs").cast("long").alias("_n"))
+    ex = sets.select("_id", "l", "_n", F.explode_outer("_hs").alias("h")).where(F.col("h").isNotNull())
+    freq = ex.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # shingles of one document only come first in its order and pair with nothing
+    shared = (ex.join(freq, "h").groupBy("_id", "l", "_n")
+              .agg(F.array_sort(F.collect_set(F.struct("c", "h"))).alias("o")))
+    prefix = F.col("_n") - F.ceil(F.col("_n") * t100 / 100) + 1 - (F.col("_n") - F.size("o"))
+    post = cut(shared.select("_id", "l", "_n", F.explode(F.slice("o", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("x"))
+               .select("_id", "l", "_n", F.col("x.h").alias("h")))
+    mixed = post.groupBy("h").agg(F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("h")
+    post = post.join(mixed, "h", "left_semi")
+    x = post.select("h", F.col("_id").alias("a"), F.col("l").alias("la"), F.col("_n").alias("na"))
+    y = post.select("h", F.col("_id").alias("b"), F.col("l").alias("lb"), F.col("_n").alias("nb"))
+    return (x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
+                                 & (100 * F.least("na", "nb") >= t100 * F.greatest("na", "nb")))
+            .select("a", "b", "la", "lb").distinct())
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                     threshold: float = 0.75, num_perm: int = 64, rows_per_band: int = 2,
                     sketch_words: int = 8, sketch_floor: float = 0.45) -> DataFrame:
@@ -137,25 +178,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     star = banded.join(buckets, ["band", "bkey"]).select("_id", F.explode(F.array("lo", "hi")).alias("c"))
     cand = (star.where(F.col("_id") != F.col("c"))
             .select(F.least("_id", "c").alias("a"), F.greatest("_id", "c").alias("b")).distinct())
-    ska, skb = sig.select(F.col("_id").alias("a"), F.col("sk").alias("ska")), sig.select(F.col("_id").alias("b"), F.col("sk").alias("skb"))
-    cand = cand.join(ska, "a").join(skb, "b")
-    xor_bits = sum((F.bit_count(F.col("ska")[w].bitwiseXOR(F.col("skb")[w])) for w in range(sketch_words)), F.lit(0))
-    cand = cut(cand.where(odd_sketch_similarity(xor_bits, num_perm, sketch_words) >= sketch_floor).select("a", "b"))
-    ends = cand.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    ends = with_shingles(texts.join(ends, "_id", "left_semi"), "_t", n).select("_id", "_hs", F.size("_hs").cast("long").alias("_n"))
-    ha = ends.select(F.col("_id").alias("a"), F.col("_hs").alias("ha"), F.col("_n").alias("na"))
-    hb = ends.select(F.col("_id").alias("b"), F.col("_hs").alias("hb"), F.col("_n").alias("nb"))
-    inter = F.size(F.array_intersect("ha", "hb")).cast("long")
     t100 = int(round(threshold * 100))
-    edges = (cand.join(ha, "a").join(hb, "b")
-             .where(100 * inter >= t100 * (F.col("na") + F.col("nb") - inter)).select("a", "b"))
-    lab = components(cut(edges))
+    edges = cut(_confirmed(cand, sig, texts, n, t100, num_perm, sketch_words, sketch_floor).select("a", "b"))
+    lab = components(edges)
+
+    # second pass: the pairs of a bucket's other members, where they are in several components
+    memb = (banded.join(buckets.where("cnt > 3"), ["band", "bkey"])
+            .where((F.col("_id") != F.col("lo")) & (F.col("_id") != F.col("hi"))).select("_id", "band", "bkey")
+            .join(lab.withColumnRenamed("node", "_id"), "_id", "left")
+            .select("_id", "band", "bkey", F.coalesce("lab", "_id").alias("l")))
+    several = (memb.groupBy("band", "bkey").agg(F.min("l").alias("l0"), F.max("l").alias("l1"))
+               .where("l0 <> l1").select("band", "bkey"))
+    left = cut(memb.join(several, ["band", "bkey"], "left_semi").select("_id", "l").distinct())
+    cross = cut(_prefix_pairs(left, texts, n, t100))
+    links = _confirmed(cross, sig, texts, n, t100, num_perm, sketch_words, sketch_floor)
+    lab2 = components(cut(links.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()))
+    lab2 = lab2.select(F.col("node").alias("_l1"), F.col("lab").alias("_l2"))
 
     sets = base.withColumn("_id", F.col(f"`{id_col}`").cast("long")).withColumn("_th", th)
     sets = sets.join(narrow, [sets["_id"].eqNullSafe(narrow["_id"]), sets["_th"].eqNullSafe(narrow["_th"])], "left").drop(narrow["_id"]).drop(narrow["_th"])
     out = (sets.join(groups, ["_key", "_n"], "left")
            .join(lab.withColumnRenamed("node", "_rep"), "_rep", "left")
-           .withColumn("component_id", F.when(F.col("_id").isNotNull(), F.coalesce("lab", "_rep", "_id")))
+           .withColumn("_l1", F.coalesce("lab", "_rep", "_id")).join(lab2, "_l1", "left")
+           .withColumn("component_id", F.when(F.col("_id").isNotNull(), F.coalesce("_l2", "_l1")))
            .withColumn("n_shingles", F.col("_n"))
            .withColumn("kept", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(False))))
-    return out.drop("_hs", "_id", "_th", "_n", "_key", "_rep", "lab")
+    return out.drop("_hs", "_id", "_th", "_n", "_key", "_rep", "lab", "_l1", "_l2")

@@ -70,6 +70,19 @@ def test_near_duplicates_match_brute_force(lspark):
     assert {r.doc_id: r.component_id for r in out if r.doc_id}[7] == 7 and exp[8] == 7  # A-Z folded
 
 
+def test_near_duplicates_template_group_with_outsiders_at_the_ends(lspark):
+    from souk.llm.dedup import near_duplicates
+    tpl = " ".join(f"t{i}" for i in range(76))  # 72 shingles that every document holds
+    rows = [(i, tpl + " " + " ".join(f"o{i}x{j}" for j in range(40))) for i in (1, 2, 998, 999)]
+    for k in range(16):  # pairs at 76/100, other pairs at most 72/104
+        both = " ".join(f"c{k}x{j}" for j in range(4))
+        rows += [(100 + 2 * k + e, tpl + " " + both + " " + " ".join(f"p{k}x{e}x{j}" for j in range(12))) for e in (0, 1)]
+    exp = brute_components(rows)
+    assert sum(exp[100 + 2 * k + 1] == 100 + 2 * k for k in range(16)) == 16 and len(set(exp.values())) == 20
+    out = near_duplicates(lspark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == exp
+
+
 def test_near_duplicates_empty_table(lspark):
     from souk.llm.dedup import near_duplicates
     assert near_duplicates(docs(lspark).limit(0)).count() == 0
