@@ -2,25 +2,29 @@
 
 Method.  Texts are encoded with the ``tokenizers`` library (Arrow batches,
 one tokenizer per Python worker), an end id is appended to every document,
-and the documents are range-partitioned by id into shards of about
-``docs_per_shard`` documents, sorted by id inside each shard.  Every shard is
+and the documents are range-partitioned by (id, text hash) into shards of about
+``docs_per_shard`` documents, sorted so inside each shard.  Every shard is
 compressed by Re-Pair: the most frequent adjacent pairs (at least
 ``min_count`` times) are replaced by new symbols, up to ``batch`` pairs with
-disjoint symbols per round, until no pair is frequent enough.  A symbol whose
-expansion ends with the end id never starts a pair, so no rule crosses a
-document boundary and every document starts at a symbol boundary.
-
-File format (one Parquet row per shard, column ``blob``: an ``.npz``):
+disjoint symbols per round, until no pair is frequent enough.  In the shard the
+end of a document is a symbol of its own outside the vocabulary (the end id may
+be an ordinary token: 0 is '!'), written as the end id when read.  A symbol whose
+expansion ends with it never starts a pair, so no rule crosses a document
+boundary and every document starts at a symbol boundary.
+
+File format (one Parquet row per shard: ``shard``, its number in id order, and
+``blob``, an ``.npz``):
 ``doc_id`` int64[d], ``n_tokens`` int64[d] (with the end id), ``coff``
 int64[d+1] (document starts in ``seq``), ``seq`` uint32 (terminals below
-``base``, rule ``base + r`` above), ``rules`` uint32[r, 2], ``explen``
+``base``, of which ``end[0]`` stands for the end id ``end[1]``; rule
+``base + r`` above), ``rules`` uint32[r, 2], ``explen``
 int64[r] (expansion lengths, for random access: a position inside a
 document is found by summing expansion lengths, then one rule path is
 followed).  Reading decodes each shard in its own task.
 
-Defined results: null/empty text -> just the end id; null ids -> last, in
-one shard; repeated rows -> stored one after the other; empty table ->
-no shards, empty result.
+Defined results: null/empty text -> just the end id; null ids ->
+last; repeated rows -> stored one after the other; empty table -> no shards,
+empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,38 +133,40 @@ def write_token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_
     n = docs.count()
     shards = max(1, -(-n // docs_per_shard))
     sel = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    sel = sel.repartitionByRange(shards, F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last())
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    sel = sel.repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
     def shard(batches):
         tok = tokenizer(vocab)
-        base = tok.get_vocab_size()
+        end = tok.get_vocab_size()  # the end of a document: the first symbol after the vocabulary
+        base = end + 1
         ids_l, parts = [], []
         for pdf in batches:
             enc = tok.encode_batch([t or "" for t in pdf["text"].tolist()], add_special_tokens=False)
             ids_l.extend(pdf["doc_id"].tolist())
-            parts.extend(np.append(np.asarray(e.ids, dtype=np.int32), np.int32(end_id)) for e in enc)
+            parts.extend(np.append(np.asarray(e.ids, dtype=np.int32), np.int32(end)) for e in enc)
             del enc
         if not parts:
             return
         ntok = np.array([len(p) for p in parts], dtype=np.int64)
         whole = np.concatenate(parts).astype(np.int64)
         parts.clear()
-        seq, rules, explen = repair(whole, base, end_id, min_count)
+        seq, rules, explen = repair(whole, base, end, min_count)
         del whole
         # document starts in the compressed sequence: after each symbol that ends a document
         ends = np.zeros(base + len(rules), dtype=bool)
-        ends[end_id] = True
+        ends[end] = True
         for r, (x, y) in enumerate(rules):
             ends[base + r] = ends[y]
         coff = np.concatenate(([0], np.nonzero(ends[seq])[0] + 1)).astype(np.int64)
         buf = io.BytesIO()
         np.savez(buf, doc_id=np.array([-1 if x is None or x != x else x for x in ids_l], dtype=np.int64),
                  has_id=np.array([not (x is None or x != x) for x in ids_l]), n_tokens=ntok, coff=coff,
-                 seq=seq.astype(np.uint32), rules=rules, explen=explen, base=np.array([base]))
-        yield pd.DataFrame({"first_id": [ids_l[0] if ids_l[0] == ids_l[0] else None], "n_docs": [len(ids_l)],
-                            "blob": [buf.getvalue()]})
+                 seq=seq.astype(np.uint32), rules=rules, explen=explen, base=np.array([base]),
+                 end=np.array([end, end_id]))
+        yield pd.DataFrame({"shard": [TaskContext.get().partitionId()], "n_docs": [len(ids_l)], "blob": [buf.getvalue()]})
 
-    sel.mapInPandas(shard, "first_id long, n_docs long, blob binary").write.mode("overwrite").parquet(path)
+    sel.mapInPandas(shard, "shard long, n_docs long, blob binary").write.mode("overwrite").parquet(path)
 
 
 def read_token_shards(spark, path: str) -> DataFrame:
@@ -168,23 +175,25 @@ def read_token_shards(spark, path: str) -> DataFrame:
 
     def dec(batches):
         for pdf in batches:
-            for first, blob in zip(pdf["first_id"], pdf["blob"]):
+            for no, blob in zip(pdf["shard"], pdf["blob"]):
                 z = np.load(io.BytesIO(blob))
                 base, rules, coff, seq = int(z["base"][0]), z["rules"], z["coff"], z["seq"]
+                end, end_id = z["end"].tolist()
                 crc = []
                 for d in range(len(z["n_tokens"])):
                     ids = expand(seq[coff[d]:coff[d + 1]], rules, base)
+                    ids[ids == end] = end_id
                     crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 ntok = z["n_tokens"]
                 yield pd.DataFrame({"doc_id": pd.Series(z["doc_id"], dtype="Int64").where(z["has_id"]),
-                                    "shard_first": first, "has_id": z["has_id"], "seq_no": np.arange(len(ntok)),
+                                    "shard": no, "has_id": z["has_id"], "seq_no": np.arange(len(ntok)),
                                     "local": np.cumsum(ntok) - ntok, "n_tokens": ntok, "ids_crc32": np.array(crc, dtype=np.int64)})
 
-    rows = files.mapInPandas(dec, "doc_id long, shard_first long, has_id boolean, seq_no long, local long, n_tokens long, ids_crc32 long")
-    tot = rows.groupBy("shard_first").agg(F.sum("n_tokens").alias("t"))  # one row per shard
-    w = Window.orderBy(F.col("shard_first").asc_nulls_last())
+    rows = files.mapInPandas(dec, "doc_id long, shard long, has_id boolean, seq_no long, local long, n_tokens long, ids_crc32 long")
+    tot = rows.groupBy("shard").agg(F.sum("n_tokens").alias("t"))  # one row per shard
+    w = Window.orderBy("shard")
     tot = tot.withColumn("shard_start", F.sum("t").over(w) - F.col("t"))
-    return (rows.join(F.broadcast(tot), rows["shard_first"].eqNullSafe(tot["shard_first"])).drop(tot["shard_first"])
+    return (rows.join(F.broadcast(tot), "shard")
             .select("doc_id", (F.col("shard_start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"))
 
 

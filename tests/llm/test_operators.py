@@ -150,6 +150,24 @@ def test_token_shards_and_counts(lspark):
         assert cnt[i] == (len(tok.encode(t or "", add_special_tokens=False).ids), len((t or "").encode()))
 
 
+def test_token_shards_keep_texts_that_hold_the_end_id(lspark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from souk.llm.tokens import token_shards
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert 0 in tok.encode("hello! world.").ids
+    rows = [(i, "hello! world. " * (i % 4) + f"Stop! {i}") for i in range(30)] + [(30, "!"), (31, "no mark"), (32, None)]
+    rows += [(33, "Same! row"), (33, "Same! row")] + [(None, f"Null! id {i}") for i in range(6)]
+    d = lspark.createDataFrame(rows, "doc_id long, text string")
+    ids = [(i, np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], dtype="<u4")) for i, t in rows]
+    for per in (2, 10, 100):
+        got = sorted(token_shards(d, docs_per_shard=per).collect(), key=lambda r: r.start)
+        assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(i), len(x), zlib.crc32(x.tobytes())) for i, x in ids)
+        assert [r.doc_id for r in got] == [i for i, _ in rows]  # null ids last
+        assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+
+
 def test_exact_topk_matches_brute_force(lspark):
     from souk.llm.topk import exact_topk
     rng = np.random.default_rng(3)
