@@ -114,7 +114,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     w_in = Window.partitionBy("_src", "_bk").orderBy("_id", "_tie")
     placed = (live.withColumn("_bk", bucket)
               .withColumn("_in", F.sum("size").over(w_in) - F.col("size"))
-              .join(bsum.select("_src", "_bk", "_boff"), ["_src", "_bk"])
+              .join(bsum.select(F.col("_src").alias("_bsrc"), F.col("_bk").alias("_bbk"), "_boff"),
+                    F.col("_src").eqNullSafe(F.col("_bsrc")) & (F.col("_bk") == F.col("_bbk")))
               .withColumn("_off", F.col("_boff") + F.col("_in")))
     placed = placed.join(pt, placed["_src"].eqNullSafe(pt["_src"])).drop(pt["_src"])
     first, last = F.floor(F.col("_off") / block), F.floor((F.col("_off") + F.col("size") - 1) / block)

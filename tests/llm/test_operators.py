@@ -118,6 +118,16 @@ def test_water_fill_and_mix(lspark):
     assert mix(d.limit(0)).count() == 0
 
 
+def test_mix_keeps_every_row_of_a_null_source(lspark):
+    from souk.llm.mixing import mix
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 7)), (None, "a", "b")[i % 3]) for i in range(60)]
+    rows += [(None, "no id", None), (3, "again 3", None)]
+    out = mix(lspark.createDataFrame(rows, "doc_id long, text string, source string"), block=8, shard_blocks=4).collect()
+    assert sorted((str(r.doc_id), r.text, str(r.source)) for r in out) == sorted((str(i), t, str(s)) for i, t, s in rows)
+    null = [r for r in out if r.source is None and r.doc_id is not None]
+    assert {r.source_size for r in null} == {sum(r.size for r in null)} and sum(r.taken for r in null) > 0
+
+
 def test_repair_round_trip():
     from souk.llm.tokens import expand, repair
     rng = np.random.default_rng(1)
