@@ -9,7 +9,8 @@ predecessor kept and its decision takes effect:
 2. near_dedup (operator 7): one document of each near-duplicate group stays
    (the smallest id);
 3. decontaminate (operator 2): documents holding a benchmark passage go;
-4. mix (operator 10): documents of which the mix takes no word go;
+4. mix (operator 10): the mixed text of each document, with the words its blocks
+   are drawn for, as often as they are drawn (none: the document goes);
 5. tokens (operator 5): the kept documents as token-id shards, read back:
    doc_id, start, n_tokens, ids_crc32.
 """
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from souk.llm.common import scratch_path, table
 from souk.llm.decontam import decontaminate
 from souk.llm.dedup import near_duplicates
-from souk.llm.mixing import mix
+from souk.llm.mixing import mixed_documents
 from souk.llm.quality import quality_scores
 from souk.llm.tokens import token_shards
 
@@ -41,7 +42,8 @@ def decontam(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mix(docs).where(F.col("taken") > 0).select(*docs.columns)
+    out = mixed_documents(docs)
+    return out.withColumns({"n_chars": F.length("text")} if "n_chars" in docs.columns else {}).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

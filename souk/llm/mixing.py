@@ -12,19 +12,22 @@ Each source's words are packed, in id order, into blocks of ``block`` words
 window inside each bucket, so a hot source is spread over many tasks).  The
 output is cut into shards of ``shard_blocks`` slots; every shard draws its
 source counts from a multinomial with the target shares (numpy generator
-seeded by (seed, shard): reruns agree).  A source's slots are mapped onto
-its blocks through a per-source pseudorandom permutation
-``rank(b) = (a*b + c) mod m`` (``a`` coprime to ``m``), repeated in epochs;
-block ``b`` is taken ``n // m + (rank(b) < n % m)`` times.  A document takes
-the words of its blocks that fall inside it, times the block's count: the
-join of blocks by index is an arithmetic one, evaluated per document without
-materialising slots.  Slot totals are clamped to ``floor(cap)`` epochs, so no
+seeded by (seed, shard): reruns agree) and deals them to its slots.  A source's
+``k``-th slot takes the block ``b`` with ``rank(b) = k mod m``, a per-source
+pseudorandom permutation ``rank(b) = (a*b + c) mod m`` (``a`` coprime to
+``m``), repeated in epochs.  The slot rows (shard, slot, source, block) are
+joined by (source, block) with the block table: the pieces of documents each
+block holds.  ``mix`` sums the joined words per document, ``mixed`` returns the
+joined pieces as text, ``mixed_documents`` puts them together per document.  Slot totals are clamped to ``floor(cap)`` epochs, so no
 document is taken more than ``cap`` times its size.
 
 Output per input row: size, source_size, target (its source's), taken.
 Defined results: null id -> size counted nowhere, taken 0, target of its
 source; empty/null text -> size 0, taken 0; null source is its own source
 (last); repeated rows are packed one after the other; empty table -> empty.
+``mixed`` output: the input columns, one row per (slot, piece), plus shard, slot
+and piece (the word position in the block); the pieces of a document put
+together are its text.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ from pyspark.sql import types as T
 from .common import n_words
 
 OUT = ("size", "source_size", "target", "taken")
+SLOT = ("shard", "slot", "piece")
 
 
 def water_fill(sizes: list[int], weights: list[float], cap: float) -> list[float]:
@@ -67,11 +71,12 @@ def _multiplier(m: int, salt: int) -> int:
     return a % max(m, 1) if m > 1 else 1
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple = (5, 2, 1), cap: float = 3.0, block: int = 1024, shard_blocks: int = 4096,
-        bucket_docs: int = 4096, seed: int = 7) -> DataFrame:
+def _deal(docs: DataFrame, out: tuple, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          weights: tuple = (5, 2, 1), cap: float = 3.0, block: int = 1024, shard_blocks: int = 4096,
+          bucket_docs: int = 4096, seed: int = 7):
+    """(input rows without ``out``, sized rows, parameters per source, placed documents, slots, block table)."""
     spark = docs.sparkSession
-    base = docs.drop(*[c for c in OUT if c in docs.columns])
+    base = docs.drop(*[c for c in out if c in docs.columns])
     sized = (base.withColumn("_id", F.col(f"`{id_col}`").cast("long"))
              .withColumn("_src", F.col(f"`{source_col}`").cast("string"))
              .withColumn("size", n_words(F.col(f"`{text_col}`")))
@@ -93,25 +98,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             rows = []
             for sh in pdf["id"].tolist():
                 slots = min(shard_blocks, n_slots - sh * shard_blocks)
-                c = np.random.default_rng([seed, int(sh)]).multinomial(slots, p)
-                rows.extend((int(sh), i, int(v)) for i, v in enumerate(c) if v)
-            yield __import__("pandas").DataFrame(rows, columns=["shard", "si", "cnt"])
-
-    draws = spark.range(n_shards).mapInPandas(draw, "shard long, si int, cnt long")
-    got = {r["si"]: int(r["n"]) for r in draws.groupBy("si").agg(F.sum("cnt").alias("n")).collect()} if len(names) else {}
+                rng = np.random.default_rng([seed, int(sh)])
+                c = rng.multinomial(slots, p)
+                at = rng.permutation(slots)  # the slots, source after source
+                rows.extend(zip([int(sh)] * slots, at.tolist(), np.repeat(np.arange(len(c)), c).tolist(),
+                                np.concatenate([np.arange(v) for v in c]).tolist()))
+            yield __import__("pandas").DataFrame(rows, columns=["shard", "slot", "si", "j"])
+
+    draws = spark.range(n_shards).mapInPandas(draw, "shard long, slot long, si int, j long")
+    counts = draws.groupBy("shard", "si").agg(F.count(F.lit(1)).alias("cnt"))  # at most shards x sources rows
+    got = {r["si"]: int(r["n"]) for r in counts.groupBy("si").agg(F.sum("cnt").alias("n")).collect()} if len(names) else {}
     params = []
     for i, s in enumerate(names):
         m = -(-sizes[i] // block)
         n = min(got.get(i, 0), int(math.floor(cap)) * m)
-        params.append((s, i, float(sizes[i]), float(targets[i]), m, n, _multiplier(m, 2654435761 * (i + 1) + seed),
+        a = _multiplier(m, 2654435761 * (i + 1) + seed)
+        params.append((s, i, float(sizes[i]), float(targets[i]), m, n, pow(a, -1, m) if m > 1 else 0,
                        (seed * 40503 + i) % max(m, 1)))
-    pt = spark.createDataFrame(params, "_src string, si int, source_size double, target double, m long, n long, a long, c long")
+    pt = spark.createDataFrame(params, "_src string, si int, source_size double, target double, m long, n long, _inv long, c long")
     pt = F.broadcast(pt)  # one row per source
 
+    counts = counts.withColumn("_soff", F.sum("cnt").over(Window.partitionBy("si").orderBy("shard")) - F.col("cnt"))
+    k = F.col("_soff") + F.col("j")
+    slots = (draws.join(counts.drop("cnt"), ["shard", "si"]).join(pt.select("si", "m", "n", "_inv", "c"), "si")
+             .where(k < F.col("n"))
+             .select("shard", "slot", "si", F.pmod(F.col("_inv") * (F.pmod(k, F.col("m")) - F.col("c")), F.col("m")).alias("_b")))
+
     bucket = F.floor(F.col("_id") / bucket_docs)
     bsum = live.groupBy("_src", bucket.alias("_bk")).agg(F.sum("size").alias("_bs"))
     bsum = bsum.withColumn("_boff", F.sum("_bs").over(Window.partitionBy("_src").orderBy("_bk")) - F.col("_bs"))
-    w_in = Window.partitionBy("_src", "_bk").orderBy("_id", "_tie")
+    # rows, not range: repeated rows lie one after the other
+    w_in = Window.partitionBy("_src", "_bk").orderBy("_id", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = (live.withColumn("_bk", bucket)
               .withColumn("_in", F.sum("size").over(w_in) - F.col("size"))
               .join(bsum.select(F.col("_src").alias("_bsrc"), F.col("_bk").alias("_bbk"), "_boff"),
@@ -119,18 +136,71 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
               .withColumn("_off", F.col("_boff") + F.col("_in")))
     placed = placed.join(pt, placed["_src"].eqNullSafe(pt["_src"])).drop(pt["_src"])
     first, last = F.floor(F.col("_off") / block), F.floor((F.col("_off") + F.col("size") - 1) / block)
-
-    def take(acc, b):
-        lo = F.greatest(F.col("_off"), b * block)
-        hi = F.least(F.col("_off") + F.col("size"), (b + 1) * block)
-        rank = F.pmod(F.col("a") * b + F.col("c"), F.col("m"))
-        k = F.floor(F.col("n") / F.col("m")) + F.when(rank < F.pmod(F.col("n"), F.col("m")), 1).otherwise(0)
-        return acc + (hi - lo) * k
-
-    taken = F.when(F.col("size") > 0, F.aggregate(F.sequence(first.cast("long"), last.cast("long")), F.lit(0).cast("long"), take)).otherwise(F.lit(0))
-    done = placed.withColumn("taken", taken.cast("long")).withColumn("source_size", F.col("source_size").cast("long"))
+    # a document is known by its source and offset: documents of size 0 are in no block
+    table = (placed.where(F.col("size") > 0)
+             .select("si", "_off", "size", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("_b"))
+             .select("si", "_b", "_off", F.greatest(F.col("_off"), F.col("_b") * block).alias("_lo"),
+                     F.least(F.col("_off") + F.col("size"), (F.col("_b") + 1) * block).alias("_hi")))
+    return base, sized, pt, placed, slots, table
+
+
+def mix(docs: DataFrame, **kw) -> DataFrame:
+    """Input rows plus size, source_size, target and taken (parameters: see ``_deal``)."""
+    base, sized, pt, placed, slots, table = _deal(docs, OUT, **kw)
+    times = slots.groupBy("si", "_b").agg(F.count(F.lit(1)).alias("_k"))
+    got = (table.join(times, ["si", "_b"]).groupBy(F.col("si").alias("_gsi"), F.col("_off").alias("_goff"))
+           .agg(F.sum((F.col("_hi") - F.col("_lo")) * F.col("_k")).alias("taken")))
+    done = (placed.join(got, (F.col("si") == F.col("_gsi")) & (F.col("_off") == F.col("_goff")) & (F.col("size") > 0), "left")
+            .withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
+            .withColumn("source_size", F.col("source_size").cast("long")))
     nulls = (sized.where(F.col("_id").isNull())
              .join(pt.select("_src", "target", "source_size"), sized["_src"].eqNullSafe(pt["_src"]), "left").drop(pt["_src"])
              .withColumn("taken", F.lit(0).cast("long")).withColumn("source_size", F.col("source_size").cast("long")))
     cols = base.columns + list(OUT)
     return done.select(*cols).unionByName(nulls.select(*cols))
+
+
+def _units(text):
+    """Every word with the white space before it, the last one also with the white space behind it."""
+    return F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+\z)?"), F.lit(0))
+
+
+def _pieces(slots: DataFrame, table: DataFrame) -> DataFrame:
+    """Slot rows joined with the block table: shard, slot, and the words _lo to _hi of document (_psi, _poff)."""
+    t = table.select(F.col("si").alias("_psi"), F.col("_b").alias("_pb"), F.col("_off").alias("_poff"), "_lo", "_hi")
+    return slots.join(t, (F.col("si") == F.col("_psi")) & (F.col("_b") == F.col("_pb"))).drop("si", "_b", "_pb")
+
+
+def mixed(docs: DataFrame, text_col: str = "text", block: int = 1024, **kw) -> DataFrame:
+    """The mix itself: per (shard, slot) the pieces of documents of its block, as text."""
+    base, _, _, placed, slots, table = _deal(docs, SLOT, text_col=text_col, block=block, **kw)
+    text = F.col(f"`{text_col}`")
+    n = F.col("_hi") - F.col("_lo")
+    part = F.array_join(F.slice(_units(text), (F.col("_lo") - F.col("_off") + 1).cast("int"), n.cast("int")), "")
+    rows = placed.where(F.col("size") > 0).join(_pieces(slots, table), (F.col("si") == F.col("_psi")) & (F.col("_off") == F.col("_poff")))
+    rows = rows.withColumn("_piece", F.when(n == F.col("size"), text).otherwise(part))
+    return rows.select(*[F.col("_piece").alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns],
+                       "shard", "slot", F.pmod("_lo", F.lit(block)).alias("piece"))
+
+
+def mixed_documents(docs: DataFrame, text_col: str = "text", **kw) -> DataFrame:
+    """The mixed rows put together per document: the input columns, one row per document that is
+    taken, its text the drawn pieces (in order, copy after copy, a line feed between copies)."""
+    base, _, _, placed, slots, table = _deal(docs, (), text_col=text_col, **kw)
+    copy = F.row_number().over(Window.partitionBy("_psi", "_poff", "_lo").orderBy("shard", "slot"))
+    got = (_pieces(slots, table).select("_psi", "_poff", copy.alias("copy"), "_lo", "_hi").groupBy("_psi", "_poff")
+           .agg(F.array_sort(F.collect_list(F.struct("copy", "_lo", "_hi"))).alias("_ps")))
+    text = F.col(f"`{text_col}`")
+
+    def part(x, i):
+        n = x["_hi"] - x["_lo"]
+        piece = F.when(n == F.col("size"), text).otherwise(
+            F.array_join(F.slice(F.col("_u"), (x["_lo"] - F.col("_off") + 1).cast("int"), n.cast("int")), ""))
+        new = (i > 0) & (F.get(F.col("_ps"), i - 1)["copy"] != x["copy"])
+        return F.concat(F.when(new, "\n").otherwise(""), piece)
+
+    whole = F.forall("_ps", lambda x: x["_hi"] - x["_lo"] == F.col("size"))
+    rows = (placed.where(F.col("size") > 0).join(got, (F.col("si") == F.col("_psi")) & (F.col("_off") == F.col("_poff")))
+            .withColumn("_u", F.when(~whole, _units(text)))
+            .withColumn("_mixed", F.array_join(F.transform("_ps", part), "")))
+    return rows.select(*[F.col("_mixed").alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns])

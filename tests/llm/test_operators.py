@@ -128,6 +128,45 @@ def test_mix_keeps_every_row_of_a_null_source(lspark):
     assert {r.source_size for r in null} == {sum(r.size for r in null)} and sum(r.taken for r in null) > 0
 
 
+def test_mixed_rows_are_the_mix(lspark):
+    from collections import Counter
+
+    from souk.llm.mixing import mix, mixed, mixed_documents
+    rows = [(i, "  " * (i % 2) + " \n".join(f"d{i}x{j}" for j in range(i % 23)) + " " * (i % 3), ("a", "b", None, "c")[min(i % 7, 3)]) for i in range(120)]
+    d = lspark.createDataFrame(rows, "doc_id long, text string, source string")
+    kw = dict(block=8, shard_blocks=16)
+    out = mixed(d, **kw).collect()
+    assert sorted(out) == sorted(mixed(d, **kw).collect())
+    taken = {r.doc_id: r.taken for r in mix(d, **kw).collect()}
+    words = Counter()
+    for r in out:
+        words[r.doc_id] += len(W(r.text))
+    assert words == Counter({i: n for i, n in taken.items() if n}) and max(words[i] / max(len(W(t)), 1) for i, t, _ in rows) > 1
+    per = Counter()
+    for r in out:
+        per[r.shard, r.slot] += len(W(r.text))
+        assert r.text in rows[r.doc_id][1]
+    assert max(per.values()) <= 8 and all(0 <= s < 16 for _, s in per)
+    once = {r.doc_id: set() for r in out}
+    for r in out:
+        once[r.doc_id].add(r.text)
+    assert any("".join(sorted(v, key=rows[i][1].index)) == rows[i][1] and len(v) > 1 for i, v in once.items())
+    joined = mixed_documents(d, **kw).collect()
+    assert {r.doc_id: len(W(r.text)) for r in joined} == dict(words) and len(joined) == len(words)
+    assert any(r.text == rows[r.doc_id][1] + "\n" + rows[r.doc_id][1] for r in joined)
+
+
+def test_pipeline_mix_stage_passes_on_the_mix(lspark):
+    import corpus_pipeline as P
+    from souk.llm.mixing import mix
+    d = lspark.read.parquet(f"{SF}/documents.parquet")
+    out = P.mixing(lspark, d, SF)
+    assert out.columns == d.columns
+    taken = {r.doc_id: r.taken for r in mix(d).where("taken > 0").collect()}
+    got = out.collect()
+    assert {r.doc_id: len(W(r.text)) for r in got} == taken and all(r.n_chars == len(r.text) for r in got)
+
+
 def test_repair_round_trip():
     from souk.llm.tokens import expand, repair
     rng = np.random.default_rng(1)
