@@ -61,7 +61,15 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/souk-{what}-{uuid.uuid4().hex[:12]}"
 
 
-def prefixed(df: DataFrame, keep: list[str], prefix: str = "_in_") -> DataFrame:
-    """Select ``keep`` and rename every other column with ``prefix`` so that
-    extra input columns cannot clash with the names an operator adds."""
-    return df.select(*[F.col(f"`{c}`") if c in keep else F.col(f"`{c}`").alias(prefix + c) for c in df.columns])
+def packed(df: DataFrame, *cols: Column, drop: tuple = ()) -> DataFrame:
+    """``df`` as one struct column ``row`` (without the ``drop`` columns) plus the named ``cols``.
+
+    The operators work on ``row`` and their own columns only, so an input
+    column of any name cannot clash with theirs; ``unpacked`` opens it again.
+    """
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in drop]).alias("row"), *cols)
+
+
+def unpacked(df: DataFrame, *cols: str) -> DataFrame:
+    """The columns inside ``row``, then ``cols``."""
+    return df.select("row.*", *cols)

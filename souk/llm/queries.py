@@ -79,3 +79,44 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 def op9_exact_topk(spark, sf_dir):
     from .topk import exact_topk
     return exact_topk(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    from .conversations import audits, damage
+    r = audits(damage(table(spark, sf_dir, "conversations")))
+    return r.withColumnRenamed("conv", "conv_id")
+
+
+@query("op13_fill_in_middle", """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS us,
+         CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM d
+), c AS (
+  SELECT *, CAST(len(us) AS BIGINT) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a,
+         greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM u
+), p AS (
+  SELECT doc_id, t, n, form, array_to_string(list_slice(us, 1, a), '') AS pre,
+         array_to_string(list_slice(us, a + 1, b), '') AS mid, array_to_string(list_slice(us, b + 1, n), '') AS suf
+  FROM c
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+""")
+def op13_fill_in_middle(spark, sf_dir):
+    from .fim import fill_in_middle, restored
+    r = fill_in_middle(table(spark, sf_dir, "documents"))
+    return r.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                    F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
