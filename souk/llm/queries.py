@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+#: Key of the registered pseudonym query; a real run passes its own secret.
+PSEUDONYM_KEY = b"registered query: not a secret"
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -120,3 +122,31 @@ def op13_fill_in_middle(spark, sf_dir):
     r = fill_in_middle(table(spark, sf_dir, "documents"))
     return r.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                     F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query("op11_quality_rules")
+def op11_quality_rules(spark, sf_dir):
+    from .rules import OUT, fit, quality_rules
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit(docs, table(spark, sf_dir, "labels"))).select("doc_id", *OUT)
+
+
+@query("op1_main_text")
+def op1_main_text(spark, sf_dir):
+    from .html_extract import extract, fit, labelled_blocks
+    r = extract(table(spark, sf_dir, "pages"), fit(labelled_blocks(spark)))
+    return r.select("page_id", "url", "text", "n_chars")
+
+
+@query("op3_pseudonyms")
+def op3_pseudonyms(spark, sf_dir):
+    from .pii import OUT, pseudonyms
+    return pseudonyms(table(spark, sf_dir, "documents"), PSEUDONYM_KEY).select("doc_id", "text", *OUT)
+
+
+@query("op4_page_language")
+def op4_page_language(spark, sf_dir):
+    from .html_extract import fit, labelled_blocks
+    from .langid import identify
+    r = identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"), fit(labelled_blocks(spark)))
+    return r.select("page_id", "host", "declared", "text_lang", "lang", F.round("confidence", 6).alias("confidence"))
