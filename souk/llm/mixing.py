@@ -7,24 +7,37 @@ corpus, a target stops at ``cap`` times its source's size and the excess is
 reshared by weight among the others until none is above (water-filling over
 the per-source table, one row per source).
 
-Each source's words are packed, in id order, into blocks of ``block`` words
-(offsets by a two-level prefix sum: per (source, id bucket) totals, then a
-window inside each bucket, so a hot source is spread over many tasks).  The
-output is cut into shards of ``shard_blocks`` slots; every shard draws its
-source counts from a multinomial with the target shares (numpy generator
-seeded by (seed, shard): reruns agree) and deals them to its slots.  A source's
-``k``-th slot takes the block ``b`` with ``rank(b) = k mod m``, a per-source
-pseudorandom permutation ``rank(b) = (a*b + c) mod m`` (``a`` coprime to
-``m``), repeated in epochs.  The slot rows (shard, slot, source, block) are
+Each source's words are packed into blocks of one length per source: ``block``
+words, fewer where the source's target would not make ``min_slots`` blocks (one
+word at least).  Multinomial counts of ``min_slots`` draws deviate by about
+1 / sqrt(min_slots) = 1.6 %, so every source's taken words come near its
+target, whatever the size of the corpus.  Offsets are a two-level prefix sum:
+documents are dealt by a hash of their id into buckets of about ``bucket_docs``;
+totals per (source, bucket), then a window inside each bucket, so a hot source
+and any kind of ids spread over many tasks.
+
+The output is cut into shards of ``shard_blocks`` slots; every shard draws its
+source counts from a multinomial with the targets' shares of the slots (numpy
+generator seeded by (seed, shard): reruns agree) and deals them to its slots.
+A source's ``k``-th slot takes the block ``b`` with ``rank(b) = k mod m``, a
+per-source pseudorandom permutation ``rank(b) = (a*b + c) mod m`` (``a`` coprime
+to ``m``), repeated in epochs.  The slot rows (shard, slot, source, block) are
 joined by (source, block) with the block table: the pieces of documents each
 block holds.  ``mix`` sums the joined words per document, ``mixed`` returns the
-joined pieces as text, ``mixed_documents`` puts them together per document.  Slot totals are clamped to ``floor(cap)`` epochs, so no
-document is taken more than ``cap`` times its size.
+joined pieces as text, ``mixed_documents`` puts them together per document.
+Slot totals are clamped to ``floor(cap)`` epochs, so no document is taken more
+than ``cap`` times its size.
+
+The tables of one row per source (sizes, targets, parameters) are collected and
+broadcast: sources are names given by the corpus's owners, thousands at most;
+``max_sources`` refuses more.
 
 Output per input row: size, source_size, target (its source's), taken.
 Defined results: null id -> size counted nowhere, taken 0, target of its
 source; empty/null text -> size 0, taken 0; null source is its own source
-(last); repeated rows are packed one after the other; empty table -> empty.
+(last); repeated rows are packed one after the other; empty table -> empty;
+input columns of any name are kept (the input row travels as one struct), those
+with the output names are replaced.
 ``mixed`` output: the input columns, one row per (slot, piece), plus shard, slot
 and piece (the word position in the block); the pieces of a document put
 together are its text.
@@ -35,11 +48,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import n_words
+from .common import n_words, packed, unpacked
 
 OUT = ("size", "source_size", "target", "taken")
 SLOT = ("shard", "slot", "piece")
@@ -72,92 +85,93 @@ def _multiplier(m: int, salt: int) -> int:
 
 
 def _deal(docs: DataFrame, out: tuple, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-          weights: tuple = (5, 2, 1), cap: float = 3.0, block: int = 1024, shard_blocks: int = 4096,
-          bucket_docs: int = 4096, seed: int = 7):
-    """(input rows without ``out``, sized rows, parameters per source, placed documents, slots, block table)."""
+          weights: tuple = (5, 2, 1), cap: float = 3.0, block: int = 1024, min_slots: int = 4000, shard_blocks: int = 4096,
+          bucket_docs: int = 4096, max_sources: int = 10000, seed: int = 7):
+    """(sized rows, parameters per source, placed documents, slots, block table); the input row
+    without ``out`` is the column ``row``, its text ``t``."""
     spark = docs.sparkSession
-    base = docs.drop(*[c for c in out if c in docs.columns])
-    sized = (base.withColumn("_id", F.col(f"`{id_col}`").cast("long"))
-             .withColumn("_src", F.col(f"`{source_col}`").cast("string"))
-             .withColumn("size", n_words(F.col(f"`{text_col}`")))
-             .withColumn("_tie", F.xxhash64(F.col(f"`{text_col}`"))))
-    live = sized.where(F.col("_id").isNotNull())
-    summary = live.groupBy("_src").agg(F.sum("size").alias("ss")).collect()  # one row per source
-    names = sorted([r["_src"] for r in summary if r["_src"] is not None]) + [None] * any(r["_src"] is None for r in summary)
-    ss = {r["_src"]: int(r["ss"]) for r in summary}
+    text = F.col(f"`{text_col}`")
+    sized = packed(docs, F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{source_col}`").cast("string").alias("src"),
+                   n_words(text).alias("size"), F.xxhash64(text).alias("tie"), text.alias("t"), drop=out)
+    live = sized.where(F.col("id").isNotNull())
+    summary = (live.groupBy("src").agg(F.sum("size").alias("ss"), F.count(F.lit(1)).alias("docs"))
+               .limit(max_sources + 1).collect())  # one row per source
+    if len(summary) > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
+    names = sorted([r["src"] for r in summary if r["src"] is not None]) + [None] * any(r["src"] is None for r in summary)
+    ss = {r["src"]: int(r["ss"]) for r in summary}
     sizes = [ss[s] for s in names]
     targets = water_fill(sizes, [float(weights[i % len(weights)]) for i in range(len(names))], cap)
-    total = sum(sizes)
-    n_slots = int(round(total / block))
+    blocks = [max(1, min(block, int(t // min_slots))) for t in targets]
+    share = np.array([t / b for t, b in zip(targets, blocks)], dtype=np.float64)  # expected slots
+    n_slots = int(round(share.sum()))
     n_shards = -(-n_slots // shard_blocks) if n_slots else 0
-    p = np.array(targets, dtype=np.float64) / total if total else np.zeros(len(names))
-    p = p / p.sum() if p.sum() > 0 else p
+    p = share / share.sum() if share.sum() > 0 else share
+    n_buckets = max(1, sum(r["docs"] for r in summary) // bucket_docs)
 
     def draw(batches):
         for pdf in batches:
-            rows = []
             for sh in pdf["id"].tolist():
                 slots = min(shard_blocks, n_slots - sh * shard_blocks)
                 rng = np.random.default_rng([seed, int(sh)])
                 c = rng.multinomial(slots, p)
                 at = rng.permutation(slots)  # the slots, source after source
-                rows.extend(zip([int(sh)] * slots, at.tolist(), np.repeat(np.arange(len(c)), c).tolist(),
-                                np.concatenate([np.arange(v) for v in c]).tolist()))
-            yield __import__("pandas").DataFrame(rows, columns=["shard", "slot", "si", "j"])
+                yield pd.DataFrame({"shard": np.full(slots, sh), "slot": at, "si": np.repeat(np.arange(len(c)), c).astype(np.int32),
+                                    "j": np.arange(slots) - np.repeat(np.cumsum(c) - c, c)})
 
     draws = spark.range(n_shards).mapInPandas(draw, "shard long, slot long, si int, j long")
     counts = draws.groupBy("shard", "si").agg(F.count(F.lit(1)).alias("cnt"))  # at most shards x sources rows
     got = {r["si"]: int(r["n"]) for r in counts.groupBy("si").agg(F.sum("cnt").alias("n")).collect()} if len(names) else {}
     params = []
     for i, s in enumerate(names):
-        m = -(-sizes[i] // block)
+        m = -(-sizes[i] // blocks[i])
         n = min(got.get(i, 0), int(math.floor(cap)) * m)
         a = _multiplier(m, 2654435761 * (i + 1) + seed)
-        params.append((s, i, float(sizes[i]), float(targets[i]), m, n, pow(a, -1, m) if m > 1 else 0,
-                       (seed * 40503 + i) % max(m, 1)))
-    pt = spark.createDataFrame(params, "_src string, si int, source_size double, target double, m long, n long, _inv long, c long")
-    pt = F.broadcast(pt)  # one row per source
-
-    counts = counts.withColumn("_soff", F.sum("cnt").over(Window.partitionBy("si").orderBy("shard")) - F.col("cnt"))
-    k = F.col("_soff") + F.col("j")
-    slots = (draws.join(counts.drop("cnt"), ["shard", "si"]).join(pt.select("si", "m", "n", "_inv", "c"), "si")
+        params.append((s, i, sizes[i], float(targets[i]), blocks[i], m, n, pow(a, -1, m) if m > 1 else 0, (seed * 40503 + i) % max(m, 1)))
+    pt = spark.createDataFrame(params, "psrc string, si int, source_size long, target double, blk long, m long, n long, inv long, c long")
+    pt = F.broadcast(pt)  # one row per source, at most max_sources
+
+    # a source's draws before each shard, summed over blocks of shards and inside them
+    wide = counts.withColumn("sb", F.floor(F.col("shard") / 4096))
+    before = wide.groupBy("si", "sb").agg(F.sum("cnt").alias("bc"))
+    before = before.select("si", "sb", (F.sum("bc").over(Window.partitionBy("si").orderBy("sb")) - F.col("bc")).alias("b0"))
+    inside = F.sum("cnt").over(Window.partitionBy("si", "sb").orderBy("shard")) - F.col("cnt")
+    counts = (wide.select("shard", "si", "sb", inside.alias("b1")).join(before, ["si", "sb"])
+              .select("shard", "si", (F.col("b0") + F.col("b1")).alias("soff")))
+    k = F.col("soff") + F.col("j")
+    slots = (draws.join(counts, ["shard", "si"]).join(pt.select("si", "m", "n", "inv", "c"), "si")
              .where(k < F.col("n"))
-             .select("shard", "slot", "si", F.pmod(F.col("_inv") * (F.pmod(k, F.col("m")) - F.col("c")), F.col("m")).alias("_b")))
+             .select("shard", "slot", "si", F.pmod(F.col("inv") * (F.pmod(k, F.col("m")) - F.col("c")), F.col("m")).alias("b")))
 
-    bucket = F.floor(F.col("_id") / bucket_docs)
-    bsum = live.groupBy("_src", bucket.alias("_bk")).agg(F.sum("size").alias("_bs"))
-    bsum = bsum.withColumn("_boff", F.sum("_bs").over(Window.partitionBy("_src").orderBy("_bk")) - F.col("_bs"))
+    live = live.join(pt, F.col("src").eqNullSafe(F.col("psrc"))).withColumn("bk", F.pmod(F.xxhash64("id"), F.lit(n_buckets)))
+    bsum = live.groupBy("si", "bk").agg(F.sum("size").alias("bs"))
+    bsum = bsum.select(F.col("si").alias("bsi"), F.col("bk").alias("bbk"),
+                       (F.sum("bs").over(Window.partitionBy("si").orderBy("bk")) - F.col("bs")).alias("boff"))
     # rows, not range: repeated rows lie one after the other
-    w_in = Window.partitionBy("_src", "_bk").orderBy("_id", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (live.withColumn("_bk", bucket)
-              .withColumn("_in", F.sum("size").over(w_in) - F.col("size"))
-              .join(bsum.select(F.col("_src").alias("_bsrc"), F.col("_bk").alias("_bbk"), "_boff"),
-                    F.col("_src").eqNullSafe(F.col("_bsrc")) & (F.col("_bk") == F.col("_bbk")))
-              .withColumn("_off", F.col("_boff") + F.col("_in")))
-    placed = placed.join(pt, placed["_src"].eqNullSafe(pt["_src"])).drop(pt["_src"])
-    first, last = F.floor(F.col("_off") / block), F.floor((F.col("_off") + F.col("size") - 1) / block)
+    w_in = Window.partitionBy("si", "bk").orderBy("id", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    placed = (live.withColumn("inn", F.sum("size").over(w_in) - F.col("size"))
+              .join(bsum, (F.col("si") == F.col("bsi")) & (F.col("bk") == F.col("bbk")))
+              .withColumn("off", F.col("boff") + F.col("inn")))
+    first, last = F.floor(F.col("off") / F.col("blk")), F.floor((F.col("off") + F.col("size") - 1) / F.col("blk"))
     # a document is known by its source and offset: documents of size 0 are in no block
     table = (placed.where(F.col("size") > 0)
-             .select("si", "_off", "size", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("_b"))
-             .select("si", "_b", "_off", F.greatest(F.col("_off"), F.col("_b") * block).alias("_lo"),
-                     F.least(F.col("_off") + F.col("size"), (F.col("_b") + 1) * block).alias("_hi")))
-    return base, sized, pt, placed, slots, table
+             .select("si", "off", "size", "blk", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("b"))
+             .select("si", "b", "off", F.greatest(F.col("off"), F.col("b") * F.col("blk")).alias("lo"),
+                     F.least(F.col("off") + F.col("size"), (F.col("b") + 1) * F.col("blk")).alias("hi")))
+    return sized, pt, placed, slots, table
 
 
 def mix(docs: DataFrame, **kw) -> DataFrame:
     """Input rows plus size, source_size, target and taken (parameters: see ``_deal``)."""
-    base, sized, pt, placed, slots, table = _deal(docs, OUT, **kw)
-    times = slots.groupBy("si", "_b").agg(F.count(F.lit(1)).alias("_k"))
-    got = (table.join(times, ["si", "_b"]).groupBy(F.col("si").alias("_gsi"), F.col("_off").alias("_goff"))
-           .agg(F.sum((F.col("_hi") - F.col("_lo")) * F.col("_k")).alias("taken")))
-    done = (placed.join(got, (F.col("si") == F.col("_gsi")) & (F.col("_off") == F.col("_goff")) & (F.col("size") > 0), "left")
-            .withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
-            .withColumn("source_size", F.col("source_size").cast("long")))
-    nulls = (sized.where(F.col("_id").isNull())
-             .join(pt.select("_src", "target", "source_size"), sized["_src"].eqNullSafe(pt["_src"]), "left").drop(pt["_src"])
-             .withColumn("taken", F.lit(0).cast("long")).withColumn("source_size", F.col("source_size").cast("long")))
-    cols = base.columns + list(OUT)
-    return done.select(*cols).unionByName(nulls.select(*cols))
+    sized, pt, placed, slots, table = _deal(docs, OUT, **kw)
+    times = slots.groupBy("si", "b").agg(F.count(F.lit(1)).alias("k"))
+    got = (table.join(times, ["si", "b"]).groupBy(F.col("si").alias("gsi"), F.col("off").alias("goff"))
+           .agg(F.sum((F.col("hi") - F.col("lo")) * F.col("k")).alias("taken")))
+    done = (placed.join(got, (F.col("si") == F.col("gsi")) & (F.col("off") == F.col("goff")) & (F.col("size") > 0), "left")
+            .withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")))
+    nulls = (sized.where(F.col("id").isNull()).join(pt, F.col("src").eqNullSafe(F.col("psrc")), "left")
+             .withColumn("taken", F.lit(0).cast("long")))
+    return unpacked(done.select("row", *OUT).unionByName(nulls.select("row", *OUT)), *OUT)
 
 
 def _units(text):
@@ -166,41 +180,38 @@ def _units(text):
 
 
 def _pieces(slots: DataFrame, table: DataFrame) -> DataFrame:
-    """Slot rows joined with the block table: shard, slot, and the words _lo to _hi of document (_psi, _poff)."""
-    t = table.select(F.col("si").alias("_psi"), F.col("_b").alias("_pb"), F.col("_off").alias("_poff"), "_lo", "_hi")
-    return slots.join(t, (F.col("si") == F.col("_psi")) & (F.col("_b") == F.col("_pb"))).drop("si", "_b", "_pb")
+    """Slot rows joined with the block table: shard, slot, and the words lo to hi of document (gsi, goff)."""
+    t = table.select(F.col("si").alias("gsi"), F.col("b").alias("gb"), F.col("off").alias("goff"), "lo", "hi")
+    return slots.join(t, (F.col("si") == F.col("gsi")) & (F.col("b") == F.col("gb"))).select("shard", "slot", "gsi", "goff", "lo", "hi")
 
 
-def mixed(docs: DataFrame, text_col: str = "text", block: int = 1024, **kw) -> DataFrame:
+def mixed(docs: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """The mix itself: per (shard, slot) the pieces of documents of its block, as text."""
-    base, _, _, placed, slots, table = _deal(docs, SLOT, text_col=text_col, block=block, **kw)
-    text = F.col(f"`{text_col}`")
-    n = F.col("_hi") - F.col("_lo")
-    part = F.array_join(F.slice(_units(text), (F.col("_lo") - F.col("_off") + 1).cast("int"), n.cast("int")), "")
-    rows = placed.where(F.col("size") > 0).join(_pieces(slots, table), (F.col("si") == F.col("_psi")) & (F.col("_off") == F.col("_poff")))
-    rows = rows.withColumn("_piece", F.when(n == F.col("size"), text).otherwise(part))
-    return rows.select(*[F.col("_piece").alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns],
-                       "shard", "slot", F.pmod("_lo", F.lit(block)).alias("piece"))
+    _, _, placed, slots, table = _deal(docs, SLOT, text_col=text_col, **kw)
+    n = F.col("hi") - F.col("lo")
+    part = F.array_join(F.slice(_units(F.col("t")), (F.col("lo") - F.col("off") + 1).cast("int"), n.cast("int")), "")
+    rows = placed.where(F.col("size") > 0).join(_pieces(slots, table), (F.col("si") == F.col("gsi")) & (F.col("off") == F.col("goff")))
+    row = F.col("row").withField(f"`{text_col}`", F.when(n == F.col("size"), F.col("t")).otherwise(part))
+    return unpacked(rows.select(row.alias("row"), "shard", "slot", F.pmod("lo", "blk").alias("piece")), *SLOT)
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", **kw) -> DataFrame:
     """The mixed rows put together per document: the input columns, one row per document that is
     taken, its text the drawn pieces (in order, copy after copy, a line feed between copies)."""
-    base, _, _, placed, slots, table = _deal(docs, (), text_col=text_col, **kw)
-    copy = F.row_number().over(Window.partitionBy("_psi", "_poff", "_lo").orderBy("shard", "slot"))
-    got = (_pieces(slots, table).select("_psi", "_poff", copy.alias("copy"), "_lo", "_hi").groupBy("_psi", "_poff")
-           .agg(F.array_sort(F.collect_list(F.struct("copy", "_lo", "_hi"))).alias("_ps")))
-    text = F.col(f"`{text_col}`")
+    _, _, placed, slots, table = _deal(docs, (), text_col=text_col, **kw)
+    copy = F.row_number().over(Window.partitionBy("gsi", "goff", "lo").orderBy("shard", "slot"))
+    got = (_pieces(slots, table).select("gsi", "goff", copy.alias("copy"), "lo", "hi").groupBy("gsi", "goff")
+           .agg(F.array_sort(F.collect_list(F.struct("copy", "lo", "hi"))).alias("ps")))
 
     def part(x, i):
-        n = x["_hi"] - x["_lo"]
-        piece = F.when(n == F.col("size"), text).otherwise(
-            F.array_join(F.slice(F.col("_u"), (x["_lo"] - F.col("_off") + 1).cast("int"), n.cast("int")), ""))
-        new = (i > 0) & (F.get(F.col("_ps"), i - 1)["copy"] != x["copy"])
+        n = x["hi"] - x["lo"]
+        piece = F.when(n == F.col("size"), F.col("t")).otherwise(
+            F.array_join(F.slice(F.col("u"), (x["lo"] - F.col("off") + 1).cast("int"), n.cast("int")), ""))
+        new = (i > 0) & (F.get(F.col("ps"), i - 1)["copy"] != x["copy"])
         return F.concat(F.when(new, "\n").otherwise(""), piece)
 
-    whole = F.forall("_ps", lambda x: x["_hi"] - x["_lo"] == F.col("size"))
-    rows = (placed.where(F.col("size") > 0).join(got, (F.col("si") == F.col("_psi")) & (F.col("_off") == F.col("_poff")))
-            .withColumn("_u", F.when(~whole, _units(text)))
-            .withColumn("_mixed", F.array_join(F.transform("_ps", part), "")))
-    return rows.select(*[F.col("_mixed").alias(c) if c == text_col else F.col(f"`{c}`") for c in base.columns])
+    whole = F.forall("ps", lambda x: x["hi"] - x["lo"] == F.col("size"))
+    rows = (placed.where(F.col("size") > 0).join(got, (F.col("si") == F.col("gsi")) & (F.col("off") == F.col("goff")))
+            .withColumn("u", F.when(~whole, _units(F.col("t"))))
+            .withColumn("mixed", F.array_join(F.transform("ps", part), "")))
+    return unpacked(rows.select(F.col("row").withField(f"`{text_col}`", F.col("mixed")).alias("row")))

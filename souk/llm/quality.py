@@ -1,136 +1,181 @@
 """Quality scores by nearest-neighbour voting in a latent-semantic space.
 
-Method.  Each text becomes a hashed bag of words (``n_features`` buckets,
-sublinear term frequency) in one Python pass over Arrow batches; document
-frequencies over **all** documents come from a Spark aggregate (one row per
-bucket, bounded by ``n_features``).  The latent space is fitted on a bounded,
-documented sample of labelled training rows (at most ``max_train``, chosen by
-a hash of the id, not by position): TF-IDF rows, L2-normalised, reduced by a
-randomized SVD to ``rank`` dimensions on the driver.  The projection, the IDF
-vector and the labelled training vectors (``max_train x rank`` floats) are
-broadcast; every document is scored in blocks of ``block`` rows by exact
-cosine products against all training vectors; the ``k`` most similar
-neighbours vote with weight max(cosine, 0).
+Method.  A text is a hashed bag of terms (``n_features`` buckets, sublinear
+term frequency): its words, the shapes of its unusual words (all capitals,
+symbols, digits) and a mark for each word that repeats the one before it.
+Document frequencies over **all** documents come from one Arrow pass with a
+count vector per task and a grouped sum (at most ``n_features`` rows).  The
+latent space is fitted on a bounded, documented sample of labelled training rows
+(at most ``max_train``, the smallest hashes of their ids, half of them of each
+label as far as they go): TF-IDF rows, L2-normalised, reduced by a randomized
+SVD to ``rank`` dimensions on the driver.  The projection, the IDF vector and
+the labelled vectors (``max_train x rank`` floats) are broadcast; every document
+is scored in blocks of ``block`` rows by exact cosine products with all labelled
+vectors; the ``k`` most similar vote with weight ``max(cosine, 0)``.  Nothing but
+the text column goes through Python, and no feature is stored.
 
 Training rows are those with a label whose ``crc32(id as text) % 5 != 0``;
-labels, language, source and ids never enter a score.  A document never
-votes for itself.
+labels, language, source and ids never enter a score: equal texts get equal
+scores whatever their ids.
 
-Defined results: null/empty text -> zero vector -> the training prior; null
-id -> held_out null, scored like any row; repeated rows -> equal scores; no
-training rows -> every score is 0.5.  Input columns named ``held_out``,
+Defined results: null/empty text -> zero vector -> the mean label of the training rows;
+null id -> held_out false, scored like any row; repeated rows -> equal scores;
+several labels for one id -> the smallest; no training rows -> every score is 0.5;
+empty table -> empty; ids of any type.  Input columns named ``held_out``,
 ``score`` or ``predicted`` are replaced.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import zlib
+from collections import Counter
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import cut
+from .common import packed, unpacked
 
 OUT = ("held_out", "score", "predicted")
-
-
-def _hashed(texts, n_features: int):
-    """Per text: sorted bucket ids and sublinear tf weights."""
-    mask = n_features - 1
-    idx, val = [], []
-    for t in texts:
-        counts: dict[int, int] = {}
-        for w in (t or "").lower().split():
-            b = zlib.crc32(w.encode("utf-8", "surrogatepass")) & mask
-            counts[b] = counts.get(b, 0) + 1
-        ks = sorted(counts)
-        idx.append(np.array(ks, dtype=np.int32))
-        val.append(np.array([1.0 + math.log(counts[k]) for k in ks], dtype=np.float32))
-    return idx, val
-
-
-def _dense(idx, val, idf: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(idx), idf.shape[0]), dtype=np.float32)
-    for r, (i, v) in enumerate(zip(idx, val)):
-        if len(i):
-            x[r, i] = v * idf[i]
+_ODD = re.compile(r"[^\w.,;:'()\"-]|\d|_")
+
+
+def word_terms(w: str) -> list[str]:
+    """A word's terms: itself and the shapes it has."""
+    out = [w.lower()]
+    if len(w) > 1 and w.upper() == w and w.lower() != w:
+        out.append("\0capitals")
+    m = _ODD.search(w)
+    if m:
+        out.append("\0digit" if m.group().isdigit() else "\0" + m.group())
+    return out
+
+
+class Buckets:
+    """Bucket counts of a text's terms; remembers the buckets of up to ``keep`` words."""
+
+    def __init__(self, n: int, keep: int = 200_000):
+        self.n, self.keep, self.known = n, keep, {}
+
+    def _of(self, term: str) -> int:
+        return zlib.crc32(term.encode("utf-8", "surrogatepass")) % self.n
+
+    def __call__(self, text: str | None) -> dict[int, int]:
+        words = (text or "").split()
+        out: dict[int, int] = {}
+        if len(self.known) > self.keep:
+            self.known.clear()
+        for w, c in Counter(words).items():
+            bs = self.known.get(w)
+            if bs is None:
+                bs = self.known[w] = [self._of(t) for t in word_terms(w)]
+            for b in bs:
+                out[b] = out.get(b, 0) + c
+        again = sum(map(eq, words, islice(words, 1, None)))
+        if again:
+            b = self._of("\0again")
+            out[b] = out.get(b, 0) + again
+        return out
+
+
+def _dense(bags: list, idf: np.ndarray) -> np.ndarray:
+    x = np.zeros((len(bags), idf.shape[0]), dtype=np.float32)
+    for r, bag in enumerate(bags):
+        for b, c in bag.items():
+            x[r, b] = 1.0 + math.log(c)
+    x *= idf
     nrm = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(nrm > 0, nrm, 1.0)
 
 
+def _unit(z: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(z, axis=1, keepdims=True)
+    return z / np.where(n > 1e-12, n, 1.0)
+
+
+def document_frequencies(docs: DataFrame, text_col: str, n_features: int) -> tuple[int, np.ndarray]:
+    """(documents, documents per bucket) over the whole table."""
+
+    def count(batches):
+        df, n, buckets = np.zeros(n_features, dtype=np.int64), 0, Buckets(n_features)
+        for pdf in batches:
+            for t in pdf["t"]:
+                n += 1
+                for b in buckets(t):
+                    df[b] += 1
+        hit = np.flatnonzero(df)
+        yield pd.DataFrame({"b": np.append(hit, -1), "c": np.append(df[hit], n)})
+
+    rows = (docs.select(F.col(f"`{text_col}`").alias("t")).mapInPandas(count, "b long, c long")
+            .groupBy("b").agg(F.sum("c").alias("c")).collect())  # at most n_features + 1 rows
+    df, n = np.zeros(n_features), 0
+    for r in rows:
+        if r["b"] < 0:
+            n = r["c"]
+        else:
+            df[r["b"]] = r["c"]
+    return n, df
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int) -> list:
+    """(text, label) of at most ``max_train`` labelled rows outside the held-out fold."""
+    lab = (labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y"))
+           .where(F.col("id").isNotNull() & F.col("y").isNotNull() & (F.crc32(F.col("id").cast("string")) % 5 != 0))
+           .groupBy("id").agg(F.min("y").alias("y")))
+    half = [lab.where(c).orderBy(F.xxhash64("id"), "id").limit(max_train) for c in (F.col("y") == 0, F.col("y") != 0)]
+    sizes = [h.count() for h in half]
+    few = min(sizes)
+    take = [min(s, max_train - min(few, max_train // 2)) if s > few else min(s, max_train // 2) for s in sizes]
+    lab = half[0].limit(take[0]).unionByName(half[1].orderBy(F.xxhash64("id"), "id").limit(take[1]))
+    text = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+    rows = text.join(F.broadcast(lab), "id").groupBy("id").agg(F.min("t").alias("t"), F.first("y").alias("y")).collect()
+    return sorted((r["t"], int(r["y"] != 0)) for r in rows)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "quality", n_features: int = 4096, rank: int = 64,
-                   max_train: int = 6000, k: int = 25, threshold: float = 0.3, block: int = 1024,
+                   max_train: int = 6000, k: int = 25, threshold: float = 0.3, block: int = 512,
                    seed: int = 17) -> DataFrame:
     """Input rows plus held_out, score (0..1) and predicted (score >= threshold)."""
-    spark = docs.sparkSession
-    base = docs.drop(*[c for c in OUT if c in docs.columns] + [c for c in ("_fi", "_fv") if c in docs.columns])
-    schema = T.StructType(base.schema.fields + [T.StructField("_fi", T.ArrayType(T.IntegerType())),
-                                                T.StructField("_fv", T.ArrayType(T.FloatType()))])
-
-    def feats(batches):
-        for pdf in batches:
-            i, v = _hashed(pdf[text_col].tolist(), n_features)
-            yield pdf.assign(_fi=i, _fv=v)
-
-    fx = cut(base.mapInPandas(feats, schema))
-    n_docs = fx.count()
-    dfc = {r[0]: r[1] for r in fx.select(F.explode("_fi").alias("b")).groupBy("b").count().collect()}  # <= n_features rows
-    dfv = np.array([dfc.get(b, 0) for b in range(n_features)], dtype=np.float64)
-    idf = (np.log((n_docs + 1.0) / (dfv + 1.0)) + 1.0).astype(np.float32)
-
-    held = (F.crc32(F.col(f"`{id_col}`").cast("string")) % 5) == 0
-    lab = labels.select(F.col(id_col).alias("_lid"), F.col(label_col).cast("int").alias("_y")).where(F.col("_y").isNotNull())
-    lab = lab.dropDuplicates(["_lid"])
-    train = (fx.select(F.col(f"`{id_col}`").alias("_lid"), "_fi", "_fv").where(F.col("_lid").isNotNull())
-             .join(lab, "_lid").where(~((F.crc32(F.col("_lid").cast("string")) % 5) == 0))
-             .dropDuplicates(["_lid"])
-             .orderBy(F.xxhash64("_lid"), "_lid").limit(max_train).collect())  # bounded sample: max_train rows
-    tid = np.array([r["_lid"] for r in train], dtype=np.int64)
-    ty = np.array([r["_y"] for r in train], dtype=np.float32)
+    n_docs, df = document_frequencies(docs, text_col, n_features)
+    idf = (np.log((n_docs + 1.0) / (df + 1.0)) + 1.0).astype(np.float32)
+    train = training_rows(docs, labels, id_col, text_col, label_col, max_train)
+    ty = np.array([y for _, y in train], dtype=np.float32)
     prior = float(ty.mean()) if len(ty) else 0.5
     if len(train):
-        xt = _dense([np.array(r["_fi"], dtype=np.int32) for r in train], [np.array(r["_fv"], dtype=np.float32) for r in train], idf)
+        buckets = Buckets(n_features)
+        xt = _dense([buckets(t) for t, _ in train], idf)
         rng = np.random.default_rng(seed)
         r_ = min(rank, *xt.shape)
-        y = xt @ rng.standard_normal((n_features, r_ + 16)).astype(np.float32)
-        q, _ = np.linalg.qr(y)
+        q, _ = np.linalg.qr(xt @ rng.standard_normal((n_features, r_ + 16)).astype(np.float32))
         _, _, vt = np.linalg.svd(q.T @ xt, full_matrices=False)
         proj = vt[:r_].T.astype(np.float32)  # n_features x rank
-        zt = xt @ proj
-        zt /= np.where((n := np.linalg.norm(zt, axis=1, keepdims=True)) > 0, n, 1.0)
+        zt = _unit(xt @ proj).astype(np.float32)
     else:
         proj, zt = np.zeros((n_features, 1), np.float32), np.zeros((0, 1), np.float32)
-    bc = spark.sparkContext.broadcast((idf, proj, zt.astype(np.float32), ty, tid, prior))
-
-    def score(batches):
-        idf_, proj_, zt_, ty_, tid_, prior_ = bc.value
-        for pdf in batches:
-            out = np.full(len(pdf), prior_, dtype=np.float64)
-            ids = pdf[id_col].to_numpy(dtype=np.float64, na_value=np.nan)
-            for s in range(0, len(pdf), block):
-                sl = slice(s, s + block)
-                z = _dense(pdf["_fi"].iloc[sl].tolist(), pdf["_fv"].iloc[sl].tolist(), idf_) @ proj_
-                nz = np.linalg.norm(z, axis=1)
-                z /= np.where(nz > 0, nz, 1.0)[:, None]
-                if not len(ty_):
-                    out[sl] = 0.5
-                    continue
-                sim = z @ zt_.T
-                sim[ids[sl][:, None] == tid_[None, :]] = -np.inf  # no vote for itself
-                kk = min(k, sim.shape[1])
-                top = np.argpartition(-sim, kk - 1, axis=1)[:, :kk]
-                w = np.maximum(np.take_along_axis(sim, top, axis=1), 0.0)
-                tot = w.sum(axis=1)
-                vote = (w * ty_[top]).sum(axis=1)
-                out[sl] = np.where(tot > 0, vote / np.where(tot > 0, tot, 1.0), prior_)
-            yield pdf.drop(columns=["_fi", "_fv"]).assign(score=np.clip(out, 0.0, 1.0))
-
-    sschema = T.StructType(base.schema.fields + [T.StructField("score", T.DoubleType())])
-    scored = fx.mapInPandas(score, sschema)
-    return (scored.withColumn("held_out", held)
-            .withColumn("predicted", (F.col("score") >= threshold).cast("int")))
+    bc = docs.sparkSession.sparkContext.broadcast((idf, proj, zt, ty, prior))
+
+    def votes(texts: pd.Series) -> pd.Series:
+        idf_, proj_, zt_, ty_, prior_ = bc.value
+        out, buckets = np.full(len(texts), prior_, dtype=np.float64), Buckets(n_features)
+        for s in range(0, len(texts), block):
+            z = _unit(_dense([buckets(t) for t in texts.iloc[s:s + block]], idf_) @ proj_)
+            if not len(ty_):
+                continue
+            sim = np.maximum(np.round(z @ zt_.T, 5), 0.0)  # rounded: block shapes do not decide ties
+            kth = np.partition(sim, -min(k, sim.shape[1]), axis=1)[:, -min(k, sim.shape[1])]
+            w = np.where(sim >= kth[:, None], sim, 0.0)  # all that tie with the k-th vote
+            tot = w.sum(axis=1)
+            out[s:s + block] = np.where(tot > 0, (w @ ty_) / np.where(tot > 0, tot, 1.0), prior_)
+        return pd.Series(np.clip(np.round(out, 6), 0.0, 1.0))
+
+    score: Column = F.pandas_udf(votes, "double")(F.col("t"))
+    held = F.coalesce((F.crc32(F.col(f"`{id_col}`").cast("string")) % 5) == 0, F.lit(False))
+    d = packed(docs, held.alias("held_out"), F.col(f"`{text_col}`").alias("t"), drop=OUT)
+    d = d.select("row", "held_out", score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return unpacked(d, *OUT)

@@ -1,53 +1,177 @@
 """Token counts without materialising ids: count pieces once per distinct pre-token.
 
-Method.  Texts are split on the tokenizer's special string (each occurrence
-is one token, as the library does by default), and every segment is cut into
-pre-tokens with the byte-level pattern (JVM regex, Unicode white space).
-Per document the pre-tokens are counted (one grouped aggregate), the
-distinct pre-tokens of the whole corpus are encoded once each with the
-``tokenizers`` library (Arrow batches), and the piece counts are joined back
-to the per-document frequencies and summed.  A pre-token shared by every
-document is one hot join key; the per-document side is pre-aggregated and
-the join is a shuffle join that adaptive execution splits.
+Method.
+
+1. One Arrow pass cuts every text into pre-tokens with the tokenizer's
+   pre-tokenizer (``pretokens``; after cutting it at the vocabulary's special strings, one
+   token each).  A document becomes two arrays, the 64-bit hashes of its
+   distinct pre-tokens and how often each occurs; next to the documents the
+   pass writes every pre-token string of the task once, with its hash and the
+   number of documents that hold it.  Both go to one scratch table in the
+   shared folder: texts are read and cut once, and strings are never repeated
+   per document.
+2. The distinct pre-tokens of the corpus (one grouped aggregate by hash) are
+   split into pieces by the tokenizer's model once each.  Should two strings
+   share a hash, the passes run again with another hash seed: exact, not likely.
+3. The ``frequent`` most widespread pre-tokens (a fixed bound, 16 bytes each) are
+   sent to the tasks, where documents add up their counts locally.  They are
+   the hot join keys; all others are joined by shuffle and summed.
+4. Documents are known by a 128-bit hash of their text, never by row numbers
+   (a shuffled input would number them anew in each branch).  All copies of a
+   text contribute, and the sum is divided by their number.
 
 Output per input row: n_bytes (UTF-8), n_tokens, over_limit (> ``limit``).
-Defined results: null/empty text -> 0 bytes, 0 tokens; repeated rows are
-counted each; output-named input columns are replaced.
+Defined results: null/empty text -> 0 bytes, 0 tokens; repeated rows -> equal
+results; empty table -> empty; input columns with the output names are
+replaced.  ``vocab``: a byte-level ``.json`` of public tokenizers.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values of the byte-level BPE vocabulary: its pre-token pattern and special string.
-PRETOKEN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPECIAL = "<|endoftext|>"
+from .common import cut, packed, scratch_path, unpacked
+
 OUT = ("n_bytes", "n_tokens", "over_limit")
 
 
-def token_counts(docs: DataFrame, text_col: str = "text", vocab: str = "byte_bpe_50k.json",
-                 limit: int = 1024) -> DataFrame:
-    from .tokens import tokenizer
-
-    base = docs.drop(*[c for c in OUT if c in docs.columns]).withColumn("_rid", F.monotonically_increasing_id())
-    t = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    seg = base.select("_rid", F.split(t, F.lit(SPECIAL.replace("|", r"\|")), -1).alias("_seg"))
-    seg = seg.withColumn("_sp", F.size("_seg") - 1)
-    pre = seg.select("_rid", F.explode_outer(F.flatten(F.transform("_seg", lambda s: F.regexp_extract_all(s, F.lit(PRETOKEN), 0)))).alias("pt"))
-    freq = pre.where(F.col("pt").isNotNull()).groupBy("_rid", "pt").agg(F.count(F.lit(1)).alias("c"))
-
-    def encode(batches):
-        tok = tokenizer(vocab)
-        for pdf in batches:
-            enc = tok.encode_batch(pdf["pt"].tolist(), add_special_tokens=False)
-            yield pd.DataFrame({"pt": pdf["pt"], "n": [len(e.ids) for e in enc]})
-
-    pieces = freq.select("pt").distinct().mapInPandas(encode, "pt string, n long")
-    per = freq.join(pieces, "pt").groupBy("_rid").agg(F.sum(F.col("c") * F.col("n")).alias("_nt"))
-    out = base.join(seg.select("_rid", "_sp"), "_rid").join(per, "_rid", "left")
-    return (out.withColumn("n_bytes", F.octet_length(t).cast("long"))
-            .withColumn("n_tokens", (F.coalesce("_nt", F.lit(0)) + F.col("_sp")).cast("long"))
-            .withColumn("over_limit", F.col("n_tokens") > limit)
-            .drop("_rid", "_sp", "_nt"))
+def _text_key(text: Column) -> list[Column]:
+    """Two 64-bit hashes of a text under different seeds."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def _cut_pass(texts: DataFrame, vocab: str, seed: int, known_limit: int):
+    """(k1, k2, text) -> rows of documents (k1, k2, special, hs, cs) and of pre-tokens (pt, h, seen)."""
+
+    def run(batches):
+        import xxhash
+
+        from .pretokens import pretokens
+        pre = pretokens(vocab)
+        known: dict[str, list] = {}
+
+        def strings():
+            rows = list(known.items())
+            known.clear()
+            n = len(rows)
+            return _batch([None] * n, [None] * n, [None] * n, [None] * n, [None] * n, [p for p, _ in rows],
+                          [v[0] for _, v in rows], [v[1] for _, v in rows])
+
+        for batch in batches:
+            marks, hs, cs = [], [], []
+            for t in batch.column(2).to_pylist():
+                parts = pre.parts(t)
+                count: Counter = Counter()
+                for p in parts[::2]:
+                    count.update(pre.cut(p))
+                h = []
+                for p in count:
+                    v = known.get(p)
+                    if v is None:
+                        v = known[p] = [xxhash.xxh64_intdigest(p.encode(), seed) - (1 << 63), 0]
+                    v[1] += 1
+                    h.append(v[0])
+                marks.append(len(parts) // 2)
+                hs.append(h)
+                cs.append(list(count.values()))
+                if len(known) > known_limit:
+                    yield strings()
+            n = len(marks)
+            yield _batch(batch.column(0), batch.column(1), marks, hs, cs, [None] * n, [None] * n, [None] * n)
+        if known:
+            yield strings()
+
+    return texts.mapInArrow(run, "k1 long, k2 long, special long, hs array<long>, cs array<int>, pt string, h long, seen long")
+
+
+_TYPES = {"k1": pa.int64(), "k2": pa.int64(), "special": pa.int64(), "hs": pa.list_(pa.int64()), "cs": pa.list_(pa.int32()),
+          "pt": pa.string(), "h": pa.int64(), "seen": pa.int64()}
+
+
+def _batch(*cols) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, _TYPES.values())],
+                                      names=list(_TYPES))
+
+
+def _pieces(strings: DataFrame, vocab: str) -> DataFrame:
+    """(h, n, seen): pieces of each distinct pre-token."""
+
+    def count(batches):
+        from .pretokens import pretokens
+        pre = pretokens(vocab)
+        for b in batches:
+            n = [len(pre.ids(p)) for p in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(2)], names=["h", "n", "seen"])
+
+    return strings.select("h", "pt", "seen").mapInArrow(count, "h long, n long, seen long")
+
+
+def token_counts(docs: DataFrame, text_col: str = "text", vocab: str = "byte_bpe_50k.json", limit: int = 1024,
+                 frequent: int = 1 << 16, known_limit: int = 200_000) -> DataFrame:
+    """Input rows plus n_bytes, n_tokens and over_limit."""
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = packed(docs, *_text_key(text), F.octet_length(text).cast("long").alias("n_bytes"), drop=OUT)
+    texts = docs.select(*_text_key(text), text.alias("t"))
+    for seed in range(8):
+        path = scratch_path(spark, "pretokens")
+        _cut_pass(texts, vocab, seed, known_limit).write.parquet(path)
+        stored = spark.read.parquet(path)
+        strings = cut(stored.where("pt is not null").groupBy("h")
+                      .agg(F.min("pt").alias("pt"), F.max("pt").alias("other"), F.sum("seen").alias("seen")))
+        if not strings.where("pt <> other").limit(1).count():
+            break
+    else:
+        raise RuntimeError("pre-tokens share a hash under every seed")
+    pieces = cut(_pieces(strings, vocab))
+    top = sorted((r["h"], r["n"]) for r in pieces.orderBy(F.desc("seen"), "h").limit(frequent).collect())  # at most ``frequent`` rows
+    bc = spark.sparkContext.broadcast((np.array([h for h, _ in top], dtype=np.int64), np.array([n for _, n in top], dtype=np.int64)))
+    per = stored.where("k1 is not null").select("k1", "k2", "special", "hs", "cs")
+
+    def local(batches):
+        """Per document: the tokens of the special strings and the frequent pre-tokens."""
+        hot, cost = bc.value
+        for b in batches:
+            h, c, doc, at = _flat(b)
+            hit, place = _find(hot, h)
+            got = np.bincount(doc[hit], weights=c[hit] * cost[place[hit]], minlength=len(b)).astype(np.int64) if len(hot) else 0
+            total = b.column(2).to_numpy(zero_copy_only=False) + got
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int64())], names=["k1", "k2", "s"])
+
+    def rest(batches):
+        """Per document and other pre-token: its hash and frequency."""
+        hot, _ = bc.value
+        for b in batches:
+            h, c, doc, at = _flat(b)
+            miss = ~_find(hot, h)[0]
+            k1, k2 = (b.column(i).to_numpy(zero_copy_only=False)[doc[miss]] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(h[miss], pa.int64()),
+                                              pa.array(c[miss], pa.int64())], names=["k1", "k2", "h", "c"])
+
+    near = per.mapInArrow(local, "k1 long, k2 long, s long").select("k1", "k2", "s", F.lit(1).cast("long").alias("m"))
+    far = (per.mapInArrow(rest, "k1 long, k2 long, h long, c long").join(pieces.select("h", "n"), "h")
+           .select("k1", "k2", (F.col("c") * F.col("n")).alias("s"), F.lit(0).cast("long").alias("m")))
+    total = near.unionByName(far).groupBy("k1", "k2").agg(F.expr("sum(s) div sum(m)").alias("n_tokens"))
+    out = rows.join(total, ["k1", "k2"]).withColumn("over_limit", F.col("n_tokens") > limit)
+    return unpacked(out, *OUT)
+
+
+def _flat(b: pa.RecordBatch):
+    """Hashes, counts and document numbers of a batch's (hs, cs) arrays."""
+    hs, cs = b.column(3), b.column(4)
+    h, c = (x.flatten().to_numpy(zero_copy_only=False) for x in (hs, cs))
+    sizes = np.diff(hs.offsets.to_numpy())
+    return h.astype(np.int64), c.astype(np.int64), np.repeat(np.arange(len(b)), sizes), sizes
+
+
+def _find(table: np.ndarray, h: np.ndarray):
+    """(is in the sorted table, place)."""
+    if not len(table):
+        return np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=np.int64)
+    place = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return table[place] == h, place

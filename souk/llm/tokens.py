@@ -1,30 +1,36 @@
-"""Token-id shards with Re-Pair grammar compression, written and read back.
+"""Token-id shards with Re-Pair grammar compression, written, read back and read at random.
 
-Method.  Texts are encoded with the ``tokenizers`` library (Arrow batches,
-one tokenizer per Python worker), an end id is appended to every document,
+Method.  Texts are encoded with the ``tokenizers`` library (Arrow batches; the
+ids of a pre-token are remembered, see ``pretokens``), an end id is appended to every document,
 and the documents are range-partitioned by (id, text hash) into shards of about
-``docs_per_shard`` documents, sorted so inside each shard.  Every shard is
-compressed by Re-Pair: the most frequent adjacent pairs (at least
-``min_count`` times) are replaced by new symbols, up to ``batch`` pairs with
-disjoint symbols per round, until no pair is frequent enough.  In the shard the
-end of a document is a symbol of its own outside the vocabulary (the end id may
-be an ordinary token: 0 is '!'), written as the end id when read.  A symbol whose
-expansion ends with it never starts a pair, so no rule crosses a document
-boundary and every document starts at a symbol boundary.
-
-File format (one Parquet row per shard: ``shard``, its number in id order, and
-``blob``, an ``.npz``):
-``doc_id`` int64[d], ``n_tokens`` int64[d] (with the end id), ``coff``
-int64[d+1] (document starts in ``seq``), ``seq`` uint32 (terminals below
-``base``, of which ``end[0]`` stands for the end id ``end[1]``; rule
-``base + r`` above), ``rules`` uint32[r, 2], ``explen``
-int64[r] (expansion lengths, for random access: a position inside a
-document is found by summing expansion lengths, then one rule path is
-followed).  Reading decodes each shard in its own task.
+``shard_bytes`` of text, sorted so inside each shard.  Every shard is
+compressed by Re-Pair: in rounds, up to ``batch`` of the most frequent adjacent
+pairs (``min_count`` times or more; pairs whose occurrences cannot overlap) are
+replaced by new symbols, until a round saves less than ``min_gain`` of the
+sequence.  Pairs are counted in hash buckets; buckets that hold more than one
+pair are counted exactly apart.  In the shard the end of a document is a
+symbol of its own outside the vocabulary (the end id may be an ordinary token:
+0 is '!'), written as the end id when read.  A symbol whose expansion ends with
+it never starts a pair, so no rule crosses a document boundary and every
+document starts at a symbol boundary.
+
+File format (one Parquet row per shard): ``shard`` (its number in id order),
+``n_docs``, ``n_tokens`` (with the end ids), ``doc_ids`` (array), and ``blob``, an
+``.npz`` of ``n_tokens`` int64[d] per document, ``coff`` int64[d+1] (document
+starts in ``seq``), ``seq`` uint32 (terminals below ``base``, of which ``end[0]``
+stands for the end id ``end[1]``; rule ``base + r`` above), ``rules`` uint32[r, 2],
+``explen`` int64[r] (expansion lengths).  ``read_token_shards`` decodes each shard
+in its own task; ``read_token_ranges`` decodes only the asked positions of the asked documents:
+the sums of expansion lengths over a document's symbols say which symbols to
+expand.
+
+Starts (tokens of all documents before) come from the per-shard totals in
+the file, summed in two levels (blocks of shards, then shards), so no task
+sees all of them.
 
 Defined results: null/empty text -> just the end id; null ids ->
 last; repeated rows -> stored one after the other; empty table -> no shards,
-empty result.
+empty result; input columns other than the two named are not read.
 """
 
 from __future__ import annotations
@@ -39,40 +45,60 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path
+from .pretokens import pretokens
 
-_TOK = {}
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tokenizer(name: str):
-    if name not in _TOK:
-        import public_tokenizers
-        from tokenizers import Tokenizer
-        _TOK[name] = Tokenizer.from_file(public_tokenizers.path(name))
-    return _TOK[name]
+def _frequent_pairs(key: np.ndarray, bucket: np.ndarray, n_buckets: int, min_count: int, want: int):
+    """(position mask, pair keys by falling count, their counts) of the pairs in the fullest buckets."""
+    cnt = np.bincount(bucket, minlength=n_buckets)
+    top = cnt[cnt >= min_count]
+    if not len(top):
+        return None
+    floor = max(min_count, int(np.partition(top, len(top) - want)[len(top) - want])) if len(top) > want else min_count
+    near = cnt[bucket] >= floor
+    k, h = key[near], bucket[near]
+    first = np.zeros(n_buckets, dtype=np.int64)
+    first[h] = k
+    shared = np.zeros(n_buckets, dtype=bool)
+    shared[h[first[h] != k]] = True  # buckets of several pairs
+    pure = np.flatnonzero((cnt >= floor) & ~shared)
+    keys, counts = first[pure], cnt[pure]
+    mixed = shared[h]
+    if mixed.any():
+        uk, uc = np.unique(k[mixed], return_counts=True)
+        keys, counts = np.concatenate((keys, uk)), np.concatenate((counts, uc))
+    ok = counts >= min_count
+    keys, counts = keys[ok], counts[ok]
+    order = np.lexsort((keys, -counts))
+    return near, keys[order], counts[order]
 
 
-def repair(seq: np.ndarray, base: int, end_id: int, min_count: int = 4, batch: int = 1024):
+def repair(seq: np.ndarray, base: int, end_id: int, min_count: int = 8, batch: int = 16384, min_gain: float = 0.03):
     """Re-Pair on ``seq`` (int64); returns (seq, rules[r,2], explen[r])."""
     rules: list[tuple[int, int]] = []
     ends = np.zeros(base, dtype=bool)
     ends[end_id] = True
     explen = np.ones(base, dtype=np.int64)
+    bits = min(21, max(12, int(len(seq)).bit_length()))
     while len(seq) > 1:
         a, b = seq[:-1], seq[1:]
-        ok = ~ends[a]
-        keys = (a[ok] << 32) | b[ok]
-        if not len(keys):
-            break
-        uniq, cnt = np.unique(keys, return_counts=True)
-        top = np.argsort(-cnt, kind="stable")
-        top = top[cnt[top] >= min_count]
-        if not len(top):
+        pos = np.flatnonzero(~ends[a])
+        key = (a[pos] << 32) | b[pos]
+        bucket = ((key.astype(np.uint64) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+        found = _frequent_pairs(key, bucket, 1 << bits, min_count, 2 * batch)
+        if found is None:
             break
+        near, keys, counts = found
         # pairs whose occurrences cannot overlap: no symbol is the right of one chosen
-        # pair and the left of another (a pair x x only with itself)
-        lefts, rights, selfs, chosen = set(), set(), set(), {}
-        for t in top[: 8 * batch]:
-            x, y = int(uniq[t] >> 32), int(uniq[t] & 0xFFFFFFFF)
+        # pair and the left of another (a pair x x only with itself); one pair per bucket
+        used, lefts, rights, selfs, chosen = set(), set(), set(), set(), []
+        kb = ((keys.astype(np.uint64) * _MIX) >> np.uint64(64 - bits)).astype(np.int64).tolist()
+        for k, h in zip(keys.tolist(), kb):
+            x, y = k >> 32, k & 0xFFFFFFFF
+            if h in used:
+                continue
             if x == y:
                 if x in lefts or x in rights:
                     continue
@@ -81,31 +107,36 @@ def repair(seq: np.ndarray, base: int, end_id: int, min_count: int = 4, batch: i
                 continue
             lefts.add(x)
             rights.add(y)
-            chosen[int(uniq[t])] = base + len(rules) + len(chosen)
+            used.add(h)
+            chosen.append((k, h, x, y))
             if len(chosen) >= batch:
                 break
-        ck = np.fromiter(chosen.keys(), dtype=np.int64)
-        cv = np.fromiter(chosen.values(), dtype=np.int64)
-        pk = (a << 32) | b
-        match = ok & np.isin(pk, ck)
-        # runs of x x x: take every second position from the start of the run
-        idx = np.arange(len(match))
-        start = np.where(match & ~np.concatenate(([False], match[:-1])), idx, 0)
-        start = np.maximum.accumulate(start)
-        sel = match & ((idx - start) % 2 == 0)
-        pos = np.nonzero(sel)[0]
-        order = np.argsort(ck)
-        new = cv[order][np.searchsorted(ck[order], pk[pos])]
-        xs = np.array([k >> 32 for k in chosen], dtype=np.int64)
-        ys = np.array([k & 0xFFFFFFFF for k in chosen], dtype=np.int64)
-        rules.extend(zip(xs.tolist(), ys.tolist()))  # chosen keeps insertion order = new ids
+        if not chosen:
+            break
+        name = np.full(1 << bits, -1, dtype=np.int64)
+        pair = np.zeros(1 << bits, dtype=np.int64)
+        at = np.array([c[1] for c in chosen])
+        name[at] = base + len(rules) + np.arange(len(chosen))
+        pair[at] = [c[0] for c in chosen]
+        pos, key, bucket = pos[near], key[near], bucket[near]
+        hit = (name[bucket] >= 0) & (pair[bucket] == key)
+        pos, new = pos[hit], name[bucket[hit]]
+        # runs of x x x: every second position from the start of the run
+        idx = np.arange(len(pos))
+        start = np.maximum.accumulate(np.where(np.diff(pos, prepend=-2) != 1, idx, 0))
+        even = (idx - start) % 2 == 0
+        pos, new = pos[even], new[even]
+        xs, ys = np.array([c[2] for c in chosen]), np.array([c[3] for c in chosen])
+        rules.extend(zip(xs.tolist(), ys.tolist()))
         ends = np.concatenate((ends, ends[ys]))
         explen = np.concatenate((explen, explen[xs] + explen[ys]))
-        out = seq.copy()
-        out[pos] = new
         keep = np.ones(len(seq), dtype=bool)
         keep[pos + 1] = False
-        seq = out[keep]
+        seq = seq.copy()
+        seq[pos] = new
+        before, seq = len(seq), seq[keep]
+        if len(pos) < min_gain * before:
+            break
     r = np.array(rules, dtype=np.uint32).reshape(-1, 2)
     return seq, r, explen[base:]
 
@@ -127,46 +158,55 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def write_token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-                       vocab: str = "byte_bpe_50k.json", end_id: int = 0, docs_per_shard: int = 500,
-                       min_count: int = 4) -> None:
-    """Encode, shard by id range, compress and write one blob per shard to ``path``."""
-    n = docs.count()
-    shards = max(1, -(-n // docs_per_shard))
+                       vocab: str = "byte_bpe_50k.json", end_id: int = 0, shard_bytes: int = 4 << 20,
+                       min_count: int = 8) -> None:
+    """Encode, shard by id range, compress and write one row per shard to ``path``."""
     sel = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    size = sel.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    sel = sel.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    sel = sel.repartitionByRange(max(1, -(-size // shard_bytes)), *order).sortWithinPartitions(*order)
 
     def shard(batches):
-        tok = tokenizer(vocab)
-        end = tok.get_vocab_size()  # the end of a document: the first symbol after the vocabulary
+        pre = pretokens(vocab)
+        end = pre.tok.get_vocab_size()  # the end of a document: the first symbol after the vocabulary
         base = end + 1
-        ids_l, parts = [], []
+        ids, parts, ntok = [], [], []
         for pdf in batches:
-            enc = tok.encode_batch([t or "" for t in pdf["text"].tolist()], add_special_tokens=False)
-            ids_l.extend(pdf["doc_id"].tolist())
-            parts.extend(np.append(np.asarray(e.ids, dtype=np.int32), np.int32(end)) for e in enc)
-            del enc
+            ids.extend(pdf["doc_id"].tolist())
+            for t in pdf["text"]:
+                x = pre.encode(t or "")
+                x.append(end)
+                ntok.append(len(x))
+                parts.append(np.array(x, dtype=np.int32))
         if not parts:
             return
-        ntok = np.array([len(p) for p in parts], dtype=np.int64)
         whole = np.concatenate(parts).astype(np.int64)
         parts.clear()
+        total = len(whole)
         seq, rules, explen = repair(whole, base, end, min_count)
         del whole
         # document starts in the compressed sequence: after each symbol that ends a document
         ends = np.zeros(base + len(rules), dtype=bool)
         ends[end] = True
-        for r, (x, y) in enumerate(rules):
+        for r, (_, y) in enumerate(rules.tolist()):
             ends[base + r] = ends[y]
         coff = np.concatenate(([0], np.nonzero(ends[seq])[0] + 1)).astype(np.int64)
         buf = io.BytesIO()
-        np.savez(buf, doc_id=np.array([-1 if x is None or x != x else x for x in ids_l], dtype=np.int64),
-                 has_id=np.array([not (x is None or x != x) for x in ids_l]), n_tokens=ntok, coff=coff,
-                 seq=seq.astype(np.uint32), rules=rules, explen=explen, base=np.array([base]),
-                 end=np.array([end, end_id]))
-        yield pd.DataFrame({"shard": [TaskContext.get().partitionId()], "n_docs": [len(ids_l)], "blob": [buf.getvalue()]})
+        np.savez(buf, n_tokens=np.array(ntok, dtype=np.int64), coff=coff, seq=seq.astype(np.uint32), rules=rules,
+                 explen=explen, base=np.array([base]), end=np.array([end, end_id]))
+        yield pd.DataFrame({"shard": [TaskContext.get().partitionId()], "n_docs": [len(ids)], "n_tokens": [total],
+                            "doc_ids": [[None if i is None or i != i else int(i) for i in ids]], "blob": [buf.getvalue()]})
+
+    sel.mapInPandas(shard, "shard long, n_docs long, n_tokens long, doc_ids array<long>, blob binary").write.mode("overwrite").parquet(path)
 
-    sel.mapInPandas(shard, "shard long, n_docs long, blob binary").write.mode("overwrite").parquet(path)
+
+def _shard_starts(files: DataFrame, block: int = 4096) -> DataFrame:
+    """(shard, shard_start): tokens before each shard, summed over blocks of shards and inside them."""
+    t = files.select("shard", "n_tokens", F.floor(F.col("shard") / block).alias("bl"))
+    b = t.groupBy("bl").agg(F.sum("n_tokens").alias("bt"))
+    b = b.select("bl", (F.sum("bt").over(Window.orderBy("bl")) - F.col("bt")).alias("before"))  # one row per block of shards
+    inside = F.sum("n_tokens").over(Window.partitionBy("bl").orderBy("shard")) - F.col("n_tokens")
+    return t.select("shard", "bl", inside.alias("inside")).join(b, "bl").select("shard", (F.col("before") + F.col("inside")).alias("shard_start"))
 
 
 def read_token_shards(spark, path: str) -> DataFrame:
@@ -175,28 +215,63 @@ def read_token_shards(spark, path: str) -> DataFrame:
 
     def dec(batches):
         for pdf in batches:
-            for no, blob in zip(pdf["shard"], pdf["blob"]):
+            for no, ids, blob in zip(pdf["shard"], pdf["doc_ids"], pdf["blob"]):
                 z = np.load(io.BytesIO(blob))
-                base, rules, coff, seq = int(z["base"][0]), z["rules"], z["coff"], z["seq"]
                 end, end_id = z["end"].tolist()
-                crc = []
-                for d in range(len(z["n_tokens"])):
-                    ids = expand(seq[coff[d]:coff[d + 1]], rules, base)
-                    ids[ids == end] = end_id
-                    crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-                ntok = z["n_tokens"]
-                yield pd.DataFrame({"doc_id": pd.Series(z["doc_id"], dtype="Int64").where(z["has_id"]),
-                                    "shard": no, "has_id": z["has_id"], "seq_no": np.arange(len(ntok)),
-                                    "local": np.cumsum(ntok) - ntok, "n_tokens": ntok, "ids_crc32": np.array(crc, dtype=np.int64)})
-
-    rows = files.mapInPandas(dec, "doc_id long, shard long, has_id boolean, seq_no long, local long, n_tokens long, ids_crc32 long")
-    tot = rows.groupBy("shard").agg(F.sum("n_tokens").alias("t"))  # one row per shard
-    w = Window.orderBy("shard")
-    tot = tot.withColumn("shard_start", F.sum("t").over(w) - F.col("t"))
-    return (rows.join(F.broadcast(tot), "shard")
+                whole = expand(z["seq"], z["rules"], int(z["base"][0]))
+                whole[whole == end] = end_id
+                raw, ntok = memoryview(whole.astype("<u4").tobytes()), z["n_tokens"]
+                cuts = np.concatenate(([0], np.cumsum(ntok)))
+                crc = [zlib.crc32(raw[4 * i:4 * j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                yield pd.DataFrame({"doc_id": pd.array([None if i is None or i != i else int(i) for i in ids], dtype="Int64"),
+                                    "shard": no, "local": cuts[:-1], "n_tokens": ntok, "ids_crc32": np.array(crc, dtype=np.int64)})
+
+    rows = (files.select("shard", "doc_ids", "blob")
+            .mapInPandas(dec, "doc_id long, shard long, local long, n_tokens long, ids_crc32 long"))
+    return (rows.join(_shard_starts(files), "shard")
             .select("doc_id", (F.col("shard_start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"))
 
 
+def read_token_ranges(spark, path: str, wanted: DataFrame) -> DataFrame:
+    """Random access: ``wanted`` (doc_id, lo, hi) -> doc_id, lo, hi, ids (tokens lo to hi - 1 of the document).
+
+    Shards that hold no asked document are not decoded, and of a document only the symbols that
+    cover the range are expanded.  A document stored several times gives a row per copy; an unknown
+    id gives none; a range is cut to the document's length.
+    """
+    files = spark.read.parquet(path)
+    index = files.select("shard", F.posexplode("doc_ids").alias("place", "doc_id"))
+    ask = wanted.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+    asks = index.join(ask, "doc_id").select("shard", "place", "doc_id", "lo", "hi")
+    # the blobs travel to the asks, each with as many asks as one row may hold
+    grouped = (asks.withColumn("part", F.pmod(F.xxhash64("doc_id", "lo", "hi"), F.lit(64))).groupBy("shard", "part")
+               .agg(F.collect_list(F.struct("place", "doc_id", "lo", "hi")).alias("asks")))
+
+    def dec(batches):
+        for pdf in batches:
+            for blob, asked in zip(pdf["blob"], pdf["asks"]):
+                z = np.load(io.BytesIO(blob))
+                seq, rules, base, coff, ntok = z["seq"], z["rules"], int(z["base"][0]), z["coff"], z["n_tokens"]
+                (end, end_id), size = z["end"].tolist(), np.concatenate((np.ones(base, dtype=np.int64), z["explen"]))
+                out = []
+                for a in asked:
+                    p = a["place"]
+                    lo, hi = max(0, a["lo"]), min(a["hi"], int(ntok[p]))
+                    ids = []
+                    if lo < hi:
+                        doc = seq[coff[p]:coff[p + 1]]
+                        upto = np.cumsum(size[doc])  # tokens up to each symbol
+                        i, j = np.searchsorted(upto, lo, side="right"), np.searchsorted(upto, hi, side="left")
+                        skip = int(upto[i - 1]) if i else 0
+                        ids = expand(doc[i:j + 1], rules, base)[lo - skip:hi - skip]
+                        ids[ids == end] = end_id
+                        ids = ids.tolist()
+                    out.append((a["doc_id"], a["lo"], a["hi"], ids))
+                yield pd.DataFrame(out, columns=["doc_id", "lo", "hi", "ids"])
+
+    return files.select("shard", "blob").join(grouped, "shard").mapInPandas(dec, "doc_id long, lo long, hi long, ids array<long>")
+
+
 def token_shards(docs: DataFrame, **kw) -> DataFrame:
     """Write the shards under the shared folder and read them back."""
     path = scratch_path(docs.sparkSession, "tokens")

@@ -108,8 +108,8 @@ def test_water_fill_and_mix(lspark):
     t = water_fill([10, 10, 100], [5, 2, 1], 3.0)
     assert abs(sum(t) - 120) < 1e-9 and t[0] == 30 and t[1] <= 30
     d = docs(lspark)
-    a = sorted(mix(d, block=8, shard_blocks=4).select("doc_id", "size", "taken", "target").collect(), key=str)
-    b = sorted(mix(d, block=8, shard_blocks=4).select("doc_id", "size", "taken", "target").collect(), key=str)
+    a = sorted(mix(d, block=8, min_slots=1, shard_blocks=4).select("doc_id", "size", "taken", "target").collect(), key=str)
+    b = sorted(mix(d, block=8, min_slots=1, shard_blocks=4).select("doc_id", "size", "taken", "target").collect(), key=str)
     assert a == b
     for r in a:
         assert r.taken <= 3 * r.size
@@ -122,7 +122,7 @@ def test_mix_keeps_every_row_of_a_null_source(lspark):
     from souk.llm.mixing import mix
     rows = [(i, " ".join(f"w{j}" for j in range(i % 7)), (None, "a", "b")[i % 3]) for i in range(60)]
     rows += [(None, "no id", None), (3, "again 3", None)]
-    out = mix(lspark.createDataFrame(rows, "doc_id long, text string, source string"), block=8, shard_blocks=4).collect()
+    out = mix(lspark.createDataFrame(rows, "doc_id long, text string, source string"), block=8, min_slots=1, shard_blocks=4).collect()
     assert sorted((str(r.doc_id), r.text, str(r.source)) for r in out) == sorted((str(i), t, str(s)) for i, t, s in rows)
     null = [r for r in out if r.source is None and r.doc_id is not None]
     assert {r.source_size for r in null} == {sum(r.size for r in null)} and sum(r.taken for r in null) > 0
@@ -134,7 +134,7 @@ def test_mixed_rows_are_the_mix(lspark):
     from souk.llm.mixing import mix, mixed, mixed_documents
     rows = [(i, "  " * (i % 2) + " \n".join(f"d{i}x{j}" for j in range(i % 23)) + " " * (i % 3), ("a", "b", None, "c")[min(i % 7, 3)]) for i in range(120)]
     d = lspark.createDataFrame(rows, "doc_id long, text string, source string")
-    kw = dict(block=8, shard_blocks=16)
+    kw = dict(block=8, min_slots=1, shard_blocks=16)
     out = mixed(d, **kw).collect()
     assert sorted(out) == sorted(mixed(d, **kw).collect())
     taken = {r.doc_id: r.taken for r in mix(d, **kw).collect()}
@@ -192,7 +192,7 @@ def test_token_shards_and_counts(lspark):
         ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], dtype="<u4")
         exp[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
-    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_shards(d, docs_per_shard=2).collect()}
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_shards(d, shard_bytes=40).collect()}
     assert got == exp
     cnt = {r.doc_id: (r.n_tokens, r.n_bytes) for r in token_counts(d).collect()}
     for i, t in rows:
@@ -210,8 +210,8 @@ def test_token_shards_keep_texts_that_hold_the_end_id(lspark):
     rows += [(33, "Same! row"), (33, "Same! row")] + [(None, f"Null! id {i}") for i in range(6)]
     d = lspark.createDataFrame(rows, "doc_id long, text string")
     ids = [(i, np.array(tok.encode(t or "", add_special_tokens=False).ids + [0], dtype="<u4")) for i, t in rows]
-    for per in (2, 10, 100):
-        got = sorted(token_shards(d, docs_per_shard=per).collect(), key=lambda r: r.start)
+    for per in (20, 100, 4000):
+        got = sorted(token_shards(d, shard_bytes=per).collect(), key=lambda r: r.start)
         assert sorted((str(r.doc_id), r.n_tokens, r.ids_crc32) for r in got) == sorted((str(i), len(x), zlib.crc32(x.tobytes())) for i, x in ids)
         assert [r.doc_id for r in got] == [i for i, _ in rows]  # null ids last
         assert [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
