@@ -6,14 +6,14 @@ Method.
    pre-tokenizer (``pretokens``; after cutting it at the vocabulary's special strings, one
    token each).  A document becomes two arrays, the 64-bit hashes of its
    distinct pre-tokens and how often each occurs; next to the documents the
-   pass writes every pre-token string of the task once, with its hash and the
-   number of documents that hold it.  Both go to one scratch table in the
+   pass writes every pre-token string of the task once, with the number of
+   documents that hold it.  Both go to one scratch table in the
    shared folder: texts are read and cut once, and strings are never repeated
    per document.
 2. The distinct pre-tokens of the corpus (one grouped aggregate by hash) are
    split into pieces by the tokenizer's model once each.  Should two strings
    share a hash, the passes run again with another hash seed: exact, not likely.
-3. The ``frequent`` most widespread pre-tokens (a fixed bound, 16 bytes each) are
+3. The ``frequent`` most widespread pre-tokens (a fixed bound: 2**20 of 16 bytes) are
    sent to the tasks, where documents add up their counts locally.  They are
    the hot join keys; all others are joined by shuffle and summed.
 4. Documents are known by a 128-bit hash of their text, never by row numbers
@@ -45,8 +45,11 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def _cut_pass(texts: DataFrame, vocab: str, seed: int, known_limit: int):
-    """(k1, k2, text) -> rows of documents (k1, k2, special, hs, cs) and of pre-tokens (pt, h, seen)."""
+def _cut_pass(texts: DataFrame, vocab: str, seed: int, known_limit: int, rows: int = 512):
+    """(k1, k2, text) -> rows of documents (k1, k2, special, hs, cs) and of pre-tokens (pt, seen).
+
+    ``hs`` are the hashes that ``xxhash64(lit, pt)`` gives: 64-bit xxHash seeded by ``seed``.
+    """
 
     def run(batches):
         import xxhash
@@ -56,41 +59,42 @@ def _cut_pass(texts: DataFrame, vocab: str, seed: int, known_limit: int):
         known: dict[str, list] = {}
 
         def strings():
-            rows = list(known.items())
+            found = list(known.items())
             known.clear()
-            n = len(rows)
-            return _batch([None] * n, [None] * n, [None] * n, [None] * n, [None] * n, [p for p, _ in rows],
-                          [v[0] for _, v in rows], [v[1] for _, v in rows])
+            none = [None] * len(found)
+            return _batch(none, none, none, none, none, [p for p, _ in found], [v[1] for _, v in found])
 
         for batch in batches:
-            marks, hs, cs = [], [], []
-            for t in batch.column(2).to_pylist():
-                parts = pre.parts(t)
-                count: Counter = Counter()
-                for p in parts[::2]:
-                    count.update(pre.cut(p))
-                h = []
-                for p in count:
-                    v = known.get(p)
-                    if v is None:
-                        v = known[p] = [xxhash.xxh64_intdigest(p.encode(), seed) - (1 << 63), 0]
-                    v[1] += 1
-                    h.append(v[0])
-                marks.append(len(parts) // 2)
-                hs.append(h)
-                cs.append(list(count.values()))
+            for at in range(0, len(batch), rows):
+                part = batch.slice(at, rows)
+                marks, hs, cs = [], [], []
+                for t in part.column(2).to_pylist():
+                    pieces = pre.parts(t)
+                    count: Counter = Counter()
+                    for p in pieces[::2]:
+                        count.update(pre.cut(p))
+                    h = []
+                    for p in count:
+                        v = known.get(p)
+                        if v is None:
+                            v = known[p] = [np.uint64(xxhash.xxh64_intdigest(p.encode(), seed)).astype(np.int64), 0]
+                        v[1] += 1
+                        h.append(v[0])
+                    marks.append(len(pieces) // 2)
+                    hs.append(np.array(h, dtype=np.int64))
+                    cs.append(np.fromiter(count.values(), dtype=np.int32, count=len(count)))
+                n = len(marks)
+                yield _batch(part.column(0), part.column(1), marks, hs, cs, [None] * n, [None] * n)
                 if len(known) > known_limit:
                     yield strings()
-            n = len(marks)
-            yield _batch(batch.column(0), batch.column(1), marks, hs, cs, [None] * n, [None] * n, [None] * n)
         if known:
             yield strings()
 
-    return texts.mapInArrow(run, "k1 long, k2 long, special long, hs array<long>, cs array<int>, pt string, h long, seen long")
+    return texts.mapInArrow(run, "k1 long, k2 long, special long, hs array<long>, cs array<int>, pt string, seen long")
 
 
 _TYPES = {"k1": pa.int64(), "k2": pa.int64(), "special": pa.int64(), "hs": pa.list_(pa.int64()), "cs": pa.list_(pa.int32()),
-          "pt": pa.string(), "h": pa.int64(), "seen": pa.int64()}
+          "pt": pa.string(), "seen": pa.int64()}
 
 
 def _batch(*cols) -> pa.RecordBatch:
@@ -112,25 +116,28 @@ def _pieces(strings: DataFrame, vocab: str) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, text_col: str = "text", vocab: str = "byte_bpe_50k.json", limit: int = 1024,
-                 frequent: int = 1 << 16, known_limit: int = 200_000) -> DataFrame:
+                 frequent: int = 1 << 20, known_limit: int = 200_000) -> DataFrame:
     """Input rows plus n_bytes, n_tokens and over_limit."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = packed(docs, *_text_key(text), F.octet_length(text).cast("long").alias("n_bytes"), drop=OUT)
     texts = docs.select(*_text_key(text), text.alias("t"))
-    for seed in range(8):
+    for trial in range(8):
         path = scratch_path(spark, "pretokens")
-        _cut_pass(texts, vocab, seed, known_limit).write.parquet(path)
+        seed = spark.range(1).select(F.xxhash64(F.lit(trial))).first()[0] % (1 << 64)
+        _cut_pass(texts, vocab, seed, known_limit).write.option("compression", "zstd").parquet(path)
         stored = spark.read.parquet(path)
-        strings = cut(stored.where("pt is not null").groupBy("h")
+        strings = cut(stored.where("pt is not null").select("pt", "seen", F.xxhash64(F.lit(trial), "pt").alias("h")).groupBy("h")
                       .agg(F.min("pt").alias("pt"), F.max("pt").alias("other"), F.sum("seen").alias("seen")))
         if not strings.where("pt <> other").limit(1).count():
             break
     else:
         raise RuntimeError("pre-tokens share a hash under every seed")
     pieces = cut(_pieces(strings, vocab))
-    top = sorted((r["h"], r["n"]) for r in pieces.orderBy(F.desc("seen"), "h").limit(frequent).collect())  # at most ``frequent`` rows
-    bc = spark.sparkContext.broadcast((np.array([h for h, _ in top], dtype=np.int64), np.array([n for _, n in top], dtype=np.int64)))
+    top = pieces.orderBy(F.desc("seen"), "h").limit(frequent).select("h", "n").toArrow()  # at most ``frequent`` rows of 16 bytes
+    hot, cost = (top.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
+    order = np.argsort(hot)
+    bc = spark.sparkContext.broadcast((hot[order], cost[order]))
     per = stored.where("k1 is not null").select("k1", "k2", "special", "hs", "cs")
 
     def local(batches):
