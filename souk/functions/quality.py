@@ -12,7 +12,7 @@ PHONE_PREFIXES = ("+221", "00221")
 PHONE_PATTERN = r"^7[0-9]{8}$"
 EMAIL_PATTERN = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 ALERT_IMAGE_HOST = "res.cloudinary.com"
-ALERT_IMAGE_PATH = "/amw/image-search/"
+ALERT_IMAGE_PATH = "/shop/image-search/"
 
 
 def normalize_phone(c) -> Column:

@@ -8,15 +8,18 @@ offer x image) skip the array and are what the SQL oracle compares.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.calendar import date_spine
 from ..functions.exprs import as_of_ts, contains_pattern, js_trim
+from .common import Key, asc, desc
 from .common import page as take_page
 
-DEFAULT_IMAGE = "amw.png"
+DEFAULT_IMAGE = "default.png"
 OFFER_COLUMNS = ["id", "reference", "product_name", "category", "description", "old_price",
                  "discount", "new_price", "wholesale_price", "quantity", "status", "created_at"]
 SEARCH_COLUMNS = ["product_name", "category", "description"]
@@ -64,26 +67,26 @@ def offers_filter(offers: DataFrame, category: str | None = None,
     return out
 
 
-def sort_columns(sort: str | None) -> list[Column]:
+def sort_keys(sort: str | None) -> list[Key]:
     """O1: whitelisted sort modes, unknown -> newest; PostgreSQL null placement."""
     modes = {
-        "newest": [F.col("created_at").desc_nulls_first(), F.col("id").desc()],
-        "price-low": [F.col("new_price").asc_nulls_last(), F.col("id").desc()],
-        "price-high": [F.col("new_price").desc_nulls_first(), F.col("id").desc()],
-        "discount": [F.col("discount").desc_nulls_last(), F.col("created_at").desc_nulls_first(),
-                     F.col("id").desc()],
+        "newest": [desc("created_at"), desc("id")],
+        "price-low": [asc("new_price"), desc("id")],
+        "price-high": [desc("new_price"), desc("id")],
+        "discount": [desc("discount", nulls_first=False), desc("created_at"), desc("id")],
     }
     return modes.get(sort or "newest", modes["newest"])
 
 
 def paging_args(page_no=None, limit=None) -> tuple[int, int]:
-    """O2: page >= 1 (default 1), limit >= 1 (default 1,000,000); parseInt rules."""
+    """O2: page >= 1 (default 1), limit >= 1 (default 1,000,000).
+
+    JavaScript's ``Math.max(1, parseInt(v, 10) || default)``: leading white
+    space, a sign and the leading digits count, anything after them does not.
+    """
     def parse(v, default):
-        try:
-            n = int(str(v).strip().split(".")[0]) if v is not None and str(v).strip() else 0
-        except ValueError:
-            n = 0
-        return max(1, n or default)
+        m = re.match(r"\s*([+-]?\d+)", "" if v is None else str(v))
+        return max(1, (int(m.group(1)) if m else 0) or default)
     return parse(page_no, 1), parse(limit, 1_000_000)
 
 
@@ -152,11 +155,18 @@ def images_per_offer(offers: DataFrame, images: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 def offers_page(offers: DataFrame, images: DataFrame, page=None, limit=None, search=None,
                 category=None, sort=None, nested: bool = True) -> DataFrame:
-    """One page of the catalogue, images attached after the page is cut."""
+    """One page of the catalogue in order, images attached after the page is cut.
+
+    Late materialisation: positions are found on narrow rows (id and sort
+    keys), the page's ids then fetch their rows and images.  ``position`` is the
+    0-based place in the whole listing; rows come back in that order.
+    """
     p, l = paging_args(page, limit)
     rows = offers_filter(offers, category, search).select(*_present(offers, OFFER_COLUMNS))
-    cut = take_page(rows, sort_columns(sort), p, l)
-    return with_images(cut, images, nested=nested)
+    keys = sort_keys(sort)
+    ids = take_page(rows.select(*dict.fromkeys(k.name for k in keys)), keys, p, l).select("id", "position")
+    out = with_images(rows.join(ids, "id"), images, nested=nested)
+    return out.orderBy("position") if nested else out.orderBy("position", "image_pos")
 
 
 def offers_page_info(offers: DataFrame, page=None, limit=None, search=None,

@@ -1,6 +1,6 @@
 """Batches of changes applied to table snapshots: ``apply(base, changes) -> new``.
 
-Four generic patterns carry almost every write of the reference:
+Four generic patterns carry almost every write:
 :func:`upsert_agg` (additive merge), :func:`insert_if_absent`,
 :func:`latest_wins` (keyed overwrite, last change by time wins) and
 :func:`anti_delete`.  Each instance below adds its own validation filter.
@@ -19,7 +19,8 @@ from ..functions.exprs import (WRITABLE_ORDER_STATUSES, as_of_date, as_of_ts, bl
                                js_or_num, js_or_str, js_trim, reference_number)
 from ..functions.quality import is_email, normalize_phone
 from .catalog import DEFAULT_IMAGE, main_image
-from .common import global_position
+from .common import asc, global_position
+from .graph import connected_components
 
 MAX_LINE_QTY = 100
 MAX_IMAGES = 8
@@ -140,7 +141,7 @@ def cart_touch(carts: DataFrame, touches: DataFrame) -> DataFrame:
              .select("id", "user_id", F.coalesce("_last", "updated_at").alias("updated_at")))
     new = t.join(carts.select("user_id"), "user_id", "left_anti")
     top = carts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))
-    new = global_position(new, [F.col("_first").asc(), F.col("user_id").asc()])
+    new = global_position(new, [asc("_first"), asc("user_id")])
     new = new.crossJoin(top).select((F.col("_max") + F.col("_pos") + 1).alias("id"), "user_id",
                                     F.col("_last").alias("updated_at"))
     return known.unionByName(new)
@@ -173,43 +174,66 @@ def _price_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_amount", F.coalesce("unit_price", F.lit(0)) * q)
 
 
+HEADER_TEXTS = ("first_name", "last_name", "phone", "email", "delivery_method", "address", "city", "district", "payment_method")
+
+
+def _text(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
+
+
+def valid_headers(headers: DataFrame) -> DataFrame:
+    """Order headers that pass validation: first and last name, phone, delivery
+    and payment method given (not empty, untrimmed); home delivery needs
+    address and city."""
+    ok = F.lit(True)
+    for c in ("first_name", "last_name", "phone", "delivery_method", "payment_method"):
+        ok = ok & (_text(c) != "")
+    return headers.where(ok & ((F.col("delivery_method") != "home") | ((_text("address") != "") & (_text("city") != ""))))
+
+
+def _orders_from(lines: DataFrame, headers: DataFrame | None, key: str, orders: DataFrame, as_of, prefix: str) -> DataFrame:
+    """Numbered order rows, one per ``key`` with lines: header texts (address parts for home delivery
+    only, ``email || null``, ``district || null``), sums, status pending."""
+    h = lines.groupBy(key).agg(F.sum("_amount").cast("decimal(24,2)").alias("subtotal"))
+    if headers is not None:
+        h = h.join(headers.select(key, *HEADER_TEXTS), key)
+        home = F.col("delivery_method") == "home"
+        h = h.withColumns({c: F.when(home, F.col(c)) for c in ("address", "city")}
+                          | {"district": F.when(home, F.nullif("district", F.lit(""))), "email": F.nullif("email", F.lit(""))})
+    h = _number_orders(h, orders, [asc(key)], as_of, prefix)
+    return h.select("id", key, "reference", *(HEADER_TEXTS if headers is not None else ()), "subtotal",
+                    F.lit(0).cast("decimal(24,2)").alias("delivery_price"), F.col("subtotal").alias("total"),
+                    F.lit("pending").alias("status"), as_of_ts(as_of).alias("created_at"))
+
+
 def order_place_guest(requests: DataFrame, offers: DataFrame, images: DataFrame, orders: DataFrame,
-                      as_of, headers: DataFrame | None = None, prefix: str = "AMW",
+                      as_of, headers: DataFrame | None = None, prefix: str = "REF",
                       default_image: str = DEFAULT_IMAGE) -> tuple[DataFrame, DataFrame]:
     """M6: guest orders from item requests (``request_id, offer_id, quantity``
-    and a line order column ``line_no``).
-
-    A request is refused whole when a line is invalid (offer id <= 0,
-    quantity outside 1..100) or one of its offers is not active.  Lines copy
-    name and price at order time and the main image; subtotal = sum(price or
-    0 x quantity), delivery 0.  Accepted requests are numbered after the
-    highest order id, in request order.  Returns (orders, order_items).
+    and a line order column ``line_no``) and their ``headers`` (one row per request).
+
+    A request is refused whole when its header is invalid or missing, a line
+    is invalid (offer id <= 0, quantity outside 1..100) or one of its offers
+    is not active.  Lines copy name and price at order time and the main
+    image; subtotal = sum(price or 0 x quantity), delivery 0.  Accepted
+    requests are numbered after the highest order id, in request order.
+    Returns (orders, order_items).
     """
     r = requests
-    bad_line = r.where(~_valid_line()).select("request_id")
+    bad_line = r.where(~F.coalesce(_valid_line(), F.lit(False))).select("request_id")
     active = offers.where(F.col("status") == F.lit("active"))
     missing = r.join(active.select(F.col("id").alias("offer_id")), "offer_id", "left_anti").select("request_id")
     refused = bad_line.unionByName(missing).distinct()
     if headers is not None:
-        ok_h = (F.col("first_name").isNotNull() & (F.col("first_name") != "") & F.col("last_name").isNotNull()
-                & (F.col("last_name") != "") & F.col("phone").isNotNull() & (F.col("phone") != "")
-                & F.col("delivery_method").isNotNull() & (F.col("delivery_method") != "")
-                & F.col("payment_method").isNotNull() & (F.col("payment_method") != "")
-                & ((F.col("delivery_method") != "home")
-                   | (F.coalesce(F.col("address"), F.lit("")) != "") & (F.coalesce(F.col("city"), F.lit("")) != "")))
-        refused = refused.unionByName(headers.where(~ok_h).select("request_id")).distinct()
+        headers = valid_headers(headers)
+        r = r.join(headers.select("request_id"), "request_id", "left_semi")
     ok = r.join(refused, "request_id", "left_anti")
     mi = main_image(offers, images, default_image)
     lines = (ok.join(active.select(F.col("id").alias("offer_id"), "product_name",
                                    F.col("new_price").alias("unit_price")), "offer_id")
              .join(mi, "offer_id", "left"))
     lines = _price_lines(lines)
-    h = lines.groupBy("request_id").agg(F.sum("_amount").cast("decimal(24,2)").alias("subtotal"))
-    h = _number_orders(h, orders, [F.col("request_id").asc()], as_of, prefix)
-    h = h.select("id", "request_id", "reference", "subtotal",
-                 F.lit(0).cast("decimal(24,2)").alias("delivery_price"),
-                 F.col("subtotal").alias("total"), F.lit("pending").alias("status"),
-                 as_of_ts(as_of).alias("created_at"))
+    h = _orders_from(lines, headers, "request_id", orders, as_of, prefix)
     items = (lines.join(h.select(F.col("id").alias("order_id"), "request_id"), "request_id")
              .select("order_id", "line_no", "offer_id", "product_name", "quantity", "unit_price",
                      "image_url"))
@@ -217,27 +241,30 @@ def order_place_guest(requests: DataFrame, offers: DataFrame, images: DataFrame,
 
 
 def order_place_user(cart: DataFrame, carts: DataFrame, offers: DataFrame, images: DataFrame,
-                     orders: DataFrame, as_of, prefix: str = "AMW",
+                     orders: DataFrame, as_of, headers: DataFrame | None = None, prefix: str = "REF",
                      default_image: str = DEFAULT_IMAGE) -> tuple[DataFrame, DataFrame]:
-    """M7: one order per user from the user's cart (no active check).
+    """M7: one order per user from the user's cart (no active check), for users
+    with a valid header (``headers``: one row per ``user_id``).
 
     Basket = cart lines joined to offers (inner: lines of deleted offers
-    vanish); quantities are taken as stored.  Returns (orders, order_items).
+    vanish) in the order they were put in; quantities are taken as stored.
+    Returns (orders, order_items).
     """
     mi = main_image(offers, images, default_image)
-    lines = (cart.join(carts.select(F.col("id").alias("cart_id"), "user_id"), "cart_id")
+    owners = carts.select(F.col("id").alias("cart_id"), "user_id")
+    if headers is not None:
+        headers = valid_headers(headers)
+        owners = owners.join(headers.select("user_id"), "user_id", "left_semi")
+    lines = (cart.join(owners, "cart_id")
              .join(offers.select(F.col("id").alias("offer_id"), "product_name",
                                  F.col("new_price").alias("unit_price")), "offer_id")
              .join(mi, "offer_id", "left"))
     lines = _price_lines(lines)
-    h = lines.groupBy("user_id").agg(F.sum("_amount").cast("decimal(24,2)").alias("subtotal"))
-    h = _number_orders(h, orders, [F.col("user_id").asc()], as_of, prefix)
-    h = h.select("id", "user_id", "reference", "subtotal",
-                 F.lit(0).cast("decimal(24,2)").alias("delivery_price"),
-                 F.col("subtotal").alias("total"), F.lit("pending").alias("status"),
-                 as_of_ts(as_of).alias("created_at"))
-    items = (lines.join(h.select(F.col("id").alias("order_id"), "user_id"), "user_id")
-             .select("order_id", "offer_id", "product_name", "quantity", "unit_price", "image_url"))
+    h = _orders_from(lines, headers, "user_id", orders, as_of, prefix)
+    in_cart = W.partitionBy("user_id").orderBy(F.col("created_at").asc_nulls_last(), "offer_id")
+    items = (lines.withColumn("line_no", F.row_number().over(in_cart))
+             .join(h.select(F.col("id").alias("order_id"), "user_id"), "user_id")
+             .select("order_id", "line_no", "offer_id", "product_name", "quantity", "unit_price", "image_url"))
     return h, items
 
 
@@ -251,7 +278,7 @@ def order_status_apply(orders: DataFrame, changes: DataFrame) -> DataFrame:
                        {"status": "status", "updated_at": "ts"})
 
 
-def reference_numbers(df: DataFrame, as_of, prefix: str = "AMW", key: str = "id") -> DataFrame:
+def reference_numbers(df: DataFrame, as_of, prefix: str = "REF", key: str = "id") -> DataFrame:
     """``PREFIX-YYYY-000123`` for every row (year of ``as_of``)."""
     return df.select(key, reference_number(prefix, F.year(as_of_date(as_of)), F.col(key)).alias("reference"))
 
@@ -259,7 +286,7 @@ def reference_numbers(df: DataFrame, as_of, prefix: str = "AMW", key: str = "id"
 # ---------------------------------------------------------------------------
 # Offers and images
 # ---------------------------------------------------------------------------
-def offer_defaults(requests: DataFrame, as_of, prefix: str = "AMW", ai_path: bool = False) -> DataFrame:
+def offer_defaults(requests: DataFrame, as_of, prefix: str = "REF", ai_path: bool = False) -> DataFrame:
     """Accepted create requests with defaults and reference.
 
     Required (truthy, untrimmed): product_name, category, description,
@@ -451,28 +478,76 @@ def identity_register(users: DataFrame, registrations: DataFrame) -> DataFrame:
     p = p.withColumn("_k", F.coalesce(F.concat(F.lit("e:"), "email"), F.concat(F.lit("p:"), "phone")))
     p = first_per_key(p, ["_k"], ["ts", "event_id"]).drop("_k")
     top = users.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))
-    p = global_position(p, [F.col("ts").asc(), F.col("event_id").asc()]).crossJoin(top)
+    p = global_position(p, [asc("ts"), asc("event_id")]).crossJoin(top)
     return p.select((F.col("_max") + F.col("_pos") + 1).alias("id"), "event_id",
                     name.alias("full_name"), "email", "phone", F.col("ts").alias("created_at"))
 
 
-def profile_update_apply(users: DataFrame, updates: DataFrame) -> DataFrame:
-    """Name required (trimmed); a given phone must normalise, else the
-    update is refused; a phone held by another user refuses it too (the
-    first claim in the batch wins); last accepted update per user wins."""
+def _replay_profiles(batches):
+    """Updates of a component in order, against the phones its users hold: (kind, user, event, phone) rows
+    sorted by component; yields (event_id) of the accepted updates."""
+    import pyarrow as pa
+    comp, holders, phone_of = None, {}, {}
+    for b in batches:
+        out = []
+        for c, kind, user, event, phone in zip(*[b.column(i).to_pylist() for i in range(5)]):
+            if c != comp:
+                comp, holders, phone_of = c, {}, {}
+            old = phone_of.get(user)
+            if kind and phone is not None and holders.get(phone, set()) - {user}:
+                continue  # held by another user at this moment
+            if old is not None:
+                holders[old].discard(user)
+            phone_of[user] = phone
+            if phone is not None:
+                holders.setdefault(phone, set()).add(user)
+            if kind:
+                out.append(event)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["event_id"])
+
+
+def profile_updates_accepted(users: DataFrame, updates: DataFrame) -> DataFrame:
+    """The updates that pass, applied one by one in (ts, event_id) order.
+
+    An update needs a name and an existing user, and a given phone must
+    normalise; it is refused when another user holds that phone at its time.
+    Phones are freed and taken by the accepted updates themselves, so an
+    order matters -- but only between users who ever share a phone.  Phones that
+    one user alone holds or asks for can refuse nobody: their updates pass without
+    further work (NULL phones in particular meet nowhere).  The others form
+    components over (user, shared phone); each is replayed in order by a task
+    that streams over its rows and keeps the phones of its users only.
+    ``updates``: event_id, user_id, ts, full_name, phone[, gender, address].
+    """
     u = updates.withColumn("_phone", normalize_phone(F.col("phone")))
-    ok = blank_to_null("full_name").isNotNull() & (F.col("phone").isNull() | (F.col("phone") == "")
-                                                   | F.col("_phone").isNotNull())
-    u = u.where(ok)
-    held = users.select(F.col("id").alias("_holder"), F.col("phone").alias("_phone"))
-    u = u.join(held, "_phone", "left").where(F.col("_holder").isNull() | (F.col("_holder") == F.col("user_id")))
-    w = W.partitionBy("_phone").orderBy("ts", "event_id")
-    first_claim = F.first("user_id").over(w)
-    u = u.withColumn("_claim", F.when(F.col("_phone").isNotNull(), first_claim)) \
-        .where(F.col("_claim").isNull() | (F.col("_claim") == F.col("user_id")))
-    u = u.select(F.col("user_id").alias("id"), "ts", "event_id",
-                 js_trim("full_name").alias("n_full_name"), F.col("_phone").alias("n_phone"))
-    return latest_wins(users.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
-                       if "updated_at" not in users.columns else users,
-                       u, ["id"], ["ts", "event_id"],
-                       {"full_name": "n_full_name", "phone": "n_phone", "updated_at": "ts"})
+    ok = blank_to_null("full_name").isNotNull() & (F.col("phone").isNull() | (F.col("phone") == "") | F.col("_phone").isNotNull())
+    u = u.where(ok).join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi")
+    held = users.where(F.col("phone").isNotNull()).select(F.col("id").alias("user_id"), F.col("phone").alias("_phone"))
+    claims = held.unionByName(u.where(F.col("_phone").isNotNull()).select("user_id", "_phone")).distinct()
+    shared = (claims.groupBy("_phone").agg(F.min("user_id").alias("a"), F.count(F.lit(1)).alias("n"))
+              .where("n > 1"))
+    edges = claims.join(shared, "_phone").select("a", F.col("user_id").alias("b")).distinct()
+    comp = connected_components(edges).withColumnRenamed("node", "user_id")
+    rows = (held.join(comp, "user_id")
+            .select("component", F.lit(0).alias("kind"), "user_id", F.lit(None).cast("timestamp_ntz").alias("ts"),
+                    F.lit(None).cast("long").alias("event_id"), "_phone")
+            .unionByName(u.join(comp, "user_id").select("component", F.lit(1).alias("kind"), "user_id",
+                                                        F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "_phone")))
+    rows = rows.repartition("component").sortWithinPartitions("component", "kind", "ts", "event_id")
+    passed = rows.select("component", "kind", "user_id", "event_id", "_phone").mapInArrow(_replay_profiles, "event_id long")
+    free = u.join(comp.select("user_id"), "user_id", "left_anti")
+    return free.unionByName(u.join(passed, "event_id", "left_semi").select(*free.columns))
+
+
+def profile_update_apply(users: DataFrame, updates: DataFrame) -> DataFrame:
+    """Users after the accepted updates (:func:`profile_updates_accepted`); the
+    last one per user overwrites name (trimmed), phone (normalised or NULL), gender
+    and address (``x ? x.trim() : null``) where those columns exist."""
+    u = profile_updates_accepted(users, updates)
+    cols = {"full_name": js_trim("full_name"), "phone": F.col("_phone")}
+    for c in ("gender", "address"):
+        if c in users.columns:
+            cols[c] = F.when(_text(c) != "", js_trim(c)) if c in u.columns else F.lit(None).cast("string")
+    u = u.select(F.col("user_id").alias("id"), "ts", "event_id", *[v.alias(f"n_{c}") for c, v in cols.items()])
+    base = users if "updated_at" in users.columns else users.withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    return latest_wins(base, u, ["id"], ["ts", "event_id"], {c: f"n_{c}" for c in cols} | {"updated_at": "ts"})

@@ -1,6 +1,6 @@
 """Documents: orders, invoices, carts and favourites with their lines.
 
-The reference loads lines with one statement per parent (N+1); here every
+A web shop loads lines with one statement per parent (N+1); here every
 document type is one join of parents with pre-aggregated or ranked lines.
 ``nested=True`` gives an array-of-struct column per parent (lines sorted by
 their position); ``nested=False`` gives one row per line (parents without
@@ -152,7 +152,7 @@ def cart_view(cart_items: DataFrame, carts: DataFrame, offers: DataFrame, images
               default_image: str = DEFAULT_IMAGE) -> DataFrame:
     """Cart lines of every user with offer fields and main image.
 
-    Inner joins (no status filter, as in the reference); the main image is
+    Inner joins (no status filter); the main image is
     one ``row_number() == 1`` frame joined once, not a per-row subquery.
     """
     mi = main_image(offers, images, default_image)

@@ -40,7 +40,7 @@ def order_period_stats(orders: DataFrame, as_of, days: int) -> DataFrame:
     """One row: current-period, previous-period and delivery counts.
 
     Bounded measures (revenue, orders, cancelled) use ``[start, as_of+1d)``;
-    the delivery-state counts have only the lower bound, as in the reference.
+    the delivery-state counts have only the lower bound.
     """
     start = period_start(as_of, days).cast("timestamp_ntz")
     prev = previous_start(as_of, days).cast("timestamp_ntz")
@@ -135,7 +135,7 @@ def items_sold(order_items: DataFrame | None, orders: DataFrame, as_of, days: in
                spark: SparkSession | None = None) -> DataFrame:
     """A5: quantity sold on not-cancelled orders since the period start.
 
-    No upper bound, as in the reference.  The orders side is filtered first
+    No upper bound.  The orders side is filtered first
     (pushed to the scan); the join is a semi join on the order key, so Spark
     may build a runtime bloom filter to cut the order-line side before the
     shuffle.  A missing order-lines table yields 0.
@@ -241,7 +241,7 @@ def category_performance(offers: DataFrame, categories: DataFrame | None, top: i
     """List value of offers per category name, top ``top``.
 
     "revenue" is the sum of ``price`` of offers whose status is not cancelled
-    (as in the reference: list value, not sales), over all offers.  Offers are
+    (list value, not sales), over all offers.  Offers are
     pre-aggregated per ``category_id`` before the join, so the join sees one
     row per category id whatever the size of the offers table.  Without a
     ``category_id`` column (or categories table) the report is empty.

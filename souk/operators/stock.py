@@ -1,6 +1,6 @@
 """Stock: invoice batches checked against stock, decrements, alert resolution.
 
-The reference checks and decrements stock invoice by invoice.  Decrements are
+A web shop checks and decrements stock invoice by invoice.  Decrements are
 clamped at 0 (``GREATEST(q - n, 0)``) and, with decrements only, repeated
 clamping equals one clamp of the sum, so the stock an invoice sees is
 ``greatest(q0 - demand of earlier invoices, 0)``: a running sum per offer.

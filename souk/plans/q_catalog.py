@@ -14,8 +14,8 @@ FLAT_IMAGES = "img.image_pos, img.image_id, img.image_url, img.is_main, img.sort
 
 
 @query("offers_page", ["v_offers", "v_offer_images"], f"""
-WITH pg AS (SELECT {OFFER_COLS} FROM v_offers WHERE {SELLABLE}
-  ORDER BY discount DESC NULLS LAST, created_at DESC NULLS FIRST, id DESC LIMIT 1000000 OFFSET 0),
+WITH pg AS (SELECT {OFFER_COLS}, row_number() OVER (ORDER BY discount DESC NULLS LAST, created_at DESC NULLS FIRST, id DESC) - 1
+    AS position FROM v_offers WHERE {SELLABLE} ORDER BY position LIMIT 1000000 OFFSET 0),
 img AS ({IMG_RANKED})
 SELECT pg.*, {FLAT_IMAGES} FROM pg LEFT JOIN img ON img.offer_id = pg.id""")
 def offers_page(t):
@@ -32,8 +32,8 @@ def offers_page_info(t):
 
 
 @query("offers_page_window", ["v_offers"], f"""
-SELECT {OFFER_COLS} FROM v_offers WHERE {SELLABLE}
-ORDER BY new_price ASC NULLS LAST, id DESC LIMIT 400 OFFSET 800""")
+SELECT {OFFER_COLS}, row_number() OVER (ORDER BY new_price ASC NULLS LAST, id DESC) - 1 AS position
+FROM v_offers WHERE {SELLABLE} ORDER BY position LIMIT 400 OFFSET 800""")
 def offers_page_window(t):
     """Page 3 of 400 by ascending price (the offset/limit path), no images."""
     return catalog.offers_page(t.v_offers, t.v_offer_images, page=3, limit=400, sort="price-low",
@@ -59,7 +59,7 @@ def offer_detail(t):
 
 
 @query("main_image", ["v_offers", "v_offer_images"], """
-SELECT o.id AS offer_id, COALESCE(m.image_url, 'amw.png') AS image_url
+SELECT o.id AS offer_id, COALESCE(m.image_url, 'default.png') AS image_url
 FROM v_offers o LEFT JOIN (SELECT offer_id, image_url, row_number() OVER (PARTITION BY offer_id
     ORDER BY is_main DESC NULLS FIRST, sort_order ASC NULLS LAST, id ASC) AS rn FROM v_offer_images) m
   ON m.offer_id = o.id AND m.rn = 1""")

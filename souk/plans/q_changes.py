@@ -107,35 +107,43 @@ def favorites_delete(t):
     return ch.favorites_delete(fav, t.v_cart_deletes.select("user_id", "offer_id"))
 
 
-MAIN_IMG = """mi AS (SELECT o.id AS offer_id, COALESCE(m.image_url, 'amw.png') AS image_url FROM v_offers o
+MAIN_IMG = """mi AS (SELECT o.id AS offer_id, COALESCE(m.image_url, 'default.png') AS image_url FROM v_offers o
   LEFT JOIN (SELECT offer_id, image_url, row_number() OVER (PARTITION BY offer_id
       ORDER BY is_main DESC NULLS FIRST, sort_order ASC NULLS LAST, id ASC) AS rn FROM v_offer_images) m
     ON m.offer_id = o.id AND m.rn = 1)"""
+HEADER = "first_name, last_name, phone, email, delivery_method, address, city, district, payment_method"
+HEADER_OUT = """h.first_name, h.last_name, h.phone, NULLIF(h.email, '') AS email, h.delivery_method,
+  CASE WHEN h.delivery_method = 'home' THEN h.address END AS address, CASE WHEN h.delivery_method = 'home' THEN h.city END AS city,
+  CASE WHEN h.delivery_method = 'home' THEN NULLIF(h.district, '') END AS district, h.payment_method"""
+VALID_HEADER = """COALESCE(first_name, '') <> '' AND COALESCE(last_name, '') <> '' AND COALESCE(phone, '') <> ''
+  AND COALESCE(delivery_method, '') <> '' AND COALESCE(payment_method, '') <> ''
+  AND (delivery_method <> 'home' OR (COALESCE(address, '') <> '' AND COALESCE(city, '') <> ''))"""
 GUEST = f"""refused AS (
   SELECT request_id FROM v_order_requests
   WHERE NOT (offer_id IS NOT NULL AND offer_id > 0 AND quantity IS NOT NULL AND quantity BETWEEN 1 AND 100)
   UNION SELECT request_id FROM v_order_requests r
-  WHERE NOT EXISTS (SELECT 1 FROM v_offers o WHERE o.id = r.offer_id AND o.status = 'active')),
+  WHERE NOT EXISTS (SELECT 1 FROM v_offers o WHERE o.id = r.offer_id AND o.status = 'active')
+  UNION SELECT request_id FROM v_order_headers WHERE NOT ({VALID_HEADER})),
 {MAIN_IMG},
 ok AS (SELECT r.*, o.product_name, o.new_price AS unit_price, mi.image_url FROM v_order_requests r
   JOIN v_offers o ON o.id = r.offer_id AND o.status = 'active' LEFT JOIN mi ON mi.offer_id = r.offer_id
   WHERE r.request_id NOT IN (SELECT request_id FROM refused)),
-h AS (SELECT request_id, CAST(SUM(COALESCE(unit_price, 0) * CASE WHEN quantity IS NULL OR quantity = 0 THEN 1
+s AS (SELECT request_id, CAST(SUM(COALESCE(unit_price, 0) * CASE WHEN quantity IS NULL OR quantity = 0 THEN 1
     ELSE quantity END) AS DECIMAL(24,2)) AS subtotal FROM ok GROUP BY request_id),
 n AS (SELECT (SELECT COALESCE(MAX(id), 0) FROM v_orders) + row_number() OVER (ORDER BY request_id) AS id,
-    request_id, subtotal FROM h)"""
-GUEST_VIEWS = ["v_order_requests", "v_offers", "v_offer_images", "v_orders"]
+    request_id, subtotal FROM s)"""
+GUEST_VIEWS = ["v_order_requests", "v_order_headers", "v_offers", "v_offer_images", "v_orders"]
 
 
 def _guest(t):
-    return ch.order_place_guest(t.v_order_requests, t.v_offers, t.v_offer_images, t.v_orders, AS_OF)
+    return ch.order_place_guest(t.v_order_requests, t.v_offers, t.v_offer_images, t.v_orders, AS_OF, t.v_order_headers)
 
 
 @query("order_place_guest", GUEST_VIEWS, f"""
 WITH {GUEST}
-SELECT id, request_id, {ref('AMW', AS_OF.year, 'id')} AS reference, subtotal,
-  CAST(0 AS DECIMAL(24,2)) AS delivery_price, subtotal AS total, 'pending' AS status, {ts(0)} AS created_at
-FROM n""")
+SELECT n.id, n.request_id, {ref('REF', AS_OF.year, 'n.id')} AS reference, {HEADER_OUT}, n.subtotal,
+  CAST(0 AS DECIMAL(24,2)) AS delivery_price, n.subtotal AS total, 'pending' AS status, {ts(0)} AS created_at
+FROM n JOIN v_order_headers h ON h.request_id = n.request_id""")
 def order_place_guest(t):
     return _guest(t)[0]
 
@@ -149,23 +157,37 @@ def order_place_guest_lines(t):
 
 
 USER_ORDERS = f"""{CART_ALL}, {MAIN_IMG},
-l AS (SELECT c.cart_id AS user_id, c.offer_id, c.quantity, o.product_name, o.new_price AS unit_price, mi.image_url
-  FROM cart c JOIN v_offers o ON o.id = c.offer_id LEFT JOIN mi ON mi.offer_id = c.offer_id),
-h AS (SELECT user_id, CAST(SUM(COALESCE(unit_price, 0) * CASE WHEN quantity IS NULL OR quantity = 0 THEN 1
+l AS (SELECT c.cart_id AS user_id, c.offer_id, c.quantity, o.product_name, o.new_price AS unit_price, mi.image_url,
+    CAST(row_number() OVER (PARTITION BY c.cart_id ORDER BY c.created_at, c.offer_id) AS INTEGER) AS line_no
+  FROM cart c JOIN v_offers o ON o.id = c.offer_id LEFT JOIN mi ON mi.offer_id = c.offer_id
+  WHERE c.cart_id IN (SELECT user_id FROM v_user_headers WHERE {VALID_HEADER})),
+s AS (SELECT user_id, CAST(SUM(COALESCE(unit_price, 0) * CASE WHEN quantity IS NULL OR quantity = 0 THEN 1
     ELSE quantity END) AS DECIMAL(24,2)) AS subtotal FROM l GROUP BY user_id),
 n AS (SELECT (SELECT COALESCE(MAX(id), 0) FROM v_orders) + row_number() OVER (ORDER BY user_id) AS id,
-    user_id, subtotal FROM h)"""
+    user_id, subtotal FROM s)"""
+USER_VIEWS = ["v_cart_adds", "v_user_headers", "v_offers", "v_offer_images", "v_orders"]
 
 
-@query("order_place_user", ["v_cart_adds", "v_offers", "v_offer_images", "v_orders"], f"""
+def _user_orders(t):
+    carts = t.v_cart_adds.select(F.col("user_id").alias("id"), "user_id").dropDuplicates(["id"])
+    return ch.order_place_user(_cart(t), carts, t.v_offers, t.v_offer_images, t.v_orders, AS_OF, t.v_user_headers)
+
+
+@query("order_place_user", USER_VIEWS, f"""
 WITH {USER_ORDERS}
-SELECT id, user_id, {ref('AMW', AS_OF.year, 'id')} AS reference, subtotal,
-  CAST(0 AS DECIMAL(24,2)) AS delivery_price, subtotal AS total, 'pending' AS status, {ts(0)} AS created_at
-FROM n""")
+SELECT n.id, n.user_id, {ref('REF', AS_OF.year, 'n.id')} AS reference, {HEADER_OUT}, n.subtotal,
+  CAST(0 AS DECIMAL(24,2)) AS delivery_price, n.subtotal AS total, 'pending' AS status, {ts(0)} AS created_at
+FROM n JOIN v_user_headers h ON h.user_id = n.user_id""")
 def order_place_user(t):
-    items, _ = _cart(t), None
-    carts = t.v_cart_adds.select(F.col("user_id").alias("id"), "user_id").dropDuplicates(["id"])
-    return ch.order_place_user(items, carts, t.v_offers, t.v_offer_images, t.v_orders, AS_OF)[0]
+    return _user_orders(t)[0]
+
+
+@query("order_place_user_lines", USER_VIEWS, f"""
+WITH {USER_ORDERS}
+SELECT n.id AS order_id, l.line_no, l.offer_id, l.product_name, l.quantity, l.unit_price, l.image_url
+FROM l JOIN n ON n.user_id = l.user_id""")
+def order_place_user_lines(t):
+    return _user_orders(t)[1]
 
 
 @query("order_status_apply", ["v_orders", "v_status_changes"], """
@@ -179,13 +201,13 @@ def order_status_apply(t):
     return ch.order_status_apply(t.v_orders, t.v_status_changes)
 
 
-@query("reference_number", ["v_offers"], f"SELECT id, {ref('AMW', AS_OF.year, 'id')} AS reference FROM v_offers")
+@query("reference_number", ["v_offers"], f"SELECT id, {ref('REF', AS_OF.year, 'id')} AS reference FROM v_offers")
 def reference_number(t):
     return ch.reference_numbers(t.v_offers, AS_OF)
 
 
 @query("offer_defaults", ["v_offer_creates"], f"""
-SELECT id, {ref('AMW', AS_OF.year, 'id')} AS reference, product_name, category, description,
+SELECT id, {ref('REF', AS_OF.year, 'id')} AS reference, product_name, category, description,
   CAST(NULL AS DECIMAL(14,2)) AS old_price, CAST(NULL AS INTEGER) AS discount, new_price,
   CAST(NULL AS DECIMAL(14,2)) AS wholesale_price, COALESCE(NULLIF(quantity, 0), 1) AS quantity,
   COALESCE(NULLIF(status, ''), 'active') AS status
@@ -303,18 +325,49 @@ def identity_register(t):
     return ch.identity_register(t.v_users, t.v_registration_requests)
 
 
-@query("profile_update_apply", ["v_users", "v_profile_updates"], f"""
-WITH u AS (SELECT *, {phone('phone')} AS np FROM v_profile_updates),
-ok AS (SELECT u.* FROM u LEFT JOIN v_users h ON h.phone = u.np
-  WHERE {jt('u.full_name')} <> '' AND (u.phone IS NULL OR u.phone = '' OR u.np IS NOT NULL)
-    AND (h.id IS NULL OR h.id = u.user_id)),
-cl AS (SELECT *, CASE WHEN np IS NOT NULL THEN first_value(user_id) OVER (PARTITION BY np ORDER BY ts, event_id) END
-    AS claim FROM ok),
-acc AS (SELECT * FROM cl WHERE claim IS NULL OR claim = user_id),
+# The updates one by one: phones that several users hold or ask for, their holders and the users' phones
+# of that kind are carried from row to row; all other phones can refuse nobody.
+PROFILES = f"""RECURSIVE u AS (SELECT *, {phone('phone')} AS np FROM v_profile_updates),
+ok AS MATERIALIZED (SELECT * FROM u WHERE {jt('full_name')} <> '' AND (phone IS NULL OR phone = '' OR np IS NOT NULL)
+  AND user_id IN (SELECT id FROM v_users)),
+cl AS MATERIALIZED (SELECT id AS user_id, phone AS np FROM v_users WHERE phone IS NOT NULL
+  UNION SELECT user_id, np FROM ok WHERE np IS NOT NULL),
+sh AS MATERIALIZED (SELECT np FROM cl GROUP BY np HAVING COUNT(*) > 1),
+q AS MATERIALIZED (SELECT event_id, user_id, CASE WHEN np IN (SELECT np FROM sh) THEN np END AS sp,
+    row_number() OVER (ORDER BY ts, event_id) AS rn FROM ok WHERE user_id IN (SELECT user_id FROM cl WHERE np IN (SELECT np FROM sh))),
+st AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, TRUE AS pass,
+    (SELECT map_from_entries(list((phone, id))) FROM v_users WHERE phone IN (SELECT np FROM sh)) AS holder,
+    (SELECT map_from_entries(list((id, phone))) FROM v_users WHERE phone IN (SELECT np FROM sh)) AS own
+  UNION ALL
+  SELECT i, event_id, pass,
+    CASE WHEN NOT pass OR (sp IS NOT DISTINCT FROM own[user_id]) THEN holder
+      ELSE map_concat(holder, CASE WHEN own[user_id] IS NOT NULL THEN map([own[user_id]], [CAST(-1 AS BIGINT)]) ELSE holder END,
+                      CASE WHEN sp IS NOT NULL THEN map([sp], [user_id]) ELSE map([''], [CAST(-1 AS BIGINT)]) END) END,
+    CASE WHEN NOT pass THEN own ELSE map_concat(own, map([user_id], [sp])) END
+  FROM (SELECT q.rn AS i, q.event_id, q.user_id, q.sp, st.holder, st.own,
+      q.sp IS NULL OR COALESCE(st.holder[q.sp], -1) IN (-1, q.user_id) AS pass
+    FROM st JOIN q ON q.rn = st.i + 1) x),
+acc AS (SELECT ok.* FROM ok WHERE event_id NOT IN (SELECT event_id FROM st WHERE event_id IS NOT NULL AND NOT pass))"""
+
+
+@query("profile_update_apply", ["v_user_profiles", "v_users", "v_profile_updates"], f"""
+WITH {PROFILES},
 last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
     FROM acc) x WHERE rn = 1)
 SELECT v.id, CASE WHEN l.user_id IS NOT NULL THEN {jt('l.full_name')} ELSE v.full_name END AS full_name, v.email,
-  CASE WHEN l.user_id IS NOT NULL THEN l.np ELSE v.phone END AS phone, v.created_at, l.ts AS updated_at
-FROM v_users v LEFT JOIN last l ON l.user_id = v.id""")
+  CASE WHEN l.user_id IS NOT NULL THEN l.np ELSE v.phone END AS phone, v.created_at,
+  CASE WHEN l.user_id IS NULL THEN v.gender WHEN COALESCE(l.gender, '') <> '' THEN {jt('l.gender')} END AS gender,
+  CASE WHEN l.user_id IS NULL THEN v.address WHEN COALESCE(l.address, '') <> '' THEN {jt('l.address')} END AS address,
+  l.ts AS updated_at
+FROM v_user_profiles v LEFT JOIN last l ON l.user_id = v.id""")
 def profile_update_apply(t):
-    return ch.profile_update_apply(t.v_users, t.v_profile_updates)
+    return ch.profile_update_apply(t.v_user_profiles, t.v_profile_updates)
+
+
+@query("profile_updates_accepted", ["v_users", "v_profile_updates"], f"""
+WITH {PROFILES}
+SELECT event_id, user_id, np AS phone FROM acc""")
+def profile_updates_accepted(t):
+    """Which updates pass when they are applied one by one."""
+    return ch.profile_updates_accepted(t.v_users, t.v_profile_updates).select("event_id", "user_id", F.col("_phone").alias("phone"))

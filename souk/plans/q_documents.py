@@ -75,7 +75,7 @@ def cart_tables(t):
 
 @query("cart_view", ["v_cart_adds", "v_offers", "v_offer_images"], """
 SELECT c.event_id AS cart_item_id, c.user_id AS cart_id, c.offer_id, c.quantity, c.ts AS created_at,
-  c.user_id, o.product_name, o.category, o.new_price, COALESCE(m.image_url, 'amw.png') AS image_url
+  c.user_id, o.product_name, o.category, o.new_price, COALESCE(m.image_url, 'default.png') AS image_url
 FROM v_cart_adds c JOIN v_offers o ON o.id = c.offer_id
 LEFT JOIN (SELECT offer_id, image_url, row_number() OVER (PARTITION BY offer_id
     ORDER BY is_main DESC NULLS FIRST, sort_order ASC NULLS LAST, id ASC) AS rn FROM v_offer_images) m

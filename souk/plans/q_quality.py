@@ -47,7 +47,7 @@ SELECT page_id, image_url, substr(COALESCE(product_description, ''), 1, 2000) AS
   {jt('contact')} AS contact,
   CASE WHEN strpos({jt('contact')}, '@') > 0 THEN 'email' ELSE 'phone' END AS contact_type
 FROM u WHERE COALESCE(image_url, '') <> '' AND COALESCE(contact, '') <> ''
-  AND protocol = 'https:' AND host = 'res.cloudinary.com' AND strpos(path, '/amw/image-search/') > 0
+  AND protocol = 'https:' AND host = 'res.cloudinary.com' AND strpos(path, '/shop/image-search/') > 0
   AND strpos(path, '..') = 0 AND length({jt('contact')}) BETWEEN 5 AND 150""")
 def alert_intake(t):
     return qa.alert_intake(t.v_alert_requests)

@@ -97,9 +97,9 @@ SELECT s_suppkey AS id, s_name AS title, CAST(s_suppkey % 6 AS INT) AS display_o
   CAST(DATE '2001-01-01' + CAST(s_suppkey % 100 AS INT) AS {TS}) AS created_at
 FROM {supplier}""",
     "v_search_terms": """
-SELECT DISTINCT p_brand || '/' || p_name AS query_id, p_name AS term FROM {part} WHERE p_size = 7
+SELECT DISTINCT p_brand || '/' || p_name AS query_id, p_name AS term FROM {part}
 UNION
-SELECT DISTINCT p_brand || '/' || p_name AS query_id, p_type AS term FROM {part} WHERE p_size = 7""",
+SELECT DISTINCT p_brand || '/' || p_name AS query_id, p_type AS term FROM {part}""",
     "v_registrations": """
 SELECT event_id, ts,
   CASE CAST(event_id % 6 AS INT)
@@ -145,19 +145,45 @@ FROM {events} WHERE event_type = 'signup'""",
 SELECT event_id, user_id, ts,
   CASE WHEN event_id % 9 = 0 THEN '  ' ELSE ' Name ' || CAST(event_id % 40 AS STRING) END AS full_name,
   CASE CAST(event_id % 4 AS INT) WHEN 0 THEN NULL WHEN 1 THEN '+221 78 ' || substr(CAST(10000000 + event_id AS STRING), 2)
-    WHEN 2 THEN '12345' ELSE '77' || substr(CAST(10000000 + (user_id + 1) % 150 AS STRING), 2) END AS phone
+    WHEN 2 THEN '12345' ELSE '77' || substr(CAST(10000000 + (user_id + 1) % 150 AS STRING), 2) END AS phone,
+  CASE CAST(event_id % 5 AS INT) WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN ' f ' ELSE 'm' END AS gender,
+  CASE WHEN event_id % 7 = 0 THEN '   ' WHEN event_id % 7 = 1 THEN NULL ELSE ' Street ' || CAST(event_id % 90 AS STRING) END AS address
 FROM {events} WHERE event_type = 'view'""",
     "v_order_requests": """
-SELECT user_id AS request_id, event_id % 50 AS offer_id, event_id AS line_no,
+SELECT CAST(floor(event_id / 4) AS BIGINT) AS request_id, event_id % (SELECT COUNT(*) FROM {part}) AS offer_id, event_id AS line_no,
   CAST(regexp_extract(props, '[0-9]+', 0) AS INT) % 110 AS quantity
-FROM {events} WHERE event_type = 'click' AND event_id % 50 > 1 AND user_id % 2 = 0 AND event_id % 7 < 2""",
+FROM {events} WHERE event_type = 'click'""",
     # --- additions of this repository (not in FIXTURES.md): inputs derived
     # from the same tables for the keyed lookups ---
     "v_orders_ref": """
-SELECT o.*, 'AMW-' || CAST(year(o.created_at) AS STRING) || '-' ||
+SELECT o.*, 'REF-' || CAST(year(o.created_at) AS STRING) || '-' ||
   CASE WHEN length(CAST(o.id AS STRING)) >= 6 THEN CAST(o.id AS STRING)
        ELSE lpad(CAST(o.id AS STRING), 6, '0') END AS reference
 FROM {v_orders} o""",
+    "v_order_headers": """
+SELECT request_id, first_name, last_name, phone, email, delivery_method, address, city, district, payment_method FROM (
+  SELECT request_id, CASE WHEN request_id % 17 = 0 THEN NULL ELSE 'F' || CAST(request_id % 50 AS STRING) END AS first_name,
+    CASE WHEN request_id % 23 = 0 THEN '' ELSE 'L' || CAST(request_id % 70 AS STRING) END AS last_name,
+    '77' || substr(CAST(10000000 + request_id AS STRING), 2) AS phone,
+    CASE WHEN request_id % 3 = 0 THEN '' ELSE 'g' || CAST(request_id AS STRING) || '@example.com' END AS email,
+    CASE WHEN request_id % 5 = 0 THEN 'pickup' ELSE 'home' END AS delivery_method,
+    CASE WHEN request_id % 11 = 0 THEN '' ELSE 'Rue ' || CAST(request_id % 90 AS STRING) END AS address,
+    CASE WHEN request_id % 13 = 0 THEN NULL ELSE 'City' || CAST(request_id % 6 AS STRING) END AS city,
+    CASE WHEN request_id % 4 = 0 THEN '' ELSE 'D' || CAST(request_id % 8 AS STRING) END AS district,
+    CASE WHEN request_id % 19 = 0 THEN NULL ELSE 'cash' END AS payment_method
+  FROM (SELECT DISTINCT request_id FROM {v_order_requests}) r) h""",
+    "v_user_headers": """
+SELECT user_id, CASE WHEN user_id % 9 = 0 THEN '' ELSE 'U' || CAST(user_id AS STRING) END AS first_name,
+  'N' || CAST(user_id % 30 AS STRING) AS last_name, '77' || substr(CAST(10000000 + user_id AS STRING), 2) AS phone,
+  CASE WHEN user_id % 2 = 0 THEN NULL ELSE 'u' || CAST(user_id AS STRING) || '@example.com' END AS email,
+  CASE WHEN user_id % 4 = 0 THEN 'pickup' ELSE 'home' END AS delivery_method,
+  'Rue ' || CAST(user_id % 40 AS STRING) AS address,
+  CASE WHEN user_id % 7 = 0 THEN '' ELSE 'City' || CAST(user_id % 6 AS STRING) END AS city,
+  CASE WHEN user_id % 6 = 0 THEN '' ELSE 'D' || CAST(user_id % 8 AS STRING) END AS district,
+  CASE WHEN user_id % 11 = 0 THEN '' ELSE 'card' END AS payment_method
+FROM (SELECT DISTINCT user_id FROM {v_cart_adds}) u""",
+    "v_user_profiles": """
+SELECT u.*, CASE WHEN id % 3 = 0 THEN NULL ELSE 'f' END AS gender, 'Old ' || CAST(id AS STRING) AS address FROM {v_users} u""",
     "v_guest_requests": """
 SELECT s.event_id AS request_id, ' ' || o.reference || ' ' AS reference,
   CASE WHEN s.event_id % 3 = 0 THEN o.phone || '9' ELSE o.phone END AS phone
@@ -188,9 +214,9 @@ FROM {v_registrations}""",
     "v_alert_requests": """
 SELECT page_id,
   CASE CAST(page_id % 4 AS INT)
-    WHEN 0 THEN 'https://res.cloudinary.com/demo/amw/image-search/' || CAST(page_id AS STRING) || '.jpg'
-    WHEN 1 THEN 'http://res.cloudinary.com/amw/image-search/' || CAST(page_id AS STRING) || '.jpg'
-    WHEN 2 THEN 'https://RES.cloudinary.com/amw/image-search/x' || CAST(page_id AS STRING)
+    WHEN 0 THEN 'https://res.cloudinary.com/demo/shop/image-search/' || CAST(page_id AS STRING) || '.jpg'
+    WHEN 1 THEN 'http://res.cloudinary.com/shop/image-search/' || CAST(page_id AS STRING) || '.jpg'
+    WHEN 2 THEN 'https://RES.cloudinary.com/shop/image-search/x' || CAST(page_id AS STRING)
     ELSE url END AS image_url,
   html AS product_description,
   CASE CAST(page_id % 3 AS INT) WHEN 0 THEN '  u' || CAST(page_id AS STRING) || '@example.com '
@@ -237,13 +263,14 @@ def duckdb_with(names, body: str) -> str:
     names = view_order(names)
     if not names:
         return body
-    extra = ""
-    if re.match(r"(?is)^\s*with\s", body):  # merge the body's own CTEs
-        body = re.sub(r"(?is)^\s*with\s", "", body, count=1)
-        extra = ",\n"
+    extra, word = "", "WITH "
+    own = re.match(r"(?is)^\s*with\s+(recursive\s)?", body)
+    if own:  # merge the body's own CTEs
+        body, extra = body[own.end():], ",\n"
+        word = "WITH RECURSIVE " if own.group(1) else word
     ctes = []
     for n in names:
         sql = VIEWS[n].replace("{TS}", "TIMESTAMP")
         sql = sql.format(**{d: d for d in dependencies(n)})
         ctes.append(f"{n} AS ({sql.strip()})")
-    return "WITH " + ",\n".join(ctes) + (extra or "\n") + body
+    return word + ",\n".join(ctes) + (extra or "\n") + body

@@ -121,6 +121,9 @@ def test_paging_args():
     assert catalog.paging_args(0, 0) == (1, 1_000_000)
     assert catalog.paging_args(-1, "x") == (1, 1_000_000)
     assert catalog.paging_args("3", "25") == (3, 25)
+    assert catalog.paging_args(" 12abc", "1e3") == (12, 1)
+    assert catalog.paging_args("+4.9", "-7") == (4, 1)
+    assert catalog.paging_args("x3", "") == (1, 1_000_000)
 
 
 def test_main_image_ties_and_defaults(spark):
@@ -131,7 +134,7 @@ def test_main_image_ties_and_defaults(spark):
         "id bigint, offer_id bigint, image_url string, is_main boolean, sort_order int")
     got = {r.offer_id: r.image_url for r in catalog.main_image(offers, images).collect()}
     # is_main DESC puts NULL first (PostgreSQL), so image 21 wins for offer 2
-    assert got == {1: "c", 2: "z", 3: "amw.png"}
+    assert got == {1: "c", 2: "z", 3: "default.png"}
 
 
 @pytest.mark.parametrize("raw,expected", [
@@ -146,7 +149,7 @@ def test_phone(spark, raw, expected):
 def test_reference_number(spark):
     df = spark.createDataFrame([(7,), (999999,), (1000000,)], "id bigint")
     got = [r.reference for r in changes.reference_numbers(df, AS_OF).orderBy("id").collect()]
-    assert got == ["AMW-2001-000007", "AMW-2001-999999", "AMW-2001-1000000"]
+    assert got == ["REF-2001-000007", "REF-2001-999999", "REF-2001-1000000"]
 
 
 def test_basket_totals(spark):
@@ -255,11 +258,11 @@ def test_model_output(spark):
 
 
 def test_url_allowlist(spark):
-    df = spark.createDataFrame([("https://res.cloudinary.com/x/amw/image-search/a.png",),
-                                ("http://res.cloudinary.com/amw/image-search/a.png",),
-                                ("https://evil.com/amw/image-search/a.png",),
-                                ("https://res.cloudinary.com/amw/image-search/../a",), ("not a url",)], "u string")
-    got = [r.allowed for r in qa.url_allowlist(df, "u", "res.cloudinary.com", "/amw/image-search/").collect()]
+    df = spark.createDataFrame([("https://res.cloudinary.com/x/shop/image-search/a.png",),
+                                ("http://res.cloudinary.com/shop/image-search/a.png",),
+                                ("https://evil.com/shop/image-search/a.png",),
+                                ("https://res.cloudinary.com/shop/image-search/../a",), ("not a url",)], "u string")
+    got = [r.allowed for r in qa.url_allowlist(df, "u", "res.cloudinary.com", "/shop/image-search/").collect()]
     assert got == [True, False, False, False, False]
 
 
@@ -279,3 +282,82 @@ def test_stock_after_events_segments(spark):
     got = {r.id: r.quantity for r in stock.stock_after_events(offers, demand, sets).collect()}
     # 3 -5 -> 0, set 4, -1 -> 3;  NULL -2 -> 0;  set 9 then -1 at the same instant -> 8
     assert got == {1: 3, 2: 0, 3: 8}
+
+
+# ---------------------------------------------------------------------------
+# Profile updates one by one (M21), order headers (M6, M7)
+# ---------------------------------------------------------------------------
+def _simulate_profiles(users, updates):
+    phones = dict(users)
+    passed = []
+    for event, user, ts, name, phone in sorted(updates, key=lambda r: (r[2], r[0])):
+        p = "".join(ch for ch in phone if ch.isdigit())[-9:] if phone else None
+        if not name.strip() or user not in phones or (phone and len(p) != 9):
+            continue
+        if p is not None and any(v == p for u, v in phones.items() if u != user):
+            continue
+        phones[user] = p
+        passed.append(event)
+    return phones, set(passed)
+
+
+def test_profile_updates_equal_a_sequential_simulation(spark):
+    import random
+    rnd = random.Random(3)
+    users = [(i, f"77000{i:04d}" if i % 5 else None) for i in range(60)]
+    pool = [p for _, p in users if p][:25] + [f"76000{i:04d}" for i in range(12)]
+    t0 = D(2024, 1, 1)
+    updates = [(e, rnd.randrange(62), t0 + dt.timedelta(minutes=rnd.randrange(400)), rnd.choice(["A", " B ", " "]),
+                rnd.choice([None, "", "123", *pool, *pool])) for e in range(900)]
+    phones, passed = _simulate_profiles(users, updates)
+    u = spark.createDataFrame([(i, f"n{i}", p, "g", "a") for i, p in users], "id bigint, full_name string, phone string, gender string, address string")
+    upd = spark.createDataFrame([(*r, " f ", "  ") for r in updates],
+                                "event_id bigint, user_id bigint, ts timestamp_ntz, full_name string, phone string, gender string, address string")
+    assert {r.event_id for r in changes.profile_updates_accepted(u, upd.repartition(9)).collect()} == passed
+    got = {r.id: r for r in changes.profile_update_apply(u, upd).collect()}
+    assert {i: r.phone for i, r in got.items()} == phones
+    last = {}
+    for r in sorted(updates, key=lambda r: (r[2], r[0])):
+        if r[0] in passed:
+            last[r[1]] = r
+    assert all(got[i].gender == ("f" if i in last else "g") and got[i].address == ("" if i in last else "a") for i in got)
+    assert 0 < len(passed) < 700
+
+
+def test_freed_phone_can_be_taken_again(spark):
+    u = spark.createDataFrame([(1, "a", "771111111"), (2, "b", "772222222"), (3, "c", None)], "id bigint, full_name string, phone string")
+    rows = [(1, 2, D(2024, 1, 1), "b", "771111111"), (2, 1, D(2024, 1, 2), "a", None), (3, 2, D(2024, 1, 3), "b", "771111111"),
+            (4, 1, D(2024, 1, 4), "a", "772222222"), (5, 3, D(2024, 1, 5), "c", "771111111")]
+    upd = spark.createDataFrame(rows, "event_id bigint, user_id bigint, ts timestamp_ntz, full_name string, phone string")
+    assert {r.event_id for r in changes.profile_updates_accepted(u, upd).collect()} == {2, 3, 4}
+    got = {r.id: r.phone for r in changes.profile_update_apply(u, upd).collect()}
+    assert got == {1: "772222222", 2: "771111111", 3: None}
+
+
+def test_connected_components(spark):
+    from souk.operators.graph import connected_components
+    chain = [(i, i + 1) for i in range(100, 160)] + [(500, 400), (400, 300), (7, 7), (1, 9), (9, 1)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
+    assert {got[i] for i in range(100, 161)} == {100} and got[500] == got[300] == 300 and got[9] == 1 and got[7] == 7
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+HEADER = "request_id bigint, first_name string, last_name string, phone string, email string, delivery_method string, " \
+         "address string, city string, district string, payment_method string"
+
+
+def test_order_headers(spark):
+    good = ("A", "B", "77", "", "home", "Rue", "City", "", "cash")
+    rows = [(1, *good), (2, *good[:4], "pickup", None, None, "D", "cash"), (3, "", *good[1:]), (4, *good[:5], "", *good[6:]),
+            (5, *good[:8], None), (6, *good[:6], None, *good[7:])]
+    ok = {r.request_id for r in changes.valid_headers(spark.createDataFrame(rows, HEADER)).collect()}
+    assert ok == {1, 2}
+    offers = spark.createDataFrame([(1, "P", Decimal("2.50"), "active")], "id bigint, product_name string, new_price decimal(14,2), status string")
+    images = spark.createDataFrame([], "id bigint, offer_id bigint, image_url string, is_main boolean, sort_order int")
+    req = spark.createDataFrame([(i, 1, i, 2) for i in range(1, 8)] + [(2, None, 9, None)], "request_id bigint, offer_id bigint, line_no bigint, quantity int")
+    orders = spark.createDataFrame([(41,)], "id bigint")
+    h, items = changes.order_place_guest(req, offers, images, orders, AS_OF, spark.createDataFrame(rows, HEADER))
+    r = h.collect()
+    assert [(x.id, x.request_id, x.reference, x.email, x.address, x.city, x.district, x.total) for x in r] == \
+        [(42, 1, "REF-2001-000042", None, "Rue", "City", None, Decimal("5.00"))]  # request 2: a line without offer
+    assert [(x.order_id, x.line_no, x.image_url) for x in items.collect()] == [(42, 1, "default.png")]
