@@ -158,7 +158,7 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def write_token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
-                       vocab: str = "byte_bpe_50k.json", end_id: int = 0, shard_bytes: int = 4 << 20,
+                       vocab: str = "byte_bpe_50k.json", end_id: int = 0, shard_bytes: int = 2 << 20,
                        min_count: int = 8) -> None:
     """Encode, shard by id range, compress and write one row per shard to ``path``."""
     sel = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
