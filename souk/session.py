@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,10 +39,8 @@ def build_session(master: str | None = None, app: str = "souk",
 def configure(spark: SparkSession) -> None:
     """Apply the runtime-settable part of SESSION_CONF to an existing session."""
     for k, v in SESSION_CONF.items():
-        try:
+        if spark.conf.isModifiable(k):  # static settings are left as the cluster set them
             spark.conf.set(k, v)
-        except Exception:  # static or locked settings are left as the cluster set them
-            pass
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -70,3 +69,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table into the shared checkpoint folder and read again.
+
+    For loops: a checkpoint keeps the size estimate of the plan it cut, and
+    estimates of joins multiply from round to round; a table has its real size.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
