@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import js_trim
-from ..functions.quality import (clamp01, contact_type, normalize_phone, strip_fences, url_allowed,
+from ..functions.quality import (clamp01, contact_type, js_number, normalize_phone, strip_fences, url_allowed,
                                  url_parts, word_count)
 from .changes import parse_identifier
 
-PRODUCT_JSON_SCHEMA = ("productName string, category string, description string, "
-                       "confidence string, identifiedFeatures array<string>, searchTerms array<string>")
 MIN_DESCRIPTION_WORDS = 100
 
 
@@ -51,46 +49,59 @@ def alert_intake(requests: DataFrame, host: str | None = None, path_part: str |
         contact.alias("contact"), contact_type(contact).alias("contact_type"))
 
 
+def _json_kind(v: Column) -> Column:
+    """JSON type of a VARIANT value: string, number, boolean, null, array or object (NULL when absent)."""
+    t = F.schema_of_variant(v)
+    return (F.when(v.isNull(), F.lit(None).cast("string")).when(t == "STRING", "string").when(t == "BOOLEAN", "boolean")
+            .when(t == "VOID", "null").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object").otherwise("number"))
+
+
 def llm_json_extract(df: DataFrame, col: str = "raw") -> DataFrame:
-    """The JSON object inside a model answer, parsed (NULL fields and
-    ``ok = false`` when there is no object or it does not parse).
+    """The JSON object inside a model answer (from the first '{' to the last '}'
+    after the fences are dropped); ``ok`` when that text is strict JSON and nothing follows it.
 
-    Staged projections, so that the fence stripping and the JSON parse run
-    once per row (each stage's result is referenced, not re-inlined).
+    The text is parsed once, as a VARIANT, inside brackets: one element then
+    means that no second value stands behind the object.  Fields come out as text with their
+    JSON type (``product_name_kind``, ...): a number where a text is expected does not lose the
+    row, it is judged by the gate.  ``identified_features``: the list as JSON text when it is a list.
     """
     s = df.withColumn("_s", strip_fences(F.col(col)))
     s = s.withColumn("_a", F.instr("_s", "{")).withColumn("_z", F.instr(F.reverse("_s"), "}"))
     s = s.withColumn("_e", F.length("_s") - F.col("_z") + 1)
-    s = s.withColumn("_span", F.when((F.col("_a") > 0) & (F.col("_z") > 0),
-                                     F.when(F.col("_e") >= F.col("_a"),
-                                            F.substring("_s", F.col("_a"), F.col("_e") - F.col("_a") + 1))
-                                     .otherwise(F.lit(""))))
-    s = s.withColumn("_p", F.from_json("_span", PRODUCT_JSON_SCHEMA + ", _corrupt string",
-                                       {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt",
-                                        "allowSingleQuotes": "false"}))
-    s = s.withColumn("ok", F.coalesce((F.col("_span") != "") & F.col("_p").isNotNull()
-                                      & F.col("_p._corrupt").isNull(), F.lit(False)))
-    return s.select(*df.columns, "ok",
-                    F.when(F.col("ok"), F.col("_p.productName")).alias("product_name"),
-                    F.when(F.col("ok"), F.col("_p.category")).alias("category"),
-                    F.when(F.col("ok"), F.col("_p.description")).alias("description"),
-                    F.when(F.col("ok"), F.col("_p.confidence")).alias("confidence_raw"),
-                    F.when(F.col("ok"), F.col("_p.identifiedFeatures")).alias("identified_features"))
+    s = s.withColumn("_span", F.when((F.col("_a") > 0) & (F.col("_z") > 0) & (F.col("_e") >= F.col("_a")),
+                                     F.substring("_s", F.col("_a"), F.col("_e") - F.col("_a") + 1)))
+    s = s.withColumn("_v", F.try_parse_json(F.concat(F.lit("["), F.col("_span"), F.lit("]"))))
+    one = F.try_variant_get("_v", "$[0]", "variant")
+    s = s.withColumn("ok", F.coalesce(one.isNotNull() & F.try_variant_get("_v", "$[1]", "variant").isNull()
+                                      & (_json_kind(one) == "object"), F.lit(False)))
+    fields = {"product_name": "productName", "category": "category", "description": "description", "confidence_raw": "confidence"}
+    out = []
+    for name, key in fields.items():
+        v = F.try_variant_get("_v", f"$[0].{key}", "variant")
+        out += [F.when(F.col("ok"), F.try_variant_get("_v", f"$[0].{key}", "string")).alias(name),
+                F.when(F.col("ok"), _json_kind(v)).alias(f"{name}_kind")]
+    feats = F.try_variant_get("_v", "$[0].identifiedFeatures", "variant")
+    return s.select(*df.columns, "ok", *out,
+                    F.when(F.col("ok") & (_json_kind(feats) == "array"), F.to_json(feats)).alias("identified_features"))
+
+
+def _truthy(name: str) -> Column:
+    """JavaScript truth of a JSON value: not absent, null, false, 0 or ''."""
+    v, kind = F.col(name), F.col(f"{name}_kind")
+    return F.coalesce(F.when(kind == "string", v != "").when(kind == "number", v.try_cast("double") != 0)
+                      .when(kind == "boolean", v == "true").otherwise(kind.isin("array", "object")), F.lit(False))
 
 
 def llm_json_gate(extracted: DataFrame) -> DataFrame:
-    """C11: complete answers (name, category, description present) with at
-    least 100 words of description; confidence clamped to [0, 1]; features
-    default []."""
-    present = (F.coalesce(F.col("product_name"), F.lit("")) != "") \
-        & (F.coalesce(F.col("category"), F.lit("")) != "") \
-        & (F.coalesce(F.col("description"), F.lit("")) != "")
-    words = F.when(F.col("description").isNotNull(), word_count(F.col("description")))
-    return extracted.select(
-        "*", words.alias("words"),
-        (F.col("ok") & present & F.coalesce(words >= MIN_DESCRIPTION_WORDS, F.lit(False))).alias("passed"),
-        clamp01(F.col("confidence_raw")).alias("confidence"),
-        F.coalesce("identified_features", F.array().cast("array<string>")).alias("features"))
+    """C11: complete answers: name, category and description truthy, the
+    description a text of at least 100 words (counted once, from the blanks between them);
+    confidence ``Number(x) || 0`` clamped to [0, 1]; features default []."""
+    e = extracted.withColumn("words", F.when(F.col("description_kind") == "string", word_count(F.col("description"))))
+    return e.select(
+        "*", (F.col("ok") & _truthy("product_name") & _truthy("category") & _truthy("description")
+              & F.coalesce(F.col("words") >= MIN_DESCRIPTION_WORDS, F.lit(False))).alias("passed"),
+        clamp01(js_number("confidence_raw", "confidence_raw_kind")).alias("confidence"),
+        F.coalesce("identified_features", F.lit("[]")).alias("features"))
 
 
 def dedupe_sources(sources: DataFrame, group: str = "response_id", pos: str = "pos") -> DataFrame:

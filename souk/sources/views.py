@@ -111,9 +111,15 @@ SELECT event_id, ts,
     ELSE 'u' || CAST(user_id AS STRING) || '@nodot' END AS identifier
 FROM {events} WHERE event_type = 'signup'""",
     "v_llm_outputs": """
-SELECT doc_id, 'Result: ```json {{"productName":"P' || CAST(doc_id AS STRING) || '","category":"' || lang
-  || '","description":"' || replace(replace(replace(replace(replace(text, chr(92), ' '), chr(34), ' '), chr(10), ' '), chr(13), ' '), chr(9), ' ')
-  || '","confidence":' || CAST(doc_id % 4 AS STRING) || '.5}}``` done' AS raw
+SELECT doc_id, 'Result: ```json {{"productName":' || CASE WHEN doc_id % 29 = 3 THEN '5' WHEN doc_id % 29 = 4 THEN '""' WHEN doc_id % 29 = 5 THEN 'null'
+    ELSE '"P' || CAST(doc_id AS STRING) || '"' END || ',"category":' || CASE WHEN doc_id % 31 = 2 THEN '["' || lang || '"]' ELSE '"' || lang || '"' END
+  || ',"description":' || CASE WHEN doc_id % 37 = 1 THEN '12' ELSE
+    '"' || replace(replace(replace(replace(replace(text, chr(92), ' '), chr(34), ' '), chr(10), ' '), chr(13), ' '), chr(9), ' ') || '"' END
+  || ',"confidence":' || CASE CAST(doc_id % 11 AS INT) WHEN 1 THEN '"0.25"' WHEN 2 THEN 'true' WHEN 3 THEN '" 7e-1 "' WHEN 4 THEN '"high"'
+    WHEN 5 THEN 'null' WHEN 6 THEN '[1]' ELSE CAST(doc_id % 4 AS STRING) || '.5' END
+  || ',"identifiedFeatures":' || CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN '"blue, round"' WHEN 1 THEN '["a","b"]' WHEN 2 THEN '[]' ELSE 'null' END
+  || CASE WHEN doc_id % 17 = 0 THEN '}} and {{b}}' WHEN doc_id % 17 = 1 THEN '}}, {{"b":1}}' WHEN doc_id % 17 = 2 THEN ',}}'
+    WHEN doc_id % 17 = 3 THEN '' ELSE '}}' END || '``` done' AS raw
 FROM {documents}""",
     "v_cart_sets": """
 SELECT event_id, user_id, event_id % 50 AS offer_id,
@@ -213,14 +219,40 @@ SELECT event_id, ts, CASE WHEN event_id % 13 = 0 THEN '   ' ELSE ' Name ' || CAS
 FROM {v_registrations}""",
     "v_alert_requests": """
 SELECT page_id,
-  CASE CAST(page_id % 4 AS INT)
+  CASE CAST(page_id % 8 AS INT)
     WHEN 0 THEN 'https://res.cloudinary.com/demo/shop/image-search/' || CAST(page_id AS STRING) || '.jpg'
     WHEN 1 THEN 'http://res.cloudinary.com/shop/image-search/' || CAST(page_id AS STRING) || '.jpg'
     WHEN 2 THEN 'https://RES.cloudinary.com/shop/image-search/x' || CAST(page_id AS STRING)
+    WHEN 3 THEN 'https://res.cloudinary.com/shop/image-search/../../private/' || CAST(page_id AS STRING)
+    WHEN 4 THEN 'https://res.cloudinary.com/private/%2E%2e/shop/image-search/' || CAST(page_id AS STRING)
+    WHEN 5 THEN ' https:' || chr(92) || chr(92) || 'res.cloudinary.com' || chr(92) || 'shop' || chr(92) || 'image-search' || chr(92) || 'a b.png'
+    WHEN 6 THEN 'https://u:p@res.cloudinary.com:443/shop/image-search/..name' || CAST(page_id AS STRING)
     ELSE url END AS image_url,
   html AS product_description,
   CASE CAST(page_id % 3 AS INT) WHEN 0 THEN '  u' || CAST(page_id AS STRING) || '@example.com '
     WHEN 1 THEN '77' || CAST(page_id AS STRING) ELSE ' 12 ' END AS contact
+FROM {pages}""",
+    "v_page_links": """
+SELECT page_id, CASE CAST(page_id % 13 AS INT)
+    WHEN 1 THEN 'https://' || host || '/x/../en/' || CAST(page_id AS STRING)
+    WHEN 2 THEN 'https://' || host || '/en/%2E%2e/secret'
+    WHEN 3 THEN 'https:' || chr(92) || chr(92) || upper(host) || chr(92) || 'en' || chr(92) || 'p'
+    WHEN 4 THEN 'https://user:pw@' || host || ':443/en/./a b.png?x=/../'
+    WHEN 5 THEN 'https://' || host || ':99999/en/'
+    WHEN 6 THEN ' HTTPS:/' || host || '/fr/en/..'
+    WHEN 7 THEN 'https:///' || host || '/fr/.%2e/en/é{{x}}'
+    WHEN 8 THEN 'mailto:x@y'
+    WHEN 9 THEN 'not a url'
+    WHEN 10 THEN 'ht' || chr(9) || 'tps://' || replace(host, 'e', '%65') || '/en/#/..'
+    WHEN 11 THEN 'https://' || host || '/en/../../../en/.'
+    ELSE url END AS url
+FROM (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN 'thther.example.org' ELSE regexp_extract(url, '^https?://([^/]+)', 1) END AS host FROM {pages}) p""",
+    "v_generated_images": """
+SELECT CAST(floor(page_id / 3) AS BIGINT) AS request_id, page_id AS pos,
+  CASE CAST(page_id % 7 AS INT) WHEN 0 THEN 'http://res.cloudinary.com/a.png' WHEN 1 THEN 'https://evil.example.com/res.cloudinary.com'
+    ELSE 'https://res.cloudinary.com/demo/' || CAST(page_id AS STRING) || '.png' END AS url,
+  CASE WHEN page_id % 11 = 0 THEN 'shop/ai-generated/../x' WHEN page_id % 11 = 1 THEN 'other/' || CAST(page_id AS STRING) WHEN page_id % 11 = 2 THEN NULL
+    ELSE 'shop/ai-generated/' || CAST(page_id AS STRING) END AS public_id
 FROM {pages}""",
     "v_grounding_sources": """
 SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS response_id, page_id AS pos,

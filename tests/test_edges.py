@@ -245,25 +245,45 @@ def test_cart_upsert_rules(spark):
 
 def test_model_output(spark):
     words = " ".join(["w"] * 100)
-    rows = [(1, '```json {"productName":"A","category":"c","description":"' + words + '","confidence":2}```'),
-            (2, 'Sure! {"productName":"A","category":"c","description":"' + " ".join(["w"] * 99)
-             + '","confidence":-1} thanks'),
-            (3, "no brace here"), (4, '{"productName": "A", broken}'),
-            (5, '{"productName":"A","category":"c","description":"' + words + '","confidence":"x"}')]
-    df = spark.createDataFrame(rows, "doc_id bigint, raw string")
-    got = {r.doc_id: (r.ok, r.passed, r.confidence, r.words)
-           for r in qa.llm_json_gate(qa.llm_json_extract(df)).collect()}
-    assert got == {1: (True, True, 1.0, 100), 2: (True, False, 0.0, 99), 3: (False, False, 0.0, None),
-                   4: (False, False, 0.0, None), 5: (True, True, 0.0, 100)}
+    full = '"productName":"A","category":"c","description":"' + words + '"'
+    rows = [(1, "```json {" + full + ',"confidence":2}```', (True, True, 1.0, 100, "[]")),
+            (2, 'Sure! {"productName":"A","category":"c","description":"' + " ".join(["w"] * 99) + '","confidence":-1} thanks', (True, False, 0.0, 99, "[]")),
+            (3, "no brace here", (False, False, 0.0, None, "[]")), (4, '{"productName": "A", broken}', (False, False, 0.0, None, "[]")),
+            (5, "{" + full + ',"confidence":"x"}', (True, True, 0.0, 100, "[]")),
+            (6, "{" + full + "} and {b}", (False, False, 0.0, None, "[]")),  # text after the object
+            (7, "{" + full + '}, {"b":1}', (False, False, 0.0, None, "[]")),
+            (8, "{" + full + ',"identifiedFeatures":"blue, round","confidence":"0.25"}', (True, True, 0.25, 100, "[]")),
+            (9, "{" + full + ',"identifiedFeatures":["a",1],"confidence":true}', (True, True, 1.0, 100, '["a",1]')),
+            (10, "{" + full.replace('"A"', "5") + "}", (True, True, 0.0, 100, "[]")),  # a number is truthy
+            (11, "{" + full.replace('"A"', "0") + "}", (True, False, 0.0, 100, "[]")), (12, "{" + full.replace('"c"', "[]") + "}", (True, True, 0.0, 100, "[]")),
+            (13, '{"productName":"A","category":"c","description":12}', (True, False, 0.0, None, "[]")),
+            (14, "{" + full + ",}", (False, False, 0.0, None, "[]")), (15, "} {", (False, False, 0.0, None, "[]")), (16, "", (False, False, 0.0, None, "[]")),
+            (17, None, (False, False, 0.0, None, "[]")), (18, "{" + full + ',"confidence":" 7e-1 "}', (True, True, 0.7, 100, "[]"))]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, raw string")
+    got = {r.doc_id: (r.ok, r.passed, r.confidence, r.words, r.features) for r in qa.llm_json_gate(qa.llm_json_extract(df)).collect()}
+    assert got == {i: v for i, _, v in rows}
+
+
+@pytest.mark.parametrize("url,path", [
+    ("https://h.example/a/b/../c", "/a/c"), ("https://h.example/a/./b/.", "/a/b/"), ("https://h.example/a/..", "/"),
+    ("https://h.example/../../a", "/a"), ("https://h.example/a/%2e%2E/b", "/b"), ("https://h.example/a/.%2e/%2e/b", "/b"),
+    ("https://h.example", "/"), ("https://h.example?x=/../", "/"), ("https://h.example/a//../b", "/a/b"), ("https://h.example/a/..b/c..", "/a/..b/c.."),
+    ("  https:\\\\H.Example\\a\\..\\b c\n", "/b%20c"), ("https:h.example/a", "/a"), ("https://u:p@h.example:8080/a#/../x", "/a"),
+    ("https://h.example/\u00e9{x}", "/%C3%A9%7Bx%7D"), ("ht\ttps://h.ex%61mple/a", "/a"), ("https://h.example:99999/a", None), ("https:///", None),
+    ("not a url", None), ("", None), ("https://a b/c", None)])
+def test_url_parse(spark, url, path):
+    from souk.functions.quality import url_parts
+    p = url_parts(F.col("u"))
+    r = spark.createDataFrame([(url,)], "u string").select(p["protocol"].alias("p"), p["host"].alias("h"), p["path"].alias("x")).first()
+    assert (r.p, r.h, r.x) == (("https:", "h.example", path) if path else (None, None, None))
 
 
 def test_url_allowlist(spark):
-    df = spark.createDataFrame([("https://res.cloudinary.com/x/shop/image-search/a.png",),
-                                ("http://res.cloudinary.com/shop/image-search/a.png",),
-                                ("https://evil.com/shop/image-search/a.png",),
-                                ("https://res.cloudinary.com/shop/image-search/../a",), ("not a url",)], "u string")
+    df = spark.createDataFrame([("https://res.cloudinary.com/x/shop/image-search/a.png",), ("http://res.cloudinary.com/shop/image-search/a.png",),
+                                ("https://evil.com/shop/image-search/a.png",), ("https://res.cloudinary.com/shop/image-search/../a",), ("not a url",),
+                                ("https://res.cloudinary.com/x/%2e%2e/shop/image-search/..a",), (None,)], "u string")
     got = [r.allowed for r in qa.url_allowlist(df, "u", "res.cloudinary.com", "/shop/image-search/").collect()]
-    assert got == [True, False, False, False, False]
+    assert got == [True, False, False, False, False, True, False]
 
 
 def test_dedupe_sources(spark):
