@@ -61,6 +61,13 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/souk-{what}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, what: str = "table") -> DataFrame:
+    """``df`` written as a table into the shared folder and read again: cuts lineage, has its real size."""
+    path = scratch_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def packed(df: DataFrame, *cols: Column, drop: tuple = ()) -> DataFrame:
     """``df`` as one struct column ``row`` (without the ``drop`` columns) plus the named ``cols``.
 

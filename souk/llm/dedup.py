@@ -1,77 +1,112 @@
-"""Near-duplicate documents: MinHash, banded candidates, odd-sketch verification.
+"""Near-duplicate documents: MinHash bands, odd-sketch filter, exact confirmation.
 
 Method.  Every text becomes the set of its distinct ``n``-word shingles
 (A-Z lower-cased, words are runs of non-white-space; fewer than ``n`` words:
 the whole sequence is one shingle; no words: the empty set, linked with
-nothing).  Shingles are kept as 64-bit hashes.
+nothing).  Shingles are 64-bit hashes.
 
-1. Exact copies (same set) collapse to one representative, the smallest id,
+1. One Arrow pass over the texts writes a narrow table: set size, a 128-bit
+   hash of the set, the keys of ``num_perm / rows_per_band`` MinHash bands, and the odd
+   sketch: the MinHash samples folded into a ``64 * sketch_words``-bit parity
+   bitmap.  Sets themselves are not stored.
+2. Exact copies (same set) collapse to one representative, the smallest id,
    with a grouped aggregate, so groups of thousands of copies cost one row.
-2. Each representative gets ``num_perm`` MinHash values: the shingle rows are
-   exploded once and reduced by one hash aggregate (map-side partial
-   aggregation, all JVM code).
-3. The samples are cut into bands of ``rows_per_band``.  First pass: members of
-   a band bucket are paired with the bucket's smallest and largest id.
-4. Odd sketches: each signature is folded into a ``64 * sketch_words``-bit
-   parity bitmap; the popcount of the XOR of two bitmaps estimates the
-   similarity of the MinHash samples, which drops hopeless candidates cheaply.
-5. Survivors are confirmed on the full shingle sets:
-   ``100 * |A n B| >= 100 * threshold * |A u B|``.
-6. Components: minimum-label propagation with pointer jumping over the
-   confirmed links, cut by a reliable checkpoint every round.
-7. Second pass, for the bucket pairs without the smallest or largest id: the
-   members of buckets that still hold several components are joined by an
-   exact prefix filter (two sets with similarity >= threshold share one of
-   their ``n - ceil(threshold * n) + 1`` rarest shingles).  Pairs across
-   components are filtered, confirmed and joined to components as above.
+3. First candidates: the members of a band bucket with the bucket's smallest
+   id.  The popcount of the XOR of two odd sketches estimates the similarity of
+   the samples; candidates below ``sketch_floor`` (or of sizes too different) go.
+4. The rest are confirmed on the full shingle sets, ``100 * |A n B| >= 100 *
+   threshold * |A u B|``: the sets of the documents that have candidates are
+   made again from their texts, dealt to (smallest id, salt) and compared while
+   streaming; a smallest id with very many partners is salted over many tasks.
+5. Components of the confirmed links: smallest reachable id.
+6. Second candidates: buckets that still hold several components.  Their
+   members are joined with each other across components (the sketch and size
+   conditions inside the join), confirmed, and joined to components as above.  So every pair of
+   a bucket is either in one component, refuted or confirmed; no cap.
 
 Defined results for odd input: null or empty text -> empty set, own
 component, kept; null id -> not linked (component_id null, kept false);
-repeated rows -> each row reported, identical ids share the component;
-input columns called ``n_shingles``, ``component_id`` or ``kept`` are
-replaced.  Candidates come from buckets, so a link whose two ends never
-share a bucket is missed: (1 - 0.75^2)^32 = 3e-12 at similarity 0.75 (see
-README, op7).
+repeated rows -> each row reported; rows that repeat an id with other texts
+share their component; input columns called ``n_shingles``, ``component_id`` or
+``kept`` are replaced, others are kept whatever their names; empty table ->
+empty.  Candidates come from buckets: a link whose ends share none is missed,
+(1 - 0.75^4)^32 = 5e-6 at similarity 0.75, as is one whose sketch estimate falls below the floor.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold_az, words
+from .common import packed, stored, unpacked
 
 OUT = ("n_shingles", "component_id", "kept")
+_A, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-def shingle_hashes(w: Column, n: int = 5) -> Column:
-    """Sorted distinct 64-bit hashes of the ``n``-word shingles of the words
-    column ``w`` (pass a column, not an expression: it is read per element)."""
-    k = F.size(w)
-    return F.array_sort(F.array_distinct(
-        F.when(k == 0, F.array().cast("array<bigint>"))
-        .when(k < n, F.array(F.xxhash64(F.array_join(w, " "))))
-        .otherwise(F.transform(F.sequence(F.lit(0), k - n), lambda i: F.xxhash64(*[w[i + j] for j in range(n)])))))
+class _WordHashes(dict):
+    """Word (bytes) -> 64-bit hash, remembered for a bounded number of words."""
 
+    def __missing__(self, w):
+        import xxhash
+        if len(self) > 300_000:
+            self.clear()
+        h = self[w] = xxhash.xxh64_intdigest(w)
+        return h
 
-def with_shingles(df: DataFrame, text_col: str, n: int = 5, out: str = "_hs") -> DataFrame:
-    """Adds ``out``: the shingle hash set of ``text_col`` (A-Z lower-cased)."""
-    return (df.withColumn("_w", words(fold_az(F.col(f"`{text_col}`"))))
-            .withColumn(out, shingle_hashes(F.col("_w"), n)).drop("_w"))
 
+_WORDS = _WordHashes()
 
-def sketch_positions(sig: Column, sketch_words: int) -> Column:
-    """Bit position of each MinHash sample in the odd sketch."""
-    return F.transform(sig, lambda v, i: F.pmod(F.xxhash64(v, i), F.lit(64 * sketch_words)))
 
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _M1
+    h = (h ^ (h >> np.uint64(27))) * _M2
+    return h ^ (h >> np.uint64(31))
 
-def _bit_words(pos: Column, sketch_words: int) -> list[Column]:
-    """Odd sketch: parity of the samples over 64*sketch_words bit positions
-    (``pos``: a column of ``sketch_positions``)."""
-    one = F.lit(1).cast("long")
-    return [F.aggregate(F.filter(pos, lambda p, _w=w: (p / 64).cast("int") == _w), F.lit(0).cast("long"),
-                        lambda acc, p: acc.bitwiseXOR(F.call_function("shiftleft", one, (p % 64).cast("int"))))
-            for w in range(sketch_words)]
+
+def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the ``n``-word shingles of a text."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and the six ASCII blanks only
+    k = len(words)
+    if not k:
+        return np.zeros(0, dtype=np.uint64)
+    w = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=k)
+    m = min(n, k)
+    h = np.full(k - m + 1, m, dtype=np.uint64)
+    for j in range(m):
+        h = h * _A + w[j:k - m + 1 + j]
+    return np.unique(_mix(h))
+
+
+class Sketcher:
+    """MinHash bands and odd sketches of shingle sets."""
+
+    def __init__(self, num_perm: int, rows_per_band: int, sketch_words: int, seed: int = 1):
+        rng = np.random.default_rng(seed)
+        self.mul = rng.integers(1, 1 << 63, num_perm, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.add = rng.integers(0, 1 << 63, num_perm, dtype=np.uint64)
+        self.rows, self.bits = rows_per_band, 64 * sketch_words
+
+    def samples(self, hs: np.ndarray) -> np.ndarray:
+        out = np.full(len(self.mul), np.iinfo(np.uint64).max, dtype=np.uint64)
+        for i in range(0, len(hs), 1024):
+            part = (hs[i:i + 1024, None] * self.mul + self.add) >> np.uint64(32)
+            np.minimum(out, part.min(axis=0), out=out)
+        return out
+
+    def bands(self, sig: np.ndarray) -> np.ndarray:
+        rows = sig.reshape(-1, self.rows)
+        h = np.arange(len(rows), dtype=np.uint64)
+        for j in range(self.rows):
+            h = h * _A + rows[:, j]
+        return _mix(h).view(np.int64)
+
+    def sketch(self, sig: np.ndarray) -> np.ndarray:
+        place = _mix(sig * _A + np.arange(len(sig), dtype=np.uint64)) % np.uint64(self.bits)
+        odd = np.bincount(place.astype(np.int64), minlength=self.bits) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def odd_sketch_similarity(xor_bits: Column, num_perm: int, sketch_words: int) -> Column:
@@ -82,125 +117,149 @@ def odd_sketch_similarity(xor_bits: Column, num_perm: int, sketch_words: int) ->
     return 1.0 - diff / (2.0 * num_perm)
 
 
+def sketched(texts: DataFrame, n: int, num_perm: int, rows_per_band: int, sketch_words: int) -> DataFrame:
+    """(id, th, t) -> (id, th, n, k1, k2, bands, sk)."""
+
+    def run(batches):
+        import xxhash
+        s = Sketcher(num_perm, rows_per_band, sketch_words)
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                b = batch.slice(at, 1024)
+                size, k1, k2, bands, sk = [], [], [], [], []
+                for t in b.column(2).to_pylist():
+                    hs = shingle_set(t, n)
+                    size.append(len(hs))
+                    a, c = np.frombuffer(xxhash.xxh3_128_digest(hs.tobytes()), dtype=np.int64).tolist()
+                    k1.append(a)
+                    k2.append(c)
+                    sig = s.samples(hs)
+                    bands.append(s.bands(sig))
+                    sk.append(s.sketch(sig))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+                     pa.array(bands, pa.list_(pa.int64())), pa.array(sk, pa.list_(pa.int64()))],
+                    names=["id", "th", "n", "k1", "k2", "bands", "sk"])
+
+    return texts.mapInArrow(run, "id long, th long, n long, k1 long, k2 long, bands array<long>, sk array<long>")
+
+
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(a, b) links -> (node, label) with label the smallest node reachable."""
-    und = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lab = cut(und.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("lab")).withColumnRenamed("a", "node"))
+    """(a, b) links -> (node, label) with label the smallest node reachable.
+
+    Each round: the smallest label among the neighbours, then the label of that label; rounds are stored tables.
+    """
+    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     for _ in range(max_rounds):
-        nb = (und.join(lab.withColumnRenamed("node", "b").withColumnRenamed("lab", "lb"), "b")
-              .groupBy("a").agg(F.min("lb").alias("lb")).withColumnRenamed("a", "node"))
-        step = lab.join(nb, "node", "left").select("node", F.least("lab", F.coalesce("lb", "lab")).alias("lab"))
-        # pointer jumping: a node takes the label of its label
-        jump = (step.alias("s").join(step.alias("t"), F.col("s.lab") == F.col("t.node"), "left")
-                .select(F.col("s.node").alias("node"), F.least(F.col("s.lab"), F.coalesce(F.col("t.lab"), F.col("s.lab"))).alias("lab")))
-        new = cut(jump)
-        changed = new.alias("n").join(lab.alias("o"), "node").where(F.col("n.lab") != F.col("o.lab")).limit(1).count()
-        lab = new
-        if not changed:
-            return lab
+        near = (both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"))
+                .agg(F.min("label").alias("near")))
+        step = label.join(near, "node", "left").select("node", "label", F.least("label", "near").alias("low"))
+        up = label.select(F.col("node").alias("low"), F.col("label").alias("top"))
+        new = stored(step.join(up, "low", "left").select("node", "label", F.least("low", "top").alias("new")))
+        if not new.where("new <> label").limit(1).count():
+            return label
+        label = new.select("node", F.col("new").alias("label"))
     raise RuntimeError(f"components did not converge in {max_rounds} rounds")
 
 
-def _confirmed(cand: DataFrame, sig: DataFrame, texts: DataFrame, n: int, t100: int, num_perm: int,
-               sketch_words: int, sketch_floor: float) -> DataFrame:
-    """The candidate pairs (a, b, ...) confirmed on their full sets, the odd sketches as a filter before."""
-    ska, skb = sig.select(F.col("_id").alias("a"), F.col("sk").alias("ska")), sig.select(F.col("_id").alias("b"), F.col("sk").alias("skb"))
-    xor_bits = sum((F.bit_count(F.col("ska")[w].bitwiseXOR(F.col("skb")[w])) for w in range(sketch_words)), F.lit(0))
-    near = cut(cand.join(ska, "a").join(skb, "b")
-               .where(odd_sketch_similarity(xor_bits, num_perm, sketch_words) >= sketch_floor).select(*cand.columns))
-    ends = near.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    ends = with_shingles(texts.join(ends, "_id", "left_semi"), "_t", n).select("_id", "_hs", F.size("_hs").cast("long").alias("_n"))
-    ha = ends.select(F.col("_id").alias("a"), F.col("_hs").alias("ha"), F.col("_n").alias("na"))
-    hb = ends.select(F.col("_id").alias("b"), F.col("_hs").alias("hb"), F.col("_n").alias("nb"))
-    inter = F.size(F.array_intersect("ha", "hb")).cast("long")
-    return (near.join(ha, "a").join(hb, "b")
-            .where(100 * inter >= t100 * (F.col("na") + F.col("nb") - inter)).select(*cand.columns))
-
-
-def _prefix_pairs(left: DataFrame, texts: DataFrame, n: int, t100: int) -> DataFrame:
-    """(a, b, la, lb): pairs of ``left`` (_id, l) from different components l that share one of
-    their rarest shingles and fit in size; every pair at or above the threshold is among them."""
-    sets = with_shingles(texts.join(left, "_id").dropDuplicates(["_id", "_t"]), "_t", n).select("_id", "l", "_hs", F.size("_hs").cast("long").alias("_n"))
-    ex = sets.select("_id", "l", "_n", F.explode_outer("_hs").alias("h")).where(F.col("h").isNotNull())
-    freq = ex.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    # shingles of one document only come first in its order and pair with nothing
-    shared = (ex.join(freq, "h").groupBy("_id", "l", "_n")
-              .agg(F.array_sort(F.collect_set(F.struct("c", "h"))).alias("o")))
-    prefix = F.col("_n") - F.ceil(F.col("_n") * t100 / 100) + 1 - (F.col("_n") - F.size("o"))
-    post = cut(shared.select("_id", "l", "_n", F.explode(F.slice("o", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("x"))
-               .select("_id", "l", "_n", F.col("x.h").alias("h")))
-    mixed = post.groupBy("h").agg(F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("h")
-    post = post.join(mixed, "h", "left_semi")
-    x = post.select("h", F.col("_id").alias("a"), F.col("l").alias("la"), F.col("_n").alias("na"))
-    y = post.select("h", F.col("_id").alias("b"), F.col("l").alias("lb"), F.col("_n").alias("nb"))
-    return (x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
-                                 & (100 * F.least("na", "nb") >= t100 * F.greatest("na", "nb")))
-            .select("a", "b", "la", "lb").distinct())
+def confirmed(cand: DataFrame, texts: DataFrame, n: int, t100: int, fan: int = 4096, broadcast_rows: int = 200_000) -> DataFrame:
+    """The candidate pairs (a, b) whose full shingle sets are similar enough."""
+    ends = stored(cand.select(F.col("a").alias("id")).unionByName(cand.select(F.col("b").alias("id"))).distinct())
+    few = ends.count() <= broadcast_rows
+
+    def sets(batches):
+        for b in batches:
+            hs = [shingle_set(t, n).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hs, pa.binary())], names=["id", "hs"])
+
+    full = (texts.select("id", "t").join(F.broadcast(ends) if few else ends, "id", "left_semi").mapInArrow(sets, "id long, hs binary"))
+    full = stored(full.distinct())
+    # each partner's set travels to the smaller id; its own set to every salt of it
+    fans = cand.groupBy("a").agg((F.count(F.lit(1)) / fan).cast("int").alias("salts"))
+    dealt = (cand.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts") + 1).alias("salt"), "b")
+             .join(full.withColumnRenamed("id", "b"), "b").select("a", "salt", F.lit(1).alias("kind"), "b", "hs"))
+    heads = (fans.join(full.withColumnRenamed("id", "a"), "a")
+             .select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long"))).alias("salt"), F.lit(0).alias("kind"),
+                     F.lit(None).cast("long").alias("b"), "hs"))
+    rows = heads.unionByName(dealt).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+
+    def check(batches):
+        at, own = None, []
+        for batch in batches:
+            out = []
+            for a, salt, kind, b, raw in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+                hs = np.frombuffer(raw, dtype=np.uint64)
+                if (a, salt) != at:
+                    at, own = (a, salt), []
+                if not kind:
+                    own.append(hs)
+                    continue
+                for x in own:  # one set, or more where rows repeat an id
+                    if len(x) and len(hs) and 100 * min(len(x), len(hs)) >= t100 * max(len(x), len(hs)):
+                        both = int((x[np.minimum(np.searchsorted(x, hs), len(x) - 1)] == hs).sum())
+                        if 100 * both >= t100 * (len(x) + len(hs) - both):
+                            out.append((a, b))
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
-                    threshold: float = 0.75, num_perm: int = 64, rows_per_band: int = 2,
-                    sketch_words: int = 8, sketch_floor: float = 0.45) -> DataFrame:
+                    threshold: float = 0.75, num_perm: int = 128, rows_per_band: int = 4,
+                    sketch_words: int = 8, sketch_floor: float = 0.5) -> DataFrame:
     """Input rows plus n_shingles, component_id (smallest id reachable) and kept."""
-    assert num_perm % rows_per_band == 0
-    bands = num_perm // rows_per_band
-    base = docs.drop(*[c for c in OUT if c in docs.columns])
-    # Shingle sets are recomputed from the text where they are needed rather than
-    # stored: the hash arrays are larger than the texts they come from.
-    # One pass shingles every text into a narrow stored table (id, text hash, set
-    # size, set hash); the output joins it back by (id, text hash).
-    th = F.xxhash64(F.col(f"`{text_col}`"))
-    narrow = cut(with_shingles(base.select(F.col(f"`{id_col}`").cast("long").alias("_id"), th.alias("_th"),
-                                           F.col(f"`{text_col}`").alias("_t")), "_t", n)
-                 .select("_id", "_th", F.size("_hs").cast("long").alias("_n"), F.xxhash64("_hs").alias("_key"))
-                 .dropDuplicates(["_id", "_th"]))
-    live = narrow.where((F.col("_n") > 0) & F.col("_id").isNotNull())
-    groups = cut(live.groupBy("_key", "_n").agg(F.min("_id").alias("_rep")))
-    rep_ids = groups.select(F.col("_rep").alias("_id")).distinct()
-    texts = base.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_t"))
-    reps = (with_shingles(texts.join(rep_ids, "_id", "left_semi"), "_t", n)
-            .select("_id", "_hs", F.size("_hs").cast("long").alias("_n")))
-
-    # explode_outer: an inner explode makes Catalyst infer size(_hs) > 0 and push it
-    # (with the whole set expression inlined) below the projections.
-    ex = reps.select("_id", F.explode_outer("_hs").alias("h")).where(F.col("h").isNotNull())
-    sig = ex.groupBy("_id").agg(*[F.min(F.xxhash64("h", F.lit(i))).alias(f"m{i}") for i in range(num_perm)])
-    sig = sig.select("_id", F.array(*[f"m{i}" for i in range(num_perm)]).alias("sig"))
-    sig = sig.withColumn("pos", sketch_positions(F.col("sig"), sketch_words))
-    sk = _bit_words(F.col("pos"), sketch_words)
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * rows_per_band + r] for r in range(rows_per_band)])
-                     for b in range(bands)])
-    sig = cut(sig.select("_id", F.array(*sk).alias("sk"), keys.alias("keys")))
-
-    banded = sig.select("_id", F.posexplode("keys").alias("band", "bkey"))
-    buckets = banded.groupBy("band", "bkey").agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"),
-                                                 F.count(F.lit(1)).alias("cnt")).where("cnt > 1")
-    star = banded.join(buckets, ["band", "bkey"]).select("_id", F.explode(F.array("lo", "hi")).alias("c"))
-    cand = (star.where(F.col("_id") != F.col("c"))
-            .select(F.least("_id", "c").alias("a"), F.greatest("_id", "c").alias("b")).distinct())
+    if num_perm % rows_per_band:
+        raise ValueError("num_perm is a multiple of rows_per_band")
     t100 = int(round(threshold * 100))
-    edges = cut(_confirmed(cand, sig, texts, n, t100, num_perm, sketch_words, sketch_floor).select("a", "b"))
-    lab = components(edges)
-
-    # second pass: the pairs of a bucket's other members, where they are in several components
-    memb = (banded.join(buckets.where("cnt > 3"), ["band", "bkey"])
-            .where((F.col("_id") != F.col("lo")) & (F.col("_id") != F.col("hi"))).select("_id", "band", "bkey")
-            .join(lab.withColumnRenamed("node", "_id"), "_id", "left")
-            .select("_id", "band", "bkey", F.coalesce("lab", "_id").alias("l")))
-    several = (memb.groupBy("band", "bkey").agg(F.min("l").alias("l0"), F.max("l").alias("l1"))
-               .where("l0 <> l1").select("band", "bkey"))
-    left = cut(memb.join(several, ["band", "bkey"], "left_semi").select("_id", "l").distinct())
-    cross = cut(_prefix_pairs(left, texts, n, t100))
-    links = _confirmed(cross, sig, texts, n, t100, num_perm, sketch_words, sketch_floor)
-    lab2 = components(cut(links.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()))
-    lab2 = lab2.select(F.col("node").alias("_l1"), F.col("lab").alias("_l2"))
-
-    sets = base.withColumn("_id", F.col(f"`{id_col}`").cast("long")).withColumn("_th", th)
-    sets = sets.join(narrow, [sets["_id"].eqNullSafe(narrow["_id"]), sets["_th"].eqNullSafe(narrow["_th"])], "left").drop(narrow["_id"]).drop(narrow["_th"])
-    out = (sets.join(groups, ["_key", "_n"], "left")
-           .join(lab.withColumnRenamed("node", "_rep"), "_rep", "left")
-           .withColumn("_l1", F.coalesce("lab", "_rep", "_id")).join(lab2, "_l1", "left")
-           .withColumn("component_id", F.when(F.col("_id").isNotNull(), F.coalesce("_l2", "_l1")))
-           .withColumn("n_shingles", F.col("_n"))
-           .withColumn("kept", F.coalesce(F.col("_id") == F.col("component_id"), F.lit(False))))
-    return out.drop("_hs", "_id", "_th", "_n", "_key", "_rep", "lab", "_l1", "_l2")
+    text = F.col(f"`{text_col}`")
+    base = packed(docs, F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), drop=OUT)
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
+    narrow = stored(sketched(texts, n, num_perm, rows_per_band, sketch_words), "sketches")
+    live = narrow.where((F.col("n") > 0) & F.col("id").isNotNull())
+    groups = live.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sk").alias("sk"))
+    reps = stored(groups, "representatives")
+
+    banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    buckets = stored(banded.groupBy("band", "key").agg(F.min("rep").alias("lo"), F.count(F.lit(1)).alias("cnt")).where("cnt > 1"))
+    memb = stored(banded.join(buckets, ["band", "key"]).select("band", "key", "rep", "lo", "cnt"))
+
+    def plausible(na, nb, ska, skb):
+        xor_bits = sum((F.bit_count(ska[w].bitwiseXOR(skb[w])) for w in range(sketch_words)), F.lit(0))
+        return ((100 * F.least(na, nb) >= t100 * F.greatest(na, nb))
+                & (odd_sketch_similarity(xor_bits, num_perm, sketch_words) >= sketch_floor))
+
+    side = lambda s: reps.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("sk").alias(f"sk{s}"))
+    near = plausible(F.col("na"), F.col("nb"), F.col("ska"), F.col("skb"))
+    star = (memb.where(F.col("rep") != F.col("lo")).select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
+            .join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b").distinct())
+    edges = confirmed(stored(star), texts, n, t100)
+    # rows that repeat an id with other texts: their groups belong together
+    again = (live.join(reps.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"]).select("id", "rep").distinct()
+             .groupBy("id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("bs")).where(F.size("bs") > 1)
+             .select("a", F.explode("bs").alias("b")).where("a <> b"))
+    lab = components(edges.unionByName(again))
+
+    # buckets that still hold several components: their members across components
+    rest = (memb.where("cnt > 2").join(lab.select(F.col("node").alias("rep"), "label"), "rep", "left")
+            .select("band", "key", "rep", "lo", F.coalesce("label", "rep").alias("l")))
+    mixed = rest.groupBy("band", "key").agg(F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("band", "key")
+    rest = stored(rest.join(mixed, ["band", "key"], "left_semi").where(F.col("rep") != F.col("lo"))
+                  .join(reps.select("rep", "n", "sk"), "rep"))
+    x = rest.select("band", "key", F.col("rep").alias("a"), F.col("l").alias("la"), F.col("n").alias("na"), F.col("sk").alias("ska"))
+    y = rest.select("band", "key", F.col("rep").alias("b"), F.col("l").alias("lb"), F.col("n").alias("nb"), F.col("sk").alias("skb"))
+    on = ((x["band"] == y["band"]) & (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near)
+    cross = stored(x.join(y, on).select("a", "b", "la", "lb").distinct())
+    links = confirmed(cross.select("a", "b"), texts, n, t100).distinct().join(cross, ["a", "b"])
+    lab2 = components(links.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+
+    of = (narrow.select("id", "th", "n", "k1", "k2").distinct().join(reps.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"], "left")
+          .join(lab.select(F.col("node").alias("rep"), F.col("label").alias("l1")), "rep", "left")
+          .withColumn("l1", F.coalesce("l1", "rep", "id"))
+          .join(lab2.select(F.col("node").alias("l1"), F.col("label").alias("l2")), "l1", "left")
+          .select("id", F.col("th").alias("oth"), F.col("n").alias("n_shingles"), F.coalesce("l2", "l1").alias("component_id"))
+          .withColumnRenamed("id", "oid"))
+    out = base.join(of, F.col("id").eqNullSafe(F.col("oid")) & (F.col("th") == F.col("oth")), "left")
+    out = out.withColumn("component_id", F.when(F.col("id").isNotNull() & (F.col("n_shingles") >= 0), F.col("component_id")))
+    return unpacked(out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))), *OUT)

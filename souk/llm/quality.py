@@ -59,7 +59,7 @@ def word_terms(w: str) -> list[str]:
 class Buckets:
     """Bucket counts of a text's terms; remembers the buckets of up to ``keep`` words."""
 
-    def __init__(self, n: int, keep: int = 200_000):
+    def __init__(self, n: int, keep: int = 50_000):
         self.n, self.keep, self.known = n, keep, {}
 
     def _of(self, term: str) -> int:
@@ -139,7 +139,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_col: str = "quality", n_features: int = 4096, rank: int = 64,
-                   max_train: int = 6000, k: int = 25, threshold: float = 0.3, block: int = 512,
+                   max_train: int = 6000, k: int = 25, threshold: float = 0.3, block: int = 128,
                    seed: int = 17) -> DataFrame:
     """Input rows plus held_out, score (0..1) and predicted (score >= threshold)."""
     n_docs, df = document_frequencies(docs, text_col, n_features)
@@ -149,13 +149,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     prior = float(ty.mean()) if len(ty) else 0.5
     if len(train):
         buckets = Buckets(n_features)
-        xt = _dense([buckets(t) for t, _ in train], idf)
-        rng = np.random.default_rng(seed)
-        r_ = min(rank, *xt.shape)
-        q, _ = np.linalg.qr(xt @ rng.standard_normal((n_features, r_ + 16)).astype(np.float32))
-        _, _, vt = np.linalg.svd(q.T @ xt, full_matrices=False)
+        bags = [buckets(t) for t, _ in train]
+        parts = [slice(i, i + block) for i in range(0, len(bags), block)]  # the dense matrix is never held whole
+        r_ = min(rank, len(bags), n_features)
+        toss = np.random.default_rng(seed).standard_normal((n_features, r_ + 16)).astype(np.float32)
+        q, _ = np.linalg.qr(np.concatenate([_dense(bags[p], idf) @ toss for p in parts]))
+        small = sum(q[p].T @ _dense(bags[p], idf) for p in parts)
+        _, _, vt = np.linalg.svd(small, full_matrices=False)
         proj = vt[:r_].T.astype(np.float32)  # n_features x rank
-        zt = _unit(xt @ proj).astype(np.float32)
+        zt = _unit(np.concatenate([_dense(bags[p], idf) @ proj for p in parts])).astype(np.float32)
     else:
         proj, zt = np.zeros((n_features, 1), np.float32), np.zeros((0, 1), np.float32)
     bc = docs.sparkSession.sparkContext.broadcast((idf, proj, zt, ty, prior))
@@ -167,7 +169,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             z = _unit(_dense([buckets(t) for t in texts.iloc[s:s + block]], idf_) @ proj_)
             if not len(ty_):
                 continue
-            sim = np.maximum(np.round(z @ zt_.T, 5), 0.0)  # rounded: block shapes do not decide ties
+            sim = np.maximum(np.round((z @ zt_.T).astype(np.float32), 5), np.float32(0.0))  # rounded: block shapes do not decide ties
             kth = np.partition(sim, -min(k, sim.shape[1]), axis=1)[:, -min(k, sim.shape[1])]
             w = np.where(sim >= kth[:, None], sim, 0.0)  # all that tie with the k-th vote
             tot = w.sum(axis=1)

@@ -81,7 +81,7 @@ def repair(seq: np.ndarray, base: int, end_id: int, min_count: int = 8, batch: i
     ends = np.zeros(base, dtype=bool)
     ends[end_id] = True
     explen = np.ones(base, dtype=np.int64)
-    bits = min(21, max(12, int(len(seq)).bit_length()))
+    bits = min(19, max(12, int(len(seq)).bit_length()))
     while len(seq) > 1:
         a, b = seq[:-1], seq[1:]
         pos = np.flatnonzero(~ends[a])

@@ -255,3 +255,34 @@ def test_mix_is_near_its_targets(lspark):
             assert taken >= 0.9 * target
     again = {(r["doc_id"], r["taken"]) for r in mix(docs.repartition(5)).collect()}
     assert again == {(r["doc_id"], r["taken"]) for r in rows}
+
+
+# --- 7: near duplicates -------------------------------------------------------------------------
+def test_near_duplicates_of_given_documents(lspark):
+    from souk.llm.dedup import near_duplicates
+    from tests.llm.test_operators import brute_components
+    docs = lspark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumns({c: F.lit(1) for c in ("lab", "_n", "_key", "rep", "n", "id", "th", "k1")})
+    rows = near_duplicates(docs).collect()
+    want = brute_components([(r["doc_id"], r["text"]) for r in rows])
+    assert {r["doc_id"]: r["component_id"] for r in rows} == want and len(set(want.values())) < len(want)
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) and r["lab"] == 1 for r in rows)
+
+
+def test_near_duplicates_hot_groups_and_repeated_ids(lspark):
+    from souk.llm import dedup
+    rnd = random.Random(2)
+    base = [f"w{rnd.randrange(10 ** 6)}" for _ in range(120)]
+    rows = [(i, " ".join(w if j != 7 * (i % 17) else f"x{i}" for j, w in enumerate(base))) for i in range(10, 400)]  # near copies of one text
+    rows += [(i, "the same words in every one of these texts") for i in range(500, 900)]
+    rows += [(5, "another text of this id " + " ".join(base[:60])), (5, " ".join(base)), (950, "Ünï ÀB c d e"), (951, "Ünï Àb c d e"), (952, "ünï Àb c d e")]
+    d = lspark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = dedup.near_duplicates(d).collect()
+    assert len(out) == len(rows)
+    comp = {(r["doc_id"], r["text"]): r["component_id"] for r in out}
+    assert {comp[x] for x in rows if x[0] < 400} == {5}
+    assert {comp[x] for x in rows if 500 <= x[0] < 900} == {500}
+    assert comp[(950, "Ünï ÀB c d e")] == 950 and comp[(951, "Ünï Àb c d e")] == 950 and comp[(952, "ünï Àb c d e")] == 952
+    pairs = lspark.createDataFrame([(10, i) for i in range(11, 400)], "a long, b long")
+    texts = d.selectExpr("doc_id id", "text t")
+    many = {tuple(r) for r in dedup.confirmed(pairs, texts, 5, 75, fan=20).collect()}
+    assert many == {tuple(r) for r in dedup.confirmed(pairs, texts, 5, 75, broadcast_rows=0).collect()} and len(many) > 300
