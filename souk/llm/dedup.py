@@ -11,8 +11,8 @@ nothing).  Shingles are 64-bit hashes.
    bitmap.  Sets themselves are not stored.
 2. Exact copies (same set) collapse to one representative, the smallest id,
    with a grouped aggregate, so groups of thousands of copies cost one row.
-3. First candidates: the members of a band bucket with the bucket's smallest
-   id.  The popcount of the XOR of two odd sketches estimates the similarity of
+3. First candidates: every document with the smallest id of all its buckets;
+   then, where the two are in different components still, with the smallest id of each of its buckets.  The popcount of the XOR of two odd sketches estimates the similarity of
    the samples; candidates below ``sketch_floor`` (or of sizes too different) go.
 4. The rest are confirmed on the full shingle sets, ``100 * |A n B| >= 100 *
    threshold * |A u B|``: the sets of the documents that have candidates are
@@ -232,14 +232,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     side = lambda s: reps.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("sk").alias(f"sk{s}"))
     near = plausible(F.col("na"), F.col("nb"), F.col("ska"), F.col("skb"))
-    star = (memb.where(F.col("rep") != F.col("lo")).select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
-            .join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b").distinct())
-    edges = confirmed(stored(star), texts, n, t100)
+    screen = lambda pairs: stored(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b").distinct())
     # rows that repeat an id with other texts: their groups belong together
     again = (live.join(reps.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"]).select("id", "rep").distinct()
              .groupBy("id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("bs")).where(F.size("bs") > 1)
              .select("a", F.explode("bs").alias("b")).where("a <> b"))
-    lab = components(edges.unionByName(again))
+    # each member with the smallest id of all its buckets; then, where labels still differ, with each bucket's smallest
+    first = memb.groupBy(F.col("rep").alias("b")).agg(F.min("lo").alias("a")).where("a < b").select("a", "b")
+    edges = stored(confirmed(screen(first), texts, n, t100).unionByName(again))
+    lab = components(edges)
+    label = lambda c, out: lab.select(F.col("node").alias(c), F.col("label").alias(out))
+    star = (memb.where(F.col("rep") != F.col("lo")).select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
+            .join(label("a", "la"), "a", "left").join(label("b", "lb"), "b", "left")
+            .where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b").join(first, ["a", "b"], "left_anti"))
+    more = confirmed(screen(star), texts, n, t100)
+    lab = components(edges.unionByName(more))
 
     # buckets that still hold several components: their members across components
     rest = (memb.where("cnt > 2").join(lab.select(F.col("node").alias("rep"), "label"), "rep", "left")
