@@ -127,6 +127,11 @@ def as_of_ts(as_of) -> Column:
     return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def not_expired(c, now) -> Column:
+    """``expires_at > now`` (an open end does not pass, as NULL > now is not true)."""
+    return F.coalesce(col(c).cast("timestamp_ntz") > as_of_ts(now), F.lit(False))
+
+
 def day_after(as_of) -> Column:
     """Start of the day after ``as_of`` as a timestamp: the open upper bound."""
     return F.date_add(as_of_date(as_of), 1).cast("timestamp_ntz")

@@ -222,73 +222,91 @@ def _literal_tokens(pattern_lower: Column) -> Column:
                        .when(F.length(x) == 2, F.substring(x, 2, 1)).otherwise(x))
 
 
+GRAM_LENGTHS = (8, 4, 2, 1)
+
+
 def _grams(s: Column, n: int) -> Column:
     return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)),
                                                 lambda i: F.substring(s, i, n)))
 
 
+def _no_strings() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _tagged(grams: Column, n: int) -> Column:
+    return F.transform(F.coalesce(grams, _no_strings()), lambda g: F.concat(F.lit(f"{n}:"), g))
+
+
+def _literal_grams(tokens: Column, n: int) -> Column:
+    """(n, pos, g) of every run of ``n`` literal characters of a term."""
+    def at(i):
+        part = F.slice(tokens, i + F.lit(1), F.lit(n))
+        return F.struct(F.lit(n).alias("n"), i.alias("pos"),
+                        F.when(F.forall(part, lambda x: x.isNotNull()), F.array_join(part, "")).alias("g"))
+    found = F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - n, F.lit(0))), at)
+    return F.when(F.size(tokens) >= n, F.filter(found, lambda x: x["g"].isNotNull())).otherwise(
+        F.array().cast("array<struct<n:int,pos:int,g:string>>"))
+
+
+def _postings(offers: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, offer_id) of the q-grams of every length in the search columns, for the keys asked for."""
+    low = [F.coalesce(F.lower(F.col(c)), F.lit("")) for c in SEARCH_COLUMNS]
+    every = [_tagged(_grams(x, n), n) for n in GRAM_LENGTHS for x in low]
+    length = F.array(F.concat(F.lit("0:"), F.least(F.greatest(*[F.length(x) for x in low]), F.lit(_NGRAM_CAP)).cast("string")))
+    # explode_outer: an inner explode lets the optimizer evaluate the whole array once more as a filter
+    return (offers.select(F.col("id").alias("offer_id"), F.explode_outer(F.array_distinct(F.concat(*every, length))).alias("key"))
+            .join(keys.select("key").distinct(), "key", "left_semi"))
+
+
+def term_candidates(terms: DataFrame, offers: DataFrame) -> DataFrame:
+    """(term, offer_id): pairs that may match, found without touching texts pair by pair.
+
+    A variable-length q-gram index.  Every text that matches a term holds all
+    of the term's literal runs, so all its q-grams; a term looks at its grams of
+    the two greatest lengths it has (of 8, 4, 2, 1 characters), takes the one with the fewest
+    offers and the rarest other one that does not overlap it, and intersects
+    their posting lists.  Terms of wildcards only demand a minimum length, which
+    is a key of its own (lengths up to the cap).
+    """
+    t = (terms.select("term").distinct().withColumn("pat", contains_pattern(F.col("term")))
+         .withColumn("_lt", _literal_tokens(F.lower(F.col("pat")))))
+    t = t.withColumns({f"_g{n}": _literal_grams(F.col("_lt"), n) for n in GRAM_LENGTHS})
+    best = F.coalesce(*[F.when(F.size(f"_g{n}") > 0, F.concat(F.col(f"_g{n}"), F.col(f"_g{m}")))
+                        for n, m in zip(GRAM_LENGTHS, (*GRAM_LENGTHS[1:], GRAM_LENGTHS[-1]))])
+    t = t.select("term", "pat", best.alias("_best"))
+    grams = (t.select("term", F.explode_outer("_best").alias("x")).where(F.col("x").isNotNull())
+             .select("term", F.concat(F.col("x.n").cast("string"), F.lit(":"), F.col("x.g")).alias("key"), "x.n", "x.pos"))
+    freq = _postings(offers, grams).groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    ranked = (grams.join(freq, "key", "left")
+              .groupBy("term").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), (-F.col("n")).alias("o"), "key", "n", "pos"))).alias("gs")))
+    first = F.col("gs")[0]
+    apart = F.filter("gs", lambda x: (x["key"] != first["key"]) & ((x["pos"] >= first["pos"] + first["n"]) | (x["pos"] + x["n"] <= first["pos"])))
+    probes = (ranked.select("term", F.concat(F.array(first["key"]), F.slice(F.transform(apart, lambda x: x["key"]), 1, 1)).alias("ks"))
+              .select("term", F.size("ks").alias("need"), F.explode("ks").alias("key")))
+    # wildcard-only terms: a text matches only if it is at least as long as the term has '_'
+    n_under = F.least(F.size(F.filter(F.regexp_extract_all(F.col("pat"), F.lit(r"(\\[\s\S]|[\s\S])"), 1), lambda x: x == F.lit("_"))),
+                      F.lit(_NGRAM_CAP))
+    lengths = F.transform(F.sequence(n_under, F.lit(_NGRAM_CAP)), lambda k: F.concat(F.lit("0:"), k.cast("string")))
+    probes = probes.unionByName(t.where(F.col("_best").isNull()).select("term", F.lit(1).alias("need"), F.explode(lengths).alias("key")))
+    return (probes.join(_postings(offers, probes), "key").groupBy("term", "offer_id", "need").agg(F.count(F.lit(1)).alias("n"))
+            .where(F.col("n") == F.col("need")).select("term", "offer_id"))
+
+
 def term_search(terms: DataFrame, offers: DataFrame, top: int = 20, salt: int = 16) -> DataFrame:
     """For each ``query_id``, the newest ``top`` sellable offers
     matching any of its terms (ILIKE '%term%' on name, category, description).
 
-    Exact without a nested-loop join: a literal bigram (else a literal
-    character, else -- for wildcard-only terms -- a minimum length) of each
-    term must occur in every matching text, so candidate pairs come from an
-    equi-join on that key, and the ILIKE condition then decides.  The top-k
+    Exact without a nested-loop join: candidates come from the q-gram index
+    (:func:`term_candidates`, once per distinct term), the ILIKE condition then decides.  The top-k
     per query runs in two steps (per query and salt, then per query) so a
     query matching a huge share of offers never lands in one task whole.
     """
-    t = (terms.select("query_id", "term")
-         .withColumn("pat", contains_pattern(F.col("term")))
-         .withColumn("_lt", _literal_tokens(F.lower(F.col("pat")))))
-    pairs = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_lt") - 1, F.lit(1))),
-                                 lambda i: F.concat(F.try_element_at("_lt", i), F.try_element_at("_lt", i + F.lit(1)))),
-                     lambda x: x.isNotNull())
-    singles = F.filter("_lt", lambda x: x.isNotNull())
-    alts = F.coalesce(
-        F.when(F.size(pairs) > 0, F.transform(pairs, lambda g: F.concat(F.lit("2:"), g))),
-        F.when(F.size(singles) > 0, F.transform(singles, lambda g: F.concat(F.lit("1:"), g))))
-    # wildcard-only terms: a text matches only if it is at least k characters
-    # long (k = number of '_'); such a term emits the keys k..CAP and each
-    # offer the one key least(longest text, CAP), so this rare path stays an
-    # equi-join too.
-    n_under = F.least(F.size(F.filter(
-        F.regexp_extract_all(F.col("pat"), F.lit(r"(\\[\s\S]|[\s\S])"), 1),
-        lambda x: x == F.lit("_"))), F.lit(_NGRAM_CAP))
-    length_keys = F.transform(F.sequence(n_under, F.lit(_NGRAM_CAP)),
-                              lambda k: F.concat(F.lit("0:"), k.cast("string")))
-    t = t.withColumn("_alts", alts)
-
-    cand = sellable(offers).select("id", "created_at", *SEARCH_COLUMNS)
-    low = [F.coalesce(F.lower(F.col(c)), F.lit("")) for c in SEARCH_COLUMNS]
-    bi = F.array_distinct(F.concat(*[F.coalesce(_grams(x, 2), F.array().cast("array<string>")) for x in low]))
-    uni = F.array_distinct(F.concat(*[F.coalesce(_grams(x, 1), F.array().cast("array<string>")) for x in low]))
-    longest = F.greatest(*[F.length(x) for x in low])
-    keys = F.concat(
-        F.transform(bi, lambda g: F.concat(F.lit("2:"), g)),
-        F.transform(uni, lambda g: F.concat(F.lit("1:"), g)),
-        F.array(F.concat(F.lit("0:"), F.least(longest, F.lit(_NGRAM_CAP)).cast("string"))))
-    offer_keys = cand.select(F.col("id").alias("offer_id"), F.explode(keys).alias("_key"))
-
-    # Each term probes with its rarest literal bigram (else character): the
-    # key frequencies are one aggregate over the offer keys (partial agg, at
-    # most one row per distinct key), so candidate sets stay small.
-    freq = offer_keys.groupBy("_key").agg(F.count(F.lit(1)).alias("_df"))
-    t = t.withColumn("_plain", F.when(~F.col("term").rlike(r"[%_\\]"), F.lower(F.col("term"))))
-    probe = (t.where(F.col("_alts").isNotNull())
-             .select("query_id", "pat", "_plain", F.explode(F.array_distinct("_alts")).alias("_key"))
-             .join(freq, "_key", "left")
-             .withColumn("_r", F.row_number().over(W.partitionBy("query_id", "pat").orderBy(
-                 F.coalesce("_df", F.lit(0)), "_key")))
-             .where(F.col("_r") == 1).select("query_id", "pat", "_plain", "_key"))
-    probe = probe.unionByName(t.where(F.col("_alts").isNull())
-                              .select("query_id", "pat", "_plain", F.explode(length_keys).alias("_key")))
-
-    hits = (probe
-            .join(offer_keys, "_key")
-            .join(cand.withColumnRenamed("id", "offer_id"), "offer_id")
-            .where(_term_matches(F.col("pat"), F.col("_plain")))
-            .select("query_id", "offer_id", "created_at")
+    offers = sellable(offers).select("id", "created_at", *SEARCH_COLUMNS)
+    plain = F.when(~F.col("term").rlike(r"[%_\\]"), F.lower(F.col("term")))
+    found = (term_candidates(terms, offers).join(offers.withColumnRenamed("id", "offer_id"), "offer_id")
+             .where(_term_matches(contains_pattern(F.col("term")), plain)).select("term", "offer_id", "created_at"))
+    hits = (terms.select("query_id", "term").distinct().join(found, "term").select("query_id", "offer_id", "created_at")
             .dropDuplicates(["query_id", "offer_id"]))
     order = [F.col("created_at").desc_nulls_first(), F.col("offer_id").desc()]
     part = (hits.withColumn("_salt", F.xxhash64("offer_id") % salt)
@@ -311,6 +329,15 @@ def term_search_results(terms: DataFrame, offers: DataFrame, images: DataFrame |
     return out
 
 
+def image_search(analyses: DataFrame, offers: DataFrame, images: DataFrame | None = None, top: int = 20,
+                 nested: bool = True) -> DataFrame:
+    """R13 from the analysis of a picture on: (query_id, product_name, category, search_terms) -> terms
+    cleaned and cut to ten (:func:`clean_terms`), then the matched offers by rank."""
+    terms = clean_terms(analyses).select("query_id", F.explode("terms").alias("term"))
+    out = term_search_results(terms, offers, images, top, nested)
+    return out.orderBy("query_id", "rank", *([] if nested or images is None else ["image_pos"]))
+
+
 # ---------------------------------------------------------------------------
 # Site ads
 # ---------------------------------------------------------------------------

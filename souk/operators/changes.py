@@ -16,8 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import (WRITABLE_ORDER_STATUSES, as_of_date, as_of_ts, blank_to_null,
-                               js_or_num, js_or_str, js_trim, reference_number)
-from ..functions.quality import is_email, normalize_phone
+                               js_or_num, js_or_str, js_trim, not_expired, reference_number)
+from ..functions.quality import generated_image_allowed, is_email, normalize_phone
 from .catalog import DEFAULT_IMAGE, main_image
 from .common import asc, global_position
 from .graph import connected_components
@@ -141,7 +141,7 @@ def cart_touch(carts: DataFrame, touches: DataFrame) -> DataFrame:
              .select("id", "user_id", F.coalesce("_last", "updated_at").alias("updated_at")))
     new = t.join(carts.select("user_id"), "user_id", "left_anti")
     top = carts.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))
-    new = global_position(new, [asc("_first"), asc("user_id")])
+    new = global_position(new, [asc("_first"), asc("user_id")], keys=touches.select(F.col("ts").alias("_first"), "user_id"))
     new = new.crossJoin(top).select((F.col("_max") + F.col("_pos") + 1).alias("id"), "user_id",
                                     F.col("_last").alias("updated_at"))
     return known.unionByName(new)
@@ -162,9 +162,9 @@ def favorites_delete(favorites: DataFrame, deletes: DataFrame, by_owner: bool =
 # Orders (M6-M8, A19, A21, C7)
 # ---------------------------------------------------------------------------
 def _number_orders(headers: DataFrame, orders: DataFrame, order: list, as_of,
-                   prefix: str) -> DataFrame:
+                   prefix: str, keys: DataFrame) -> DataFrame:
     top = orders.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))
-    h = global_position(headers, order).crossJoin(top)
+    h = global_position(headers, order, keys=keys).crossJoin(top)
     h = h.withColumn("id", F.col("_max") + F.col("_pos") + 1).drop("_max", "_pos")
     return h.withColumn("reference", reference_number(prefix, F.year(as_of_date(as_of)), F.col("id")))
 
@@ -191,7 +191,7 @@ def valid_headers(headers: DataFrame) -> DataFrame:
     return headers.where(ok & ((F.col("delivery_method") != "home") | ((_text("address") != "") & (_text("city") != ""))))
 
 
-def _orders_from(lines: DataFrame, headers: DataFrame | None, key: str, orders: DataFrame, as_of, prefix: str) -> DataFrame:
+def _orders_from(lines: DataFrame, headers: DataFrame | None, key: str, orders: DataFrame, as_of, prefix: str, keys: DataFrame) -> DataFrame:
     """Numbered order rows, one per ``key`` with lines: header texts (address parts for home delivery
     only, ``email || null``, ``district || null``), sums, status pending."""
     h = lines.groupBy(key).agg(F.sum("_amount").cast("decimal(24,2)").alias("subtotal"))
@@ -200,7 +200,7 @@ def _orders_from(lines: DataFrame, headers: DataFrame | None, key: str, orders:
         home = F.col("delivery_method") == "home"
         h = h.withColumns({c: F.when(home, F.col(c)) for c in ("address", "city")}
                           | {"district": F.when(home, F.nullif("district", F.lit(""))), "email": F.nullif("email", F.lit(""))})
-    h = _number_orders(h, orders, [asc(key)], as_of, prefix)
+    h = _number_orders(h, orders, [asc(key)], as_of, prefix, keys)
     return h.select("id", key, "reference", *(HEADER_TEXTS if headers is not None else ()), "subtotal",
                     F.lit(0).cast("decimal(24,2)").alias("delivery_price"), F.col("subtotal").alias("total"),
                     F.lit("pending").alias("status"), as_of_ts(as_of).alias("created_at"))
@@ -233,7 +233,7 @@ def order_place_guest(requests: DataFrame, offers: DataFrame, images: DataFrame,
                                    F.col("new_price").alias("unit_price")), "offer_id")
              .join(mi, "offer_id", "left"))
     lines = _price_lines(lines)
-    h = _orders_from(lines, headers, "request_id", orders, as_of, prefix)
+    h = _orders_from(lines, headers, "request_id", orders, as_of, prefix, requests.select("request_id"))
     items = (lines.join(h.select(F.col("id").alias("order_id"), "request_id"), "request_id")
              .select("order_id", "line_no", "offer_id", "product_name", "quantity", "unit_price",
                      "image_url"))
@@ -260,7 +260,7 @@ def order_place_user(cart: DataFrame, carts: DataFrame, offers: DataFrame, image
                                  F.col("new_price").alias("unit_price")), "offer_id")
              .join(mi, "offer_id", "left"))
     lines = _price_lines(lines)
-    h = _orders_from(lines, headers, "user_id", orders, as_of, prefix)
+    h = _orders_from(lines, headers, "user_id", orders, as_of, prefix, carts.select("user_id"))
     in_cart = W.partitionBy("user_id").orderBy(F.col("created_at").asc_nulls_last(), "offer_id")
     items = (lines.withColumn("line_no", F.row_number().over(in_cart))
              .join(h.select(F.col("id").alias("order_id"), "user_id"), "user_id")
@@ -333,15 +333,37 @@ def image_numbering(existing: DataFrame | None, uploads: DataFrame,
                     ((F.col("_old") + F.col("_i")) == 0).alias("is_main"))
 
 
+def within_image_cap(updates: DataFrame, images: DataFrame, cap: int = MAX_IMAGES) -> DataFrame:
+    """The updates (id, ts, event_id, new_images) that keep their offer at ``cap`` images or fewer,
+    counting the images of earlier accepted updates of the batch.
+
+    The count only grows, so once an update of n images is refused every later
+    one of n is: the accepted ones are among the first ``cap div n`` per offer
+    and n.  At most 20 rows per offer then decide by a left fold in order; updates without
+    images always pass.
+    """
+    n = F.col("new_images")
+    few = updates.where((n >= 1) & (n <= cap)).withColumn(
+        "_r", F.row_number().over(W.partitionBy("id", "new_images").orderBy("ts", "event_id"))).where(F.col("_r") <= F.floor(F.lit(cap) / n))
+    have = images.groupBy(F.col("offer_id").alias("id")).agg(F.count(F.lit(1)).alias("_have"))
+    row = F.struct("ts", "event_id", F.col("new_images").cast("long").alias("n"))
+    seq = few.groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("_u")).join(have, "id", "left")
+    start = F.struct(F.coalesce("_have", F.lit(0)).cast("long").alias("at"), F.array().cast("array<bigint>").alias("ok"))
+    took = F.aggregate("_u", start, lambda acc, x: F.when(acc["at"] + x["n"] <= cap, F.struct(
+        (acc["at"] + x["n"]).alias("at"), F.array_append(acc["ok"], x["event_id"]).alias("ok"))).otherwise(acc))
+    ok = seq.select("id", F.explode(took["ok"]).alias("event_id"))
+    return updates.where(F.coalesce(n, F.lit(0)) <= 0).unionByName(updates.where(n >= 1).join(ok, ["id", "event_id"], "left_semi"))
+
+
 def offer_update_apply(offers: DataFrame, updates: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """Valid updates (trimmed name and category non-empty, price finite
-    > 0, image cap) overwrite the whole editable row; last valid one wins."""
+    > 0, existing offer, image cap over the batch) overwrite the whole
+    editable row; last valid one wins."""
     ok = (blank_to_null("product_name").isNotNull() & blank_to_null("category").isNotNull()
           & F.col("new_price").isNotNull() & (F.col("new_price") > 0))
     u = updates.where(ok).withColumnRenamed("offer_id", "id")
     if images is not None and "new_images" in u.columns:
-        cnt = images.groupBy(F.col("offer_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-        u = u.join(cnt, "id", "left").where(F.coalesce("_n", F.lit(0)) + F.col("new_images") <= MAX_IMAGES)
+        u = within_image_cap(u.join(offers.select("id"), "id", "left_semi"), images)
     def opt(c, typ):
         return F.col(c) if c in u.columns else F.lit(None).cast(typ)
     u = u.select("id", "ts", "event_id",
@@ -359,6 +381,35 @@ def offer_update_apply(offers: DataFrame, updates: DataFrame, images: DataFrame
     return out.select(*[F.col(c).cast(offers.schema[c].dataType).alias(c) for c in offers.columns])
 
 
+def offer_create_generated(requests: DataFrame, images: DataFrame, offers: DataFrame, as_of,
+                           prefix: str = "REF") -> tuple[DataFrame, DataFrame]:
+    """M12, second path: offers created with generated images: (offers, images).
+
+    A request needs name, category, description and a price above 0, one to
+    eight images (generated ones plus ``n_files`` uploaded ones), and every generated
+    image must pass its rule; one bad image refuses the request.  Missing
+    quantity counts 0, discount 0, ``status || 'active'``.  New ids follow the highest
+    offer id in request order; the images keep their order, the first is the main one.
+    ``images``: request_id, pos, url, public_id.
+    """
+    ok = (_text("product_name") != "") & (_text("category") != "") & (_text("description") != "") & (F.col("new_price") > 0)
+    marked = images.withColumn("_ok", generated_image_allowed("url", "public_id"))
+    per = marked.groupBy("request_id").agg(F.count(F.lit(1)).alias("_n"), F.bool_and("_ok").alias("_all"))
+    r = requests.where(F.coalesce(ok, F.lit(False))).join(per, "request_id", "left")
+    n = F.coalesce("_n", F.lit(0)) + F.coalesce("n_files", F.lit(0))
+    r = r.where((n >= 1) & (n <= MAX_IMAGES) & F.coalesce("_all", F.lit(True)))
+    top = offers.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))
+    r = global_position(r, [asc("request_id")], keys=requests.select("request_id")).crossJoin(top).withColumn("id", F.col("_max") + F.col("_pos") + 1)
+    made = r.select("id", "request_id", reference_number(prefix, F.year(as_of_date(as_of)), F.col("id")).alias("reference"),
+                    "product_name", "category", "description", F.nullif("old_price", F.lit(0)).alias("old_price"),
+                    js_or_num("discount", 0).alias("discount"), "new_price", F.nullif("wholesale_price", F.lit(0)).alias("wholesale_price"),
+                    F.coalesce("quantity", F.lit(0)).alias("quantity"), js_or_str("status", "active").alias("status"))
+    at = F.row_number().over(W.partitionBy("request_id").orderBy("pos")) - 1  # at most eight per request here
+    pics = (images.join(made.select("request_id", F.col("id").alias("offer_id")), "request_id").withColumn("sort_order", at)
+            .select("offer_id", "public_id", F.col("url").alias("image_url"), "sort_order", (F.col("sort_order") == 0).alias("is_main")))
+    return made, pics
+
+
 def offer_delete_cascade(offers: DataFrame, images: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Delete offers and their images (order and invoice lines stay)."""
     d = (deletes.select(F.col("id").alias("offer_id")).dropDuplicates()
@@ -478,11 +529,18 @@ def identity_register(users: DataFrame, registrations: DataFrame) -> DataFrame:
     p = p.withColumn("_k", F.coalesce(F.concat(F.lit("e:"), "email"), F.concat(F.lit("p:"), "phone")))
     p = first_per_key(p, ["_k"], ["ts", "event_id"]).drop("_k")
     top = users.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_max"))
-    p = global_position(p, [asc("ts"), asc("event_id")]).crossJoin(top)
+    p = global_position(p, [asc("ts"), asc("event_id")], keys=registrations).crossJoin(top)
     return p.select((F.col("_max") + F.col("_pos") + 1).alias("id"), "event_id",
                     name.alias("full_name"), "email", "phone", F.col("ts").alias("created_at"))
 
 
+def tokens_valid(tokens: DataFrame, probes: DataFrame, now) -> DataFrame:
+    """Which probes (event_id, user_id, token_hash) hold a token of their user that has not expired at
+    ``now``; a semi join, so several equal tokens give one row."""
+    live = tokens.where(not_expired("expires_at", now)).select("user_id", "token_hash")
+    return probes.join(live, ["user_id", "token_hash"], "left_semi")
+
+
 def _replay_profiles(batches):
     """Updates of a component in order, against the phones its users hold: (kind, user, event, phone) rows
     sorted by component; yields (event_id) of the accepted updates."""

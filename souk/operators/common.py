@@ -77,7 +77,8 @@ def ascending_key(df: DataFrame, order: list[Key]) -> Column:
     return F.struct(*[p.alias(f"k{i}") for i, p in enumerate(parts)])
 
 
-def range_bucket(df: DataFrame, order: list[Key], ranges: int = 1024, name: str = "_bucket") -> DataFrame:
+def range_bucket(df: DataFrame, order: list[Key], ranges: int = 1024, name: str = "_bucket",
+                 keys: DataFrame | None = None) -> DataFrame:
     """Add ``name``: the number of the key range a row falls into; ranges follow ``order``.
 
     The bounds are a sample of the keys themselves: those whose hash is 0
@@ -86,8 +87,12 @@ def range_bucket(df: DataFrame, order: list[Key], ranges: int = 1024, name: str
     retry) gets the same ranges and no materialised copy is needed.  Each row
     finds its range by binary search.  ``order`` must end in a unique key; then a range holds about
     rows / ranges rows however the first key is distributed.
+
+    ``keys``: a frame with the key columns to take the bounds from, where ``df`` is costly and
+    a table it comes from is spread alike; any bounds are right, they only balance.
     """
-    keys = df.select(ascending_key(df, order).alias("_k"))
+    src = df if keys is None else keys
+    keys = src.select(ascending_key(src, order).alias("_k"))
     n = keys.agg(F.count(F.lit(1)).alias("_n"))
     step = F.greatest(F.lit(1).cast("long"), F.expr(f"_n div {ranges}"))
     bounds = (keys.crossJoin(F.broadcast(n)).where(F.pmod(F.xxhash64("_k"), step) == 0)
@@ -99,26 +104,28 @@ def range_bucket(df: DataFrame, order: list[Key], ranges: int = 1024, name: str
             .withColumn(name, found).drop("_k", "_b"))
 
 
-def _range_starts(df: DataFrame, order: list[Key], ranges: int) -> DataFrame:
+def _range_starts(df: DataFrame, order: list[Key], ranges: int, keys: DataFrame | None = None) -> DataFrame:
     """(_bucket, _n, _start): rows of each range and rows before it; one row per range."""
     from pyspark.sql import Window as W
     narrow = df.select(*dict.fromkeys(k.name for k in order))
-    counts = range_bucket(narrow, order, ranges).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    counts = range_bucket(narrow, order, ranges, keys=keys).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     return counts.withColumn("_start", F.sum("_n").over(W.orderBy("_bucket")) - F.col("_n"))
 
 
-def global_position(df: DataFrame, order: list[Key], name: str = "_pos", ranges: int = 1024) -> DataFrame:
+def global_position(df: DataFrame, order: list[Key], name: str = "_pos", ranges: int = 1024,
+                    keys: DataFrame | None = None) -> DataFrame:
     """Add ``name``: 0-based position of each row in the total order ``order``.
 
     Rows per key range (``range_bucket``), a running sum over the ranges (at most
     a few thousand rows, broadcast) and a row number inside each range: no
     task sees more than a range, nothing runs while the frame is built, and
-    nothing is written.  ``order`` must end in a unique key.
+    nothing is written.  ``order`` must end in a unique key.  ``df`` is evaluated
+    twice (counts, rows); the bounds come from ``keys`` where given.
     """
     from pyspark.sql import Window as W
     inside = F.row_number().over(W.partitionBy("_bucket").orderBy(*[k.expr() for k in order])) - 1
-    return (range_bucket(df, order, ranges).withColumn("_in", inside)
-            .join(F.broadcast(_range_starts(df, order, ranges).drop("_n")), "_bucket")
+    return (range_bucket(df, order, ranges, keys=keys).withColumn("_in", inside)
+            .join(F.broadcast(_range_starts(df, order, ranges, keys).drop("_n")), "_bucket")
             .withColumn(name, (F.col("_start") + F.col("_in")).cast("long"))
             .drop("_bucket", "_in", "_start"))
 

@@ -55,6 +55,11 @@ ORDER_HEADER = ["id", "reference", "user_id", "first_name", "last_name", "phone"
                 "delivery_price", "total", "status", "created_at", "updated_at"]
 
 
+def newest() -> list:
+    """Newest first, as every list of orders and invoices comes (PostgreSQL puts NULL times first)."""
+    return [F.col("created_at").desc_nulls_first(), F.col("id").desc()]
+
+
 def _present(df, cols):
     return [c for c in cols if c in df.columns]
 
@@ -69,6 +74,7 @@ def orders_admin(orders: DataFrame, items: DataFrame, nested: bool = True) -> Da
     base = (orders.select(*_present(orders, ORDER_HEADER))
             .join(counts, orders["id"] == counts["order_id"], "left").drop("order_id")
             .withColumn("items_count", F.coalesce("_n", F.lit(0)).cast("int")).drop("_n"))
+    base = base.orderBy(*newest())
     if not nested:
         return base
     def s(*names):
@@ -119,8 +125,8 @@ def order_history(orders: DataFrame, items: DataFrame, users: DataFrame | None =
         F.when(pickup, F.lit(PICKUP_LABEL))
          .otherwise(address_label("city", "district", "address")).alias("address_label"),
         *_present(o, ["first_name", "last_name", "phone", "email"]))
-    return attach_lines(o, order_lines(items), "id", "order_id", line_order or ["id"],
-                        "products", nested)
+    out = attach_lines(o, order_lines(items), "id", "order_id", line_order or ["id"], "products", nested)
+    return out.orderBy("user_id", F.col("date").desc_nulls_first(), F.col("id").desc(), *([] if nested else ["line_pos"]))
 
 
 def guest_order_lookup(orders: DataFrame, items: DataFrame, requests: DataFrame,
@@ -172,8 +178,9 @@ def favorites_list(favorites: DataFrame, offers: DataFrame, images: DataFrame,
     f = favorites.select(F.col("id").alias("favorite_id"), "user_id", "offer_id",
                          F.col("created_at").alias("favorite_created_at"))
     o = offers.withColumnRenamed("id", "offer_id")
-    return with_images(f.join(o, "offer_id"), images, nested=nested, main_first=True,
-                       key="offer_id")
+    out = with_images(f.join(o, "offer_id"), images, nested=nested, main_first=True, key="offer_id")
+    return out.orderBy("user_id", F.col("favorite_created_at").desc_nulls_first(), F.col("favorite_id").desc(),
+                       *([] if nested else ["image_pos"]))
 
 
 def basket_totals(lines: DataFrame, offers: DataFrame, basket_key: str = "basket_id") -> DataFrame:
@@ -200,7 +207,8 @@ def invoices_with_items(invoices: DataFrame, items: DataFrame, offers: DataFrame
         stock = offers.select(F.col("id").alias("_oid"), F.col("quantity").alias("_q"))
         items = (items.join(stock, items["offer_id"] == stock["_oid"], "left")
                  .withColumn("current_stock", F.coalesce("_q", F.lit(0))).drop("_oid", "_q"))
-    return attach_lines(invoices, items, "id", "invoice_id", line_order or ["id"], "items", nested)
+    out = attach_lines(invoices, items, "id", "invoice_id", line_order or ["id"], "items", nested)
+    return out.orderBy(*newest(), *([] if nested else ["line_pos"]))
 
 
 def invoice_detail(invoices: DataFrame, items: DataFrame, ids: DataFrame | None = None,

@@ -93,6 +93,25 @@ def term_search(t):
     return catalog.term_search(t.v_search_terms, t.v_offers, top=20)
 
 
+TRIM_X = "regexp_replace(x, '^[\\s]+|[\\s]+$', '', 'g')"
+
+
+@query("image_search", ["v_product_analyses", "v_offers"], f"""
+WITH c AS (SELECT query_id, list_slice(list_filter(list_transform(list_filter(list_concat([product_name, category], search_terms),
+      lambda x: x IS NOT NULL AND x <> ''), lambda x: {TRIM_X}), lambda x: length(x) >= 2), 1, 10) AS ts FROM v_product_analyses),
+u AS (SELECT DISTINCT query_id, unnest(ts) AS term FROM c),
+p AS (SELECT t.term, o.id, o.created_at FROM (SELECT DISTINCT term FROM u) t JOIN v_offers o ON o.status = 'active' AND o.quantity > 0
+   AND (o.product_name ILIKE '%' || t.term || '%' OR o.category ILIKE '%' || t.term || '%' OR o.description ILIKE '%' || t.term || '%')),
+m AS (SELECT DISTINCT u.query_id, p.id AS offer_id, p.created_at FROM u JOIN p ON p.term = u.term),
+r AS (SELECT query_id, offer_id, CAST(row_number() OVER (PARTITION BY query_id
+    ORDER BY created_at DESC NULLS FIRST, offer_id DESC) AS INTEGER) AS rank FROM m)
+SELECT r.offer_id, r.query_id, r.rank, o.product_name, o.category, o.description, o.new_price, o.discount, o.quantity
+FROM r JOIN v_offers o ON o.id = r.offer_id WHERE r.rank <= 20""")
+def image_search(t):
+    """Terms of every product analysis cleaned, then the newest matching offers with their columns."""
+    return catalog.image_search(t.v_product_analyses, t.v_offers)
+
+
 @query("ads_list", ["v_site_ads"], """
 SELECT * FROM v_site_ads ORDER BY display_order ASC NULLS LAST, created_at DESC NULLS FIRST, id""")
 def ads_list(t):

@@ -218,10 +218,19 @@ def offer_defaults(t):
     return ch.offer_defaults(t.v_offer_creates.drop("offer_id"), AS_OF)
 
 
-@query("offer_update_apply", ["v_offers", "v_offer_creates"], f"""
-WITH u AS (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY ts DESC, event_id DESC) AS rn
+@query("offer_update_apply", ["v_offers", "v_offer_creates", "v_offer_images"], f"""
+WITH RECURSIVE ok AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY ts, event_id) AS i
   FROM v_offer_creates WHERE {jt('product_name')} <> '' AND {jt('category')} <> ''
-    AND new_price IS NOT NULL AND new_price > 0)
+    AND new_price IS NOT NULL AND new_price > 0 AND offer_id IN (SELECT id FROM v_offers)),
+st AS (
+  SELECT offer_id, CAST(0 AS BIGINT) AS i, (SELECT COUNT(*) FROM v_offer_images m WHERE m.offer_id = o.offer_id) AS at, FALSE AS pass
+  FROM (SELECT DISTINCT offer_id FROM ok) o
+  UNION ALL
+  SELECT st.offer_id, ok.i, CASE WHEN ok.new_images > 0 AND st.at + ok.new_images <= 8 THEN st.at + ok.new_images ELSE st.at END,
+    ok.new_images <= 0 OR st.at + ok.new_images <= 8
+  FROM st JOIN ok ON ok.offer_id = st.offer_id AND ok.i = st.i + 1),
+u AS (SELECT ok.*, row_number() OVER (PARTITION BY ok.offer_id ORDER BY ok.i DESC) AS rn
+  FROM ok JOIN st ON st.offer_id = ok.offer_id AND st.i = ok.i AND st.pass)
 SELECT o.id,
   CASE WHEN u.offer_id IS NOT NULL THEN {jt('u.product_name')} ELSE o.product_name END AS product_name,
   CASE WHEN u.offer_id IS NOT NULL THEN {jt('u.category')} ELSE o.category END AS category,
@@ -236,7 +245,36 @@ SELECT o.id,
 FROM v_offers o LEFT JOIN u ON u.offer_id = o.id AND u.rn = 1""")
 def offer_update_apply(t):
     u = t.v_offer_creates.drop("id")
-    return ch.offer_update_apply(t.v_offers, u)
+    return ch.offer_update_apply(t.v_offers, u, t.v_offer_images)
+
+
+GENERATED = f"""im AS (SELECT request_id, pos, url, public_id, COALESCE(url LIKE 'https://res.cloudinary.com/%'
+    AND starts_with(COALESCE(public_id, ''), 'shop/ai-generated/') AND strpos(public_id, '..') = 0, FALSE) AS ok FROM v_generated_images),
+per AS (SELECT request_id, COUNT(*) AS n, bool_and(ok) AS every FROM im GROUP BY request_id),
+r AS (SELECT q.* FROM v_generated_requests q LEFT JOIN per ON per.request_id = q.request_id
+  WHERE COALESCE(product_name, '') <> '' AND COALESCE(category, '') <> '' AND COALESCE(description, '') <> '' AND new_price > 0
+    AND COALESCE(per.n, 0) + n_files BETWEEN 1 AND 8 AND COALESCE(per.every, TRUE)),
+made AS (SELECT (SELECT COALESCE(MAX(id), 0) FROM v_offers) + row_number() OVER (ORDER BY request_id) AS id, * FROM r)"""
+GENERATED_VIEWS = ["v_generated_requests", "v_generated_images", "v_offers"]
+
+
+@query("offer_create_generated", GENERATED_VIEWS, f"""
+WITH {GENERATED}
+SELECT id, request_id, {ref('REF', AS_OF.year, 'id')} AS reference, product_name, category, description, NULLIF(old_price, 0) AS old_price,
+  COALESCE(NULLIF(discount, 0), 0) AS discount, new_price, wholesale_price, COALESCE(quantity, 0) AS quantity,
+  COALESCE(NULLIF(status, ''), 'active') AS status FROM made""")
+def offer_create_generated(t):
+    return ch.offer_create_generated(t.v_generated_requests, t.v_generated_images, t.v_offers, AS_OF)[0]
+
+
+@query("offer_create_generated_images", GENERATED_VIEWS, f"""
+WITH {GENERATED},
+p AS (SELECT made.id AS offer_id, im.public_id, im.url AS image_url,
+    CAST(row_number() OVER (PARTITION BY im.request_id ORDER BY im.pos) - 1 AS INTEGER) AS sort_order
+  FROM im JOIN made ON made.request_id = im.request_id)
+SELECT *, sort_order = 0 AS is_main FROM p""")
+def offer_create_generated_images(t):
+    return ch.offer_create_generated(t.v_generated_requests, t.v_generated_images, t.v_offers, AS_OF)[1]
 
 
 @query("offer_delete_cascade", ["v_offers", "v_offer_images", "v_favorite_adds"], """
@@ -371,3 +409,10 @@ SELECT event_id, user_id, np AS phone FROM acc""")
 def profile_updates_accepted(t):
     """Which updates pass when they are applied one by one."""
     return ch.profile_updates_accepted(t.v_users, t.v_profile_updates).select("event_id", "user_id", F.col("_phone").alias("phone"))
+
+
+@query("tokens_valid", ["v_reset_tokens", "v_token_probes"], """
+SELECT * FROM v_token_probes p WHERE EXISTS (SELECT 1 FROM v_reset_tokens t
+  WHERE t.user_id = p.user_id AND t.token_hash = p.token_hash AND t.expires_at > TIMESTAMP '2024-01-16 00:00:00')""")
+def tokens_valid(t):
+    return ch.tokens_valid(t.v_reset_tokens, t.v_token_probes, "2024-01-16 00:00:00")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import catalog, sales
 from ..operators import documents as docs
-from .registry import query
+from ..sources import documents, report_document
+from .registry import AS_OF, DAYS, ORACLES, query
 
 LINE_ORDER = ["line_no", "offer_id", "tie1", "quantity", "line_total"]
 OI_RANK = """SELECT order_id, CAST(row_number() OVER (PARTITION BY order_id
@@ -142,3 +144,81 @@ def invoice_detail(t):
 @query("invoice_count", ["v_invoices"], "SELECT CAST(COUNT(*) AS INTEGER) AS total FROM v_invoices")
 def invoice_count(t):
     return docs.invoice_count(t.v_invoices)
+
+
+# --- whole documents as JSON text ---------------------------------------------------------------
+ISO = "strftime({c}, '%Y-%m-%dT%H:%M:%S.%gZ')"
+LINE_JSON = ("{{'offer_id': {a}.offer_id, 'line_no': {a}.line_no, 'tie1': {a}.tie1, 'quantity': {a}.quantity, "
+             "'line_total': CAST({a}.line_total AS VARCHAR)}}")
+
+
+@query("order_documents", ["v_orders", "v_order_items"], f"""
+WITH l AS (SELECT order_id, list({LINE_JSON.format(a='i')} ORDER BY line_no, offer_id, tie1, quantity, line_total) AS products
+  FROM v_order_items i GROUP BY order_id)
+SELECT o.id, CAST(to_json({{'id': o.id, 'user_id': o.user_id, 'first_name': o.first_name, 'last_name': o.last_name, 'phone': o.phone,
+  'delivery_method': o.delivery_method, 'address': o.address, 'city': o.city, 'district': o.district, 'total': CAST(o.total AS VARCHAR),
+  'status': o.status, 'created_at': {ISO.format(c='o.created_at')}, 'products': COALESCE(l.products, [])}}) AS VARCHAR) AS document
+FROM v_orders o LEFT JOIN l ON l.order_id = o.id""")
+def order_documents(t):
+    """Every order as one JSON document with its lines in order."""
+    return documents(docs.order_detail(t.v_orders, t.v_order_items, None, LINE_ORDER), "id")
+
+
+@query("invoice_documents", ["v_invoices", "v_invoice_items", "v_offers"], f"""
+WITH l AS (SELECT invoice_id, list({{'created_at': {ISO.format(c='i.created_at')}, 'offer_id': i.offer_id, 'line_no': i.line_no, 'tie1': i.tie1,
+    'quantity': i.quantity, 'line_total': CAST(i.line_total AS VARCHAR), 'current_stock': COALESCE(o.quantity, 0)}}
+    ORDER BY i.line_no, i.offer_id, i.tie1, i.quantity, i.line_total) AS items
+  FROM v_invoice_items i LEFT JOIN v_offers o ON o.id = i.offer_id GROUP BY invoice_id)
+SELECT v.id, CAST(to_json({{'id': v.id, 'invoice_number': v.invoice_number, 'total': CAST(v.total AS VARCHAR),
+  'created_at': {ISO.format(c='v.created_at')}, 'items': COALESCE(l.items, [])}}) AS VARCHAR) AS document
+FROM v_invoices v LEFT JOIN l ON l.invoice_id = v.id""")
+def invoice_documents(t):
+    """Every invoice as one JSON document, lines with the current stock."""
+    return documents(docs.invoices_with_items(t.v_invoices, t.v_invoice_items, t.v_offers, LINE_ORDER), "id")
+
+
+@query("offer_documents", ["v_offers", "v_offer_images"], f"""
+WITH g AS (SELECT offer_id, list({{'id': id, 'image_url': image_url, 'is_main': is_main, 'sort_order': sort_order}}
+    ORDER BY sort_order NULLS LAST, id) AS images FROM v_offer_images GROUP BY offer_id)
+SELECT o.id, CAST(to_json({{'id': o.id, 'product_name': o.product_name, 'category': o.category, 'description': o.description,
+  'discount': o.discount, 'new_price': CAST(o.new_price AS VARCHAR), 'quantity': o.quantity, 'status': o.status,
+  'created_at': {ISO.format(c='o.created_at')}, 'images': COALESCE(g.images, [])}}) AS VARCHAR) AS document
+FROM v_offers o LEFT JOIN g ON g.offer_id = o.id WHERE o.status = 'active' AND o.quantity > 0""")
+def offer_documents(t):
+    """Every sellable offer as one JSON document with its images in order ([] when there is none)."""
+    return documents(catalog.offer_detail(t.v_offers, t.v_offer_images), "id")
+
+
+@query("favorite_documents", ["v_favorite_adds", "v_offers", "v_offer_images"], f"""
+WITH g AS (SELECT offer_id, list({{'id': id, 'image_url': image_url, 'is_main': is_main, 'sort_order': sort_order}}
+    ORDER BY is_main DESC NULLS FIRST, sort_order NULLS LAST, id) AS images FROM v_offer_images GROUP BY offer_id)
+SELECT f.event_id AS favorite_id, CAST(to_json({{'favorite_id': f.event_id, 'user_id': f.user_id, 'offer_id': f.offer_id,
+  'favorite_created_at': {ISO.format(c='f.ts')}, 'product_name': o.product_name, 'new_price': CAST(o.new_price AS VARCHAR),
+  'images': COALESCE(g.images, [])}}) AS VARCHAR) AS document
+FROM v_favorite_adds f JOIN v_offers o ON o.id = f.offer_id LEFT JOIN g ON g.offer_id = o.id""")
+def favorite_documents(t):
+    """Favourites as JSON documents, main image first."""
+    fav = t.v_favorite_adds.select(F.col("event_id").alias("id"), "user_id", "offer_id", F.col("ts").alias("created_at"))
+    d = docs.favorites_list(fav, t.v_offers, t.v_offer_images)
+    return documents(d.select("favorite_id", "user_id", "offer_id", "favorite_created_at", "product_name", "new_price", "images"), "favorite_id")
+
+
+def _report_oracle() -> str:
+    from . import q_sales  # noqa: F401  (its oracles are parts of this one)
+    from ..sources.views import VIEWS  # noqa: F401
+    o, t, d, c = (ORACLES[k] for k in ("sales_previous", "daily_timeline", "delivery_summary", "items_sold"))
+    return f"""
+SELECT '{{"previous":' || (SELECT CAST(to_json({{'revenue': CAST(revenue AS VARCHAR), 'orders': orders}}) AS VARCHAR) FROM ({o}) x)
+  || ',"timeline":' || (SELECT CAST(to_json(list({{'date': CAST(date AS VARCHAR), 'orders': orders, 'revenue': CAST(revenue AS VARCHAR),
+       'cancelled_orders': cancelled_orders, 'delivered_orders': delivered_orders, 'shipping_orders': shipping_orders,
+       'new_users': new_users}} ORDER BY date)) AS VARCHAR) FROM ({t}) x)
+  || ',"delivery":' || (SELECT CAST(to_json({{'delivered': delivered, 'shipping': shipping, 'pending': pending, 'failed': failed,
+       'cancelled': cancelled}}) AS VARCHAR) FROM ({d}) x) || '}}' AS document"""
+
+
+@query("report_document", [], _report_oracle())
+def sales_report_document(t):
+    """The analytics answer as one JSON document: previous period, gap-filled days in order, delivery."""
+    r = sales.sales_report(t.spark, t.v_orders, t.v_users, t.v_offers, t.v_order_items, t.v_categories, AS_OF, DAYS)
+    return report_document({"previous": r["previous"].select("revenue", "orders"), "timeline": r["timeline"],
+                            "delivery": r["delivery"].drop("rate")}, {"timeline": ["date"]})

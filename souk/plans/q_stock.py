@@ -94,21 +94,62 @@ def invoice_items_priced(t):
     return out.withColumn("unit_price", F.col("unit_price").cast("decimal(14,2)"))
 
 
+ALERT_LIST = """list({{'offerId': c.offer_id, 'productName': c.offer_product_name, 'requested': CAST(c.requested AS INTEGER),
+    'available': CAST(c.available AS INTEGER), 'missing': CAST(c.missing AS INTEGER), 'resolved': {r}}}
+    ORDER BY line_no, c.offer_id, tie1, c.quantity, line_total) FILTER (WHERE c.alert)"""
+
+
 @query("stock_alert_resolution", VIEWS, f"""
 WITH {CHECKED},
-inv AS (SELECT invoice_id AS id, bool_or(alert) AS has FROM c GROUP BY invoice_id),
-al AS (SELECT c.invoice_id AS id, (o.id IS NOT NULL AND COALESCE(o.quantity, 0) >= c.missing) AS ok
-  FROM c LEFT JOIN v_offers o ON o.id = c.offer_id WHERE c.alert),
-r AS (SELECT id, bool_and(ok) AS ok FROM al GROUP BY id)
-SELECT inv.id, CASE WHEN NOT inv.has THEN TRUE WHEN r.ok THEN TRUE ELSE FALSE END AS stock_alert_resolved,
-  CASE WHEN inv.has AND r.ok THEN {ts(0)} END AS stock_alert_resolved_at
-FROM inv LEFT JOIN r ON r.id = inv.id""")
+inv AS (SELECT c.invoice_id AS id, bool_or(c.alert) AS has,
+    bool_and(o.id IS NOT NULL AND COALESCE(o.quantity, 0) >= c.missing) FILTER (WHERE c.alert) AS ok,
+    {ALERT_LIST.format(r='FALSE')} AS al, {ALERT_LIST.format(r='TRUE')} AS al2
+  FROM c LEFT JOIN v_offers o ON o.id = c.offer_id GROUP BY c.invoice_id)
+SELECT id, NOT has OR ok AS stock_alert_resolved, CASE WHEN has AND ok THEN {ts(0)} END AS stock_alert_resolved_at,
+  CAST(to_json(CASE WHEN NOT has THEN [] WHEN ok THEN al2 ELSE al END) AS VARCHAR) AS stock_alerts
+FROM inv""")
 def stock_alert_resolution(t):
     """Invoices of the batch re-checked against restocked offers (v_offers)."""
     h = stock.invoice_stock_headers(_checked(t), LINE_ORDER).withColumnRenamed("invoice_id", "id")
     h = h.select("id", "stock_alerts", "stock_alert_resolved")
     r = stock.stock_alert_resolution(h, t.v_offers, AS_OF)
-    return r.select("id", "stock_alert_resolved", "stock_alert_resolved_at")
+    return r.select("id", "stock_alert_resolved", "stock_alert_resolved_at", F.to_json("stock_alerts").alias("stock_alerts"))
+
+
+CREATE_VIEWS = ["v_invoice_requests", "v_known_invoices", "v_invoice_items", "v_offers"]
+ADMITTED = """adm AS (SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY number ORDER BY r.created_at, r.invoice_id) AS rn
+    FROM v_invoice_requests r WHERE COALESCE(number, '') <> ''
+      AND EXISTS (SELECT 1 FROM v_invoice_items i WHERE i.invoice_id = r.invoice_id)
+      AND NOT EXISTS (SELECT 1 FROM v_invoice_items i LEFT JOIN v_offers o ON o.id = i.offer_id WHERE i.invoice_id = r.invoice_id AND o.id IS NULL)
+      AND number NOT IN (SELECT invoice_number FROM v_known_invoices)) x WHERE rn = 1)"""
+CREATED = ADMITTED + ", " + CHECKED.replace("FROM v_invoice_items ii\n  WHERE NOT EXISTS", "FROM v_invoice_items ii\n  WHERE ii.invoice_id IN (SELECT invoice_id FROM adm) AND NOT EXISTS")
+
+
+def _created(t):
+    return stock.invoice_create(t.v_invoice_requests, t.v_invoice_items, t.v_offers, t.v_known_invoices, LINE_ORDER)
+
+
+@query("invoice_create", CREATE_VIEWS, f"""
+WITH {CREATED},
+h AS (SELECT invoice_id, bool_or(alert) AS has,
+    string_agg(CASE WHEN alert THEN {NOTE} END, chr(10) ORDER BY line_no, offer_id, tie1, quantity, line_total) AS admin_note
+  FROM c GROUP BY invoice_id)
+SELECT (SELECT COALESCE(MAX(id), 0) FROM v_known_invoices) + row_number() OVER (ORDER BY a.created_at, a.invoice_id) AS id, a.invoice_id,
+  a.number AS invoice_number, NULLIF(customer_name, '') AS customer_name, NULLIF(customer_phone, '') AS customer_phone,
+  NULLIF(customer_address, '') AS customer_address, COALESCE(subtotal, 0) AS subtotal, COALESCE(discount, 0) AS discount,
+  COALESCE(total, 0) AS total, COALESCE(amount_received, 0) AS amount_received, COALESCE(change_amount, 0) AS change_amount,
+  COALESCE(NULLIF(payment_method, ''), 'Espèces') AS payment_method, NULLIF(note, '') AS note, h.admin_note,
+  CASE WHEN h.has THEN 'stock_insuffisant' ELSE 'verified' END AS stock_status, NOT h.has AS stock_alert_resolved,
+  'confirmed' AS status, a.created_at
+FROM adm a JOIN h ON h.invoice_id = a.invoice_id""")
+def invoice_create(t):
+    """Invoices of a batch: admission by number first, then the stock check among the admitted."""
+    return _created(t)[0].drop("stock_alerts")
+
+
+@query("invoice_create_lines", CREATE_VIEWS, f"WITH {CREATED} SELECT * FROM c")
+def invoice_create_lines(t):
+    return _created(t)[1]
 
 
 @query("stock_after_events", ["v_invoice_items", "v_offers", "v_offer_creates"], f"""

@@ -51,7 +51,7 @@ FROM {part}""",
     "v_categories": """
 SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM {nation}""",
     "v_offer_images": """
-SELECT page_id AS id, page_id % 45 AS offer_id, url AS image_url,
+SELECT page_id AS id, page_id % (SELECT CAST(floor(COUNT(*) / 40) AS BIGINT) + 1 FROM {part}) AS offer_id, url AS image_url,
   CASE WHEN page_id % 7 = 0 THEN TRUE WHEN page_id % 11 = 0 THEN NULL ELSE FALSE END AS is_main,
   CAST(page_id % 4 AS INT) AS sort_order
 FROM {pages}""",
@@ -60,7 +60,7 @@ SELECT c_custkey AS id,
   CASE WHEN c_custkey % 8 = 0 THEN NULL WHEN c_custkey % 9 = 0 THEN '' ELSE replace(c_name, '#', ' ') END AS full_name,
   'u' || CAST(c_custkey AS STRING) || '@example.com' AS email,
   '77' || substr(CAST(10000000 + c_custkey AS STRING), 2) AS phone,
-  CAST(DATE '1995-01-01' + CAST(c_custkey % 2400 AS INT) AS {TS}) AS created_at
+  CAST(DATE '1995-01-01' + CAST(c_custkey * 37 % 2400 AS INT) AS {TS}) AS created_at
 FROM {customer}""",
     "v_cart_adds": """
 SELECT event_id, user_id, event_id % 50 AS offer_id,
@@ -203,8 +203,25 @@ SELECT id, user_id, offer_id, quantity, message, first_name, last_name,
 FROM {v_negotiations}""",
     "v_offer_creates": """
 SELECT event_id AS id, event_id, offer_id, ts, product_name, 'C' || CAST(offer_id % 7 AS STRING) AS category,
-  product_name AS description, new_price, quantity, status
+  product_name AS description, new_price, quantity, status, CAST(event_id % 6 - 1 AS INT) AS new_images
 FROM {v_offer_updates}""",
+    "v_generated_requests": """
+SELECT CAST(p_partkey AS BIGINT) AS request_id, CASE WHEN p_partkey % 12 = 5 THEN '' ELSE p_name END AS product_name, p_type AS category,
+  CASE WHEN p_partkey % 15 = 4 THEN NULL ELSE p_brand END AS description, CAST(p_retailprice AS DECIMAL(14,2)) - 905 AS new_price,
+  CAST(CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END AS DECIMAL(14,2)) AS old_price, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_size END AS discount,
+  CAST(NULL AS DECIMAL(14,2)) AS wholesale_price, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size END AS quantity,
+  CASE WHEN p_partkey % 7 = 0 THEN '' ELSE 'active' END AS status, CAST(p_partkey % 8 AS INT) AS n_files
+FROM {part}""",
+    "v_invoice_requests": """
+SELECT id AS invoice_id, created_at, CASE WHEN id % 13 = 0 THEN '' WHEN id % 5 = 0 THEN 'INV-' || CAST(id - id % 100 AS STRING)
+    ELSE 'INV-' || CAST(id AS STRING) END AS number,
+  CASE WHEN id % 3 = 0 THEN '' ELSE 'Cust' || CAST(id % 40 AS STRING) END AS customer_name, CASE WHEN id % 4 = 0 THEN NULL ELSE '77' END AS customer_phone,
+  '' AS customer_address, total AS subtotal, CAST(CASE WHEN id % 6 = 0 THEN NULL ELSE 0 END AS DECIMAL(14,2)) AS discount, total,
+  CAST(NULL AS DECIMAL(14,2)) AS amount_received, CAST(0 AS DECIMAL(14,2)) AS change_amount,
+  CASE WHEN id % 7 = 0 THEN '' ELSE 'card' END AS payment_method, CASE WHEN id % 8 = 0 THEN 'n' ELSE '' END AS note
+FROM {v_invoices}""",
+    "v_known_invoices": """
+SELECT id, invoice_number FROM {v_invoices} WHERE id % 9 = 0""",
     "v_ad_updates": """
 SELECT id, id AS event_id, created_at AS ts,
   CASE WHEN id % 3 = 0 THEN ' ' ELSE 'New ' || title END AS title,
@@ -232,6 +249,17 @@ SELECT page_id,
   CASE CAST(page_id % 3 AS INT) WHEN 0 THEN '  u' || CAST(page_id AS STRING) || '@example.com '
     WHEN 1 THEN '77' || CAST(page_id AS STRING) ELSE ' 12 ' END AS contact
 FROM {pages}""",
+    "v_product_analyses": """
+SELECT CAST(p_partkey AS BIGINT) AS query_id, CASE WHEN p_partkey % 6 = 0 THEN '' ELSE ' ' || p_name || ' ' END AS product_name,
+  CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_type END AS category,
+  split('x;;' || p_brand || '; ' || substr(p_name, 1, 5) || ' ;b_l;q1;q2;q3;q4;q5;q6;q7;q8;' || p_type, ';') AS search_terms
+FROM {part}""",
+    "v_reset_tokens": """
+SELECT event_id AS id, user_id, 'h' || CAST(event_id % 97 AS STRING) AS token_hash,
+  CASE WHEN event_id % 10 = 0 THEN NULL ELSE ts + INTERVAL 1 HOUR END AS expires_at
+FROM {events} WHERE event_type = 'view'""",
+    "v_token_probes": """
+SELECT event_id, user_id, 'h' || CAST(event_id % 97 AS STRING) AS token_hash FROM {events} WHERE event_type IN ('click', 'view')""",
     "v_page_links": """
 SELECT page_id, CASE CAST(page_id % 13 AS INT)
     WHEN 1 THEN 'https://' || host || '/x/../en/' || CAST(page_id AS STRING)

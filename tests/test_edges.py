@@ -381,3 +381,179 @@ def test_order_headers(spark):
     assert [(x.id, x.request_id, x.reference, x.email, x.address, x.city, x.district, x.total) for x in r] == \
         [(42, 1, "REF-2001-000042", None, "Rue", "City", None, Decimal("5.00"))]  # request 2: a line without offer
     assert [(x.order_id, x.line_no, x.image_url) for x in items.collect()] == [(42, 1, "default.png")]
+
+
+# ---------------------------------------------------------------------------
+# Search index, hot offers, invoice admission, image cap, documents, sinks
+# ---------------------------------------------------------------------------
+def test_search_candidates_hold_every_match_and_little_else(spark):
+    from souk.sources import Tables
+    t = Tables(spark, "/root/testdata/sf0.01")
+    offers = catalog.sellable(t.v_offers)
+    odd = [("q", x) for x in ("red", "RED%B", "b_l", "_", "%", "zzzz", "e", "st\\%", "anod", "promo", "blue plate", "o", "  ", "a_c%d")]
+    terms = t.v_search_terms.unionByName(spark.createDataFrame(odd, "query_id string, term string"))
+    cand = catalog.term_candidates(terms, offers).cache()
+    pairs = terms.select("term").distinct().crossJoin(offers.select(F.col("id").alias("offer_id"), *catalog.SEARCH_COLUMNS))
+    hits = pairs.where(catalog.search_condition(exprs.contains_pattern(F.col("term")))).select("term", "offer_id").cache()
+    assert hits.join(cand, ["term", "offer_id"], "left_anti").count() == 0 and cand.count() == cand.distinct().count()
+    own = t.v_search_terms.select("term").distinct()
+    n, m = cand.join(own, "term", "left_semi").count(), hits.join(own, "term", "left_semi").count()
+    # beyond the pairs that do match, fewer than 1 % of all pairs are looked at
+    assert n - m < 0.01 * own.count() * offers.count()
+
+
+def test_clean_terms_and_image_search(spark):
+    rows = [(1, " red bolt ", None, ["", None, "x", " ab\u00a0", "red"]), (2, "", "", None), (3, None, "tool", [f"t{i}" for i in range(20)])]
+    a = spark.createDataFrame(rows, "query_id bigint, product_name string, category string, search_terms array<string>")
+    got = {r.query_id: r.terms for r in catalog.clean_terms(a).collect()}
+    assert got[1] == ["red bolt", "ab", "red"] and got[2] == [] and got[3] == ["tool"] + [f"t{i}" for i in range(9)]
+    offers = spark.createDataFrame([(i, n, None, "d", Decimal("1.00"), "active", 1, D(2001, 1, i)) for i, n in enumerate(["red bolt", "tool t8", "t19"], 1)],
+                                   "id bigint, product_name string, category string, description string, new_price decimal(14,2), status string, "
+                                   "quantity int, created_at timestamp_ntz")
+    images = spark.createDataFrame([(1, 2, "u", True, 0)], "id bigint, offer_id bigint, image_url string, is_main boolean, sort_order int")
+    out = catalog.image_search(a, offers, images).collect()
+    assert [(r.query_id, r.rank, r.offer_id, len(r.images)) for r in out] == [(1, 1, 1, 0), (3, 1, 3, 0), (3, 2, 2, 1)]  # t1 is in t19
+
+
+def test_hot_offer_spreads_over_ranges(spark):
+    n = 6000
+    items = spark.range(n).select(F.col("id").alias("invoice_id"), F.lit("2001-05-05 00:00:00").cast("timestamp_ntz").alias("created_at"),
+                                  F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 500 + 2).cast("long").alias("offer_id"),
+                                  F.lit(1).alias("line_no"), (F.col("id") % 4).cast("int").alias("quantity"))
+    offers = spark.range(1, 503).select("id", F.lit("p").alias("product_name"), F.lit(100).alias("quantity"))
+    rows = stock.invoice_stock_check(items, offers).collect()
+    level = {}
+    for r in sorted(rows, key=lambda r: r.invoice_id):
+        left = level.get(r.offer_id, 100)
+        assert r.available == left
+        level[r.offer_id] = max(left - r.requested, 0)
+    from souk.operators.common import asc, range_bucket
+    g = range_bucket(items, [asc("offer_id"), asc("created_at"), asc("invoice_id")], 64)
+    per = [r["count"] for r in g.where("offer_id = 1").groupBy("_bucket").count().collect()]
+    assert len(per) > 12 and max(per) < n / 10
+
+
+def test_alert_resolution_is_one_pass(spark):
+    alert = "array<struct<offerId:bigint,productName:string,requested:int,available:int,missing:int,resolved:boolean>>"
+    inv = spark.createDataFrame([(1, [(2, "B", 5, 3, 2, False), (1, "A", 5, 3, 2, False)], False, None, "x"), (2, None, False, None, "y"),
+                                 (3, [], None, None, "z"), (4, [(1, "A", 9, 3, 2, False), (None, "A", 9, 3, 2, False)], None, None, "w")],
+                                f"id bigint, stock_alerts {alert}, stock_alert_resolved boolean, stock_alert_resolved_at timestamp_ntz, note string")
+    offers = spark.createDataFrame([(1, 2), (2, 7)], "id bigint, quantity int")
+    out = stock.stock_alert_resolution(inv, offers, AS_OF)
+    got = {r.id: r for r in out.collect()}
+    assert [a.offerId for a in got[1].stock_alerts] == [2, 1] and all(a.resolved for a in got[1].stock_alerts)
+    assert got[1].stock_alert_resolved and got[1].stock_alert_resolved_at == D(2001, 6, 30) and got[1].note == "x"
+    assert got[2].stock_alerts is None and got[3].stock_alerts == [] and got[3].stock_alert_resolved is None
+    assert got[4].stock_alert_resolved is None and not any(a.resolved for a in got[4].stock_alerts) and out.columns == inv.columns
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and plan.count("Join") == 1 and plan.count("Aggregate") == 1
+
+
+REQ = "invoice_id bigint, created_at timestamp_ntz, number string, customer_name string, customer_phone string, customer_address string, " \
+      "subtotal decimal(14,2), discount decimal(14,2), total decimal(14,2), amount_received decimal(14,2), change_amount decimal(14,2), " \
+      "payment_method string, note string"
+
+
+def test_invoice_admission_before_stock(spark):
+    none = (None,) * 3
+    money = (Decimal("1.00"), None, Decimal("1.00"), None, None)
+    rows = [(1, D(2001, 1, 2), "A", "N", *none[:2], *money, "", ""), (2, D(2001, 1, 1), "A", *none, *money, "card", "n"),  # 2 is earlier: it wins
+            (3, D(2001, 1, 1), "", *none, *money, "x", None), (4, D(2001, 1, 3), "OLD", *none, *money, "x", None),
+            (5, D(2000, 1, 1), "B", *none, *money, "x", None), (6, D(2001, 1, 4), "B", *none, *money, None, None),  # 5 has an unknown product
+            (7, D(2001, 1, 5), "C", *none, *money, "x", None)]  # no lines
+    items = _invoice_items(spark, [(i, D(2001, 1, d), o, 1, 2) for i, d, o in ((1, 2, 1), (2, 1, 1), (3, 1, 1), (4, 3, 1), (5, 1, 9), (6, 4, 1))])
+    offers = spark.createDataFrame([(1, "A", 3)], "id bigint, product_name string, quantity int")
+    known = spark.createDataFrame([(70, "OLD")], "id bigint, invoice_number string")
+    h, lines = stock.invoice_create(spark.createDataFrame(rows, REQ), items, offers, known, ["line_no", "offer_id"])
+    got = {r.invoice_id: r for r in h.collect()}
+    assert {(r.id, r.invoice_id, r.invoice_number) for r in got.values()} == {(71, 2, "A"), (72, 6, "B")}
+    assert got[2].stock_status == "verified" and got[6].stock_status == "stock_insuffisant"  # refused ones took no stock: 3 - 2 = 1 is left
+    assert got[6].payment_method == "Espèces" and got[2].payment_method == "card" and got[6].discount == 0 and got[2].note == "n"
+    assert {(r.invoice_id, r.available) for r in lines.collect()} == {(2, 3), (6, 1)} and got[6].stock_alerts[0].missing == 1
+
+
+def test_image_cap_counts_earlier_updates(spark):
+    import random
+    rnd = random.Random(9)
+    images = spark.createDataFrame([(i, i % 4) for i in range(10)], "id bigint, offer_id bigint")
+    have = {o: sum(i % 4 == o for i in range(10)) for o in range(6)}
+    rows = [(o, D(2001, 1, 1 + rnd.randrange(20)), 1000 * o + e, rnd.choice([None, 0, -1, 1, 2, 3, 5, 8, 9])) for o in range(6) for e in range(60)]
+    rows += [(9, D(2001, 1, 1), 90001, 5), (9, D(2001, 1, 2), 90002, 5)]  # two updates of five images on one offer
+    got = {r.event_id for r in changes.within_image_cap(spark.createDataFrame(rows, "id bigint, ts timestamp_ntz, event_id bigint, new_images int"), images).collect()}
+    want, at = set(), dict(have)
+    for o, ts, e, n in sorted(rows, key=lambda r: (r[1], r[2])):
+        if (n or 0) <= 0:
+            want.add(e)
+        elif at.get(o, 0) + n <= 8:
+            at[o] = at.get(o, 0) + n
+            want.add(e)
+    assert got == want and 90001 in got and 90002 not in got
+
+
+def test_generated_offers(spark):
+    good = ("P", "c", "d", Decimal("3.00"), Decimal("0"), None, None, None, "")
+    rows = [(1, *good, 0), (2, *good, 0), (3, *good, 8), (4, *good, 1), (5, "", *good[1:], 2), (6, *good[:3], Decimal("0"), *good[4:], 2), (7, *good, None)]
+    req = spark.createDataFrame(rows, "request_id bigint, product_name string, category string, description string, new_price decimal(14,2), "
+                                      "old_price decimal(14,2), discount int, wholesale_price decimal(14,2), quantity int, status string, n_files int")
+    url = "https://res.cloudinary.com/x.png"
+    pics = [(1, 2, url, "shop/ai-generated/b"), (1, 1, url, "shop/ai-generated/a"), (2, 1, url, "shop/ai-generated/../a"), (3, 1, url, "shop/ai-generated/a"),
+            (4, 1, "http://res.cloudinary.com/x.png", "shop/ai-generated/a")]
+    images = spark.createDataFrame(pics, "request_id bigint, pos int, url string, public_id string")
+    made, out = changes.offer_create_generated(req, images, spark.createDataFrame([(10,)], "id bigint"), AS_OF)
+    r = made.collect()
+    assert [(x.id, x.request_id, x.reference, x.discount, x.quantity, x.status, x.old_price) for x in r] == [(11, 1, "REF-2001-000011", 0, 0, "active", None)]
+    assert sorted((x.offer_id, x.public_id, x.sort_order, x.is_main) for x in out.collect()) == \
+        [(11, "shop/ai-generated/a", 0, True), (11, "shop/ai-generated/b", 1, False)]
+
+
+def test_documents_and_report(spark):
+    import json
+
+    from souk.sources import documents as as_json
+    from souk.sources import report_document
+    df = spark.createDataFrame([(1, None, Decimal("2.50"), D(2001, 1, 2, 3, 4, 5, 678900), [(1, None)], dt.date(2001, 1, 2), None), (2, "é\"", None, None, [], None, (7,))],
+                               "id bigint, name string, price decimal(10,2), at timestamp_ntz, lines array<struct<a:int,b:decimal(5,1)>>, day date, s struct<x:int>")
+    got = {r.id: r.document for r in as_json(df, "id").collect()}
+    assert got[1] == '{"id":1,"name":null,"price":"2.50","at":"2001-01-02T03:04:05.678Z","lines":[{"a":1,"b":null}],"day":"2001-01-02","s":null}'
+    assert json.loads(got[2]) == {"id": 2, "name": 'é"', "price": None, "at": None, "lines": [], "day": None, "s": {"x": 7}}
+    doc = report_document({"one": df.where("id = 1").select("name", "price"), "all": df.select("id"), "none": df.limit(0).select("id"),
+                           "empty": df.limit(0).select("name")}, {"all": ["id"], "none": ["id"]}).collect()
+    assert json.loads(doc[0].document) == {"one": {"name": None, "price": "2.50"}, "all": [{"id": 1}, {"id": 2}], "none": [], "empty": None}
+
+
+def test_append_batch_is_idempotent(spark, tmp_path):
+    from souk.sources import append_batch
+    path = str(tmp_path / "sink")
+    a, b = spark.range(5).withColumn("v", F.lit("a")), spark.range(3).withColumn("v", F.lit("b"))
+    for batch in ("b1", "b2", "b1", "b1"):
+        append_batch(a if batch == "b1" else b, path, batch)
+    append_batch(a.limit(0), path, "b3")
+    got = sorted((r.batch_id, r.id, r.v) for r in spark.read.parquet(path).collect())
+    assert got == [("b1", i, "a") for i in range(5)] + [("b2", i, "b") for i in range(3)]
+
+
+def test_missing_tables_and_expiry(spark):
+    o = orders_df(spark, [(1, "x", Decimal("1"), D(2001, 6, 10), None, None)])
+    assert sales.items_sold(None, o, AS_OF, 30).first().items_sold == 0
+    offers = spark.createDataFrame([(1, 1)], "id bigint, category_id bigint")
+    assert sales.category_performance(offers, None).count() == 0
+    assert sales.category_performance(offers.drop("category_id"), offers).count() == 0
+    t = spark.createDataFrame([(1, "h", D(2001, 1, 2)), (1, "h", D(2001, 1, 3)), (2, "h", D(2001, 1, 1)), (3, "h", None)],
+                              "user_id bigint, token_hash string, expires_at timestamp_ntz")
+    p = spark.createDataFrame([(i, i, "h") for i in (1, 2, 3, 4)], "event_id bigint, user_id bigint, token_hash string")
+    assert [r.event_id for r in changes.tokens_valid(t, p, "2001-01-01 00:00:00").collect()] == [1]
+
+
+def test_lists_come_newest_first(spark):
+    rows = [(i, 1 + i % 3, "pickup", "x", Decimal("1.00"), None if i == 7 else D(2001, 1, 1 + i % 9), None, None, None) for i in range(40)]
+    o = spark.createDataFrame(rows, "id bigint, user_id bigint, delivery_method string, status string, total decimal(14,2), created_at timestamp_ntz, "
+                                    "city string, district string, address string").repartition(5)
+    items = spark.createDataFrame([(i, i % 40, 2) for i in range(90)], "id bigint, order_id bigint, quantity int")
+    key = lambda at, i: (at is not None, -at.timestamp() if at else 0, -i)
+    got = [(r.created_at, r.id) for r in documents.orders_admin(o, items, nested=False).collect()]
+    assert got == sorted(got, key=lambda x: key(*x))
+    got = [(r.user_id, r.date, r.id) for r in documents.order_history(o, items).collect()]
+    assert got == sorted(got, key=lambda x: (x[0], *key(*x[1:])))
+    inv = o.select("id", "created_at")
+    got = [(r.created_at, r.id, r.line_pos) for r in documents.invoices_with_items(inv, items.withColumnRenamed("order_id", "invoice_id"), nested=False).collect()]
+    assert got == sorted(got, key=lambda x: (*key(*x[:2]), x[2]))
