@@ -154,6 +154,15 @@ def favorites_add(favorites: DataFrame, adds: DataFrame) -> DataFrame:
                             ["user_id", "offer_id"], ["created_at", "event_id"])
 
 
+def favorites_added(favorites: DataFrame, adds: DataFrame) -> DataFrame:
+    """M5, the answer to each add: ``added`` is true for the first add of a (user, offer) not in the list yet."""
+    a = adds.where(F.col("offer_id").isNotNull() & (F.col("offer_id") != 0))
+    rank = F.row_number().over(W.partitionBy("user_id", "offer_id").orderBy("created_at", "event_id"))
+    old = favorites.select("user_id", "offer_id", F.lit(True).alias("_old")).distinct()
+    return (a.withColumn("_rn", rank).join(old, ["user_id", "offer_id"], "left")
+            .withColumn("added", (F.col("_rn") == 1) & F.col("_old").isNull()).drop("_rn", "_old"))
+
+
 def favorites_delete(favorites: DataFrame, deletes: DataFrame, by_owner: bool = False) -> DataFrame:
     return anti_delete(favorites, deletes, ["user_id"] if by_owner else ["user_id", "offer_id"])
 
@@ -453,6 +462,11 @@ def ad_defaults(requests: DataFrame) -> DataFrame:
         opt("ends_at", "timestamp_ntz").alias("ends_at"))
 
 
+def ad_delete(ads: DataFrame, deletes: DataFrame) -> DataFrame:
+    """M20 delete: ads without those named by ``deletes.id``."""
+    return anti_delete(ads, deletes, ["id"])
+
+
 def ad_update_apply(ads: DataFrame, updates: DataFrame, now) -> DataFrame:
     """M20 update: blank title or zero numbers keep the old value; link,
     dates and the active flag are overwritten; ``updated_at`` = ``now``.

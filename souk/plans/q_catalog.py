@@ -49,6 +49,13 @@ def offers_search(t):
         *OFFER_COLS.split(", "))
 
 
+@query("offers_by_category", ["v_offers"], f"""
+SELECT {OFFER_COLS} FROM v_offers WHERE {SELLABLE} AND category = 'PROMO'""")
+def offers_by_category(t):
+    """Sellable offers of exactly one category (trimmed parameter)."""
+    return catalog.offers_filter(t.v_offers, category=" PROMO ").select(*OFFER_COLS.split(", "))
+
+
 @query("offer_detail", ["v_offers", "v_offer_images"], f"""
 WITH img AS ({IMG_RANKED})
 SELECT o.id, o.product_name, o.category, o.description, o.discount, o.new_price, o.quantity, o.status,
@@ -122,7 +129,7 @@ _ACTIVE = "is_active AND (starts_at IS NULL OR starts_at <= {n}) AND (ends_at IS
 
 
 @query("ads_active", ["v_site_ads"], f"""
-SELECT id, title, display_order, created_at FROM v_site_ads WHERE {_ACTIVE.format(n=ts(0))}
+SELECT id, title, link_url, width, height, display_order, created_at FROM v_site_ads WHERE {_ACTIVE.format(n=ts(0))}
 ORDER BY display_order, created_at DESC, id""")
 def ads_active(t):
     return catalog.ads_active(t.v_site_ads, AS_OF)

@@ -310,21 +310,21 @@ def main_image_reelect(t):
     return ch.main_image_reelect(t.v_offer_images, dels)
 
 
-@query("ad_defaults", ["v_site_ads"], f"""
-SELECT id, {jt('title')} AS title, CAST(NULL AS VARCHAR) AS link_url, 170 AS width, 108 AS height,
-  COALESCE(NULLIF(display_order, 0), 0) AS display_order,
-  COALESCE(CAST(is_active AS VARCHAR) <> 'false', TRUE) AS is_active, starts_at, ends_at
-FROM v_site_ads WHERE {jt('title')} <> ''""")
+@query("ad_defaults", ["v_ad_requests"], f"""
+SELECT id, {jt('title')} AS title, NULLIF(link_url, '') AS link_url, COALESCE(NULLIF(width, 0), 170) AS width,
+  COALESCE(NULLIF(height, 0), 108) AS height, COALESCE(NULLIF(display_order, 0), 0) AS display_order,
+  COALESCE(is_active <> 'false', TRUE) AS is_active, starts_at, ends_at
+FROM v_ad_requests WHERE {jt('title')} <> ''""")
 def ad_defaults(t):
-    req = t.v_site_ads.select("id", "title", "display_order", F.col("is_active").cast("string").alias("is_active"),
-                              "starts_at", "ends_at")
-    return ch.ad_defaults(req)
+    return ch.ad_defaults(t.v_ad_requests)
 
 
 @query("ad_update_apply", ["v_site_ads", "v_ad_updates"], f"""
 WITH u AS (SELECT * FROM v_ad_updates)
 SELECT a.id,
   CASE WHEN u.id IS NOT NULL THEN COALESCE(NULLIF({jt('u.title')}, ''), a.title) ELSE a.title END AS title,
+  CASE WHEN u.id IS NOT NULL THEN NULLIF(u.link_url, '') ELSE a.link_url END AS link_url,
+  COALESCE(NULLIF(u.width, 0), a.width) AS width, COALESCE(NULLIF(u.height, 0), a.height) AS height,
   CASE WHEN u.id IS NOT NULL THEN COALESCE(NULLIF(u.display_order, 0), a.display_order) ELSE a.display_order END
     AS display_order,
   CASE WHEN u.id IS NOT NULL THEN COALESCE(u.is_active, '') <> 'false' ELSE a.is_active END AS is_active,
@@ -336,6 +336,33 @@ def ad_update_apply(t):
     return ch.ad_update_apply(t.v_site_ads, t.v_ad_updates, AS_OF)
 
 
+@query("ad_delete", ["v_site_ads", "v_status_changes"], "SELECT * FROM v_site_ads WHERE id NOT IN (SELECT order_id FROM v_status_changes)")
+def ad_delete(t):
+    """Ads left after a batch of deletes (unknown ids delete nothing)."""
+    return ch.ad_delete(t.v_site_ads, t.v_status_changes.select(F.col("order_id").alias("id")))
+
+
+@query("cart_delete_owner", ["v_cart_adds", "v_offers", "v_cart_deletes"], f"""
+WITH {CART_ALL} SELECT * FROM cart WHERE cart_id NOT IN (SELECT user_id FROM v_cart_deletes WHERE event_id % 3 = 0)""")
+def cart_delete_owner(t):
+    """Carts left after emptying those of the owners in a batch."""
+    gone = t.v_cart_deletes.where("event_id % 3 = 0").select(F.col("user_id").alias("cart_id"))
+    return ch.cart_delete(_cart(t), gone, by_owner=True)
+
+
+@query("favorites_added", ["v_favorite_adds"], f"""
+WITH old AS (SELECT DISTINCT user_id, offer_id FROM v_favorite_adds WHERE ts < {SPLIT} AND offer_id IS NOT NULL AND offer_id <> 0),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id, offer_id ORDER BY ts, event_id) AS rn FROM v_favorite_adds
+  WHERE ts >= {SPLIT} AND offer_id IS NOT NULL AND offer_id <> 0)
+SELECT a.event_id, a.user_id, a.offer_id, a.rn = 1 AND old.user_id IS NULL AS added
+FROM a LEFT JOIN old ON old.user_id = a.user_id AND old.offer_id = a.offer_id""")
+def favorites_added(t):
+    """The answer to each add request of a batch: whether it put something new into the list."""
+    split = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    old = ch.favorites_add(t.spark.createDataFrame([], FAV_SCHEMA), _fav_adds(t, F.col("ts") < split))
+    return ch.favorites_added(old, _fav_adds(t, F.col("ts") >= split)).select("event_id", "user_id", "offer_id", "added")
+
+
 PARSED = f"""p AS (SELECT event_id, ts, full_name, identifier, lower({jt('identifier')}) AS v FROM v_registration_requests),
 q AS (SELECT *, CASE WHEN strpos(v, '@') > 0 THEN v END AS email,
     CASE WHEN strpos(v, '@') = 0 THEN {phone('identifier')} END AS phone FROM p),

@@ -63,11 +63,11 @@ SELECT c_custkey AS id,
   CAST(DATE '1995-01-01' + CAST(c_custkey * 37 % 2400 AS INT) AS {TS}) AS created_at
 FROM {customer}""",
     "v_cart_adds": """
-SELECT event_id, user_id, event_id % 50 AS offer_id,
+SELECT event_id, user_id, event_id % (SELECT CAST(floor(COUNT(*) / 40) AS BIGINT) + 1 FROM {part}) AS offer_id,
   CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS quantity, ts
 FROM {events} WHERE event_type = 'click'""",
     "v_favorite_adds": """
-SELECT event_id, user_id, event_id % 30 AS offer_id, ts FROM {events} WHERE event_type = 'view'""",
+SELECT event_id, user_id, event_id % (SELECT CAST(floor(COUNT(*) / 40) AS BIGINT) + 1 FROM {part}) AS offer_id, ts FROM {events} WHERE event_type = 'view'""",
     "v_contact_messages": """
 SELECT conv_id * 10 + turn AS id,
   CASE WHEN conv_id % 5 = 0 THEN NULL ELSE 'C' || CAST(conv_id AS STRING) END AS first_name,
@@ -90,7 +90,8 @@ FROM {v_orders} WHERE status IN ('Delivered', 'completed', 'livré')""",
 SELECT i.id AS invoice_id, i.created_at, t.offer_id, t.line_no, t.tie1, t.quantity, t.line_total
 FROM {v_order_items} t JOIN {v_invoices} i ON i.id = t.order_id""",
     "v_site_ads": """
-SELECT s_suppkey AS id, s_name AS title, CAST(s_suppkey % 6 AS INT) AS display_order,
+SELECT s_suppkey AS id, s_name AS title, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'https://ads.example.com/' || s_name END AS link_url,
+  CAST(100 + s_suppkey % 90 AS INT) AS width, CAST(60 + s_suppkey % 50 AS INT) AS height, CAST(s_suppkey % 6 AS INT) AS display_order,
   s_suppkey % 7 <> 0 AS is_active,
   CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE CAST(DATE '2001-05-01' + CAST(s_suppkey % 90 AS INT) AS {TS}) END AS starts_at,
   CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE CAST(DATE '2001-05-20' + CAST(s_suppkey % 90 AS INT) AS {TS}) END AS ends_at,
@@ -122,19 +123,19 @@ SELECT doc_id, 'Result: ```json {{"productName":' || CASE WHEN doc_id % 29 = 3 T
     WHEN doc_id % 17 = 3 THEN '' ELSE '}}' END || '``` done' AS raw
 FROM {documents}""",
     "v_cart_sets": """
-SELECT event_id, user_id, event_id % 50 AS offer_id,
+SELECT event_id, user_id, event_id % (SELECT CAST(floor(COUNT(*) / 40) AS BIGINT) + 1 FROM {part}) AS offer_id,
   CAST(regexp_extract(props, '[0-9]+', 0) AS INT) + 20 AS quantity, ts
 FROM {events} WHERE event_type = 'error'""",
     "v_cart_deletes": """
-SELECT event_id, user_id, event_id % 50 AS offer_id, ts FROM {events} WHERE event_type = 'purchase'""",
+SELECT event_id, user_id, event_id % (SELECT CAST(floor(COUNT(*) / 40) AS BIGINT) + 1 FROM {part}) AS offer_id, ts FROM {events} WHERE event_type = 'purchase'""",
     "v_status_changes": """
-SELECT event_id, event_id % 1400 AS order_id, ts,
+SELECT event_id, event_id % (SELECT MAX(o_orderkey) FROM {orders}) AS order_id, ts,
   CASE CAST(event_id % 8 AS INT) WHEN 0 THEN 'pending' WHEN 1 THEN 'confirmed' WHEN 2 THEN 'processing'
     WHEN 3 THEN 'shipped' WHEN 4 THEN 'delivered' WHEN 5 THEN 'cancelled' WHEN 6 THEN 'Delivered'
     ELSE 'lost' END AS status
 FROM {events} WHERE event_type = 'purchase'""",
     "v_offer_updates": """
-SELECT event_id, event_id % 220 AS offer_id, ts,
+SELECT event_id, event_id % (SELECT CAST(floor(COUNT(*) / 10) AS BIGINT) + 20 FROM {part}) AS offer_id, ts,
   CASE WHEN event_id % 10 = 0 THEN ' ' ELSE ' Item ' || CAST(event_id % 30 AS STRING) || ' ' END AS product_name,
   CAST(value AS DECIMAL(14,2)) - 20 AS new_price,
   CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST(event_id % 40 AS INT) END AS quantity,
@@ -229,6 +230,11 @@ SELECT id, id AS event_id, created_at AS ts,
   CAST(0 AS INT) AS width, CAST(id % 3 AS INT) AS height,
   CASE WHEN id % 4 = 0 THEN CAST(0 AS INT) ELSE display_order + 1 END AS display_order,
   CASE WHEN id % 2 = 0 THEN 'false' ELSE 'yes' END AS is_active, starts_at, CAST(NULL AS {TS}) AS ends_at
+FROM {v_site_ads}""",
+    "v_ad_requests": """
+SELECT id, CASE WHEN id % 7 = 0 THEN '  ' ELSE ' ' || title END AS title, CASE WHEN id % 4 = 0 THEN '' ELSE link_url END AS link_url,
+  CASE WHEN id % 5 = 0 THEN CAST(0 AS INT) WHEN id % 5 = 1 THEN NULL ELSE width END AS width, CASE WHEN id % 6 = 0 THEN CAST(0 AS INT) ELSE height END AS height,
+  display_order, CASE WHEN id % 3 = 0 THEN 'false' WHEN id % 3 = 1 THEN NULL ELSE 'true' END AS is_active, starts_at, ends_at
 FROM {v_site_ads}""",
     "v_registration_requests": """
 SELECT event_id, ts, CASE WHEN event_id % 13 = 0 THEN '   ' ELSE ' Name ' || CAST(event_id AS STRING) END AS full_name,

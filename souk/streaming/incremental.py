@@ -4,10 +4,12 @@
   windows with a watermark, so each day's row is final (append mode) once
   the watermark passes it and the state for that day is dropped.
 * :func:`cart_upsert_stream` -- M1 as ``foreachBatch``: every micro-batch of
-  add requests is merged into the previous cart snapshot with the batch
-  operator and written as the snapshot of that epoch.  Re-running an epoch
-  after a failure overwrites the same snapshot (idempotent), and the stream
-  checkpoint lives in the shared checkpoint folder of the session.
+  add requests becomes a small delta (its own valid adds, folded per cart line),
+  written as the partition of its epoch.  A batch costs what it holds, not
+  what the carts hold; running an epoch again after a failure replaces its
+  partition.  :func:`read_cart` folds the last compacted base and the deltas behind
+  it; :func:`compact_cart` writes a new base.  The stream checkpoint lives in the
+  shared checkpoint folder of the session.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import CANCELLED, DELIVERED, SHIPPING, not_cancelled, status_key
-from ..operators.changes import cart_upsert
+from ..operators.changes import cart_upsert, upsert_agg
 from ..session import ensure_checkpoint_dir
 
 CART_SCHEMA = ("cart_id bigint, offer_id bigint, quantity int, created_at timestamp_ntz, "
@@ -43,8 +45,43 @@ def daily_orders_stream(orders: DataFrame, watermark: str = "1 day", ts: str = "
                     "delivered_orders", "shipping_orders"))
 
 
-def snapshot_path(table_dir: str, epoch: int) -> str:
-    return posixpath.join(table_dir, f"epoch={epoch}")
+def _part(table_dir: str, kind: str) -> str:
+    return posixpath.join(table_dir, kind)
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """A table partitioned by epoch; empty before its first write."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], CART_SCHEMA + ", epoch bigint")
+    return spark.read.schema(CART_SCHEMA + ", epoch bigint").parquet(path)
+
+
+def _write(df: DataFrame, path: str, epoch: int) -> None:
+    (df.withColumn("epoch", F.lit(epoch).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("epoch").parquet(path))
+
+
+def read_cart(spark: SparkSession, table_dir: str, upto: int | None = None) -> DataFrame:
+    """The carts after epoch ``upto`` (the last one): the newest base at or before it and the deltas behind that base.
+
+    Adding up is associative, so deltas may be folded in any order.
+    """
+    base, delta = _read(spark, _part(table_dir, "base")), _read(spark, _part(table_dir, "delta"))
+    if upto is not None:
+        base, delta = base.where(F.col("epoch") <= upto), delta.where(F.col("epoch") <= upto)
+    top = base.agg(F.coalesce(F.max("epoch"), F.lit(-1)).alias("top")).first()["top"]  # partition values only
+    rows = base.where(F.col("epoch") == top).unionByName(delta.where(F.col("epoch") > top)).drop("epoch")
+    keyed = upsert_agg(rows.where("offer_id is not null"), rows.limit(0), ["cart_id", "offer_id"],
+                       [F.sum("quantity").cast("int").alias("quantity"), F.min("created_at").alias("created_at"),
+                        F.max("updated_at").alias("updated_at")])
+    return keyed.unionByName(rows.where("offer_id is null"))
+
+
+def compact_cart(spark: SparkSession, table_dir: str, upto: int) -> None:
+    """Write the carts after epoch ``upto`` as a new base; deltas up to it are not read any more."""
+    _write(read_cart(spark, table_dir, upto), _part(table_dir, "base"), upto)
 
 
 def cart_upsert_stream(spark: SparkSession, adds: DataFrame, offers: DataFrame, table_dir: str,
@@ -52,13 +89,11 @@ def cart_upsert_stream(spark: SparkSession, adds: DataFrame, offers: DataFrame,
     """Start the incremental cart upsert; returns the StreamingQuery.
 
     ``adds`` is a streaming frame with cart_id, offer_id, quantity, ts,
-    event_id.  Snapshot ``epoch=N`` = snapshot ``epoch=N-1`` + batch N.
+    event_id.  Epoch N writes the delta of batch N.
     """
     def merge(batch: DataFrame, epoch: int) -> None:
         s = batch.sparkSession
-        base = (s.read.parquet(snapshot_path(table_dir, epoch - 1)) if epoch > 0
-                else s.createDataFrame([], CART_SCHEMA))
-        cart_upsert(base, batch, offers).write.mode("overwrite").parquet(snapshot_path(table_dir, epoch))
+        _write(cart_upsert(s.createDataFrame([], CART_SCHEMA), batch, offers), _part(table_dir, "delta"), epoch)
 
     ckpt = posixpath.join(ensure_checkpoint_dir(spark), "streams", name)
     w = adds.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt)

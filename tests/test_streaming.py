@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from souk.operators import changes, sales
 from souk.sources import Tables
-from souk.streaming import cart_upsert_stream, daily_orders_stream, snapshot_path
+from souk.streaming import cart_upsert_stream, compact_cart, daily_orders_stream, read_cart
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,10 +41,19 @@ def test_cart_upsert_stream_matches_batch(spark):
     q = cart_upsert_stream(spark, stream, t.v_offers, table, name=f"cart_test_{uuid.uuid4().hex}")
     q.awaitTermination(300)
     last = q.lastProgress["batchId"]
-    got = {(r.cart_id, r.offer_id): (r.quantity, r.created_at, r.updated_at)
-           for r in spark.read.parquet(snapshot_path(table, last)).collect()}
+    assert last >= 2
     empty = spark.createDataFrame([], "cart_id bigint, offer_id bigint, quantity int, "
                                       "created_at timestamp_ntz, updated_at timestamp_ntz")
     want = {(r.cart_id, r.offer_id): (r.quantity, r.created_at, r.updated_at)
             for r in changes.cart_upsert(empty, adds, t.v_offers).collect()}
-    assert got == want
+
+    def rows(df):
+        return {(r.cart_id, r.offer_id): (r.quantity, r.created_at, r.updated_at) for r in df.collect()}
+
+    assert rows(read_cart(spark, table)) == want
+    before = rows(read_cart(spark, table, upto=1))
+    compact_cart(spark, table, 1)
+    compact_cart(spark, table, 1)  # again: nothing changes
+    assert rows(read_cart(spark, table)) == want and rows(read_cart(spark, table, upto=1)) == before
+    compact_cart(spark, table, last)
+    assert rows(read_cart(spark, table)) == want and read_cart(spark, table + "/none").count() == 0
