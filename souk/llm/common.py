@@ -68,6 +68,23 @@ def stored(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release_memory() -> None:
+    """Give memory a finished task has freed back to the system.
+
+    Python workers live on from task to task and stage to stage; without this
+    each keeps the peak of everything it has run.
+    """
+    import ctypes
+    import gc
+    import sys
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def packed(df: DataFrame, *cols: Column, drop: tuple = ()) -> DataFrame:
     """``df`` as one struct column ``row`` (without the ``drop`` columns) plus the named ``cols``.
 

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, stored, unpacked
+from .common import packed, release_memory, stored, unpacked
 
 OUT = ("n_shingles", "component_id", "kept")
 _A, _M1, _M2 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -51,7 +51,7 @@ class _WordHashes(dict):
 
     def __missing__(self, w):
         import xxhash
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w)
         return h
@@ -140,6 +140,7 @@ def sketched(texts: DataFrame, n: int, num_perm: int, rows_per_band: int, sketch
                     [b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
                      pa.array(bands, pa.list_(pa.int64())), pa.array(sk, pa.list_(pa.int64()))],
                     names=["id", "th", "n", "k1", "k2", "bands", "sk"])
+        release_memory()
 
     return texts.mapInArrow(run, "id long, th long, n long, k1 long, k2 long, bands array<long>, sk array<long>")
 
@@ -172,6 +173,7 @@ def confirmed(cand: DataFrame, texts: DataFrame, n: int, t100: int, fan: int = 4
         for b in batches:
             hs = [shingle_set(t, n).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hs, pa.binary())], names=["id", "hs"])
+        release_memory()
 
     full = (texts.select("id", "t").join(F.broadcast(ends) if few else ends, "id", "left_semi").mapInArrow(sets, "id long, hs binary"))
     full = stored(full.distinct())

@@ -41,7 +41,7 @@ _LETTERS = _byte_letters()
 class PreTokens:
     """One per worker and vocabulary (``pretokens``): what it remembers serves all tasks."""
 
-    def __init__(self, vocab: str, keep: int = 60_000):
+    def __init__(self, vocab: str, keep: int = 30_000):
         self.tok = tokenizer(vocab)
         self.pre, self.model, self.keep, self.known = self.tok.pre_tokenizer, self.tok.model, keep, {}
         added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}

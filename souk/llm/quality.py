@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import packed, release_memory, unpacked
 
 OUT = ("held_out", "score", "predicted")
 _ODD = re.compile(r"[^\w.,;:'()\"-]|\d|_")
@@ -110,6 +110,8 @@ def document_frequencies(docs: DataFrame, text_col: str, n_features: int) -> tup
                     df[b] += 1
         hit = np.flatnonzero(df)
         yield pd.DataFrame({"b": np.append(hit, -1), "c": np.append(df[hit], n)})
+        del df, buckets
+        release_memory()
 
     rows = (docs.select(F.col(f"`{text_col}`").alias("t")).mapInPandas(count, "b long, c long")
             .groupBy("b").agg(F.sum("c").alias("c")).collect())  # at most n_features + 1 rows
@@ -174,6 +176,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             w = np.where(sim >= kth[:, None], sim, 0.0)  # all that tie with the k-th vote
             tot = w.sum(axis=1)
             out[s:s + block] = np.where(tot > 0, (w @ ty_) / np.where(tot > 0, tot, 1.0), prior_)
+        del buckets
+        release_memory()
         return pd.Series(np.clip(np.round(out, 6), 0.0, 1.0))
 
     score: Column = F.pandas_udf(votes, "double")(F.col("t"))

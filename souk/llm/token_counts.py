@@ -4,15 +4,13 @@ Method.
 
 1. One Arrow pass cuts every text into pre-tokens with the tokenizer's
    pre-tokenizer (``pretokens``; after cutting it at the vocabulary's special strings, one
-   token each).  A document becomes two arrays, the 64-bit hashes of its
-   distinct pre-tokens and how often each occurs; next to the documents the
-   pass writes every pre-token string of the task once, with the number of
-   documents that hold it.  Both go to one scratch table in the
-   shared folder: texts are read and cut once, and strings are never repeated
-   per document.
-2. The distinct pre-tokens of the corpus (one grouped aggregate by hash) are
-   split into pieces by the tokenizer's model once each.  Should two strings
-   share a hash, the passes run again with another hash seed: exact, not likely.
+   token each).  Per block of documents, a pre-token that several of them hold
+   is written once as a string, and per document as its 64-bit hash; one of a
+   single document only as that document's string; each with its frequency in the document.
+   Texts are read and cut once, and strings are hardly repeated.
+2. The distinct pre-tokens of the corpus (one grouped aggregate) are split into
+   pieces by the tokenizer's model once each.  Should two strings share a
+   hash, the passes run again with another hash seed: exact, not likely.
 3. The ``frequent`` most widespread pre-tokens (a fixed bound: 2**20 of 16 bytes) are
    sent to the tasks, where documents add up their counts locally.  They are
    the hot join keys; all others are joined by shuffle and summed.
@@ -35,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, scratch_path, unpacked
+from .common import cut, packed, release_memory, scratch_path, unpacked
 
 OUT = ("n_bytes", "n_tokens", "over_limit")
 
@@ -45,10 +43,12 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def _cut_pass(texts: DataFrame, vocab: str, seed: int, known_limit: int, rows: int = 512):
-    """(k1, k2, text) -> rows of documents (k1, k2, special, hs, cs) and of pre-tokens (pt, seen).
+def _cut_pass(texts: DataFrame, vocab: str, seed: int, rows: int = 512):
+    """(k1, k2, text) -> rows of documents (k1, k2, special, hs, cs, rare, rc) and of pre-tokens (pt, seen).
 
-    ``hs`` are the hashes that ``xxhash64(lit, pt)`` gives: 64-bit xxHash seeded by ``seed``.
+    Per block of ``rows`` documents: pre-tokens that several of them hold are written once as a string
+    (with the number of documents) and per document as a hash; those of one document as a string of that
+    document only.  ``hs`` are the hashes that ``xxhash64(lit, pt)`` gives: 64-bit xxHash seeded by ``seed``.
     """
 
     def run(batches):
@@ -56,45 +56,38 @@ def _cut_pass(texts: DataFrame, vocab: str, seed: int, known_limit: int, rows: i
 
         from .pretokens import pretokens
         pre = pretokens(vocab)
-        known: dict[str, list] = {}
-
-        def strings():
-            found = list(known.items())
-            known.clear()
-            none = [None] * len(found)
-            return _batch(none, none, none, none, none, [p for p, _ in found], [v[1] for _, v in found])
-
         for batch in batches:
             for at in range(0, len(batch), rows):
                 part = batch.slice(at, rows)
-                marks, hs, cs = [], [], []
+                marks, counts, seen = [], [], Counter()
                 for t in part.column(2).to_pylist():
                     pieces = pre.parts(t)
                     count: Counter = Counter()
                     for p in pieces[::2]:
                         count.update(pre.cut(p))
-                    h = []
-                    for p in count:
-                        v = known.get(p)
-                        if v is None:
-                            v = known[p] = [np.uint64(xxhash.xxh64_intdigest(p.encode(), seed)).astype(np.int64), 0]
-                        v[1] += 1
-                        h.append(v[0])
                     marks.append(len(pieces) // 2)
-                    hs.append(np.array(h, dtype=np.int64))
-                    cs.append(np.fromiter(count.values(), dtype=np.int32, count=len(count)))
-                n = len(marks)
-                yield _batch(part.column(0), part.column(1), marks, hs, cs, [None] * n, [None] * n)
-                if len(known) > known_limit:
-                    yield strings()
-        if known:
-            yield strings()
-
-    return texts.mapInArrow(run, "k1 long, k2 long, special long, hs array<long>, cs array<int>, pt string, seen long")
+                    counts.append(count)
+                    seen.update(count.keys())
+                shared = {p: xxhash.xxh64_intdigest(p.encode(), seed) for p, k in seen.items() if k > 1}
+                hs, cs, rare, rc = [], [], [], []
+                for count in counts:
+                    both = [p for p in count if p in shared]
+                    hs.append(np.array([shared[p] for p in both], dtype=np.uint64).view(np.int64))
+                    cs.append([count[p] for p in both])
+                    alone = [p for p in count if p not in shared]
+                    rare.append(alone)
+                    rc.append([count[p] for p in alone])
+                n, m = len(marks), len(shared)
+                yield _batch(part.column(0), part.column(1), marks, hs, cs, rare, rc, [None] * n, [None] * n)
+                yield _batch(*[[None] * m] * 7, list(shared), [seen[p] for p in shared])
+        release_memory()
+
+    return texts.mapInArrow(run, "k1 long, k2 long, special long, hs array<long>, cs array<int>, rare array<string>, rc array<int>, "
+                                 "pt string, seen int")
 
 
 _TYPES = {"k1": pa.int64(), "k2": pa.int64(), "special": pa.int64(), "hs": pa.list_(pa.int64()), "cs": pa.list_(pa.int32()),
-          "pt": pa.string(), "seen": pa.int64()}
+          "rare": pa.list_(pa.string()), "rc": pa.list_(pa.int32()), "pt": pa.string(), "seen": pa.int32()}
 
 
 def _batch(*cols) -> pa.RecordBatch:
@@ -116,35 +109,36 @@ def _pieces(strings: DataFrame, vocab: str) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, text_col: str = "text", vocab: str = "byte_bpe_50k.json", limit: int = 1024,
-                 frequent: int = 1 << 20, known_limit: int = 200_000) -> DataFrame:
+                 frequent: int = 1 << 20, rows: int = 512) -> DataFrame:
     """Input rows plus n_bytes, n_tokens and over_limit."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = packed(docs, *_text_key(text), F.octet_length(text).cast("long").alias("n_bytes"), drop=OUT)
+    whole = packed(docs, *_text_key(text), F.octet_length(text).cast("long").alias("n_bytes"), drop=OUT)
     texts = docs.select(*_text_key(text), text.alias("t"))
     for trial in range(8):
         path = scratch_path(spark, "pretokens")
         seed = spark.range(1).select(F.xxhash64(F.lit(trial))).first()[0] % (1 << 64)
-        _cut_pass(texts, vocab, seed, known_limit).write.option("compression", "zstd").parquet(path)
+        _cut_pass(texts, vocab, seed, rows).write.option("compression", "zstd").parquet(path)
         stored = spark.read.parquet(path)
-        strings = cut(stored.where("pt is not null").select("pt", "seen", F.xxhash64(F.lit(trial), "pt").alias("h")).groupBy("h")
-                      .agg(F.min("pt").alias("pt"), F.max("pt").alias("other"), F.sum("seen").alias("seen")))
-        if not strings.where("pt <> other").limit(1).count():
+        strings = (stored.where("pt is not null").select("pt", "seen")
+                   .unionByName(stored.where("k1 is not null").select(F.explode("rare").alias("pt")).withColumn("seen", F.lit(1)))
+                   .groupBy("pt").agg(F.sum("seen").alias("seen")).select("pt", "seen", F.xxhash64(F.lit(trial), "pt").alias("h")))
+        pieces = cut(_pieces(strings, vocab))
+        if not pieces.groupBy("h").count().where("count > 1").limit(1).count():
             break
     else:
         raise RuntimeError("pre-tokens share a hash under every seed")
-    pieces = cut(_pieces(strings, vocab))
     top = pieces.orderBy(F.desc("seen"), "h").limit(frequent).select("h", "n").toArrow()  # at most ``frequent`` rows of 16 bytes
     hot, cost = (top.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
     order = np.argsort(hot)
     bc = spark.sparkContext.broadcast((hot[order], cost[order]))
-    per = stored.where("k1 is not null").select("k1", "k2", "special", "hs", "cs")
+    per = stored.where("k1 is not null").select("k1", "k2", "special", "hs", "cs", "rare", "rc")
 
     def local(batches):
         """Per document: the tokens of the special strings and the frequent pre-tokens."""
         hot, cost = bc.value
         for b in batches:
-            h, c, doc, at = _flat(b)
+            h, c, doc = _flat(b, seed)
             hit, place = _find(hot, h)
             got = np.bincount(doc[hit], weights=c[hit] * cost[place[hit]], minlength=len(b)).astype(np.int64) if len(hot) else 0
             total = b.column(2).to_numpy(zero_copy_only=False) + got
@@ -154,7 +148,7 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocab: str = "byte_bpe
         """Per document and other pre-token: its hash and frequency."""
         hot, _ = bc.value
         for b in batches:
-            h, c, doc, at = _flat(b)
+            h, c, doc = _flat(b, seed)
             miss = ~_find(hot, h)[0]
             k1, k2 = (b.column(i).to_numpy(zero_copy_only=False)[doc[miss]] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(h[miss], pa.int64()),
@@ -164,16 +158,19 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocab: str = "byte_bpe
     far = (per.mapInArrow(rest, "k1 long, k2 long, h long, c long").join(pieces.select("h", "n"), "h")
            .select("k1", "k2", (F.col("c") * F.col("n")).alias("s"), F.lit(0).cast("long").alias("m")))
     total = near.unionByName(far).groupBy("k1", "k2").agg(F.expr("sum(s) div sum(m)").alias("n_tokens"))
-    out = rows.join(total, ["k1", "k2"]).withColumn("over_limit", F.col("n_tokens") > limit)
+    out = whole.join(total, ["k1", "k2"]).withColumn("over_limit", F.col("n_tokens") > limit)
     return unpacked(out, *OUT)
 
 
-def _flat(b: pa.RecordBatch):
-    """Hashes, counts and document numbers of a batch's (hs, cs) arrays."""
-    hs, cs = b.column(3), b.column(4)
-    h, c = (x.flatten().to_numpy(zero_copy_only=False) for x in (hs, cs))
-    sizes = np.diff(hs.offsets.to_numpy())
-    return h.astype(np.int64), c.astype(np.int64), np.repeat(np.arange(len(b)), sizes), sizes
+def _flat(b: pa.RecordBatch, seed: int):
+    """Hashes, counts and document numbers of a batch's pre-tokens, shared and rare ones."""
+    import xxhash
+    hs, rare = b.column(3), b.column(5)
+    h = np.concatenate((hs.flatten().to_numpy(zero_copy_only=False).astype(np.int64),
+                        np.array([xxhash.xxh64_intdigest(p.encode(), seed) for p in rare.flatten().to_pylist()], dtype=np.uint64).view(np.int64)))
+    c = np.concatenate([b.column(i).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for i in (4, 6)])
+    doc = np.concatenate([np.repeat(np.arange(len(b)), np.diff(x.offsets.to_numpy())) for x in (hs, rare)])
+    return h, c, doc
 
 
 def _find(table: np.ndarray, h: np.ndarray):

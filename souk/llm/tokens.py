@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import release_memory, scratch_path
 from .pretokens import pretokens
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -196,6 +196,8 @@ def write_token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_
                  explen=explen, base=np.array([base]), end=np.array([end, end_id]))
         yield pd.DataFrame({"shard": [TaskContext.get().partitionId()], "n_docs": [len(ids)], "n_tokens": [total],
                             "doc_ids": [[None if i is None or i != i else int(i) for i in ids]], "blob": [buf.getvalue()]})
+        del seq, rules, explen, ends, coff, buf
+        release_memory()
 
     sel.mapInPandas(shard, "shard long, n_docs long, n_tokens long, doc_ids array<long>, blob binary").write.mode("overwrite").parquet(path)
 
