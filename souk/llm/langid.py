@@ -17,9 +17,9 @@ evidence, added as logarithms:
 The last three are learned without labels from grouped counts of the pages' own
 text votes: one aggregate per (host, domain, suffix, declared, vote) gives all
 levels; a page's own vote is taken out of its host's and domain's counts, so it
-is not used twice.  Host and domain tables may grow with the pages: they are
-joined by shuffle, pre-aggregated to one row per key.  The declared table is
-bounded (known languages + other + none); suffixes are joined the same way as hosts.
+is not used twice.  The tables of hosts, domains and suffixes have one row per key and may
+grow with the pages: each is counted, broadcast up to ``broadcast_rows`` rows and joined
+by shuffle beyond.  The declared table is bounded (known languages + other + none).
 
 Defined results: null/empty html or no letters -> text evidence flat, the other
 pieces decide; null url -> host, domain and suffix are the empty string (shared
@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import cut, packed, unpacked
 from .html_extract import Tree, main_text
 
 OUT = ("host", "declared", "text_lang", "lang", "confidence", "posterior")
@@ -106,7 +106,7 @@ def _level(votes: DataFrame, key: str, n_langs: int) -> DataFrame:
 
 
 def identify(pages: DataFrame, docs: DataFrame, tree: Tree, url_col: str = "url", html_col: str = "html", temper: float = 4.0,
-             strength: float = 5.0, **training) -> DataFrame:
+             strength: float = 5.0, broadcast_rows: int = 100_000, **training) -> DataFrame:
     """Input rows plus host, declared, text_lang, lang, confidence and posterior (language -> probability)."""
     known, logp = train(docs, **training)
     d = packed(pages, host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("h"), drop=OUT)
@@ -130,15 +130,16 @@ def identify(pages: DataFrame, docs: DataFrame, tree: Tree, url_col: str = "url"
                        "vote": (F.array_position("text", F.array_max("text")) - 1).cast("int"),
                        "flat": F.array_max("text") == F.array_min("text")})
 
-    votes = d.where(~F.col("flat")).groupBy("host", "domain", "suffix", "says", "vote").agg(F.count(F.lit(1)).alias("n"))
+    votes = cut(d.where(~F.col("flat")).groupBy("host", "domain", "suffix", "says", "vote").agg(F.count(F.lit(1)).alias("n")))
     every = {(r["says"], r["vote"]): r["n"] for r in votes.groupBy("says", "vote").agg(F.sum("n").alias("n")).collect()}  # (n + 2) x n rows
     by_lang = np.array([sum(v for (s, l), v in every.items() if l == i) for i in range(n)], dtype=float)
     prior = (by_lang + 1.0) / (by_lang.sum() + n)  # all pages
     says_given = np.array([[every.get((s, l), 0) + 1.0 for l in range(n)] for s in range(n + 2)])
     says_log = np.log(says_given / says_given.sum(axis=0))
 
-    d = (d.join(_level(votes, "suffix", n), "suffix", "left").join(_level(votes, "domain", n), "domain", "left")
-         .join(_level(votes, "host", n), "host", "left"))
+    for key in ("suffix", "domain", "host"):  # few suffixes, often hot hosts: counted first, broadcast while small
+        level = cut(_level(votes, key, n))
+        d = d.join(F.broadcast(level) if level.count() <= broadcast_rows else level, key, "left")
     lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
     zero = lit(np.zeros(n))
     own = lambda key: F.transform(F.coalesce(f"{key}_votes", zero), lambda v, i: v - F.when(~F.col("flat") & (i == F.col("vote")), 1.0).otherwise(0.0))

@@ -54,13 +54,13 @@ KINDS = {
     "email": r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
     "secret": r"(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|password|passwd|pwd)\b[\"']?\s*[:=]\s*[\"']?)(?P<value>[A-Za-z0-9_+/-]{8,})",
     "iban": r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b",
-    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
-    "date": r"(?<![\w./-])(?:" + _either(r"\d{4}_\d{1,2}_\d{1,2}", "-/.") + "|" + _either(r"\d{1,2}_\d{1,2}_\d{4}", "-/.")
+    "ip": r"(?<!\w)(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
+    "date": r"(?<!\w)(?<!\d[./-])(?:" + _either(r"\d{4}_\d{1,2}_\d{1,2}", "-/.") + "|" + _either(r"\d{1,2}_\d{1,2}_\d{4}", "-/.")
             + rf"|{_MONTH}\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}|\d{{1,2}}\.? {_MONTH}\.? \d{{4}})(?!\w|[/-]\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d)",
-    "phone": r"(?<![\w+(.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?\d{3}[ .-]\d{4}|" + _either(r"\d{3}_\d{3}_\d{4}", " .-")
+    "phone": r"(?<![\w+(])(?<!\d[.-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?\d{3}[ .-]\d{4}|" + _either(r"\d{3}_\d{3}_\d{4}", " .-")
              + r")(?!\w|-\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w|-\d)",
-    "card": r"(?<![\w.,-])(?:\d{13,19}|" + _either(r"\d{4}_\d{4}_\d{4}_\d{1,7}", " -") + "|" + _either(r"\d{4}_\d{6}_\d{5}", " -")
+    "card": r"(?<!\w)(?<!\d[.,-])(?:\d{13,19}|" + _either(r"\d{4}_\d{4}_\d{4}_\d{1,7}", " -") + "|" + _either(r"\d{4}_\d{6}_\d{5}", " -")
             + r")(?!\w|[.,-]\d)",
 }
 COUNTS = tuple(f"n_{k}" for k in KINDS)

@@ -65,7 +65,9 @@ def test_against_plain_numpy(lspark, tree):
     for r, (lang, p) in zip(got, want):
         assert r["lang"] == lang
         assert np.allclose([r["posterior"][k] for k in known], p, atol=1e-9)
+    shuffled = {r["page_id"]: r["lang"] for r in identify(pages, docs, tree, broadcast_rows=0).collect()}
     by = {r["page_id"]: r for r in got}
+    assert shuffled == {i: r["lang"] for i, r in by.items()}
     assert by[9003]["text_lang"] is None and by[9006]["host"] == "www.x.de" and by[9002]["declared"] == ""
 
 

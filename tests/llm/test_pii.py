@@ -85,6 +85,10 @@ def test_what_is_not_valid_stays():
     new, n = pseudonymise(f"{a} {b} {a}\n{a}.", KEY)
     assert n == {"card": 4} and a not in new and b not in new and len(set(re.findall(r"\d{16}", new))) == 2
     assert pseudonymise("x " * 100000 + a, KEY)[1] == {"card": 1}
+    for text in (f"no.{a}", f"a,{a},b", f"-{a}-", f"({a})", f"'{a}'", f"{a}!!", f"{a}$$$", f"card:{a};"):
+        assert pseudonymise(text, KEY)[1] == {"card": 1}, text
+    for text in ("tel.+1 (017) 555-7713.", "x:(017) 555-7713%%%", "ip=1.2.3.4,", "on.2001-02-03.", '"token": "abcdef0123456789"'):
+        assert sum(pseudonymise(text, KEY)[1].values()) == 1, text
 
 
 def test_table(lspark):
