@@ -54,7 +54,7 @@ STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", de
           ("mix", mixing), ("tokens", tokens)]
 
 #: The stages use a trained model, components and random draws: no SQL oracle;
-#: tests/llm compare each stage with its operator's brute-force check.
+#: tests/llm/test_pipeline.py compares every stage with an independent version.
 ORACLE_SQL = None
 
 
