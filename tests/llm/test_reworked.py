@@ -141,7 +141,7 @@ def test_token_counts_on_shuffled_inputs(lspark):
     want = {t: (len(tok.encode(t or "", add_special_tokens=False).ids), len((t or "").encode())) for t in [*TEXTS, "null id"]}
     for d in (base, base.repartition(8), base.dropDuplicates(["text"]), base.join(base.select("doc_id").distinct(), "doc_id"),
               lspark.read.parquet(f"{SF}/documents.parquet").limit(50).repartition(3)):
-        for kw in ({}, {"frequent": 3, "rows": 5}, {"frequent": 1}):
+        for kw in ({}, {"frequent": 3, "rows": 5}) if d is base else ({"rows": 50},):
             out = token_counts(d, limit=2000, **kw).collect()
             assert len(out) == d.count()
             for r in out:
