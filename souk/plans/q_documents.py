@@ -205,8 +205,7 @@ def favorite_documents(t):
 
 def _report_oracle() -> str:
     from . import q_sales  # noqa: F401  (its oracles are parts of this one)
-    from ..sources.views import VIEWS  # noqa: F401
-    o, t, d, c = (ORACLES[k] for k in ("sales_previous", "daily_timeline", "delivery_summary", "items_sold"))
+    o, t, d = (ORACLES[k] for k in ("sales_previous", "daily_timeline", "delivery_summary"))
     return f"""
 SELECT '{{"previous":' || (SELECT CAST(to_json({{'revenue': CAST(revenue AS VARCHAR), 'orders': orders}}) AS VARCHAR) FROM ({o}) x)
   || ',"timeline":' || (SELECT CAST(to_json(list({{'date': CAST(date AS VARCHAR), 'orders': orders, 'revenue': CAST(revenue AS VARCHAR),
