@@ -11,8 +11,9 @@ nothing).  Shingles are 64-bit hashes.
    bitmap.  Sets themselves are not stored.
 2. Exact copies (same set) collapse to one representative, the smallest id,
    with a grouped aggregate, so groups of thousands of copies cost one row.
-3. First candidates: every document with the smallest id of all its buckets;
-   then, where the two are in different components still, with the smallest id of each of its buckets.  The popcount of the XOR of two odd sketches estimates the similarity of
+3. First candidates: every document with the smallest id of all its buckets; then,
+   where the two are in different components still, with a pseudorandom member of
+   each of its buckets, ``rounds`` times (one partner per bucket and round: linear).  The popcount of the XOR of two odd sketches estimates the similarity of
    the samples; candidates below ``sketch_floor`` (or of sizes too different) go.
 4. The rest are confirmed on the full shingle sets, ``100 * |A n B| >= 100 *
    threshold * |A u B|``: the sets of the documents that have candidates are
@@ -164,6 +165,22 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not converge in {max_rounds} rounds")
 
 
+def _labelled(pairs: DataFrame, lab: DataFrame) -> DataFrame:
+    """(a, b) pairs with the labels la, lb of their ends (their own ids where they have none)."""
+    of = lambda c, out: lab.select(F.col("node").alias(c), F.col("label").alias(out))
+    return (pairs.join(of("a", "la"), "a", "left").join(of("b", "lb"), "b", "left")
+            .select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")))
+
+
+def _merged(lab: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels after some more links: components over the labels only."""
+    joined = _labelled(links, lab).where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+    new = components(joined).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    alone = new.select(F.col("label").alias("node"), "label").join(lab.select("node"), "node", "left_anti")
+    return stored(lab.select("node", "label").unionByName(alone.select("node", "label")).join(new, "label", "left")
+                  .select("node", F.coalesce("top", "label").alias("label")))
+
+
 def confirmed(cand: DataFrame, texts: DataFrame, n: int, t100: int, fan: int = 4096, broadcast_rows: int = 200_000) -> DataFrame:
     """The candidate pairs (a, b) whose full shingle sets are similar enough."""
     ends = stored(cand.select(F.col("a").alias("id")).unionByName(cand.select(F.col("b").alias("id"))).distinct())
@@ -210,7 +227,7 @@ def confirmed(cand: DataFrame, texts: DataFrame, n: int, t100: int, fan: int = 4
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                     threshold: float = 0.75, num_perm: int = 128, rows_per_band: int = 4,
-                    sketch_words: int = 8, sketch_floor: float = 0.5) -> DataFrame:
+                    sketch_words: int = 8, sketch_floor: float = 0.5, rounds: int = 2) -> DataFrame:
     """Input rows plus n_shingles, component_id (smallest id reachable) and kept."""
     if num_perm % rows_per_band:
         raise ValueError("num_perm is a multiple of rows_per_band")
@@ -224,8 +241,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = stored(groups, "representatives")
 
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
-    buckets = stored(banded.groupBy("band", "key").agg(F.min("rep").alias("lo"), F.count(F.lit(1)).alias("cnt")).where("cnt > 1"))
-    memb = stored(banded.join(buckets, ["band", "key"]).select("band", "key", "rep", "lo", "cnt"))
+    centres = [F.min_by("rep", F.xxhash64("rep", "band", F.lit(i))).alias(f"c{i}") for i in range(rounds)]
+    buckets = stored(banded.groupBy("band", "key").agg(F.min("rep").alias("lo"), F.count(F.lit(1)).alias("cnt"), *centres).where("cnt > 1"))
+    memb = stored(banded.join(buckets, ["band", "key"]).select("band", "key", "rep", "lo", "cnt", *[f"c{i}" for i in range(rounds)]))
 
     def plausible(na, nb, ska, skb):
         xor_bits = sum((F.bit_count(ska[w].bitwiseXOR(skb[w])) for w in range(sketch_words)), F.lit(0))
@@ -239,36 +257,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     again = (live.join(reps.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"]).select("id", "rep").distinct()
              .groupBy("id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("bs")).where(F.size("bs") > 1)
              .select("a", F.explode("bs").alias("b")).where("a <> b"))
-    # each member with the smallest id of all its buckets; then, where labels still differ, with each bucket's smallest
+    # each member with the smallest id of all its buckets
     first = memb.groupBy(F.col("rep").alias("b")).agg(F.min("lo").alias("a")).where("a < b").select("a", "b")
-    edges = stored(confirmed(screen(first), texts, n, t100).unionByName(again))
-    lab = components(edges)
-    label = lambda c, out: lab.select(F.col("node").alias(c), F.col("label").alias(out))
-    star = (memb.where(F.col("rep") != F.col("lo")).select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
-            .join(label("a", "la"), "a", "left").join(label("b", "lb"), "b", "left")
-            .where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b").join(first, ["a", "b"], "left_anti"))
-    more = confirmed(screen(star), texts, n, t100)
-    lab = components(edges.unionByName(more))
+    lab = components(confirmed(screen(first), texts, n, t100).unionByName(again))
+    # then, where labels still differ, with one pseudorandom member of each of its buckets, in rounds
+    for i in range(rounds):
+        pairs = memb.where(F.col("rep") != F.col(f"c{i}")).select(F.least("rep", f"c{i}").alias("a"), F.greatest("rep", f"c{i}").alias("b")).distinct()
+        pairs = _labelled(pairs, lab).where("la <> lb").select("a", "b")
+        lab = _merged(lab, stored(confirmed(screen(pairs), texts, n, t100)))
 
     # buckets that still hold several components: their members across components
     rest = (memb.where("cnt > 2").join(lab.select(F.col("node").alias("rep"), "label"), "rep", "left")
             .select("band", "key", "rep", "lo", F.coalesce("label", "rep").alias("l")))
     mixed = rest.groupBy("band", "key").agg(F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("band", "key")
-    rest = stored(rest.join(mixed, ["band", "key"], "left_semi").where(F.col("rep") != F.col("lo"))
-                  .join(reps.select("rep", "n", "sk"), "rep"))
+    rest = stored(rest.join(mixed, ["band", "key"], "left_semi").join(reps.select("rep", "n", "sk"), "rep"))
     x = rest.select("band", "key", F.col("rep").alias("a"), F.col("l").alias("la"), F.col("n").alias("na"), F.col("sk").alias("ska"))
     y = rest.select("band", "key", F.col("rep").alias("b"), F.col("l").alias("lb"), F.col("n").alias("nb"), F.col("sk").alias("skb"))
     on = ((x["band"] == y["band"]) & (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near)
-    cross = stored(x.join(y, on).select("a", "b", "la", "lb").distinct())
-    links = confirmed(cross.select("a", "b"), texts, n, t100).distinct().join(cross, ["a", "b"])
-    lab2 = components(links.select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct())
+    cross = stored(x.join(y, on).select("a", "b").distinct())
+    lab = _merged(lab, stored(confirmed(cross, texts, n, t100)))
 
     of = (narrow.select("id", "th", "n", "k1", "k2").distinct().join(reps.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"], "left")
-          .join(lab.select(F.col("node").alias("rep"), F.col("label").alias("l1")), "rep", "left")
-          .withColumn("l1", F.coalesce("l1", "rep", "id"))
-          .join(lab2.select(F.col("node").alias("l1"), F.col("label").alias("l2")), "l1", "left")
-          .select("id", F.col("th").alias("oth"), F.col("n").alias("n_shingles"), F.coalesce("l2", "l1").alias("component_id"))
-          .withColumnRenamed("id", "oid"))
+          .join(lab.select(F.col("node").alias("rep"), "label"), "rep", "left")
+          .select(F.col("id").alias("oid"), F.col("th").alias("oth"), F.col("n").alias("n_shingles"),
+                  F.coalesce("label", "rep", "id").alias("component_id")))
     out = base.join(of, F.col("id").eqNullSafe(F.col("oid")) & (F.col("th") == F.col("oth")), "left")
     out = out.withColumn("component_id", F.when(F.col("id").isNotNull() & (F.col("n_shingles") >= 0), F.col("component_id")))
     return unpacked(out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))), *OUT)

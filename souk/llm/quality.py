@@ -163,6 +163,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     else:
         proj, zt = np.zeros((n_features, 1), np.float32), np.zeros((0, 1), np.float32)
     bc = docs.sparkSession.sparkContext.broadcast((idf, proj, zt, ty, prior))
+    train = bags = buckets = toss = q = small = vt = None
+    release_memory()  # the driver keeps the model only
 
     def votes(texts: pd.Series) -> pd.Series:
         idf_, proj_, zt_, ty_, prior_ = bc.value
