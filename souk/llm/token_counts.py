@@ -4,9 +4,9 @@ Method.
 
 1. One Arrow pass cuts every text into pre-tokens with the tokenizer's
    pre-tokenizer (``pretokens``; after cutting it at the vocabulary's special strings, one
-   token each).  Per block of documents, a pre-token that several of them hold
-   is written once as a string, and per document as its 64-bit hash; one of a
-   single document only as that document's string; each with its frequency in the document.
+   token each).  Per block of documents, a pre-token that many of them hold
+   is written once as a string, and per document as its 64-bit hash; any other
+   as a string of its document; each with its frequency in the document.
    Texts are read and cut once, and strings are hardly repeated.
 2. The distinct pre-tokens of the corpus (one grouped aggregate) are split into
    pieces by the tokenizer's model once each.  Should two strings share a
@@ -43,12 +43,11 @@ def _text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def _cut_pass(texts: DataFrame, vocab: str, seed: int, rows: int = 512):
+def _cut_pass(texts: DataFrame, vocab: str, seed: int, rows: int = 512, common: int = 8):
     """(k1, k2, text) -> rows of documents (k1, k2, special, hs, cs, rare, rc) and of pre-tokens (pt, seen).
 
-    Per block of ``rows`` documents: pre-tokens that several of them hold are written once as a string
-    (with the number of documents) and per document as a hash; those of one document as a string of that
-    document only.  ``hs`` are the hashes that ``xxhash64(lit, pt)`` gives: 64-bit xxHash seeded by ``seed``.
+    Per block of ``rows`` documents: pre-tokens that ``common`` or more of them hold are written once as a
+    string (with the number of documents) and per document as a hash; others as strings of their documents.  ``hs`` are the hashes that ``xxhash64(lit, pt)`` gives: 64-bit xxHash seeded by ``seed``.
     """
 
     def run(batches):
@@ -68,7 +67,7 @@ def _cut_pass(texts: DataFrame, vocab: str, seed: int, rows: int = 512):
                     marks.append(len(pieces) // 2)
                     counts.append(count)
                     seen.update(count.keys())
-                shared = {p: xxhash.xxh64_intdigest(p.encode(), seed) for p, k in seen.items() if k > 1}
+                shared = {p: xxhash.xxh64_intdigest(p.encode(), seed) for p, k in seen.items() if k >= common}
                 hs, cs, rare, rc = [], [], [], []
                 for count in counts:
                     both = [p for p in count if p in shared]
@@ -134,30 +133,27 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocab: str = "byte_bpe
     bc = spark.sparkContext.broadcast((hot[order], cost[order]))
     per = stored.where("k1 is not null").select("k1", "k2", "special", "hs", "cs", "rare", "rc")
 
-    def local(batches):
-        """Per document: the tokens of the special strings and the frequent pre-tokens."""
+    def split(batches):
+        """Per document one row (h null, s: tokens of the special strings and the frequent pre-tokens, m 1) and one
+        row per other pre-token (its hash h, s: its frequency, m 0)."""
         hot, cost = bc.value
         for b in batches:
             h, c, doc = _flat(b, seed)
             hit, place = _find(hot, h)
             got = np.bincount(doc[hit], weights=c[hit] * cost[place[hit]], minlength=len(b)).astype(np.int64) if len(hot) else 0
-            total = b.column(2).to_numpy(zero_copy_only=False) + got
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(total, pa.int64())], names=["k1", "k2", "s"])
+            miss, k = ~hit, [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1)]
+            n, m = len(b), int(miss.sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate((x, x[doc[miss]]))) for x in k]
+                + [pa.array(np.concatenate((np.zeros(n, dtype=np.int64), h[miss])), mask=np.arange(n + m) < n),
+                   pa.array(np.concatenate((b.column(2).to_numpy(zero_copy_only=False).astype(np.int64) + got, c[miss]))),
+                   pa.array((np.arange(n + m) < n).astype(np.int64))], names=["k1", "k2", "h", "s", "m"])
+        release_memory()
 
-    def rest(batches):
-        """Per document and other pre-token: its hash and frequency."""
-        hot, _ = bc.value
-        for b in batches:
-            h, c, doc = _flat(b, seed)
-            miss = ~_find(hot, h)[0]
-            k1, k2 = (b.column(i).to_numpy(zero_copy_only=False)[doc[miss]] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(h[miss], pa.int64()),
-                                              pa.array(c[miss], pa.int64())], names=["k1", "k2", "h", "c"])
-
-    near = per.mapInArrow(local, "k1 long, k2 long, s long").select("k1", "k2", "s", F.lit(1).cast("long").alias("m"))
-    far = (per.mapInArrow(rest, "k1 long, k2 long, h long, c long").join(pieces.select("h", "n"), "h")
-           .select("k1", "k2", (F.col("c") * F.col("n")).alias("s"), F.lit(0).cast("long").alias("m")))
-    total = near.unionByName(far).groupBy("k1", "k2").agg(F.expr("sum(s) div sum(m)").alias("n_tokens"))
+    # document rows join nothing; a key of their own spreads them over the partitions
+    counted = per.mapInArrow(split, "k1 long, k2 long, h long, s long, m long").withColumn("h", F.coalesce("h", F.xxhash64("k1", "k2")))
+    total = (counted.join(pieces.select("h", "n"), "h", "left").groupBy("k1", "k2")
+             .agg(F.expr("sum(CASE WHEN m = 1 THEN s ELSE s * n END) div sum(m)").alias("n_tokens")))
     out = whole.join(total, ["k1", "k2"]).withColumn("over_limit", F.col("n_tokens") > limit)
     return unpacked(out, *OUT)
 
