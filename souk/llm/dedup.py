@@ -21,9 +21,10 @@ nothing).  Shingles are 64-bit hashes.
    streaming; a smallest id with very many partners is salted over many tasks.
 5. Components of the confirmed links: smallest reachable id.
 6. Second candidates: buckets that still hold several components.  Their
-   members are joined with each other across components (the sketch and size
-   conditions inside the join), confirmed, and joined to components as above.  So every pair of
-   a bucket is either in one component, refuted or confirmed; no cap.
+   members are joined across components by an exact prefix filter: two sets that are
+   similar enough share one of their rarest shingles (the sketch and size
+   conditions inside the join); the pairs are confirmed and joined to components as above.  So every pair
+   of a bucket is either in one component, refuted or confirmed; no cap.
 
 Defined results for odd input: null or empty text -> empty set, own
 component, kept; null id -> not linked (component_id null, kept false);
@@ -165,6 +166,29 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not converge in {max_rounds} rounds")
 
 
+def _prefixes(left: DataFrame, texts: DataFrame, n: int, t100: int, broadcast_rows: int) -> DataFrame:
+    """(rep, l, n, sk, h): the rarest shingles of each document of ``left``, as many as two sets that are
+    similar enough must share one of: ``size - ceil(threshold * size) + 1``, rarest first among ``left``."""
+
+    def sets(batches):
+        for b in batches:
+            hs = [shingle_set(t, n).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hs, pa.list_(pa.int64()))], names=["rep", "hs"])
+        release_memory()
+
+    ids = left.select(F.col("rep").alias("id")).distinct()
+    ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+    full = texts.select("id", "t").join(ids, "id", "left_semi").mapInArrow(sets, "rep long, hs array<long>")
+    ex = stored(full.select("rep", F.explode("hs").alias("h")).distinct())
+    often = ex.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # shingles of one document only come first in its order and meet nobody
+    shared = ex.join(often, "h").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("o"))
+    shared = shared.join(left, "rep")
+    take = F.col("n") - F.ceil(F.col("n") * t100 / 100) + 1 - (F.col("n") - F.size("o"))
+    return stored(shared.select("rep", "l", "n", "sk", F.explode(F.slice("o", F.lit(1), F.greatest(take, F.lit(0)).cast("int"))).alias("x"))
+                  .select("rep", "l", "n", "sk", "x.h"))
+
+
 def _labelled(pairs: DataFrame, lab: DataFrame) -> DataFrame:
     """(a, b) pairs with the labels la, lb of their ends (their own ids where they have none)."""
     of = lambda c, out: lab.select(F.col("node").alias(c), F.col("label").alias(out))
@@ -227,7 +251,8 @@ def confirmed(cand: DataFrame, texts: DataFrame, n: int, t100: int, fan: int = 4
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                     threshold: float = 0.75, num_perm: int = 128, rows_per_band: int = 4,
-                    sketch_words: int = 8, sketch_floor: float = 0.5, rounds: int = 2) -> DataFrame:
+                    sketch_words: int = 8, sketch_floor: float = 0.5, rounds: int = 2,
+                    broadcast_rows: int = 200_000) -> DataFrame:
     """Input rows plus n_shingles, component_id (smallest id reachable) and kept."""
     if num_perm % rows_per_band:
         raise ValueError("num_perm is a multiple of rows_per_band")
@@ -270,11 +295,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = (memb.where("cnt > 2").join(lab.select(F.col("node").alias("rep"), "label"), "rep", "left")
             .select("band", "key", "rep", "lo", F.coalesce("label", "rep").alias("l")))
     mixed = rest.groupBy("band", "key").agg(F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("band", "key")
-    rest = stored(rest.join(mixed, ["band", "key"], "left_semi").join(reps.select("rep", "n", "sk"), "rep"))
-    x = rest.select("band", "key", F.col("rep").alias("a"), F.col("l").alias("la"), F.col("n").alias("na"), F.col("sk").alias("ska"))
-    y = rest.select("band", "key", F.col("rep").alias("b"), F.col("l").alias("lb"), F.col("n").alias("nb"), F.col("sk").alias("skb"))
-    on = ((x["band"] == y["band"]) & (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near)
-    cross = stored(x.join(y, on).select("a", "b").distinct())
+    rest = rest.join(mixed, ["band", "key"], "left_semi").join(reps.select("rep", "n", "sk"), "rep")
+    left = stored(rest.select("rep", "l", "n", "sk").distinct())
+    x = _prefixes(left, texts, n, t100, broadcast_rows)
+    y = x.select("h", F.col("rep").alias("b"), F.col("l").alias("lb"), F.col("n").alias("nb"), F.col("sk").alias("skb"))
+    x = x.select(F.col("h").alias("g"), F.col("rep").alias("a"), F.col("l").alias("la"), F.col("n").alias("na"), F.col("sk").alias("ska"))
+    cross = stored(x.join(y, (F.col("g") == F.col("h")) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near).select("a", "b").distinct())
     lab = _merged(lab, stored(confirmed(cross, texts, n, t100)))
 
     of = (narrow.select("id", "th", "n", "k1", "k2").distinct().join(reps.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"], "left")
