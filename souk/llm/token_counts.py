@@ -137,7 +137,7 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocab: str = "byte_bpe
         """Per document one row (h null, s: tokens of the special strings and the frequent pre-tokens, m 1) and one
         row per other pre-token (its hash h, s: its frequency, m 0)."""
         hot, cost = bc.value
-        for b in batches:
+        for b in (batch.slice(at, 512) for batch in batches for at in range(0, len(batch), 512)):
             h, c, doc = _flat(b, seed)
             hit, place = _find(hot, h)
             got = np.bincount(doc[hit], weights=c[hit] * cost[place[hit]], minlength=len(b)).astype(np.int64) if len(hot) else 0
