@@ -555,27 +555,32 @@ def tokens_valid(tokens: DataFrame, probes: DataFrame, now) -> DataFrame:
     return probes.join(live, ["user_id", "token_hash"], "left_semi")
 
 
-def _replay_profiles(batches):
-    """Updates of a component in order, against the phones its users hold: (kind, user, event, phone) rows
-    sorted by component; yields (event_id) of the accepted updates."""
-    import pyarrow as pa
-    comp, holders, phone_of = None, {}, {}
-    for b in batches:
-        out = []
-        for c, kind, user, event, phone in zip(*[b.column(i).to_pylist() for i in range(5)]):
-            if c != comp:
-                comp, holders, phone_of = c, {}, {}
-            old = phone_of.get(user)
-            if kind and phone is not None and holders.get(phone, set()) - {user}:
-                continue  # held by another user at this moment
-            if old is not None:
-                holders[old].discard(user)
-            phone_of[user] = phone
-            if phone is not None:
-                holders.setdefault(phone, set()).add(user)
-            if kind:
-                out.append(event)
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["event_id"])
+def _profile_replay():
+    """The replay of :func:`profile_updates_accepted` as a function that travels to the tasks by value."""
+
+    def replay(batches):
+        """Updates of a component in order, against the phones its users hold: (kind, user, event, phone) rows
+        sorted by component; yields (event_id) of the accepted updates."""
+        import pyarrow as pa
+        comp, holders, phone_of = None, {}, {}
+        for b in batches:
+            out = []
+            for c, kind, user, event, phone in zip(*[b.column(i).to_pylist() for i in range(5)]):
+                if c != comp:
+                    comp, holders, phone_of = c, {}, {}
+                old = phone_of.get(user)
+                if kind and phone is not None and holders.get(phone, set()) - {user}:
+                    continue  # held by another user at this moment
+                if old is not None:
+                    holders[old].discard(user)
+                phone_of[user] = phone
+                if phone is not None:
+                    holders.setdefault(phone, set()).add(user)
+                if kind:
+                    out.append(event)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["event_id"])
+
+    return replay
 
 
 def profile_updates_accepted(users: DataFrame, updates: DataFrame) -> DataFrame:
@@ -606,7 +611,7 @@ def profile_updates_accepted(users: DataFrame, updates: DataFrame) -> DataFrame:
             .unionByName(u.join(comp, "user_id").select("component", F.lit(1).alias("kind"), "user_id",
                                                         F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "_phone")))
     rows = rows.repartition("component").sortWithinPartitions("component", "kind", "ts", "event_id")
-    passed = rows.select("component", "kind", "user_id", "event_id", "_phone").mapInArrow(_replay_profiles, "event_id long")
+    passed = rows.select("component", "kind", "user_id", "event_id", "_phone").mapInArrow(_profile_replay(), "event_id long")
     free = u.join(comp.select("user_id"), "user_id", "left_anti")
     return free.unionByName(u.join(passed, "event_id", "left_semi").select(*free.columns))
 
