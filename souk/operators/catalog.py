@@ -298,21 +298,27 @@ def term_search(terms: DataFrame, offers: DataFrame, top: int = 20, salt: int =
     matching any of its terms (ILIKE '%term%' on name, category, description).
 
     Exact without a nested-loop join: candidates come from the q-gram index
-    (:func:`term_candidates`, once per distinct term), the ILIKE condition then decides.  The top-k
-    per query runs in two steps (per query and salt, then per query) so a
-    query matching a huge share of offers never lands in one task whole.
+    (:func:`term_candidates`, once per distinct term), the ILIKE condition then decides.
+    The newest ``top`` offers of a query are among the newest ``top`` of its terms, since
+    whatever precedes an offer in a term's list precedes it in the query's: lists are cut per
+    distinct term first (per term and salt, then per term, so a term
+    matching a huge share of offers never lands in one task whole), and a query
+    merges one such list per term, however many offers the terms match.
     """
     offers = sellable(offers).select("id", "created_at", *SEARCH_COLUMNS)
     plain = F.when(~F.col("term").rlike(r"[%_\\]"), F.lower(F.col("term")))
+    newest = F.max(F.struct(F.col("created_at").isNull().alias("open"), "created_at")).alias("at")
+    order = [F.col("at").desc(), F.col("offer_id").desc()]
     found = (term_candidates(terms, offers).join(offers.withColumnRenamed("id", "offer_id"), "offer_id")
-             .where(_term_matches(contains_pattern(F.col("term")), plain)).select("term", "offer_id", "created_at"))
-    hits = (terms.select("query_id", "term").distinct().join(found, "term").select("query_id", "offer_id", "created_at")
-            .dropDuplicates(["query_id", "offer_id"]))
-    order = [F.col("created_at").desc_nulls_first(), F.col("offer_id").desc()]
-    part = (hits.withColumn("_salt", F.xxhash64("offer_id") % salt)
-            .withColumn("_r", F.row_number().over(W.partitionBy("query_id", "_salt").orderBy(*order)))
+             .where(_term_matches(contains_pattern(F.col("term")), plain)).groupBy("term", "offer_id").agg(newest))
+    part = (found.withColumn("_salt", F.xxhash64("offer_id") % salt)
+            .withColumn("_r", F.row_number().over(W.partitionBy("term", "_salt").orderBy(*order)))
             .where(F.col("_r") <= top))
-    best = (part.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
+    lists = (part.withColumn("_r", F.row_number().over(W.partitionBy("term").orderBy(*order)))
+             .where(F.col("_r") <= top).select("term", "offer_id", "at.created_at"))
+    hits = (terms.select("query_id", "term").distinct().join(lists, "term").repartition("query_id")
+            .groupBy("query_id", "offer_id").agg(newest))
+    best = (hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
             .where(F.col("rank") <= top))
     return best.select("query_id", "offer_id", "rank")
 

@@ -117,6 +117,27 @@ def test_term_search_exact_paths(spark):
     assert got == {"q1": {1}, "q2": {1}, "q3": {1, 2, 4, 5}, "q4": {5}}
 
 
+def test_term_search_cuts_lists_per_term(spark):
+    n, top = 300, 5
+    rows = [(i, f"bolt {'red' if i % 3 else 'blue'}", None, None, "active", 1, None if i == 7 else D(2001, 1, 1 + i % 28)) for i in range(n)]
+    schema = "id bigint, product_name string, category string, description string, status string, quantity int, created_at timestamp_ntz"
+    queries = [(q, t) for q in range(200) for t in (["bolt", "red"], ["blue", "bolt"], ["gear", "BLUE"], ["zz"])[q % 4]]
+    out = catalog.term_search(spark.createDataFrame(queries, "query_id bigint, term string"), spark.createDataFrame(rows, schema), top)
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.offer_id))
+    for q in range(200):
+        terms = [t.lower() for x, t in queries if x == q]
+        at = {}
+        for i, name, _, _, _, _, d in rows:
+            if any(t in name for t in terms):
+                at[i] = max(at.get(i, (False, D(1, 1, 1))), (d is None, d or D(1, 1, 1)))
+        best = sorted(at, key=lambda i: (at[i], i), reverse=True)[:top]
+        assert got.get(q, []) == list(enumerate(best, 1))
+    p = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(term" in p  # a term's list is cut before queries look at it
+
+
 def test_paging_args():
     assert catalog.paging_args(0, 0) == (1, 1_000_000)
     assert catalog.paging_args(-1, "x") == (1, 1_000_000)
