@@ -269,7 +269,9 @@ def term_candidates(terms: DataFrame, offers: DataFrame) -> DataFrame:
     their posting lists.  Terms of wildcards only demand a minimum length, which
     is a key of its own (lengths up to the cap).
     """
-    t = (terms.select("term").distinct().withColumn("pat", contains_pattern(F.col("term")))
+    # max(term) is the term, but a filter on it cannot move below the aggregate to every row of ``terms``
+    t = (terms.groupBy(F.col("term").alias("_by")).agg(F.max("term").alias("term")).drop("_by")
+         .withColumn("pat", contains_pattern(F.col("term")))
          .withColumn("_lt", _literal_tokens(F.lower(F.col("pat")))))
     t = t.withColumns({f"_g{n}": _literal_grams(F.col("_lt"), n) for n in GRAM_LENGTHS})
     best = F.coalesce(*[F.when(F.size(f"_g{n}") > 0, F.concat(F.col(f"_g{n}"), F.col(f"_g{m}")))

@@ -136,6 +136,10 @@ def test_term_search_cuts_lists_per_term(spark):
         assert got.get(q, []) == list(enumerate(best, 1))
     p = out._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(term" in p  # a term's list is cut before queries look at it
+    below = p.splitlines()
+    for i, line in enumerate(below):  # the grams of a term are made per distinct term, not per row
+        if "Filter" in line and "regexp_extract_all" in line:
+            assert next(x for x in below[i + 1:] if "Aggregate" in x or "LogicalRDD" in x).count("Aggregate")
 
 
 def test_paging_args():
