@@ -123,7 +123,7 @@ def strip_fences(c) -> Column:
 
 def word_count(c) -> Column:
     """C11: ``text.trim().split(/\\s+/).length`` ('' counts one word): the runs of other characters, one at least."""
-    return F.greatest(F.lit(1), F.regexp_count(col(c), F.lit(f"[^{JS_WS[1:-1]}]+")))
+    return F.greatest(F.lit(1), F.size(F.filter(F.split(col(c), f"{JS_WS}+"), lambda w: w != F.lit(""))))
 
 
 def js_number(v, kind) -> Column:
