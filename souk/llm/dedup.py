@@ -15,14 +15,17 @@ nothing).  Shingles are 64-bit hashes.
    where the two are in different components still, with a pseudorandom member of
    each of its buckets, ``rounds`` times (one partner per bucket and round: linear).  The popcount of the XOR of two odd sketches estimates the similarity of
    the samples; candidates below ``sketch_floor`` (or of sizes too different) go.
+   A second bitmap holds the parities of the whole set: every shingle that only one of two
+   sets has flips one bit of their XOR, so its popcount is at most the size of the symmetric difference.
 4. The rest are confirmed on the full shingle sets, ``100 * |A n B| >= 100 *
    threshold * |A u B|``: the sets of the documents that have candidates are
    made again from their texts, dealt to (smallest id, salt) and compared while
    streaming; a smallest id with very many partners is salted over many tasks.
 5. Components of the confirmed links: smallest reachable id.
 6. Second candidates: buckets that still hold several components.  Their
-   members are joined with each other across components (the sketch and size
-   conditions inside the join), confirmed, and joined to components as above.  So every pair of
+   members are joined with each other across components (the size, sketch and
+   parity conditions inside the join: the last refutes most pairs below the threshold and never a link),
+   confirmed, and joined to components as above.  So every pair of
    a bucket is either in one component, refuted or confirmed; no cap.
 
 Defined results for odd input: null or empty text -> empty set, own
@@ -110,6 +113,17 @@ class Sketcher:
         return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def parity(hs: np.ndarray, parity_words: int) -> np.ndarray:
+    """Parities of a whole set folded into ``64 * parity_words`` bits."""
+    odd = np.bincount((hs % np.uint64(64 * parity_words)).astype(np.int64), minlength=64 * parity_words) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def xor_popcount(a: Column, b: Column, n_words: int) -> Column:
+    """Bits in which two bitmaps of ``n_words`` longs differ."""
+    return sum((F.bit_count(a[w].bitwiseXOR(b[w])) for w in range(n_words)), F.lit(0))
+
+
 def odd_sketch_similarity(xor_bits: Column, num_perm: int, sketch_words: int) -> Column:
     """Similarity of two MinHash samples from the popcount of their XORed odd sketches."""
     z = 64.0 * sketch_words
@@ -118,8 +132,8 @@ def odd_sketch_similarity(xor_bits: Column, num_perm: int, sketch_words: int) ->
     return 1.0 - diff / (2.0 * num_perm)
 
 
-def sketched(texts: DataFrame, n: int, num_perm: int, rows_per_band: int, sketch_words: int) -> DataFrame:
-    """(id, th, t) -> (id, th, n, k1, k2, bands, sk)."""
+def sketched(texts: DataFrame, n: int, num_perm: int, rows_per_band: int, sketch_words: int, parity_words: int) -> DataFrame:
+    """(id, th, t) -> (id, th, n, k1, k2, bands, sk, ps)."""
 
     def run(batches):
         import xxhash
@@ -127,7 +141,7 @@ def sketched(texts: DataFrame, n: int, num_perm: int, rows_per_band: int, sketch
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 b = batch.slice(at, 1024)
-                size, k1, k2, bands, sk = [], [], [], [], []
+                size, k1, k2, bands, sk, ps = [], [], [], [], [], []
                 for t in b.column(2).to_pylist():
                     hs = shingle_set(t, n)
                     size.append(len(hs))
@@ -137,13 +151,14 @@ def sketched(texts: DataFrame, n: int, num_perm: int, rows_per_band: int, sketch
                     sig = s.samples(hs)
                     bands.append(s.bands(sig))
                     sk.append(s.sketch(sig))
+                    ps.append(parity(hs, parity_words))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                     pa.array(bands, pa.list_(pa.int64())), pa.array(sk, pa.list_(pa.int64()))],
-                    names=["id", "th", "n", "k1", "k2", "bands", "sk"])
+                     pa.array(bands, pa.list_(pa.int64())), pa.array(sk, pa.list_(pa.int64())), pa.array(ps, pa.list_(pa.int64()))],
+                    names=["id", "th", "n", "k1", "k2", "bands", "sk", "ps"])
         release_memory()
 
-    return texts.mapInArrow(run, "id long, th long, n long, k1 long, k2 long, bands array<long>, sk array<long>")
+    return texts.mapInArrow(run, "id long, th long, n long, k1 long, k2 long, bands array<long>, sk array<long>, ps array<long>")
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -227,7 +242,7 @@ def confirmed(cand: DataFrame, texts: DataFrame, n: int, t100: int, fan: int = 4
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
                     threshold: float = 0.75, num_perm: int = 128, rows_per_band: int = 4,
-                    sketch_words: int = 8, sketch_floor: float = 0.5, rounds: int = 2) -> DataFrame:
+                    sketch_words: int = 8, sketch_floor: float = 0.5, rounds: int = 2, parity_words: int = 16) -> DataFrame:
     """Input rows plus n_shingles, component_id (smallest id reachable) and kept."""
     if num_perm % rows_per_band:
         raise ValueError("num_perm is a multiple of rows_per_band")
@@ -235,9 +250,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col(f"`{text_col}`")
     base = packed(docs, F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), drop=OUT)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t"))
-    narrow = stored(sketched(texts, n, num_perm, rows_per_band, sketch_words), "sketches")
+    narrow = stored(sketched(texts, n, num_perm, rows_per_band, sketch_words, parity_words), "sketches")
     live = narrow.where((F.col("n") > 0) & F.col("id").isNotNull())
-    groups = live.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sk").alias("sk"))
+    groups = live.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("sk").alias("sk"), F.first("ps").alias("ps"))
     reps = stored(groups, "representatives")
 
     banded = reps.select("rep", F.posexplode("bands").alias("band", "key"))
@@ -246,9 +261,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     memb = stored(banded.join(buckets, ["band", "key"]).select("band", "key", "rep", "lo", "cnt", *[f"c{i}" for i in range(rounds)]))
 
     def plausible(na, nb, ska, skb):
-        xor_bits = sum((F.bit_count(ska[w].bitwiseXOR(skb[w])) for w in range(sketch_words)), F.lit(0))
         return ((100 * F.least(na, nb) >= t100 * F.greatest(na, nb))
-                & (odd_sketch_similarity(xor_bits, num_perm, sketch_words) >= sketch_floor))
+                & (odd_sketch_similarity(xor_popcount(ska, skb, sketch_words), num_perm, sketch_words) >= sketch_floor))
 
     side = lambda s: reps.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("sk").alias(f"sk{s}"))
     near = plausible(F.col("na"), F.col("nb"), F.col("ska"), F.col("skb"))
@@ -270,10 +284,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = (memb.where("cnt > 2").join(lab.select(F.col("node").alias("rep"), "label"), "rep", "left")
             .select("band", "key", "rep", "lo", F.coalesce("label", "rep").alias("l")))
     mixed = rest.groupBy("band", "key").agg(F.min("l").alias("l0"), F.max("l").alias("l1")).where("l0 <> l1").select("band", "key")
-    rest = stored(rest.join(mixed, ["band", "key"], "left_semi").join(reps.select("rep", "n", "sk"), "rep"))
-    x = rest.select("band", "key", F.col("rep").alias("a"), F.col("l").alias("la"), F.col("n").alias("na"), F.col("sk").alias("ska"))
-    y = rest.select("band", "key", F.col("rep").alias("b"), F.col("l").alias("lb"), F.col("n").alias("nb"), F.col("sk").alias("skb"))
-    on = ((x["band"] == y["band"]) & (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near)
+    rest = stored(rest.join(mixed, ["band", "key"], "left_semi").join(reps.select("rep", "n", "sk", "ps"), "rep"))
+    x = rest.select("band", "key", F.col("rep").alias("a"), F.col("l").alias("la"), F.col("n").alias("na"), F.col("sk").alias("ska"), F.col("ps").alias("psa"))
+    y = rest.select("band", "key", F.col("rep").alias("b"), F.col("l").alias("lb"), F.col("n").alias("nb"), F.col("sk").alias("skb"), F.col("ps").alias("psb"))
+    # 100 |A n B| >= t |A u B| in terms of the symmetric difference, whose size the popcount never exceeds
+    within = (100 + t100) * xor_popcount(F.col("psa"), F.col("psb"), parity_words) <= (100 - t100) * (F.col("na") + F.col("nb"))
+    on = ((x["band"] == y["band"]) & (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & near & within)
     cross = stored(x.join(y, on).select("a", "b").distinct())
     lab = _merged(lab, stored(confirmed(cross, texts, n, t100)))
 

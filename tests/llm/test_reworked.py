@@ -286,3 +286,32 @@ def test_near_duplicates_hot_groups_and_repeated_ids(lspark):
     texts = d.selectExpr("doc_id id", "text t")
     many = {tuple(r) for r in dedup.confirmed(pairs, texts, 5, 75, fan=20).collect()}
     assert many == {tuple(r) for r in dedup.confirmed(pairs, texts, 5, 75, broadcast_rows=0).collect()} and len(many) > 300
+
+
+def test_pairs_of_a_group_of_unlinked_near_copies_are_refuted_in_the_join(lspark, monkeypatch):
+    import random
+    from souk.llm import dedup
+    rng, n = random.Random(3), 160
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(n):  # most pairs are near 0.6, a few are links
+        t = list(base)
+        for j in rng.sample(range(5, 115), 3 if i % 20 else 1):
+            t[j] = f"x{i}_{j}"
+        texts.append(" ".join(t))
+    seen = []
+    real = dedup.confirmed
+    monkeypatch.setattr(dedup, "confirmed", lambda cand, *a, **k: (seen.append(cand.count()), real(cand, *a, **k))[1])
+    out = {r.doc_id: r for r in dedup.near_duplicates(lspark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [set(dedup.shingle_set(t).tolist()) for t in texts]
+    links = [(a, b) for a in range(n) for b in range(a + 1, n) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    low = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    assert [out[i].component_id for i in range(n)] == low and len(set(low)) > n / 3
+    assert seen[-1] < n < n * n / 8  # pairs across components that reach the confirmation: were 9,838
+    p = [dedup.parity(dedup.shingle_set(t), 16).view(np.uint64) for t in texts[:40]]
+    for a in range(40):
+        for b in range(40):
+            assert sum(int(x).bit_count() for x in (p[a] ^ p[b]).tolist()) <= len(sets[a] ^ sets[b])
