@@ -68,18 +68,20 @@ def stored(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def release_memory() -> None:
+def release_memory(cycles: bool = True) -> None:
     """Give memory a finished task has freed back to the system.
 
     Python workers live on from task to task and stage to stage; without this
-    each keeps the peak of everything it has run.
+    each keeps the peak of everything it has run.  Looking for cycles walks
+    through all that a worker remembers: short tasks that make none leave it out.
     """
     import ctypes
     import gc
     import sys
 
     import pyarrow as pa
-    gc.collect()
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform.startswith("linux"):
         ctypes.CDLL(None).malloc_trim(0)

@@ -2,20 +2,30 @@
 
 ``PreTokens.split`` cuts a text at the vocabulary's special strings (each one
 token) and every part into pre-tokens.  Texts whose characters all lie below
-U+0250 are cut by the vocabulary's published pattern with the ``regex`` module,
-which agrees with the library on that range (``tests/llm`` compare every
-character); any other text is cut by the library itself.  ``ids`` gives the token
-ids of a pre-token, remembered for up to ``keep`` pre-tokens.
+U+0250 are cut by the vocabulary's published pattern with the classes written
+out for that range, where it agrees with the library (``tests/llm`` compare every
+character); any other text is cut by the library itself.  The token ids of a
+pre-token come from the library's model and are remembered for up to ``keep`` pre-tokens.
 """
 
 from __future__ import annotations
 
 import re
+import struct
+import unicodedata
+from itertools import islice
 
-import regex
 
-#: Fixed value: the byte-level pre-token pattern.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+def _pattern() -> re.Pattern:
+    """The byte-level pre-token pattern, the common alternatives first (no text begins two of them), for characters below U+0250."""
+    chars = [chr(c) for c in range(0x250)]
+    letters, numbers = ("".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == k) for k in "LN")
+    white = r"\t-\r \x85\xa0"
+    return re.compile(f" ?[{letters}]+| ?[{numbers}]+|'(?:[stmd]|re|ve|ll)| ?[^{white}{letters}{numbers}]+|[{white}]+(?![^{white}])|[{white}]+")
+
+
+#: Fixed values.
+PATTERN = _pattern()
 _PLAIN = re.compile("[\x00-ɏ]*\\Z")
 _TOK: dict = {}
 
@@ -38,12 +48,35 @@ def _byte_letters() -> dict[int, str]:
 _LETTERS = _byte_letters()
 
 
+class _Known(dict):
+    """Token ids of pre-tokens (little-endian unsigned 32-bit), asked from the model when first looked up."""
+
+    def __init__(self, model, keep: int):
+        super().__init__()
+        self.model, self.keep = model, keep
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = model_ids(self.model, piece)
+        if len(self) >= self.keep:  # the first ones seen are the common ones
+            for old in list(islice(reversed(self), len(self) - self.keep // 2)):
+                del self[old]
+        out = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
+def model_ids(model, piece: str) -> list[int]:
+    """Token ids of one pre-token."""
+    return [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]
+
+
 class PreTokens:
     """One per worker and vocabulary (``pretokens``): what it remembers serves all tasks."""
 
-    def __init__(self, vocab: str, keep: int = 30_000):
+    def __init__(self, vocab: str, keep: int = 500_000):
         self.tok = tokenizer(vocab)
-        self.pre, self.model, self.keep, self.known = self.tok.pre_tokenizer, self.tok.model, keep, {}
+        self.pre, self.model = self.tok.pre_tokenizer, self.tok.model
+        self.model._resize_cache(0)  # the model's own memory of pre-tokens, which costs more than it saves beside this one
+        self.known = _Known(self.model, keep)
         added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.special = added
         self.breaks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -54,33 +87,25 @@ class PreTokens:
 
     def cut(self, part: str) -> list[str]:
         """Pre-tokens of a part without special strings."""
-        if self.tok.normalizer is None and _PLAIN.match(part):
+        if self.tok.normalizer is None and (part.isascii() or _PLAIN.match(part)):
             return PATTERN.findall(part)
         if self.tok.normalizer is not None:
             part = self.tok.normalizer.normalize_str(part)
         return [part[a:b] for _, (a, b) in self.pre.pre_tokenize_str(part)]
 
-    def ids(self, piece: str) -> list[int]:
-        """Token ids of one pre-token."""
-        out = self.known.get(piece)
-        if out is None:
-            out = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]
-            if len(self.known) >= self.keep:
-                self.known.clear()
-            self.known[piece] = out
-        return out
-
-    def encode(self, text: str) -> list[int]:
-        """Token ids of a text."""
-        out: list[int] = []
-        known, ids = self.known, self.ids
+    def encode_bytes(self, text: str) -> bytes:
+        """Token ids of a text (little-endian unsigned 32-bit)."""
+        out, known = [], self.known.__getitem__
         for i, part in enumerate(self.parts(text)):
             if i % 2:
-                out.append(self.special[part])
+                out.append(struct.pack("<I", self.special[part]))
             elif part:
-                for p in self.cut(part):
-                    out.extend(known[p] if p in known else ids(p))
-        return out
+                out.extend(map(known, self.cut(part)))
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        """Token ids of a text."""
+        return memoryview(self.encode_bytes(text)).cast("I").tolist()
 
 
 _WORKER: dict = {}

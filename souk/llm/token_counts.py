@@ -98,10 +98,10 @@ def _pieces(strings: DataFrame, vocab: str) -> DataFrame:
     """(h, n, seen): pieces of each distinct pre-token."""
 
     def count(batches):
-        from .pretokens import pretokens
+        from .pretokens import model_ids, pretokens
         pre = pretokens(vocab)
         for b in batches:
-            n = [len(pre.ids(p)) for p in b.column(1).to_pylist()]
+            n = [len(model_ids(pre.model, p)) for p in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(2)], names=["h", "n", "seen"])
 
     return strings.select("h", "pt", "seen").mapInArrow(count, "h long, n long, seen long")

@@ -7,8 +7,7 @@ and the documents are range-partitioned by (id, text hash) into shards of about
 compressed by Re-Pair: in rounds, up to ``batch`` of the most frequent adjacent
 pairs (``min_count`` times or more; pairs whose occurrences cannot overlap) are
 replaced by new symbols, until a round saves less than ``min_gain`` of the
-sequence.  Pairs are counted in hash buckets; buckets that hold more than one
-pair are counted exactly apart.  In the shard the end of a document is a
+sequence.  Pairs are counted by sorting those whose hash is frequent.  In the shard the end of a document is a
 symbol of its own outside the vocabulary (the end id may be an ordinary token:
 0 is '!'), written as the end id when read.  A symbol whose expansion ends with
 it never starts a pair, so no rule crosses a document boundary and every
@@ -40,6 +39,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,56 +47,44 @@ from pyspark.sql import functions as F
 from .common import release_memory, scratch_path
 from .pretokens import pretokens
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _frequent_pairs(key: np.ndarray, bucket: np.ndarray, n_buckets: int, min_count: int, want: int):
-    """(position mask, pair keys by falling count, their counts) of the pairs in the fullest buckets."""
-    cnt = np.bincount(bucket, minlength=n_buckets)
-    top = cnt[cnt >= min_count]
-    if not len(top):
-        return None
-    floor = max(min_count, int(np.partition(top, len(top) - want)[len(top) - want])) if len(top) > want else min_count
-    near = cnt[bucket] >= floor
-    k, h = key[near], bucket[near]
-    first = np.zeros(n_buckets, dtype=np.int64)
-    first[h] = k
-    shared = np.zeros(n_buckets, dtype=bool)
-    shared[h[first[h] != k]] = True  # buckets of several pairs
-    pure = np.flatnonzero((cnt >= floor) & ~shared)
-    keys, counts = first[pure], cnt[pure]
-    mixed = shared[h]
-    if mixed.any():
-        uk, uc = np.unique(k[mixed], return_counts=True)
-        keys, counts = np.concatenate((keys, uk)), np.concatenate((counts, uc))
-    ok = counts >= min_count
-    keys, counts = keys[ok], counts[ok]
-    order = np.lexsort((keys, -counts))
-    return near, keys[order], counts[order]
+#: Bits of the table of a round's pairs, odd multipliers that mix the two symbols of a pair.
+_BITS = 19
+_MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
+
+
+def _buckets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a.astype(np.uint32) * _MIX[0] + b.astype(np.uint32) * _MIX[1]) >> np.uint32(32 - _BITS)).astype(np.int64)
+
+
+def _frequent_pairs(keys: np.ndarray, min_count: int, want: int) -> np.ndarray:
+    """Up to ``want`` of the keys that occur ``min_count`` times or more, by falling count."""
+    keys = np.sort(keys)
+    start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    counts = np.diff(start, append=len(keys))
+    often = counts >= min_count
+    keys, counts = keys[start[often]], counts[often]
+    return keys[np.argsort(-counts, kind="stable")[:want]]
 
 
 def repair(seq: np.ndarray, base: int, end_id: int, min_count: int = 8, batch: int = 16384, min_gain: float = 0.03):
-    """Re-Pair on ``seq`` (int64); returns (seq, rules[r,2], explen[r])."""
+    """Re-Pair on ``seq`` (symbols below 2**31); returns (seq, rules[r,2], explen[r])."""
+    seq = seq.astype(np.int32)
     rules: list[tuple[int, int]] = []
     ends = np.zeros(base, dtype=bool)
     ends[end_id] = True
     explen = np.ones(base, dtype=np.int64)
-    bits = min(19, max(12, int(len(seq)).bit_length()))
     while len(seq) > 1:
-        a, b = seq[:-1], seq[1:]
-        pos = np.flatnonzero(~ends[a])
-        key = (a[pos] << 32) | b[pos]
-        bucket = ((key.astype(np.uint64) * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
-        found = _frequent_pairs(key, bucket, 1 << bits, min_count, 2 * batch)
-        if found is None:
-            break
-        near, keys, counts = found
+        bucket = _buckets(seq[:-1], seq[1:])
+        bucket[ends[seq[:-1]]] = 1 << _BITS  # what ends a document starts no pair
+        full = np.bincount(bucket, minlength=1 << _BITS) >= min_count
+        full[1 << _BITS:] = False
+        pos = np.flatnonzero(full[bucket])
+        bucket, key = bucket[pos], (seq[pos].astype(np.int64) << 32) | seq[pos + 1]
+        keys = _frequent_pairs(key, min_count, 2 * batch)
         # pairs whose occurrences cannot overlap: no symbol is the right of one chosen
-        # pair and the left of another (a pair x x only with itself); one pair per bucket
+        # pair and the left of another (a pair x x only with itself); one pair per place of the table
         used, lefts, rights, selfs, chosen = set(), set(), set(), set(), []
-        kb = ((keys.astype(np.uint64) * _MIX) >> np.uint64(64 - bits)).astype(np.int64).tolist()
-        for k, h in zip(keys.tolist(), kb):
-            x, y = k >> 32, k & 0xFFFFFFFF
+        for i, (x, y, h) in enumerate(zip(*(c.tolist() for c in (keys >> 32, keys & 0xFFFFFFFF, _buckets(keys >> 32, keys & 0xFFFFFFFF))))):
             if h in used:
                 continue
             if x == y:
@@ -108,31 +96,30 @@ def repair(seq: np.ndarray, base: int, end_id: int, min_count: int = 8, batch: i
             lefts.add(x)
             rights.add(y)
             used.add(h)
-            chosen.append((k, h, x, y))
+            chosen.append(i)
             if len(chosen) >= batch:
                 break
         if not chosen:
             break
-        name = np.full(1 << bits, -1, dtype=np.int64)
-        pair = np.zeros(1 << bits, dtype=np.int64)
-        at = np.array([c[1] for c in chosen])
+        keys = keys[chosen]
+        xs, ys = keys >> 32, keys & 0xFFFFFFFF
+        at = _buckets(xs, ys)
+        pair = np.full(1 << _BITS, -1, dtype=np.int64)
+        pair[at] = keys
+        name = np.zeros(1 << _BITS, dtype=np.int32)
         name[at] = base + len(rules) + np.arange(len(chosen))
-        pair[at] = [c[0] for c in chosen]
-        pos, key, bucket = pos[near], key[near], bucket[near]
-        hit = (name[bucket] >= 0) & (pair[bucket] == key)
+        hit = pair[bucket] == key
         pos, new = pos[hit], name[bucket[hit]]
-        # runs of x x x: every second position from the start of the run
-        idx = np.arange(len(pos))
-        start = np.maximum.accumulate(np.where(np.diff(pos, prepend=-2) != 1, idx, 0))
-        even = (idx - start) % 2 == 0
-        pos, new = pos[even], new[even]
-        xs, ys = np.array([c[2] for c in chosen]), np.array([c[3] for c in chosen])
+        if selfs:  # runs of x x x: every second position from the start of the run
+            idx = np.arange(len(pos))
+            start = np.maximum.accumulate(np.where(np.diff(pos, prepend=-2) != 1, idx, 0))
+            even = (idx - start) % 2 == 0
+            pos, new = pos[even], new[even]
         rules.extend(zip(xs.tolist(), ys.tolist()))
         ends = np.concatenate((ends, ends[ys]))
         explen = np.concatenate((explen, explen[xs] + explen[ys]))
         keep = np.ones(len(seq), dtype=bool)
         keep[pos + 1] = False
-        seq = seq.copy()
         seq[pos] = new
         before, seq = len(seq), seq[keep]
         if len(pos) < min_gain * before:
@@ -157,6 +144,16 @@ def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return seq
 
 
+def expand_all(seq: np.ndarray, rules: np.ndarray, explen: np.ndarray, base: int) -> np.ndarray:
+    """Terminals of a symbol sequence, every rule expanded once."""
+    size = np.concatenate((np.ones(base, dtype=np.int64), explen))
+    flat = np.concatenate((np.arange(base), expand(np.arange(base, base + len(rules)), rules, base))).astype(np.uint32)
+    lens, start = size[seq], (np.cumsum(size) - size)[seq]
+    place = np.repeat(start - (np.cumsum(lens) - lens), lens)
+    place += np.arange(len(place))
+    return flat[place]
+
+
 def write_token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                        vocab: str = "byte_bpe_50k.json", end_id: int = 0, shard_bytes: int = 2 << 20,
                        min_count: int = 8) -> None:
@@ -170,17 +167,16 @@ def write_token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         pre = pretokens(vocab)
         end = pre.tok.get_vocab_size()  # the end of a document: the first symbol after the vocabulary
         base = end + 1
-        ids, parts, ntok = [], [], []
-        for pdf in batches:
-            ids.extend(pdf["doc_id"].tolist())
-            for t in pdf["text"]:
-                x = pre.encode(t or "")
-                x.append(end)
-                ntok.append(len(x))
-                parts.append(np.array(x, dtype=np.int32))
+        ids, parts, ntok, mark = [], [], [], np.array([end], dtype="<u4").tobytes()
+        for batch in batches:
+            ids.extend(batch.column(0).to_pylist())
+            for t in batch.column(1).to_pylist():
+                x = pre.encode_bytes(t or "")
+                ntok.append(len(x) // 4 + 1)
+                parts += x, mark
         if not parts:
             return
-        whole = np.concatenate(parts).astype(np.int64)
+        whole = np.frombuffer(b"".join(parts), dtype="<u4")
         parts.clear()
         total = len(whole)
         seq, rules, explen = repair(whole, base, end, min_count)
@@ -188,18 +184,19 @@ def write_token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         # document starts in the compressed sequence: after each symbol that ends a document
         ends = np.zeros(base + len(rules), dtype=bool)
         ends[end] = True
-        for r, (_, y) in enumerate(rules.tolist()):
+        for r, y in enumerate(rules[:, 1].tolist()):
             ends[base + r] = ends[y]
         coff = np.concatenate(([0], np.nonzero(ends[seq])[0] + 1)).astype(np.int64)
         buf = io.BytesIO()
         np.savez(buf, n_tokens=np.array(ntok, dtype=np.int64), coff=coff, seq=seq.astype(np.uint32), rules=rules,
                  explen=explen, base=np.array([base]), end=np.array([end, end_id]))
-        yield pd.DataFrame({"shard": [TaskContext.get().partitionId()], "n_docs": [len(ids)], "n_tokens": [total],
-                            "doc_ids": [[None if i is None or i != i else int(i) for i in ids]], "blob": [buf.getvalue()]})
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in (
+            ([TaskContext.get().partitionId()], pa.int64()), ([len(ids)], pa.int64()), ([total], pa.int64()),
+            ([ids], pa.list_(pa.int64())), ([buf.getvalue()], pa.binary()))], names=["shard", "n_docs", "n_tokens", "doc_ids", "blob"])
         del seq, rules, explen, ends, coff, buf
-        release_memory()
+        release_memory(cycles=False)
 
-    sel.mapInPandas(shard, "shard long, n_docs long, n_tokens long, doc_ids array<long>, blob binary").write.mode("overwrite").parquet(path)
+    sel.mapInArrow(shard, "shard long, n_docs long, n_tokens long, doc_ids array<long>, blob binary").write.mode("overwrite").parquet(path)
 
 
 def _shard_starts(files: DataFrame, block: int = 4096) -> DataFrame:
@@ -216,20 +213,21 @@ def read_token_shards(spark, path: str) -> DataFrame:
     files = spark.read.parquet(path)
 
     def dec(batches):
-        for pdf in batches:
-            for no, ids, blob in zip(pdf["shard"], pdf["doc_ids"], pdf["blob"]):
-                z = np.load(io.BytesIO(blob))
+        for batch in batches:
+            for i, (no, blob) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
+                z = np.load(io.BytesIO(blob.as_buffer()))
                 end, end_id = z["end"].tolist()
-                whole = expand(z["seq"], z["rules"], int(z["base"][0]))
+                whole = expand_all(z["seq"], z["rules"], z["explen"], int(z["base"][0]))
                 whole[whole == end] = end_id
-                raw, ntok = memoryview(whole.astype("<u4").tobytes()), z["n_tokens"]
+                raw, ntok = memoryview(whole.astype("<u4", copy=False)).cast("B"), z["n_tokens"]
                 cuts = np.concatenate(([0], np.cumsum(ntok)))
-                crc = [zlib.crc32(raw[4 * i:4 * j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-                yield pd.DataFrame({"doc_id": pd.array([None if i is None or i != i else int(i) for i in ids], dtype="Int64"),
-                                    "shard": no, "local": cuts[:-1], "n_tokens": ntok, "ids_crc32": np.array(crc, dtype=np.int64)})
+                at = cuts.tolist()
+                crc = [zlib.crc32(raw[4 * i:4 * j]) for i, j in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(1)[i].values, *(pa.array(x, pa.int64()) for x in (np.full(len(ntok), no), cuts[:-1], ntok, crc))],
+                                                 names=["doc_id", "shard", "local", "n_tokens", "ids_crc32"])
 
     rows = (files.select("shard", "doc_ids", "blob")
-            .mapInPandas(dec, "doc_id long, shard long, local long, n_tokens long, ids_crc32 long"))
+            .mapInArrow(dec, "doc_id long, shard long, local long, n_tokens long, ids_crc32 long"))
     return (rows.join(_shard_starts(files), "shard")
             .select("doc_id", (F.col("shard_start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32"))
 

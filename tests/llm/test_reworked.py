@@ -130,6 +130,47 @@ def test_pretokens_are_the_librarys():
         assert pre.encode(t) == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_pretokens_ask_the_model_once():
+    """Each of 40,000 pre-tokens is encoded once in two passes, and the memory stays bounded."""
+    from souk.llm.pretokens import PreTokens
+    tok, asked = library(), []
+
+    class Model:
+        def __init__(self, model):
+            self.model = model
+
+        def tokenize(self, piece):
+            asked.append(piece)
+            return self.model.tokenize(piece)
+
+    texts = [" ".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26 % 26)}{chr(97 + j // 676 % 26)}{chr(97 + j // 17576)}é" for j in range(i, i + 400)) for i in range(0, 40_000, 400)]
+    pre = PreTokens("byte_bpe_50k.json")
+    pre.known.model = Model(pre.model)
+    for _ in range(2):
+        for t in texts[::20]:
+            assert np.frombuffer(pre.encode_bytes(t), dtype="<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+        for t in texts:
+            pre.encode_bytes(t)
+    assert len(asked) == len(set(asked)) >= 40_000
+    small = PreTokens("byte_bpe_50k.json", keep=100)
+    for t in texts[:10]:
+        assert small.encode(t) == tok.encode(t, add_special_tokens=False).ids and len(small.known) <= 100
+
+
+def test_shards_expand_to_what_was_compressed():
+    from souk.llm.tokens import expand_all, repair
+    rng = np.random.default_rng(8)
+    for n, k in ((0, 3), (1, 3), (5000, 3), (5000, 40), (70_000, 900)):
+        seq = np.append(rng.integers(0, k, n), [k] * 3)  # k: the end of a document
+        seq[rng.integers(0, n + 1, n // 50)] = k
+        runs = np.repeat(seq, rng.integers(1, 5, len(seq)))
+        for x in (seq, runs):
+            got, rules, explen = repair(x.astype(np.uint32), k + 1, k, min_count=2)
+            assert np.array_equal(expand_all(got, rules, explen, k + 1), x)
+            assert len(got) < len(x) or n < 5000
+            assert not any(k in expand_all(np.array([k + 1 + r]), rules, explen, k + 1)[:-1] for r in range(0, len(rules), 7))
+
+
 TEXTS = ["", None, "hello world", "hello world", "héllo  <|endoftext|> x<|endoftext|>", "日本 語 😀", "word " * 3000, "'s 't\n\n  x", "!" * 50, " "]
 
 
