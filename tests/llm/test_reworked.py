@@ -191,6 +191,21 @@ def test_token_counts_on_shuffled_inputs(lspark):
     assert token_counts(base.limit(0)).count() == 0
 
 
+def test_token_counts_hot_keys_go_by_the_documents(lspark):
+    """What is sent to the tasks follows from the number of documents, so the joined rest grows no faster than they."""
+    from souk.llm.token_counts import _widespread, token_counts
+    tok = library()
+    texts = [(i, f"all w{i // 40}k v{i // 4}k own{i}word") for i in range(400)]
+    want = {i: len(tok.encode(t, add_special_tokens=False).ids) for i, t in texts}
+    for share in (1, 16, 1 << 15):
+        out = token_counts(lspark.createDataFrame(texts, "doc_id long, text string"), share=share, rows=50).collect()
+        assert {r["doc_id"]: r["n_tokens"] for r in out} == want
+    pieces = lspark.createDataFrame([(n,) for n in [400] + [40] * 10 + [4] * 100 + [1] * 400], "seen long")
+    assert [_widespread(pieces, least, 1 << 20) for least in (1, 2, 25, 400)] == [1, 4, 40, 400]
+    assert [_widespread(pieces, 2, most) for most in (111, 110, 11, 10)] == [4, 40, 40, 400]  # at most so many
+    assert _widespread(pieces, 2, 0) > 1 << 40 and _widespread(pieces, 401, 5) > 1 << 40  # none
+
+
 def test_token_ranges_read_at_random(lspark, tmp_path):
     from souk.llm.tokens import read_token_ranges, read_token_shards, write_token_shards
     tok, rnd = library(), random.Random(4)
