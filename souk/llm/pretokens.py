@@ -72,7 +72,7 @@ def model_ids(model, piece: str) -> list[int]:
 class PreTokens:
     """One per worker and vocabulary (``pretokens``): what it remembers serves all tasks."""
 
-    def __init__(self, vocab: str, keep: int = 500_000):
+    def __init__(self, vocab: str, keep: int = 250_000):
         self.tok = tokenizer(vocab)
         self.pre, self.model = self.tok.pre_tokenizer, self.tok.model
         self.model._resize_cache(0)  # the model's own memory of pre-tokens, which costs more than it saves beside this one
