@@ -10,6 +10,7 @@ pre-token come from the library's model and are remembered for up to ``keep`` pr
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 import unicodedata
@@ -21,7 +22,8 @@ def _pattern() -> re.Pattern:
     chars = [chr(c) for c in range(0x250)]
     letters, numbers = ("".join(re.escape(c) for c in chars if unicodedata.category(c)[0] == k) for k in "LN")
     white = r"\t-\r \x85\xa0"
-    return re.compile(f" ?[{letters}]+| ?[{numbers}]+|'(?:[stmd]|re|ve|ll)| ?[^{white}{letters}{numbers}]+|[{white}]+(?![^{white}])|[{white}]+")
+    # runs that nothing can follow up are possessive, and letters with and without a space stand apart: both spare the engine its way back
+    return re.compile(f" [{letters}]++|[{letters}]++| ?[{numbers}]++|'(?:[stmd]|re|ve|ll)| ?[^{white}{letters}{numbers}]++|[{white}]+(?![^{white}])|[{white}]+")
 
 
 #: Fixed values.
@@ -45,7 +47,14 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
-_LETTERS = _byte_letters()
+#: The letters in the order of the bytes, and writers of few ids.
+_LETTERS = "".join(c for _, c in sorted(_byte_letters().items()))
+_FEW = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return _FEW[len(ids)](*ids) if len(ids) < len(_FEW) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class _Known(dict):
@@ -60,13 +69,13 @@ class _Known(dict):
         if len(self) >= self.keep:  # the first ones seen are the common ones
             for old in list(islice(reversed(self), len(self) - self.keep // 2)):
                 del self[old]
-        out = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        out = self[piece] = _packed(ids)
         return out
 
 
 def model_ids(model, piece: str) -> list[int]:
     """Token ids of one pre-token."""
-    return [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))]
+    return [t.id for t in model.tokenize(codecs.charmap_decode(piece.encode(), "strict", _LETTERS)[0])]
 
 
 class PreTokens:

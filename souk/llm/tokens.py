@@ -53,7 +53,11 @@ _MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
 def _buckets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a.astype(np.uint32) * _MIX[0] + b.astype(np.uint32) * _MIX[1]) >> np.uint32(32 - _BITS)).astype(np.int64)
+    """Places of the pairs (uint32 symbols) in the table of a round."""
+    h = a * _MIX[0]
+    h += b * _MIX[1]
+    h >>= np.uint32(32 - _BITS)
+    return h
 
 
 def _frequent_pairs(keys: np.ndarray, min_count: int, want: int) -> np.ndarray:
@@ -66,66 +70,79 @@ def _frequent_pairs(keys: np.ndarray, min_count: int, want: int) -> np.ndarray:
     return keys[np.argsort(-counts, kind="stable")[:want]]
 
 
+def _disjoint(xs: list, ys: list, places: list, symbols: int, batch: int) -> list[int]:
+    """Which of the pairs to replace at once, the first ones first: up to ``batch`` whose occurrences cannot overlap.
+
+    No symbol is the right of one chosen pair and the left of another (a pair x x only with
+    itself), and no two share a place of the table.
+    """
+    used, role, chosen = bytearray(1 << _BITS), bytearray(symbols), []  # role of a symbol: 1 left, 2 right, 4 both of x x
+    for i, (x, y, h) in enumerate(zip(xs, ys, places)):
+        if used[h]:
+            continue
+        if x == y:
+            if role[x]:
+                continue
+            role[x] = 7
+        else:
+            if role[x] & 6 or role[y] & 5:
+                continue
+            role[x] |= 1
+            role[y] |= 2
+        used[h] = 1
+        chosen.append(i)
+        if len(chosen) >= batch:
+            break
+    return chosen
+
+
 def repair(seq: np.ndarray, base: int, end_id: int, min_count: int = 8, batch: int = 16384, min_gain: float = 0.03):
     """Re-Pair on ``seq`` (symbols below 2**31); returns (seq, rules[r,2], explen[r])."""
-    seq = seq.astype(np.int32)
-    rules: list[tuple[int, int]] = []
+    seq = seq.astype(np.uint32)
+    rules, top = [np.zeros((0, 2), dtype=np.uint32)], base
     ends = np.zeros(base, dtype=bool)
     ends[end_id] = True
     explen = np.ones(base, dtype=np.int64)
     while len(seq) > 1:
         bucket = _buckets(seq[:-1], seq[1:])
-        bucket[ends[seq[:-1]]] = 1 << _BITS  # what ends a document starts no pair
+        bucket[np.flatnonzero(ends[seq[:-1]])] = 1 << _BITS  # what ends a document starts no pair
         full = np.bincount(bucket, minlength=1 << _BITS) >= min_count
         full[1 << _BITS:] = False
         pos = np.flatnonzero(full[bucket])
-        bucket, key = bucket[pos], (seq[pos].astype(np.int64) << 32) | seq[pos + 1]
+        bucket, key = bucket[pos], seq[pos].astype(np.int64)
+        key <<= 32
+        key |= seq[pos + 1]
         keys = _frequent_pairs(key, min_count, 2 * batch)
-        # pairs whose occurrences cannot overlap: no symbol is the right of one chosen
-        # pair and the left of another (a pair x x only with itself); one pair per place of the table
-        used, lefts, rights, selfs, chosen = set(), set(), set(), set(), []
-        for i, (x, y, h) in enumerate(zip(*(c.tolist() for c in (keys >> 32, keys & 0xFFFFFFFF, _buckets(keys >> 32, keys & 0xFFFFFFFF))))):
-            if h in used:
-                continue
-            if x == y:
-                if x in lefts or x in rights:
-                    continue
-                selfs.add(x)
-            elif x in rights or y in lefts or x in selfs or y in selfs:
-                continue
-            lefts.add(x)
-            rights.add(y)
-            used.add(h)
-            chosen.append(i)
-            if len(chosen) >= batch:
-                break
+        pairs = np.stack((keys >> 32, keys & 0xFFFFFFFF), axis=1).astype(np.uint32)
+        at = _buckets(pairs[:, 0], pairs[:, 1])
+        chosen = _disjoint(pairs[:, 0].tolist(), pairs[:, 1].tolist(), at.tolist(), top, batch)
         if not chosen:
             break
-        keys = keys[chosen]
-        xs, ys = keys >> 32, keys & 0xFFFFFFFF
-        at = _buckets(xs, ys)
-        pair = np.full(1 << _BITS, -1, dtype=np.int64)
-        pair[at] = keys
-        name = np.zeros(1 << _BITS, dtype=np.int32)
-        name[at] = base + len(rules) + np.arange(len(chosen))
-        hit = pair[bucket] == key
-        pos, new = pos[hit], name[bucket[hit]]
-        if selfs:  # runs of x x x: every second position from the start of the run
+        keys, pairs, at = keys[chosen], pairs[chosen], at[chosen]
+        xs, ys = pairs[:, 0], pairs[:, 1]
+        name = np.zeros(1 << _BITS, dtype=np.int32)  # 1 + number of the chosen pair at a place
+        name[at] = np.arange(1, len(chosen) + 1)
+        new = name[bucket]
+        hit = np.flatnonzero(new)
+        new = new[hit] - 1
+        same = keys[new] == key[hit]
+        pos, new = pos[hit[same]], new[same]
+        if (xs == ys).any():  # runs of x x x: every second position from the start of the run
             idx = np.arange(len(pos))
             start = np.maximum.accumulate(np.where(np.diff(pos, prepend=-2) != 1, idx, 0))
             even = (idx - start) % 2 == 0
             pos, new = pos[even], new[even]
-        rules.extend(zip(xs.tolist(), ys.tolist()))
+        rules.append(pairs)
         ends = np.concatenate((ends, ends[ys]))
         explen = np.concatenate((explen, explen[xs] + explen[ys]))
         keep = np.ones(len(seq), dtype=bool)
         keep[pos + 1] = False
-        seq[pos] = new
+        seq[pos] = new + top
+        top += len(chosen)
         before, seq = len(seq), seq[keep]
         if len(pos) < min_gain * before:
             break
-    r = np.array(rules, dtype=np.uint32).reshape(-1, 2)
-    return seq, r, explen[base:]
+    return seq.astype(np.int32), np.concatenate(rules), explen[base:]
 
 
 def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:

@@ -171,6 +171,39 @@ def test_shards_expand_to_what_was_compressed():
             assert not any(k in expand_all(np.array([k + 1 + r]), rules, explen, k + 1)[:-1] for r in range(0, len(rules), 7))
 
 
+def test_pairs_replaced_at_once_are_cheap_to_choose():
+    """The choice is that of the rule by sets, and takes at most three calls a chosen pair (five when it kept sets)."""
+    import sys
+
+    from souk.llm.tokens import _disjoint, repair
+    rng = np.random.default_rng(3)
+    for k, batch in ((4, 100), (60, 100), (60, 5)):
+        xs, ys, places = (rng.integers(0, n, 300).tolist() for n in (k, k, 400))
+        lefts, rights, selfs, used, want = set(), set(), set(), set(), []
+        for i, (x, y, h) in enumerate(zip(xs, ys, places)):
+            if h in used or len(want) >= batch:
+                continue
+            if (x in lefts | rights) if x == y else (x in rights or y in lefts or {x, y} & selfs):
+                continue
+            lefts.add(x)
+            rights.add(y)
+            used.add(h)
+            selfs |= {x} & {y}
+            want.append(i)
+        assert _disjoint(xs, ys, places, k, batch) == want
+    seq, calls = rng.integers(0, 3000, 40_000).astype(np.uint32), [0]
+
+    def count(frame, event, arg):
+        calls[0] += event == "c_call"
+
+    sys.setprofile(count)
+    try:
+        rules = repair(seq, 3001, 3000, min_count=1)[1]
+    finally:
+        sys.setprofile(None)
+    assert len(rules) > 500 and calls[0] < 3 * len(rules)
+
+
 TEXTS = ["", None, "hello world", "hello world", "héllo  <|endoftext|> x<|endoftext|>", "日本 語 😀", "word " * 3000, "'s 't\n\n  x", "!" * 50, " "]
 
 
