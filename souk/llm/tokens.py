@@ -1,13 +1,14 @@
 """Token-id shards with Re-Pair grammar compression, written, read back and read at random.
 
-Method.  Texts are encoded with the ``tokenizers`` library (Arrow batches; the
-ids of a pre-token are remembered, see ``pretokens``), an end id is appended to every document,
+Method.  Texts are encoded with the ``tokenizers`` library (a column at a time; its distinct
+pre-tokens are looked up once and their ids remembered, see ``pretokens``), an end id is appended to every document,
 and the documents are range-partitioned by (id, text hash) into shards of about
 ``shard_bytes`` of text, sorted so inside each shard.  Every shard is
 compressed by Re-Pair: in rounds, up to ``batch`` of the most frequent adjacent
 pairs (``min_count`` times or more; pairs whose occurrences cannot overlap) are
 replaced by new symbols, until a round saves less than ``min_gain`` of the
-sequence.  Pairs are counted by sorting those whose hash is frequent.  In the shard the end of a document is a
+sequence.  Pairs are counted by sorting them with their positions; positions of rare pairs are
+left out of later rounds unless a symbol there changes.  In the shard the end of a document is a
 symbol of its own outside the vocabulary (the end id may be an ordinary token:
 0 is '!'), written as the end id when read.  A symbol whose expansion ends with
 it never starts a pair, so no rule crosses a document boundary and every
@@ -47,27 +48,25 @@ from pyspark.sql import functions as F
 from .common import release_memory, scratch_path
 from .pretokens import pretokens
 
-#: Bits of the table of a round's pairs, odd multipliers that mix the two symbols of a pair.
+#: Fixed value: bits of the table of places in ``_disjoint``.
 _BITS = 19
-_MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
 
-def _buckets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of the pairs (uint32 symbols) in the table of a round."""
-    h = a * _MIX[0]
-    h += b * _MIX[1]
-    h >>= np.uint32(32 - _BITS)
-    return h
-
-
-def _frequent_pairs(keys: np.ndarray, min_count: int, want: int) -> np.ndarray:
-    """Up to ``want`` of the keys that occur ``min_count`` times or more, by falling count."""
-    keys = np.sort(keys)
-    start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    counts = np.diff(start, append=len(keys))
-    often = counts >= min_count
-    keys, counts = keys[start[often]], counts[often]
-    return keys[np.argsort(-counts, kind="stable")[:want]]
+def _grouped_pairs(seq: np.ndarray, pos: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that start at the rising positions ``pos`` of ``seq`` (symbols below ``top``) as one number each, in order, and their positions."""
+    wide, place = np.uint64(top.bit_length()), np.uint64(len(seq).bit_length())
+    key = seq[pos].astype(np.uint64)
+    key <<= wide
+    key |= seq[pos + 1]
+    if 2 * wide + place > 64:  # no room for the position beside the pair
+        order = np.argsort(key, kind="stable")
+        return key[order], pos[order]
+    key <<= place
+    key |= pos.astype(np.uint64)
+    key.sort()
+    pos = (key & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int64)
+    key >>= place
+    return key, pos
 
 
 def _disjoint(xs: list, ys: list, places: list, symbols: int, batch: int) -> list[int]:
@@ -100,46 +99,48 @@ def repair(seq: np.ndarray, base: int, end_id: int, min_count: int = 8, batch: i
     """Re-Pair on ``seq`` (symbols below 2**31); returns (seq, rules[r,2], explen[r])."""
     seq = seq.astype(np.uint32)
     rules, top = [np.zeros((0, 2), dtype=np.uint32)], base
-    ends = np.zeros(base, dtype=bool)
-    ends[end_id] = True
     explen = np.ones(base, dtype=np.int64)
+    stops = np.flatnonzero(seq == end_id)  # where documents end
+    live = np.ones(len(seq), dtype=bool)  # positions whose pair may be frequent: a rare pair of old symbols stays rare
     while len(seq) > 1:
-        bucket = _buckets(seq[:-1], seq[1:])
-        bucket[np.flatnonzero(ends[seq[:-1]])] = 1 << _BITS  # what ends a document starts no pair
-        full = np.bincount(bucket, minlength=1 << _BITS) >= min_count
-        full[1 << _BITS:] = False
-        pos = np.flatnonzero(full[bucket])
-        bucket, key = bucket[pos], seq[pos].astype(np.int64)
-        key <<= 32
-        key |= seq[pos + 1]
-        keys = _frequent_pairs(key, min_count, 2 * batch)
-        pairs = np.stack((keys >> 32, keys & 0xFFFFFFFF), axis=1).astype(np.uint32)
-        at = _buckets(pairs[:, 0], pairs[:, 1])
-        chosen = _disjoint(pairs[:, 0].tolist(), pairs[:, 1].tolist(), at.tolist(), top, batch)
+        live[stops] = False  # what ends a document starts no pair
+        live[-1] = False
+        key, pos = _grouped_pairs(seq, np.flatnonzero(live), top)
+        start = np.flatnonzero(np.concatenate((key[:1] == key[:1], key[1:] != key[:-1])))
+        counts = np.diff(start, append=len(key))
+        often = counts >= min_count
+        pos = pos[np.repeat(often, counts)]
+        keys, counts = key[start[often]], counts[often]
+        del key
+        order = np.argsort(-counts, kind="stable")[:min(2 * batch, 1 << _BITS)]
+        wide = np.uint64(top.bit_length())
+        pairs = np.stack((keys >> wide, keys & ((np.uint64(1) << wide) - np.uint64(1))), axis=1).astype(np.uint32)
+        xs, ys = pairs[order].T
+        chosen = _disjoint(xs.tolist(), ys.tolist(), range(len(order)), top, batch)
         if not chosen:
             break
-        keys, pairs, at = keys[chosen], pairs[chosen], at[chosen]
-        xs, ys = pairs[:, 0], pairs[:, 1]
-        name = np.zeros(1 << _BITS, dtype=np.int32)  # 1 + number of the chosen pair at a place
-        name[at] = np.arange(1, len(chosen) + 1)
-        new = name[bucket]
-        hit = np.flatnonzero(new)
-        new = new[hit] - 1
-        same = keys[new] == key[hit]
-        pos, new = pos[hit[same]], new[same]
+        number = np.full(len(keys), -1, dtype=np.int32)
+        number[order[chosen]] = np.arange(len(chosen))
+        xs, ys = xs[chosen], ys[chosen]
+        live[:] = False
+        live[pos] = True
+        new = np.repeat(number, counts)
+        hit = np.flatnonzero(new >= 0)
+        pos, new = pos[hit], new[hit]
         if (xs == ys).any():  # runs of x x x: every second position from the start of the run
             idx = np.arange(len(pos))
-            start = np.maximum.accumulate(np.where(np.diff(pos, prepend=-2) != 1, idx, 0))
-            even = (idx - start) % 2 == 0
+            first = (np.diff(pos, prepend=-2) != 1) | (np.diff(new, prepend=-1) != 0)
+            even = (idx - np.maximum.accumulate(np.where(first, idx, 0))) % 2 == 0
             pos, new = pos[even], new[even]
-        rules.append(pairs)
-        ends = np.concatenate((ends, ends[ys]))
+        rules.append(pairs[order[chosen]])
         explen = np.concatenate((explen, explen[xs] + explen[ys]))
+        seq[pos] = new + top
+        live[pos] = live[pos - 1] = True
         keep = np.ones(len(seq), dtype=bool)
         keep[pos + 1] = False
-        seq[pos] = new + top
+        stops -= np.searchsorted(np.flatnonzero(~keep), stops, side="right")
         top += len(chosen)
-        before, seq = len(seq), seq[keep]
+        before, seq, live = len(seq), seq[keep], live[keep]
         if len(pos) < min_gain * before:
             break
     return seq.astype(np.int32), np.concatenate(rules), explen[base:]
@@ -184,16 +185,15 @@ def write_token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_
         pre = pretokens(vocab)
         end = pre.tok.get_vocab_size()  # the end of a document: the first symbol after the vocabulary
         base = end + 1
-        ids, parts, ntok, mark = [], [], [], np.array([end], dtype="<u4").tobytes()
+        ids, parts, ntok = [], [], []
         for batch in batches:
-            ids.extend(batch.column(0).to_pylist())
-            for t in batch.column(1).to_pylist():
-                x = pre.encode_bytes(t or "")
-                ntok.append(len(x) // 4 + 1)
-                parts += x, mark
-        if not parts:
+            ids.append(batch.column(0))
+            tokens, n = pre.encode_column(batch.column(1))
+            parts.append(np.insert(tokens, np.cumsum(n), end))
+            ntok.append(n + 1)
+        if not sum(map(len, ids)):
             return
-        whole = np.frombuffer(b"".join(parts), dtype="<u4")
+        ids, ntok, whole = pa.concat_arrays(ids), np.concatenate(ntok), np.concatenate(parts)
         parts.clear()
         total = len(whole)
         seq, rules, explen = repair(whole, base, end, min_count)
@@ -205,11 +205,11 @@ def write_token_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_
             ends[base + r] = ends[y]
         coff = np.concatenate(([0], np.nonzero(ends[seq])[0] + 1)).astype(np.int64)
         buf = io.BytesIO()
-        np.savez(buf, n_tokens=np.array(ntok, dtype=np.int64), coff=coff, seq=seq.astype(np.uint32), rules=rules,
+        np.savez(buf, n_tokens=ntok, coff=coff, seq=seq.astype(np.uint32), rules=rules,
                  explen=explen, base=np.array([base]), end=np.array([end, end_id]))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in (
             ([TaskContext.get().partitionId()], pa.int64()), ([len(ids)], pa.int64()), ([total], pa.int64()),
-            ([ids], pa.list_(pa.int64())), ([buf.getvalue()], pa.binary()))], names=["shard", "n_docs", "n_tokens", "doc_ids", "blob"])
+            ([ids.to_pylist()], pa.list_(pa.int64())), ([buf.getvalue()], pa.binary()))], names=["shard", "n_docs", "n_tokens", "doc_ids", "blob"])
         del seq, rules, explen, ends, coff, buf
         release_memory(cycles=False)
 
