@@ -249,14 +249,13 @@ def _literal_grams(tokens: Column, n: int) -> Column:
         F.array().cast("array<struct<n:int,pos:int,g:string>>"))
 
 
-def _postings(offers: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, offer_id) of the q-grams of every length in the search columns, for the keys asked for."""
+def _postings(offers: DataFrame) -> DataFrame:
+    """(key, offer_id) of the q-grams of every length in the search columns."""
     low = [F.coalesce(F.lower(F.col(c)), F.lit("")) for c in SEARCH_COLUMNS]
     every = [_tagged(_grams(x, n), n) for n in GRAM_LENGTHS for x in low]
     length = F.array(F.concat(F.lit("0:"), F.least(F.greatest(*[F.length(x) for x in low]), F.lit(_NGRAM_CAP)).cast("string")))
     # explode_outer: an inner explode lets the optimizer evaluate the whole array once more as a filter
-    return (offers.select(F.col("id").alias("offer_id"), F.explode_outer(F.array_distinct(F.concat(*every, length))).alias("key"))
-            .join(keys.select("key").distinct(), "key", "left_semi"))
+    return offers.select(F.col("id").alias("offer_id"), F.explode_outer(F.array_distinct(F.concat(*every, length))).alias("key"))
 
 
 def term_candidates(terms: DataFrame, offers: DataFrame) -> DataFrame:
@@ -268,6 +267,10 @@ def term_candidates(terms: DataFrame, offers: DataFrame) -> DataFrame:
     offers and the rarest other one that does not overlap it, and intersects
     their posting lists.  Terms of wildcards only demand a minimum length, which
     is a key of its own (lengths up to the cap).
+
+    Grams come out of ``explode`` and compressed files, so Spark's size estimates fall short of
+    them by far: the joins here and in :func:`term_search` are hinted to shuffle, else the driver is
+    sent the postings or the terms of all queries as a broadcast.  Hashed sides are bounded by the distinct terms.
     """
     # max(term) is the term, but a filter on it cannot move below the aggregate to every row of ``terms``
     t = (terms.groupBy(F.col("term").alias("_by")).agg(F.max("term").alias("term")).drop("_by")
@@ -279,8 +282,8 @@ def term_candidates(terms: DataFrame, offers: DataFrame) -> DataFrame:
     t = t.select("term", "pat", best.alias("_best"))
     grams = (t.select("term", F.explode_outer("_best").alias("x")).where(F.col("x").isNotNull())
              .select("term", F.concat(F.col("x.n").cast("string"), F.lit(":"), F.col("x.g")).alias("key"), "x.n", "x.pos"))
-    freq = _postings(offers, grams).groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    ranked = (grams.join(freq, "key", "left")
+    freq = _postings(offers).groupBy("key").agg(F.count(F.lit(1)).alias("df"))  # counted in the tasks before anything is shuffled
+    ranked = (grams.join(freq.hint("merge"), "key", "left")
               .groupBy("term").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), (-F.col("n")).alias("o"), "key", "n", "pos"))).alias("gs")))
     first = F.col("gs")[0]
     apart = F.filter("gs", lambda x: (x["key"] != first["key"]) & ((x["pos"] >= first["pos"] + first["n"]) | (x["pos"] + x["n"] <= first["pos"])))
@@ -291,7 +294,7 @@ def term_candidates(terms: DataFrame, offers: DataFrame) -> DataFrame:
                       F.lit(_NGRAM_CAP))
     lengths = F.transform(F.sequence(n_under, F.lit(_NGRAM_CAP)), lambda k: F.concat(F.lit("0:"), k.cast("string")))
     probes = probes.unionByName(t.where(F.col("_best").isNull()).select("term", F.lit(1).alias("need"), F.explode(lengths).alias("key")))
-    return (probes.join(_postings(offers, probes), "key").groupBy("term", "offer_id", "need").agg(F.count(F.lit(1)).alias("n"))
+    return (probes.hint("shuffle_hash").join(_postings(offers), "key").groupBy("term", "offer_id", "need").agg(F.count(F.lit(1)).alias("n"))
             .where(F.col("n") == F.col("need")).select("term", "offer_id"))
 
 
@@ -311,14 +314,14 @@ def term_search(terms: DataFrame, offers: DataFrame, top: int = 20, salt: int =
     plain = F.when(~F.col("term").rlike(r"[%_\\]"), F.lower(F.col("term")))
     newest = F.max(F.struct(F.col("created_at").isNull().alias("open"), "created_at")).alias("at")
     order = [F.col("at").desc(), F.col("offer_id").desc()]
-    found = (term_candidates(terms, offers).join(offers.withColumnRenamed("id", "offer_id"), "offer_id")
+    found = (term_candidates(terms, offers).join(offers.withColumnRenamed("id", "offer_id").hint("merge"), "offer_id")
              .where(_term_matches(contains_pattern(F.col("term")), plain)).groupBy("term", "offer_id").agg(newest))
     part = (found.withColumn("_salt", F.xxhash64("offer_id") % salt)
             .withColumn("_r", F.row_number().over(W.partitionBy("term", "_salt").orderBy(*order)))
             .where(F.col("_r") <= top))
     lists = (part.withColumn("_r", F.row_number().over(W.partitionBy("term").orderBy(*order)))
              .where(F.col("_r") <= top).select("term", "offer_id", "at.created_at"))
-    hits = (terms.select("query_id", "term").distinct().join(lists, "term").repartition("query_id")
+    hits = (terms.select("query_id", "term").distinct().join(lists.hint("shuffle_hash"), "term").repartition("query_id")
             .groupBy("query_id", "offer_id").agg(newest))
     best = (hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
             .where(F.col("rank") <= top))
@@ -331,7 +334,7 @@ def term_search_results(terms: DataFrame, offers: DataFrame, images: DataFrame |
     cols = _present(offers, ["id", "reference", "product_name", "category", "description",
                              "new_price", "old_price", "discount", "quantity"])
     hits = term_search(terms, offers, top)
-    out = hits.join(offers.select(*cols).withColumnRenamed("id", "offer_id"), "offer_id")
+    out = hits.join(offers.select(*cols).withColumnRenamed("id", "offer_id").hint("merge"), "offer_id")
     if images is not None:
         out = with_images(out, images, nested=nested, key="offer_id")
     return out

@@ -3,6 +3,7 @@ filters and column pruning reach the Parquet scan."""
 
 import contextlib
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,3 +102,28 @@ def test_page_order_holds_without_broadcast(spark):
         assert [r.id for r in rows] == want and all(len(r["images"]) == (5 if r.id < 200 else 0) for r in rows)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_search_sends_no_table_to_the_driver(spark, tmp_path):
+    """A broadcast is collected on the driver: grams of offers and terms of queries outgrow their size estimates."""
+    schema = "id bigint, product_name string, category string, description string, new_price decimal(14,2), status string, quantity int, created_at timestamp_ntz"
+    spark.range(300).selectExpr("id", "concat('bolt ', id % 7)", "if(id % 3 = 0, null, 'tool')", "concat('made ', id % 11)", "cast(1 as decimal(14,2))",
+                                "if(id % 10 = 0, 'inactive', 'active')", "1", "timestamp_ntz'2001-01-01' + make_dt_interval(id % 50)") \
+        .toDF(*[c.split()[0] for c in schema.split(", ")]).write.parquet(f"{tmp_path}/offers")
+    spark.range(90).selectExpr("id as query_id", "concat(' bolt ', id % 9)", "if(id % 2 = 0, 'TOOL', '')", "array('', 'de_' || id % 13, null)") \
+        .toDF("query_id", "product_name", "category", "search_terms").write.parquet(f"{tmp_path}/analyses")
+    offers, analyses = spark.read.parquet(f"{tmp_path}/offers"), spark.read.parquet(f"{tmp_path}/analyses")
+    out = catalog.image_search(analyses, offers, top=4)
+    rows = out.collect()
+    final = out._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in final and "Broadcast" not in final
+    terms = catalog.clean_terms(analyses).select("query_id", F.explode("terms").alias("term"))
+    assert "Broadcast" not in plan(catalog.term_search(terms, offers))
+    got, texts = {}, {o.id: (o, [x.lower() for x in (o.product_name, o.category, o.description) if x]) for o in catalog.sellable(offers).collect()}
+    for r in rows:
+        got.setdefault(r.query_id, []).append((r.rank, r.offer_id, r.description))
+    for q in range(90):
+        any_of = [re.compile(t) for t in (f"bolt {q % 9}", *["tool"] * (q % 2 == 0), f"de.{q % 13}")]
+        best = sorted((o for o, low in texts.values() if any(t.search(x) for t in any_of for x in low)), key=lambda o: (o.created_at, o.id), reverse=True)[:4]
+        assert got.get(q, []) == [(i, o.id, o.description) for i, o in enumerate(best, 1)]
+    assert got
