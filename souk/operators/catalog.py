@@ -314,6 +314,7 @@ def term_search(terms: DataFrame, offers: DataFrame, top: int = 20, salt: int =
     plain = F.when(~F.col("term").rlike(r"[%_\\]"), F.lower(F.col("term")))
     newest = F.max(F.struct(F.col("created_at").isNull().alias("open"), "created_at")).alias("at")
     order = [F.col("at").desc(), F.col("offer_id").desc()]
+    asked = terms.select("query_id", "term").distinct().withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(salt)))
     found = (term_candidates(terms, offers).join(offers.withColumnRenamed("id", "offer_id").hint("merge"), "offer_id")
              .where(_term_matches(contains_pattern(F.col("term")), plain)).groupBy("term", "offer_id").agg(newest))
     part = (found.withColumn("_salt", F.xxhash64("offer_id") % salt)
@@ -321,7 +322,9 @@ def term_search(terms: DataFrame, offers: DataFrame, top: int = 20, salt: int =
             .where(F.col("_r") <= top))
     lists = (part.withColumn("_r", F.row_number().over(W.partitionBy("term").orderBy(*order)))
              .where(F.col("_r") <= top).select("term", "offer_id", "at.created_at"))
-    hits = (terms.select("query_id", "term").distinct().join(lists.hint("shuffle_hash"), "term").repartition("query_id")
+    # a term that every query asks for: its list goes to the salts its queries fall into, so no task gets them all
+    dealt = asked.select("term", "_salt").distinct().join(lists.hint("shuffle_hash"), "term")
+    hits = (asked.join(dealt.hint("shuffle_hash"), ["term", "_salt"]).repartition("query_id")
             .groupBy("query_id", "offer_id").agg(newest))
     best = (hits.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
             .where(F.col("rank") <= top))
